@@ -239,23 +239,18 @@ def clean_grid_singletons(px: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
     me = F.struct("r", "g", "b", "a")
     at = {o: F.col(cell(*o)) for o in RING}
-    inside = F.lit(True)
-    alone = F.lit(True)
-    for v in at.values():
-        inside = inside & v.isNotNull()
-        alone = alone & ~similar(me, v)
     corners = []
     for dx, dy in ((-1, -1), (1, -1), (-1, 1), (1, 1)):
         p, q, r = at[(dx, dy)], at[(0, dy)], at[(dx, 0)]
         corners.append(F.when((p["a"] == F.col("a")) & similar(p, q) & similar(p, r) & similar(q, r), p))
-    first = F.coalesce(*corners)
-    wide = wide.withColumn("agreed", first)
-    clash = F.lit(False)
-    for corner in corners:
-        clash = clash | F.coalesce(~similar(F.col("agreed"), corner), F.lit(False))
-    take = (F.col("a") > 0) & inside & alone & F.col("agreed").isNotNull() & ~clash
-    return wide.select("image_id", "x", "y", *[
-        F.when(take, F.col("agreed")[v]).otherwise(F.col(v)).alias(v) for v in "rgba"])
+    lonely = wide.withColumn("ring", F.array(*at.values())).withColumn("me", me).select(
+        *PIXEL, F.filter(F.array(*corners), lambda v: v.isNotNull()).alias("corners"),
+        ((F.col("a") > 0) & F.forall("ring", lambda v: v.isNotNull() & ~similar(F.col("me"), v))).alias("alone"))
+    agreed = F.get("corners", F.lit(0))
+    take = F.col("alone") & (F.size("corners") > 0) & F.forall("corners", lambda v: similar(F.col("agreed"), v))
+    marked = lonely.withColumn("agreed", agreed).withColumn("take", take)
+    return marked.select("image_id", "x", "y", *[
+        F.when(F.col("take"), F.col("agreed")[v]).otherwise(F.col(v)).alias(v) for v in "rgba"])
 
 
 def _lab_columns(px: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ add("fn_source_over", lambda v: exprs(
     WITH q AS (SELECT *, (a + 64) % 256 AS d FROM px8), t AS (SELECT *, 255*a + d*(255-a) AS t FROM q)
     SELECT image_id, x, y, CAST((r*a*255 + g*d*(255-a) + t//2)//t AS INT) AS r, CAST((g*a*255 + b*d*(255-a) + t//2)//t AS INT) AS g,
       CAST((b*a*255 + r*d*(255-a) + t//2)//t AS INT) AS b, CAST((t + 127)//255 AS INT) AS a FROM t /* FROM px8 */""")
-add("fn_ordered_dither", lambda v: exprs(v.px(), offset=c.bayer4("x", "y"), tone=c.ordered_dither(c.brightness(), "x", "y", 0.3), r6=5), f"""
+add("fn_ordered_dither", lambda v: exprs(v.px(), offset=c.bayer4("x", "y"), tone=c.ordered_dither(c.brightness(), "x", "y", 0.1234567), r6=6), f"""
     WITH q AS (SELECT image_id, x, y, {m.lum()}/255 AS t, ([0,8,2,10,12,4,14,6,3,11,1,9,15,7,13,5][(y%4)*4 + x%4 + 1] + 0.5::DOUBLE)/16 - 0.5::DOUBLE AS o FROM px)
-    SELECT image_id, x, y, {m.r6('o', 'offset', 5)}, {m.r6('CASE WHEN t <= 0 OR t >= 1 THEN t ELSE least(1::DOUBLE, greatest(0::DOUBLE, t + o*0.3::DOUBLE)) END', 'tone', 5)} FROM q""")
+    SELECT image_id, x, y, {m.r6('o', 'offset', 6)}, {m.r6('CASE WHEN t <= 0 OR t >= 1 THEN t ELSE least(1::DOUBLE, greatest(0::DOUBLE, t + o*0.1234567::DOUBLE)) END', 'tone', 6)} FROM q""")
 _DA = "(CAST((a + 64) % 256 AS DOUBLE)/255)"
 _A = "(CAST(a AS DOUBLE)/255)"
 

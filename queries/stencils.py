@@ -100,12 +100,14 @@ def _sim(p, q, lim):
 _C = {"p00": (-1, -1), "p10": (0, -1), "p20": (1, -1), "p01": (-1, 0), "p21": (1, 0), "p02": (-1, 1), "p12": (0, 1), "p22": (1, 1)}
 _SQ = [("p00", "p10", "p01"), ("p20", "p10", "p21"), ("p02", "p12", "p01"), ("p22", "p12", "p21")]
 _L = 40 * 40
+_CELLS = {n: f"any_value({{'r': n_r, 'g': n_g, 'b': n_b, 'a': n_a}}) FILTER (dx = {dx} AND dy = {dy})" for n, (dx, dy) in _C.items()}
 add("clean_grid_singletons", lambda v: s.clean_grid_singletons(v.pxd(), 40.0), f"""
-    WITH w AS (SELECT p AS p, {', '.join(_C)} FROM pxd p {' '.join(f'JOIN pxd {n} ON {n}.image_id = p.image_id AND {n}.x = p.x+({dx}) AND {n}.y = p.y+({dy})' for n, (dx, dy) in _C.items())}
-      WHERE p.a > 0 AND {' AND '.join('NOT ' + _sim('p', n, _L) for n in _C)}),
-    k AS (SELECT *, {', '.join(f"CASE WHEN {a}.a = p.a AND {_sim(a, b, _L)} AND {_sim(a, c, _L)} AND {_sim(b, c, _L)} THEN {a} END AS s{i}" for i, (a, b, c) in enumerate(_SQ))} FROM w),
+    WITH bs AS MATERIALIZED (SELECT * FROM pxd), {ring(1, ("r", "g", "b", "a"))},
+    w AS (SELECT image_id, x, y, any_value(a) AS pa, {', '.join(f'{e} AS {n}' for n, e in _CELLS.items())} FROM nb
+      GROUP BY 1, 2, 3 HAVING any_value(a) > 0 AND count(*) = 8 AND count(*) FILTER (a = n_a AND (a = 0 OR (r-n_r)*(r-n_r) + (g-n_g)*(g-n_g) + (b-n_b)*(b-n_b) <= {_L})) = 0),
+    k AS (SELECT *, {', '.join(f"CASE WHEN {a}.a = pa AND {_sim(a, b, _L)} AND {_sim(a, c, _L)} AND {_sim(b, c, _L)} THEN {a} END AS s{i}" for i, (a, b, c) in enumerate(_SQ))} FROM w),
     g AS (SELECT *, coalesce(s0, s1, s2, s3) AS t FROM k),
-    z AS (SELECT p.image_id AS image_id, p.x AS x, p.y AS y, t FROM g WHERE t IS NOT NULL AND {' AND '.join(f"(s{i} IS NULL OR {_sim('t', f's{i}', _L)})" for i in range(4))})
+    z AS (SELECT image_id, x, y, t FROM g WHERE t IS NOT NULL AND {' AND '.join(f"(s{i} IS NULL OR {_sim('t', f's{i}', _L)})" for i in range(4))})
     SELECT image_id, x, y, coalesce(t.r, p.r) AS r, coalesce(t.g, p.g) AS g, coalesce(t.b, p.b) AS b, coalesce(t.a, p.a) AS a FROM pxd p LEFT JOIN z USING (image_id, x, y)""")
 GRAD = f"""gr AS MATERIALIZED (SELECT image_id, x, y, any_value(a) AS a, any_value(cl) AS cl, any_value(ca) AS ca, any_value(cb) AS cb,
       coalesce(sum(CASE WHEN n_a = a THEN {ND2}*dx/(dx*dx+dy*dy) END)/nullif(sum(CASE WHEN n_a = a THEN abs(dx)/(dx*dx+dy*dy) END), 0), 0) AS gx,
