@@ -103,8 +103,8 @@ def nearest_sql(view: str, colors) -> str:
     """Snap visible pixels of a view to a palette."""
     return f"""
     pe AS (SELECT col0 AS idx, col1 AS prgb, {', '.join(f'{e} AS p{n}' for n, e in zip('lab', m.lab_of('col1')))} FROM {m.values(colors)}),
-    cl AS (SELECT DISTINCT {RGB} AS rgb FROM {view} WHERE a > 0),
-    ce AS (SELECT rgb, {', '.join(f'{e} AS c{n}' for n, e in zip('lab', m.lab_of('rgb')))} FROM cl),
+    ucl AS (SELECT DISTINCT {RGB} AS rgb FROM {view} WHERE a > 0),
+    ce AS (SELECT rgb, {', '.join(f'{e} AS c{n}' for n, e in zip("lab", m.lab_of("rgb")))} FROM ucl),
     nm AS (SELECT rgb, arg_min(prgb, (round({m.d2(('cl', 'ca', 'cb'), ('pl', 'pa', 'pb'))}, 9), idx)) AS new_rgb FROM ce CROSS JOIN pe GROUP BY rgb)"""
 
 
