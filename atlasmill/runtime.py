@@ -99,6 +99,27 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column,
             .drop("_bucket", "_rank", "_before"))
 
 
+def bucketed_running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str | Column],
+                         value: str, name: str, how: str = "sum") -> DataFrame:
+    """Sum (or maximum) of ``value`` over the rows before each row, with the same bucketing idea."""
+    combine = {"sum": F.sum, "max": F.max}[how]
+    tagged = df.withColumn("_bucket", bucket)
+    sums = tagged.groupBy(*keys, "_bucket").agg(combine(value).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_bucket", combine("_n").over(before).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = tagged.withColumn("_inside", combine(value).over(inside))
+    left, right = summed.alias("l"), offsets.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
+    parts = F.col("r._before"), F.col("l._inside")
+    if how == "sum":
+        total = F.coalesce(parts[0], F.lit(0)) + F.coalesce(parts[1], F.lit(0))
+    else:
+        total = F.greatest(*parts)
+    return left.join(right, same).select("l.*", total.alias(name)).drop(
+        "_bucket", "_inside")
+
+
 def require(condition: bool, message: str) -> None:
     """Reject a bad parameter before any job starts."""
     if not condition:
