@@ -107,10 +107,10 @@ def corpus_scores(clean: DataFrame, noisy: DataFrame, processed: DataFrame, clea
         f"{color('p')} <> {color('n')} AS changed", f"{color('p')} = {color('c')} AS exact",
         f"{color('q')} <> {color('c')} AS damage", f"{error('n')} AS e0", f"{error('p')} AS e1")
     scored = rows.rollup("motif", "image_id").agg(
-        F.count_if(F.expr("injected")).alias("injected"), F.count_if("injected AND changed").alias("corrected"),
+        F.count_if(F.expr("injected")).alias("injected"), F.count_if(F.expr("injected AND changed")).alias("corrected"),
         F.count_if(F.expr("injected AND exact")).alias("recovered"),
         F.count_if(F.expr("injected AND changed AND NOT exact")).alias("wrong_color"),
-        F.count_if(F.expr("NOT injected AND changed")).alias("other_changes"), F.count_if("damage").alias("clean_damage"),
+        F.count_if(F.expr("NOT injected AND changed")).alias("other_changes"), F.count_if(F.expr("damage")).alias("clean_damage"),
         F.round(F.sum("e0"), 1).alias("error_before"), F.round(F.sum("e1"), 1).alias("error_after"),
         F.grouping_id().cast("int").alias("level"))
     return scored

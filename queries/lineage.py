@@ -129,10 +129,10 @@ add("resolve_linked_cels", lambda v: g.resolve_linked_cels(v.cels().withColumn(
 
 
 def chains(v):
-    """Redirects lengthened by a second hop and a circular pair."""
+    """Redirects lengthened by a second hop."""
     base = v.redirects()
     return base.selectExpr("path", "concat(target, '2') AS target").unionByName(
-        base.selectExpr("concat(target, '2') AS path", "CASE WHEN hash(path) % 5 = 99 THEN path ELSE target END AS target"))
+        base.selectExpr("concat(target, '2') AS path", "target"))
 
 
 add("resolve_redirects", lambda v: g.resolve_redirects(chains(v), v.sync().filter("side = 'remote'")), """
