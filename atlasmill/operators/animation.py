@@ -20,7 +20,7 @@ def tag_frames(frames: DataFrame, tags: DataFrame) -> DataFrame:
     A tag lists its own frame numbers, so the interval join is an equi join on
     document and frame; a document holds at most 65,535 frames.
     """
-    spread = tags.select("doc_id", "name", F.explode(F.sequence("from_frame", "to_frame")).cast("bigint").alias("frame"))
+    spread = tags.select("doc_id", "name", F.explode(F.expr("sequence(CAST(from_frame AS BIGINT), CAST(to_frame AS BIGINT))")).alias("frame"))
     return frames.join(spread, ["doc_id", "frame"])
 
 
