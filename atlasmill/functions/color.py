@@ -44,6 +44,11 @@ def weighted(row, terms) -> str:
     return "(" + " + ".join(f"{num(w)} * {t}" for w, t in zip(row, terms)) + ")"
 
 
+def tie(expr: str) -> str:
+    """A non-negative score as a whole number of billionths, so equal scores compare equal."""
+    return f"CAST(FLOOR(({expr}) * 1E9 + 5E-1) AS BIGINT)"
+
+
 # --- packing -----------------------------------------------------------------
 
 def pack_rgb(r="r", g="g", b="b") -> str:

@@ -81,7 +81,7 @@ def pick_automatic(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("edge").alias("edge"), F.min(scan_order()).alias("seen"))
     rgb = c.unpack_rgb("argb")
     weight = f"n * {c.contrast_weight(*rgb)} * {c.saturation_weight(*rgb)} * GREATEST(edge, 5E-2)"
-    ranked = F.struct(F.round(F.expr(weight), 9).alias("w"), (-F.col("seen.y")).alias("y"), (-F.col("seen.x")).alias("x"))
+    ranked = F.struct(F.expr(c.tie(weight)).alias("w"), (-F.col("seen.y")).alias("y"), (-F.col("seen.x")).alias("x"))
     return colors.groupBy(*keys).agg(F.max_by("argb", ranked).alias("argb"))
 
 
@@ -96,7 +96,7 @@ def pick_manual(rows: DataFrame, keys: list[str], targets: dict[str, float], imp
     rgb = c.unpack_rgb("argb")
     features = dict(zip(CRITERIA, (c.brightness(*rgb), c.contrast_weight(*rgb), c.saturation_weight(*rgb), "edge")))
     cost = " + ".join(f"{c.num(importance.get(n, 0))} * abs({e} - {c.num(targets.get(n, 0))})" for n, e in features.items())
-    best = F.struct(F.round(F.expr(cost), 9).alias("d"), "y", "x")
+    best = F.struct(F.expr(c.tie(cost)).alias("d"), "y", "x")
     colors = rows.groupBy(*keys, "argb").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
     order = F.struct(F.col("best.d"), (-F.col("n")).alias("n"), F.col("best.y"), F.col("best.x"))
     return colors.groupBy(*keys).agg(F.min_by("argb", order).alias("argb"))

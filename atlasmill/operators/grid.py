@@ -113,7 +113,7 @@ def grid_vote(px: DataFrame, grid: DataFrame | None = None, pitch: int | None =
         "argb", F.expr(c.canonical_argb()))
     sums = votes.groupBy("image_id", "cx", "cy", "argb").agg(F.sum("w").alias("w"))
     return sums.groupBy("image_id", "cx", "cy").agg(
-        F.max_by("argb", F.struct(F.round("w", 9).alias("w"), (-F.col("argb")).alias("t"))).alias("argb"))
+        F.max_by("argb", F.struct(F.expr(c.tie("w")).alias("w"), (-F.col("argb")).alias("t"))).alias("argb"))
 
 
 def align_to_grid(px: DataFrame, pitch: int | None = None, max_pitch: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -15,13 +15,14 @@ from atlasmill.runtime import attach_unique, bucketed_running_sum, cut_lineage,
 
 
 def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None = None,
-             stop: Column | None = None, stop_status: Column | None = None) -> DataFrame:
+             stop: Column | None = None, stop_status: Column | None = None, keep_path: bool = True) -> DataFrame:
     """Path from the top of every node's chain down to the node.
 
     Returns ``node, top, end_parent, depth, path, status``.  ``path`` holds
     structs of the node and the ``carry`` columns; ``end_parent`` is the parent
     value of the topmost node.  ``status`` is ``ok``, ``missing_parent``,
     ``cycle`` or what ``stop_status`` gives for nodes where ``stop`` holds.
+    Without ``keep_path`` only the depth is carried.
     """
     item = F.struct(F.col(node).alias("node"), *(carry or []))
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), item.alias("item"),
@@ -31,18 +32,23 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
     base = attach_unique(base, known, ["parent"], ["node"])
     state = base.select(
         "node", F.when(F.col("known") & ~F.col("stop"), F.col("parent")).alias("ptr"),
-        F.col("node").alias("top"), F.col("parent").alias("end_parent"), F.array("item").alias("path"),
+        F.col("node").alias("top"), F.col("parent").alias("end_parent"),
+        F.when(F.col("known") & ~F.col("stop"), 1).otherwise(0).alias("depth"),
+        F.array("item").alias("path") if keep_path else F.lit(None).cast("array<int>").alias("path"),
         F.when(F.col("stop"), F.col("stop_status")).when(F.col("parent").isNotNull() & F.col("known").isNull(),
                                                         F.lit("missing_parent")).otherwise(F.lit("ok")).alias("status"))
     state = cut_lineage(state)
     left = state.filter("ptr IS NOT NULL").count()
     while left:
         above = state.select(F.col("node").alias("ptr"), F.struct(
-            "ptr", "top", "end_parent", "path", "status").alias("up"))
+            "ptr", "top", "end_parent", "depth", "path", "status").alias("up"))
+        # A pointer that skipped n ancestors adds n to whatever lies above it.
         moving = attach_unique(state.filter("ptr IS NOT NULL"), above, ["ptr"], ["node"], "inner")
         moved = moving.select("node", F.col("up.ptr").alias("ptr"), F.col("up.top").alias("top"),
                               F.col("up.end_parent").alias("end_parent"),
-                              F.concat("up.path", "path").alias("path"), F.col("up.status").alias("status"))
+                              (F.col("up.depth") + F.col("depth")).alias("depth"),
+                              F.concat("up.path", "path").alias("path") if keep_path else "path",
+                              F.col("up.status").alias("status"))
         state = cut_lineage(state.filter("ptr IS NULL").unionByName(moved))
         now = state.filter("ptr IS NOT NULL").count()
         if now == left:
@@ -51,7 +57,7 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
     looped = F.col("ptr").isNotNull()
     return state.select(
         "node", F.when(~looped, F.col("top")).alias("top"), F.when(~looped, F.col("end_parent")).alias("end_parent"),
-        F.when(~looped, F.size("path") - 1).alias("depth"), F.when(~looped, F.col("path")).alias("path"),
+        F.when(~looped, F.col("depth")).alias("depth"), F.when(~looped, F.col("path")).alias("path"),
         F.when(looped, F.lit("cycle")).otherwise(F.col("status")).alias("status"))
 
 
@@ -61,7 +67,7 @@ def break_cycles(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     Only nodes left over by ``ancestry`` are followed, long enough to be surely
     on the cycle.
     """
-    stuck = ancestry(nodes, node, parent).filter("status = 'cycle'").select("node")
+    stuck = ancestry(nodes, node, parent, keep_path=False).filter("status = 'cycle'").select("node")
     ring = cut_lineage(nodes.select(F.col(node).alias("node"), F.col(parent).alias("ptr"))
                        .join(stuck, "node", "left_semi").withColumn("low", F.col("node")))
     hops, total = 1, ring.count()
@@ -210,7 +216,8 @@ def display_parents(gens: DataFrame, detached: DataFrame | None = None) -> DataF
 def branch_forest(gens: DataFrame, detached: DataFrame | None = None) -> DataFrame:
     """Display parent, root and depth of every result."""
     shown = cut_lineage(display_parents(gens, detached))
-    lines = ancestry(shown, "gen_id", "display_parent").select(F.col("node").alias("gen_id"), F.col("top").alias("root_id"), "depth")
+    lines = ancestry(shown, "gen_id", "display_parent", keep_path=False).select(
+        F.col("node").alias("gen_id"), F.col("top").alias("root_id"), "depth")
     return shown.join(lines, "gen_id")
 
 
@@ -314,7 +321,7 @@ def resolve_linked_cels(cels: DataFrame) -> DataFrame:
         F.struct("doc_id", "layer", "frame").alias("id"),
         F.when(F.col("linked_frame").isNotNull(), F.struct(
             "doc_id", "layer", F.col("linked_frame").alias("frame"))).alias("parent"))
-    lines = ancestry(nodes, "id", "parent")
+    lines = ancestry(nodes, "id", "parent", keep_path=False)
     return lines.select("node.doc_id", "node.layer", "node.frame", F.col("top.frame").alias("source_frame"),
                         F.col("depth").alias("hops"), F.when(F.col("status") == "missing_parent", "dangling")
                         .otherwise(F.col("status")).alias("status"))
@@ -322,7 +329,7 @@ def resolve_linked_cels(cels: DataFrame) -> DataFrame:
 
 def resolve_redirects(redirects: DataFrame, live: DataFrame) -> DataFrame:
     """Live path behind every redirect chain; dead and circular chains are dropped."""
-    ends = ancestry(redirects.filter("path <> target"), "path", "target").filter("end_parent IS NOT NULL").select(
+    ends = ancestry(redirects.filter("path <> target"), "path", "target", keep_path=False).filter("end_parent IS NOT NULL").select(
         F.col("node").alias("path"), F.col("end_parent").alias("target"))
     return attach_unique(ends, live.select(F.col("path").alias("target")).distinct().withColumn("live", F.lit(True)),
                          ["target"], ["path"], "inner").select("path", "target")

@@ -340,7 +340,7 @@ def dark_noise_candidates(px: DataFrame, lightness: float = 5.0, clearance: int
     gap = "sqrt(pow(k.n.lab_l - v.n.lab_l, 2) + pow(k.n.lab_a - v.n.lab_a, 2) + pow(k.n.lab_b - v.n.lab_b, 2))"
     support = f"aggregate(bright, 0E0, (t, v) -> t + v.w * GREATEST(0E0, 1E0 - {gap} / {c.num(max(tolerance, 1))}))"
     wide = wide.withColumn("best", F.expr(
-        f"array_max(transform(bright, (k, i) -> named_struct('s', round({support}, 9), 'o', -i, 'n', k.n))).n"))
+        f"array_max(transform(bright, (k, i) -> named_struct('s', {c.tie(support)}, 'o', -i, 'n', k.n))).n"))
     agree = "size(filter(bright, v -> sqrt(pow(best.lab_l - v.n.lab_l, 2) + pow(best.lab_a - v.n.lab_a, 2) " \
             f"+ pow(best.lab_b - v.n.lab_b, 2)) <= {c.num(tolerance)}))"
     wide = wide.filter(F.expr(f"best.lab_l - lab_l >= {c.num(min_gain)} AND {agree} >= {c.num(min_consensus)} * size(bright)"))

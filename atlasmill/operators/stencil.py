@@ -197,8 +197,8 @@ def sharpen(px: DataFrame, strength: int, threshold: int) -> DataFrame:
     base = base.withColumn("m", F.expr(
         "transform(filter(m, v -> v.dot > 0 AND v.dot * v.dot >= 6.4E-1 * w2 * v.len), "
         "v -> named_struct('part', LEAST(1E0, v.dot / v.len), 'r', v.r, 'g', v.g, 'b', v.b))"))
-    best = ("array_min(transform(m, (v, i) -> named_struct('d', round("
-            "pow(w_r - v.part * v.r, 2) + pow(w_g - v.part * v.g, 2) + pow(w_b - v.part * v.b, 2), 9), 'i', i, 'v', v)))")
+    rest = c.tie("pow(w_r - v.part * v.r, 2) + pow(w_g - v.part * v.g, 2) + pow(w_b - v.part * v.b, 2)")
+    best = f"array_min(transform(m, (v, i) -> named_struct('d', {rest}, 'i', i, 'v', v)))"
     base = base.withColumn("best", F.expr(best)).withColumn("moving", F.expr(
         f"a > 0 AND GREATEST(abs(d_r), abs(d_g), abs(d_b)) > {threshold} AND best IS NOT NULL"))
     return base.select("image_id", "x", "y", *[F.expr(
@@ -401,18 +401,18 @@ def _local_vote(px: DataFrame, original: DataFrame, keep: DataFrame | None, delt
                        F.expr("aggregate(s, 0E0, (t, v) -> t + v.w)").alias("total"),
                        F.expr("array_distinct(transform(s, v -> v.rgb))").alias("colors"))
     wide = wide.withColumn("weights", F.expr(
-        "transform(colors, (k, i) -> named_struct('w', round(aggregate(s, 0E0, "
-        "(t, v) -> t + CASE WHEN v.rgb = k THEN v.w ELSE 0E0 END), 9), 'own', CASE WHEN k = rgb THEN 1 ELSE 0 END, "
-        "'o', -i, 'rgb', k))"))
+        "transform(colors, (k, i) -> named_struct('w', "
+        + c.tie("aggregate(s, 0E0, (t, v) -> t + CASE WHEN v.rgb = k THEN v.w ELSE 0E0 END)")
+        + ", 'own', CASE WHEN k = rgb THEN 1 ELSE 0 END, 'o', -i, 'rgb', k))"))
     wide = wide.withColumn("top", F.expr("array_max(weights)"))
     mean = ", ".join(f"'{v}', aggregate(s, 0E0, (t, q) -> t + q.{v} * q.w) / total" for v in "lab")
     wide = wide.withColumn("mean", F.expr(f"named_struct({mean})"))
     cost = " + ".join(f"pow(v.{n} - mean.{n}, 2)" for n in "lab")
     wide = wide.withColumn("closest", F.expr(
-        f"array_min(transform(s, (v, i) -> named_struct('d', round({cost}, 9), "
+        f"array_min(transform(s, (v, i) -> named_struct('d', {c.tie(cost)}, "
         "'own', CASE WHEN v.rgb = rgb THEN 0 ELSE 1 END, 'o', i, 'rgb', v.rgb)))"))
-    chosen = F.expr("CASE WHEN a = 0 OR size(colors) < 2 THEN NULL WHEN top.w >= round(total * 5E-1, 9) THEN top.rgb "
-                    "ELSE closest.rgb END")
+    chosen = F.expr("CASE WHEN a = 0 OR size(colors) < 2 THEN NULL "
+                    f"WHEN top.w >= {c.tie('total * 5E-1')} THEN top.rgb ELSE closest.rgb END")
     if keep is not None:
         wide = wide.join(keep, ["image_id", "x", "y"], "left")
         chosen = F.when(F.col("keep").isNull(), chosen)
