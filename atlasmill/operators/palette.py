@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
+from atlasmill.functions.lab import add_lab
 from atlasmill.functions.palettes import MAX_PALETTE, custom_palette
 from atlasmill.operators.pixels import PIXEL, color_histogram, round_colors, scan_order, visible, with_rgb
 from atlasmill.runtime import attach_per_image, attach_unique, bucketed_row_number, cut_lineage, require
@@ -88,8 +89,7 @@ def apply_color_map(px: DataFrame, color_map: DataFrame) -> DataFrame:
 
 
 def with_lab(colors: DataFrame) -> DataFrame:
-    lab = c.rgb_to_lab(*c.unpack_rgb("rgb"))
-    return colors.select("*", *[F.expr(e).alias(f"lab_{n}") for n, e in zip("lab", lab)])
+    return add_lab(colors, c.unpack_rgb("rgb"))
 
 
 def color_table(px: DataFrame) -> DataFrame:

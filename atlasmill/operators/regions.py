@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
+from atlasmill.functions.lab import add_lab
 from atlasmill.operators.palette import set_rgb
 from atlasmill.operators.pixels import PIXEL, background_delta, image_sizes, near_background, with_background, with_rgb, with_sizes
 from atlasmill.operators.stencil import RING, cell, gather
@@ -97,7 +98,7 @@ def connected_components(px: DataFrame, key: str, connectivity: int = 4, tile: i
     features = ["key"]
     if max_distance is not None:
         require(max_distance >= 0, "distance must not be negative")
-        keyed = keyed.select("*", *[F.expr(e).alias(f"lab_{n}") for n, e in zip("lab", c.rgb_to_lab())])
+        keyed = add_lab(keyed)
         features += ["lab_l", "lab_a", "lab_b"]
     placed = keyed.select("image_id", "x", "y", *features, F.floor(F.col("x") / tile).cast("int").alias("tx"),
                           F.floor(F.col("y") / tile).cast("int").alias("ty"))
@@ -202,10 +203,8 @@ def structure_probe(px: DataFrame, similar: float = 0.0, max_size: int = 12, min
     best = votes.groupBy("image_id", "component").agg(
         F.max_by("n_rgb", F.struct("votes", (-F.col("n_rgb")).alias("t"))).alias("best"),
         F.max("votes").alias("top"), F.sum("votes").alias("boundary"))
-    aim = best.select("image_id", "component", *[F.expr(e).alias(f"t_{n}") for n, e in zip(
-        "lab", c.rgb_to_lab(*c.unpack_rgb("best")))])
-    own = members.select("image_id", "component", *[F.expr(e).alias(f"lab_{n}") for n, e in zip(
-        "lab", c.rgb_to_lab(*c.unpack_rgb("rgb")))])
+    aim = add_lab(best.select("image_id", "component", "best"), c.unpack_rgb("best"), "t_")
+    own = add_lab(members.select("image_id", "component", "rgb"), c.unpack_rgb("rgb"))
     delta = F.expr(c.distance(("lab_l", "lab_a", "lab_b"), ("t_l", "t_a", "t_b")))
     distances = own.join(aim, ["image_id", "component"]).groupBy("image_id", "component").agg(F.avg(delta).alias("distance"))
     report = small.join(best, ["image_id", "component"]).join(distances, ["image_id", "component"]).join(
@@ -325,8 +324,7 @@ def dark_noise_candidates(px: DataFrame, lightness: float = 5.0, clearance: int
     Only the first rule: clear of transparency, few dark neighbours, at least
     five bright ones that mostly agree, and enough lightness to gain.
     """
-    lab = dict(zip(("lab_l", "lab_a", "lab_b"), c.rgb_to_lab()))
-    marked = px.select("*", *[F.expr(e).alias(n) for n, e in lab.items()], F.expr(c.pack_rgb()).alias("rgb"))
+    marked = add_lab(px).withColumn("rgb", F.expr(c.pack_rgb()))
     marked = marked.withColumn("dark", F.expr(f"a > 0 AND lab_l < {c.num(lightness)}"))
     wide = gather(marked, ["a", "rgb", "dark", "lab_l", "lab_a", "lab_b"]).filter("dark")
     full = F.lit(True)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
+from atlasmill.functions.lab import add_lab
 from atlasmill.operators.pixels import PIXEL
 from atlasmill.runtime import cut_lineage, require
 
@@ -254,7 +255,7 @@ def clean_grid_singletons(px: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 
 def _lab_columns(px: DataFrame) -> DataFrame:
-    return px.select("*", *[F.expr(e).alias(f"lab_{n}") for n, e in zip("lab", c.rgb_to_lab())])
+    return add_lab(px)
 
 
 def contour_gradient(px: DataFrame) -> DataFrame:
@@ -598,7 +599,7 @@ def local_consensus(px: DataFrame, tolerance: float = 12.0, strength: float = 0.
     margin = max(0.0001, cap * 0.002 * (1 - strength))
     return wide.filter(F.expr(f"best.cost < base - {c.num(margin)}")).select(
         "image_id", "x", "y", "rgb", F.col("best.rgb").alias("new_rgb"),
-        F.round(F.expr("base - best.cost"), 6).alias("gain"))
+        F.expr("base - best.cost").alias("gain"))
 
 
 def apply_consensus(px: DataFrame, tolerance: float = 12.0, strength: float = 0.5) -> DataFrame:

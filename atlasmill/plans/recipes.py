@@ -49,6 +49,7 @@ class Operation:
     allowed: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
     rules: dict[str, str] = field(default_factory=dict)
+    one_pass: bool = False  # reads its input once, so it can stay fused with the step before
 
 
 @dataclass
@@ -183,18 +184,18 @@ OPERATIONS: dict[str, Operation] = {
     "grid.reduce": Operation(_reduce, ("cellSize", "usePreviousAlignment"), (), {
         "cell size is required": "coalesce(usePreviousAlignment, false) OR cellSize IS NOT NULL", **_CELL,
         "needs an earlier alignment": "NOT coalesce(usePreviousAlignment, false) OR has_alignment"}),
-    "filter.monochrome": Operation(lambda px, s, state: pixels.monochrome(px)),
+    "filter.monochrome": Operation(lambda px, s, state: pixels.monochrome(px), one_pass=True),
     "filter.sharpen": Operation(lambda px, s, state: stencil.sharpen(px, s["sharpen"]["strength"], s["sharpen"]["threshold"]),
                                 ("sharpen",), ("sharpen",), {"sharpen strength must be 0..200 and threshold 0..64":
-                                                             "sharpen.strength BETWEEN 0 AND 200 AND sharpen.threshold BETWEEN 0 AND 64"}),
+                                                             "sharpen.strength BETWEEN 0 AND 200 AND sharpen.threshold BETWEEN 0 AND 64"}, one_pass=True),
     "filter.ascii": Operation(_ascii, ("ascii",), ("ascii",), {
         "characters must be one non-empty line": "length(ascii.characters) > 0 AND NOT ascii.characters RLIKE '[\\\\r\\\\n]'",
         "columns must be 1..512": "ascii.columns BETWEEN 1 AND 512"}),
     "color.replace": Operation(lambda px, s, state: pixels.replace_color(px, s["colorReplacement"]["source"], s["colorReplacement"]["target"]),
-                               ("colorReplacement",), ("colorReplacement",)),
+                               ("colorReplacement",), ("colorReplacement",), one_pass=True),
     "color.channel.adjust": Operation(_channel, ("channelAdjustment",), ("channelAdjustment",), {
         "unknown channel": "upper(channelAdjustment.channel) IN ('R', 'G', 'B', 'A')",
-        "amount out of range": "channelAdjustment.amount BETWEEN 0 AND CASE lower(channelAdjustment.mode) WHEN 'percent' THEN 100 ELSE 255 END"}),
+        "amount out of range": "channelAdjustment.amount BETWEEN 0 AND CASE lower(channelAdjustment.mode) WHEN 'percent' THEN 100 ELSE 255 END"}, one_pass=True),
     "background.remove": Operation(_background, ("background",), ("background",), {
         "background tolerance must be 0..100": _between("background.tolerance", 0, 100),
         "unsupported background mode": "coalesce(lower(background.mode), 'global') IN ('global', 'edges')"}),
@@ -211,11 +212,11 @@ OPERATIONS: dict[str, Operation] = {
 
 
 def register_operation(name: str, run: Callable[[DataFrame, dict, State], DataFrame], rules: dict[str, str] | None = None,
-                       allowed: tuple[str, ...] = (), required: tuple[str, ...] = ()) -> None:
+                       allowed: tuple[str, ...] = (), required: tuple[str, ...] = (), one_pass: bool = False) -> None:
     """Add a recipe step; it is validated and replayed like the built-in ones."""
     require(bool(name) and name not in OPERATIONS, f"operation {name!r} already exists")
     require(set(allowed) | set(required) <= set(BLOCKS), "unknown option block")
-    OPERATIONS[name] = Operation(run, tuple(allowed), tuple(required), dict(rules or {}))
+    OPERATIONS[name] = Operation(run, tuple(allowed), tuple(required), dict(rules or {}), one_pass)
 
 
 # --- tables of recipes -----------------------------------------------------------------
@@ -318,12 +319,24 @@ def check_steps(spark: SparkSession, steps: list[dict]) -> None:
         require(step["operationId"] != "filter.ascii", "text output must be the last step")
 
 
-def replay(px: DataFrame, steps: list[dict]):
-    """Yield the frame and the aligned cells after every step."""
+def replay(px: DataFrame, steps: list[dict], store_all: bool = False):
+    """Yield the frame and the aligned cells after every step.
+
+    A step that reads its input more than once (sizes, then pixels) gets it as a
+    written table unless it is one already; otherwise every such step would
+    double the work of all steps before it.  One-pass steps stay fused.
+    """
     check_steps(px.sparkSession, steps)
-    state = State()
+    state, stored = State(), True
     for step in steps:
-        px = OPERATIONS[step["operationId"]].run(px, step, state)
+        op = OPERATIONS[step["operationId"]]
+        simple = op.one_pass or (step["operationId"] == "image.colors" and "connectedPalette" not in step
+                                 and (step["downscale"].get("independentColorMode") or "").lower() == "palette")
+        if not (stored or simple):
+            px, stored = cut_lineage(px), True
+        px, stored = op.run(px, step, state), False
+        if store_all and step["operationId"] != "filter.ascii":
+            px, stored = cut_lineage(px), True
         yield step, px, state.cells
 
 
@@ -338,7 +351,7 @@ def apply_recipe(px: DataFrame, steps: list[dict]) -> DataFrame:
 def step_report(px: DataFrame, steps: list[dict]) -> DataFrame:
     """Size, colour count and aligned cell of every image after every step."""
     report = None
-    for index, (step, out, cells) in enumerate(replay(px, steps), 1):
+    for index, (step, out, cells) in enumerate(replay(px, steps, store_all=True), 1):
         part = out.groupBy("image_id").agg(
             (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"),
             F.countDistinct(F.when(F.col("a") > 0, F.expr("r * 65536 + g * 256 + b"))).alias("n_colors"))

@@ -51,13 +51,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read on from there.
+    """Write ``df`` to the shared folder and read on from there.
 
-    Used once per round of an iterative operator: the next round starts from
-    files that survive the loss of an executor.
+    Used once per round of an iterative operator.  The next round starts from
+    files that survive the loss of an executor, is computed only once, and has
+    a known size, so Spark can decide on its own whether a side is small enough
+    to broadcast.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = work_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def attach_per_image(rows: DataFrame, per_image: DataFrame, how: str = "inner",

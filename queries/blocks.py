@@ -6,7 +6,7 @@ from atlasmill.functions import palettes
 from atlasmill.operators import blocks as b
 from queries import sqlmath as m
 from queries.base import Area
-from queries.colors import nearest_sql, remap_sql
+from queries.colors import kmeans_sql, nearest_sql, quantize_sql, remap_sql
 from queries.pixels import ARGB, SIZES
 from queries.stencils import EDGE, SPRITE
 
@@ -72,7 +72,7 @@ add("scale_down_crop", lambda v: b.scale_down(v.px(), 12, 10, False), f"""
 add("sprite_downscale", lambda v: b.sprite_downscale(v.px8(), 9, 7, palettes.DB16), f"""
     WITH {SPRITE.format(lum=m.lum(), view='px8')}, {overlaps('px8', 9, 7, 'SELECT image_id, x, y, r, g, b, a, edge FROM ge')}, {AUTO}, {covered('CAST(0.5 AS DOUBLE)')},
     {nearest_sql('sm', palettes.DB16)} {remap_sql('sm')}""")
-PROFILE = f"""s0 AS ({SIZES.format(v='px8')}), cr AS MATERIALIZED (SELECT p.image_id, CAST(x - (width%12)//2 AS INT) AS x, CAST(y - (height%10)//2 AS INT) AS y, r, g, b, a FROM px8 p JOIN s0 USING (image_id)
+PROFILE = f"""sz0 AS ({SIZES.format(v='px8')}), cr AS MATERIALIZED (SELECT p.image_id, CAST(x - (width%12)//2 AS INT) AS x, CAST(y - (height%10)//2 AS INT) AS y, r, g, b, a FROM px8 p JOIN sz0 USING (image_id)
       WHERE x >= (width%12)//2 AND x < (width%12)//2 + width - width%12 AND y >= (height%10)//2 AND y < (height%10)//2 + height - height%10),
     {EDGE.format(lum=m.lum(), view='cr')}, {overlaps('cr', 12, 10, 'SELECT image_id, x, y, r, g, b, a, edge FROM ge')}, {AUTO},
     bl AS (SELECT image_id, bx, byy, count(*) AS k, count(*) FILTER (a > 0) AS shown FROM cl GROUP BY 1, 2, 3),
@@ -84,7 +84,12 @@ add("profile_downscale_dominant", lambda v: b.profile_downscale(v.px8(), 12, 10,
     WITH {PROFILE}, {nearest_sql('sm', palettes.NES)}, fin AS ({remap_sql('sm')}),
     h AS (SELECT image_id, {ARGB} AS argb, count(*) AS n FROM fin WHERE a > 0 GROUP BY 1, 2)
     SELECT image_id, arg_max(argb, (n, -(CASE WHEN argb >= 2147483648 THEN argb - 4294967296 ELSE argb END))) AS argb, max(n) AS n FROM h GROUP BY image_id""")
-add("profile_downscale_quantized", lambda v: b.profile_downscale(v.px(), 12, 10, None, 3)[0])
+add("profile_downscale_quantized", lambda v: b.profile_downscale(v.px8(), 12, 10, None, 3)[0], "WITH " + PROFILE.split(", " + "e AS")[0].split(",\n    e AS")[0] + ", "
+    + kmeans_sql("cr", 3, "lab", False) + "," + quantize_sql("cr", "k5") + ", " + EDGE.format(lum=m.lum(), view="qz") + ", "
+    + overlaps("qz", 12, 10, "SELECT image_id, x, y, r, g, b, a, edge FROM ge") + ", " + AUTO + """,
+    bl AS (SELECT image_id, bx, byy, count(*) AS k, count(*) FILTER (a > 0) AS shown FROM cl GROUP BY 1, 2, 3),
+    o AS (SELECT bl.image_id, bl.bx, bl.byy, CASE WHEN shown*2 >= k THEN argb END AS argb FROM bl LEFT JOIN pk USING (image_id, bx, byy))
+    SELECT image_id, CAST(bx AS INT) AS x, CAST(byy AS INT) AS y, """ + UN + " FROM o /* FROM px8 */")
 
 
 def finalist(view, phase, zero, factor, tag):

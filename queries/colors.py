@@ -99,20 +99,20 @@ add("fixed_palettes", lambda v: v.px().select("r", "g", "b").distinct().select(
         for n, colors in palettes.FIXED.items()) + " FROM c")
 
 
-def nearest_sql(view: str, colors) -> str:
+def nearest_sql(view: str, colors, tag: str = "") -> str:
     """Snap visible pixels of a view to a palette."""
     return f"""
-    pe AS (SELECT col0 AS idx, col1 AS prgb, {', '.join(f'{e} AS p{n}' for n, e in zip('lab', m.lab_of('col1')))} FROM {m.values(colors)}),
-    ucl AS (SELECT DISTINCT {RGB} AS rgb FROM {view} WHERE a > 0),
-    ce AS (SELECT rgb, {', '.join(f'{e} AS c{n}' for n, e in zip("lab", m.lab_of("rgb")))} FROM ucl),
-    nm AS (SELECT rgb, arg_min(prgb, (round({m.d2(('cl', 'ca', 'cb'), ('pl', 'pa', 'pb'))}, 9), idx)) AS new_rgb FROM ce CROSS JOIN pe GROUP BY rgb)"""
+    pe{tag} AS (SELECT col0 AS idx, col1 AS prgb, {', '.join(f'{e} AS p{n}' for n, e in zip('lab', m.lab_of('col1')))} FROM {m.values(colors)}),
+    ucl{tag} AS (SELECT DISTINCT {RGB} AS rgb FROM {view} WHERE a > 0),
+    ce{tag} AS (SELECT rgb, {', '.join(f'{e} AS c{n}' for n, e in zip("lab", m.lab_of("rgb")))} FROM ucl{tag}),
+    nm{tag} AS (SELECT rgb, arg_min(prgb, (round({m.d2(('cl', 'ca', 'cb'), ('pl', 'pa', 'pb'))}, 9), idx)) AS new_rgb FROM ce{tag} CROSS JOIN pe{tag} GROUP BY rgb)"""
 
 
-def remap_sql(view: str, key: str = "rgb") -> str:
-    on = f"nm.rgb = {RGB}" + (" AND nm.image_id = p.image_id" if key == "image" else "")
+def remap_sql(view: str, key: str = "rgb", nm: str = "nm") -> str:
+    on = f"{nm}.rgb = {RGB}" + (f" AND {nm}.image_id = p.image_id" if key == "image" else "")
     return f"""SELECT p.image_id, x, y, CAST(CASE WHEN a > 0 AND new_rgb IS NOT NULL THEN new_rgb//65536 ELSE r END AS INT) AS r,
       CAST(CASE WHEN a > 0 AND new_rgb IS NOT NULL THEN (new_rgb//256)%256 ELSE g END AS INT) AS g,
-      CAST(CASE WHEN a > 0 AND new_rgb IS NOT NULL THEN new_rgb%256 ELSE b END AS INT) AS b, a FROM {view} p LEFT JOIN nm ON {on}"""
+      CAST(CASE WHEN a > 0 AND new_rgb IS NOT NULL THEN new_rgb%256 ELSE b END AS INT) AS b, a FROM {view} p LEFT JOIN {nm} ON {on}"""
 
 
 add("nearest_palette", lambda v: pal.nearest_palette(v.px8(), palettes.fixed_palette("db32")),
@@ -126,7 +126,6 @@ add("apply_color_map", lambda v: pal.apply_color_map(
     {remap_sql('pxl', 'image')}""")
 add("apply_colors_palette", lambda v: pal.apply_colors(v.px8(), "palette", palettes.fixed_palette("gameboy")),
     f"WITH {nearest_sql('px8', palettes.GAMEBOY)} {remap_sql('px8')}")
-add("apply_colors_combined", lambda v: pal.apply_colors(v.pxl(), "combined", palettes.fixed_palette("nes"), k=8))
 
 CT = f"""ct AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in zip(('cl', 'ca', 'cb'), m.lab_of('rgb')))} FROM
       (SELECT image_id, {RGB} AS rgb, count(*) AS n, min(y*100000 + x) AS seen FROM {{v}} WHERE a > 0 GROUP BY 1, 2))"""
@@ -165,9 +164,18 @@ def palette_rows(last: str) -> str:
 add("kmeans_palette_lab", lambda v: pal.kmeans_palette(v.px8(), 4), "WITH " + kmeans_sql("px8", 4, "lab", False) + palette_rows("k5"))
 add("kmeans_palette_linear", lambda v: pal.kmeans_palette(v.pxl(), 5, "linear", True),
     "WITH " + kmeans_sql("pxl", 5, "linear", True) + palette_rows("k5"))
-add("quantize_kmeans", lambda v: pal.quantize(v.px8(), 4), "WITH " + kmeans_sql("px8", 4, "lab", False) + f""",
-    nm AS (SELECT image_id, rgb, new_rgb FROM (SELECT ct.image_id, ct.rgb, arg_min(e.rgb, (round({m.d2(('cl', 'ca', 'cb'), m.lab_of('e.rgb'))}, 9), e.idx)) AS new_rgb
-      FROM ct JOIN k5 e ON ct.image_id = e.image_id GROUP BY 1, 2)) """ + remap_sql("px8", "image"))
+
+
+def quantize_sql(view: str, last: str) -> str:
+    """Frame ``qz``: every colour replaced by the nearest palette entry of its image."""
+    return f"""
+    nq AS (SELECT ct.image_id, ct.rgb, arg_min(e.rgb, (round({m.d2(('cl', 'ca', 'cb'), m.lab_of('e.rgb'))}, 9), e.idx)) AS new_rgb
+      FROM ct JOIN {last} e ON ct.image_id = e.image_id GROUP BY 1, 2), qz AS MATERIALIZED ({remap_sql(view, "image", "nq")})"""
+
+
+add("quantize_kmeans", lambda v: pal.quantize(v.px8(), 4), "WITH " + kmeans_sql("px8", 4, "lab", False) + "," + quantize_sql("px8", "k5") + " SELECT * FROM qz")
+add("apply_colors_combined", lambda v: pal.apply_colors(v.pxl(), "combined", palettes.fixed_palette("nes"), k=8),
+    "WITH " + kmeans_sql("pxl", 8, "lab", False) + "," + quantize_sql("pxl", "k5") + "," + nearest_sql("qz", palettes.NES) + " " + remap_sql("qz"))
 
 
 def median_sql(view: str, k: int, weighted: bool) -> str:
@@ -203,7 +211,9 @@ add("weighted_split", lambda v: pal.weighted_split(
     WITH {CT.format(v='pxl')}, r AS (SELECT *, ROW_NUMBER() OVER o AS rank, sum(n) OVER o AS cum, sum(n) OVER (PARTITION BY image_id) AS total,
       count(*) OVER (PARTITION BY image_id) AS size FROM ct WINDOW o AS (PARTITION BY image_id ORDER BY rgb//65536, rgb))
     SELECT image_id, any_value(size) AS size, arg_min(rank, (abs(total - 2*cum), rank)) FILTER (rank < size) AS split FROM r GROUP BY image_id""")
-add("quantize_median_cut", lambda v: pal.quantize(v.pxl(), 3, "median_cut"))
+add("quantize_median_cut", lambda v: pal.quantize(v.pxl(), 3, "median_cut"),
+    median_sql("pxl", 3, False).replace(" SELECT image_id, CAST(min(box) AS INT) AS idx, rgb FROM sn GROUP BY image_id, rgb",
+    ", pl AS (SELECT image_id, min(box) AS idx, rgb FROM sn GROUP BY image_id, rgb)," + quantize_sql("pxl", "pl") + " SELECT * FROM qz"))
 add("linear_average", lambda v: pal.linear_average(v.px8()), f"""
     WITH {CT.format(v='px8')}, l AS (SELECT image_id, {_from_linear('m0', 'm1', 'm2')} AS average FROM (SELECT image_id,
       {', '.join(f'avg({e}) AS m{j}' for j, e in enumerate(_LINS))} FROM ct GROUP BY 1))

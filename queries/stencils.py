@@ -204,10 +204,10 @@ def consensus_sql(view, tol, strength):
     co AS (SELECT c.image_id, c.x, c.y, k, round(any_value(anchor)*any_value(own) + sum(w*least({m.d2(('kl', 'ka', 'kb'), ('n_cl', 'n_ca', 'n_cb'))}, {cap})), 9) AS cost, any_value(base) AS base, any_value(rgb) AS rgb
       FROM cd c JOIN tt t ON c.image_id = t.image_id AND c.x = t.x AND c.y = t.y JOIN rg n ON n.image_id = c.image_id AND n.x = c.x AND n.y = c.y GROUP BY 1, 2, 3, 4),
     bb AS (SELECT image_id, x, y, any_value(rgb) AS rgb, arg_min(k, (cost, k)) AS new_rgb, min(cost) AS cost, any_value(base) AS base FROM co GROUP BY 1, 2, 3)
-    SELECT image_id, x, y, rgb, new_rgb, {m.r6('base - cost', 'gain')} FROM bb WHERE cost < base - {m.n(margin)}"""
+    SELECT image_id, x, y, rgb, new_rgb, {m.r6('base - cost', 'gain', 3)} FROM bb WHERE cost < base - {m.n(margin)}"""
 
 
-add("local_consensus", lambda v: s.local_consensus(v.px8(), 40.0, 0.8), "WITH " + consensus_sql("px8", 40.0, 0.8))
+add("local_consensus", lambda v: rounded(s.local_consensus(v.px8(), 40.0, 0.8), 3), "WITH " + consensus_sql("px8", 40.0, 0.8))
 add("patch_pattern_counts", lambda v: s.patch_pattern_counts(v.pxd(), 1, 60.0), f"""
     WITH bs AS MATERIALIZED (SELECT *, CASE WHEN a = 0 THEN '0' WHEN {m.lab()[0]} < 60 THEN '1' ELSE '2' END AS k FROM pxd), {ring(1, ('k',))},
     p AS (SELECT image_id, x, y, any_value(k) AS k, any_value(a) AS a, string_agg(n_k, '' ORDER BY dy, dx) AS pattern FROM nb GROUP BY 1, 2, 3 HAVING count(*) = 8)
