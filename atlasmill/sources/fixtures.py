@@ -111,21 +111,21 @@ class Views:
             "CONCAT('/Game/', REPLACE(regexp_replace(clean, '^https?://', ''), '.', '_'), '.', "
             "regexp_extract(clean, '([^/]+)$', 1)) AS path")
 
+    _OBJECT = "CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id{})"
+
     def sync(self) -> DataFrame:
-        base = self.links().filter("project_id = 0")
-        path = "CONCAT('/Game/F', folder_id, '/T', asset_id{})"
+        """Local and remote listing of all linked assets; each side lacks some and some moved."""
+        base = self.links()
         local = base.filter("asset_id % 3 <> 0").selectExpr(
-            "'local' AS side", path.format("") + " AS path", "asset_id AS revision")
+            "'local' AS side", self._OBJECT.format("") + " AS path", "asset_id AS revision")
+        moved = ", CASE WHEN asset_id % 4 = 1 THEN '_moved' ELSE '' END"
         remote = base.filter("asset_id % 5 <> 2").selectExpr(
-            "'remote' AS side",
-            path.format(", CASE WHEN asset_id % 4 = 1 THEN '_moved' ELSE '' END") + " AS path",
-            "asset_id + asset_id % 2 AS revision")
+            "'remote' AS side", self._OBJECT.format(moved) + " AS path", "asset_id + asset_id % 2 AS revision")
         return local.unionByName(remote)
 
     def redirects(self) -> DataFrame:
-        return self.links().filter("project_id = 0 AND asset_id % 4 = 1").selectExpr(
-            "CONCAT('/Game/F', folder_id, '/T', asset_id) AS path",
-            "CONCAT('/Game/F', folder_id, '/T', asset_id, '_moved') AS target")
+        return self.links().filter("asset_id % 4 = 1").selectExpr(
+            self._OBJECT.format("") + " AS path", self._OBJECT.format(", '_moved'") + " AS target")
 
     def transfers(self) -> DataFrame:
         return self.table("documents").join(self.table("labels"), "doc_id").selectExpr(

@@ -114,7 +114,7 @@ _CANON = f"CASE WHEN a = 0 THEN 0 ELSE {ARGB} END"
 add("grid_is_aligned", lambda v: b.grid_is_aligned(v.px(), 2), f"""
     WITH c AS (SELECT image_id, x//2 AS cx, y//2 AS cy, count(DISTINCT {_CANON}) AS k FROM px GROUP BY 1, 2, 3)
     SELECT image_id, bool_and(k = 1) AS aligned, count(*) FILTER (k > 1) AS mixed_cells FROM c GROUP BY image_id""")
-add("grid_reduce", lambda v: b.grid_reduce(b.resample_nearest(v.px(), 128, 128), 2).filter("x >= 0"), f"""
+add("grid_reduce", lambda v: b.grid_reduce(b.resample_nearest(v.px(), 128, 128), 2), f"""
     WITH s AS ({SIZES.format(v='px')}), g AS (SELECT image_id, tx, ty, (tx*width)//128 AS x, (ty*height)//128 AS y FROM s, (SELECT unnest(range(128)) AS tx), (SELECT unnest(range(128)) AS ty)),
     u AS MATERIALIZED (SELECT g.image_id, tx, ty, r, px.g, b, a, tx//2 AS cx, ty//2 AS cy FROM g JOIN px ON px.image_id = g.image_id AND px.x = g.x AND px.y = g.y),
     c AS (SELECT image_id, cx, cy, count(DISTINCT {_CANON}) AS k, arg_min({{'r': r, 'g': g, 'b': b, 'a': a}}, ty*100000 + tx) AS p FROM u GROUP BY 1, 2, 3)

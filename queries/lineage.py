@@ -53,7 +53,7 @@ SNAP = "CASE WHEN gen_id % 11 = 0 THEN {a}'saved', operation_id{z} END AS snapsh
 
 def history(v):
     """The history plus a cycle, a branch into it and a missing parent."""
-    bad = v.table("region").filter("r_regionkey = 0").select(F.inline(F.array(*[F.struct(
+    bad = v.table("region").agg(F.count("*")).select(F.inline(F.array(*[F.struct(
         F.lit(s).cast("bigint").alias("source_id"), F.lit(i).cast("bigint").alias("gen_id"), F.lit(p).cast("bigint").alias("parent_id"))
         for s, i, p in BAD]))).selectExpr("*", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at", "'image.resize' AS operation_id")
     gens = v.gens()

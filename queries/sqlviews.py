@@ -60,15 +60,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1)) AS path FROM pages"""),
     "sync": (("links",), """
       SELECT side, path, revision FROM (
-        SELECT 'local' AS side, CONCAT('/Game/F', folder_id, '/T', asset_id) AS path, asset_id AS revision
-        FROM links WHERE project_id = 0 AND asset_id % 3 <> 0
+        SELECT 'local' AS side, CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id) AS path, asset_id AS revision
+        FROM links WHERE asset_id % 3 <> 0
         UNION ALL
-        SELECT 'remote', CONCAT('/Game/F', folder_id, '/T', asset_id, CASE WHEN asset_id % 4 = 1 THEN '_moved' ELSE '' END),
-          asset_id + asset_id % 2 FROM links WHERE project_id = 0 AND asset_id % 5 <> 2) u"""),
+        SELECT 'remote', CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id, CASE WHEN asset_id % 4 = 1 THEN '_moved' ELSE '' END),
+          asset_id + asset_id % 2 FROM links WHERE asset_id % 5 <> 2) u"""),
     "redirects": (("links",), """
-      SELECT CONCAT('/Game/F', folder_id, '/T', asset_id) AS path,
-        CONCAT('/Game/F', folder_id, '/T', asset_id, '_moved') AS target
-      FROM links WHERE project_id = 0 AND asset_id % 4 = 1"""),
+      SELECT CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id) AS path,
+        CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id, '_moved') AS target
+      FROM links WHERE asset_id % 4 = 1"""),
     "transfers": ((), """
       SELECT d.doc_id, d.text AS payload, l.quality AS announced, l.toxic AS received
       FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
