@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.runtime import attach_unique, bucketed_running_sum, cut_lineage, require
+from atlasmill.runtime import attach_unique, attach_unique_counted, bucketed_running_sum, cut_lineage, require
 
 
 def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None = None,
@@ -43,7 +43,7 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
         above = state.select(F.col("node").alias("ptr"), F.struct(
             "ptr", "top", "end_parent", "depth", "path", "status").alias("up"))
         # A pointer that skipped n ancestors adds n to whatever lies above it.
-        moving = attach_unique(state.filter("ptr IS NOT NULL"), above, ["ptr"], ["node"], "inner")
+        moving = attach_unique_counted(state.filter("ptr IS NOT NULL"), above, ["ptr"], ["node"])
         moved = moving.select("node", F.col("up.ptr").alias("ptr"), F.col("up.top").alias("top"),
                               F.col("up.end_parent").alias("end_parent"),
                               (F.col("up.depth") + F.col("depth")).alias("depth"),

@@ -40,33 +40,31 @@ def gather(px: DataFrame, cols: list[str], radius: int = 1,
         offsets = [(dx, dy) for dy in span for dx in span if (dx, dy) != (0, 0)]
     rows = sorted({dy for _, dy in offsets} | {0})
     sent = px.select("image_id", "x", F.explode(F.array(*[F.lit(dy) for dy in rows])).alias("_dy"),
-                     "y", F.struct(*px.columns).alias("_p"))
-    # A pixel at y is the neighbour "dy" of the row y - dy.
-    sent = sent.select("image_id", "x", (F.col("y") - F.col("_dy")).alias("_row"), "_dy", "_p")
-    columns = sent.repartition("image_id", "_row").groupBy("image_id", "_row", "x").agg(*[
-        F.first(F.when(F.col("_dy") == dy, F.col("_p")), ignorenulls=True).alias(f"_v{i}")
-        for i, dy in enumerate(rows)])
+                     "y", F.struct(*cols).alias("_p"), F.struct(*px.columns).alias("_c"))
+    # A pixel at y is the neighbour "dy" of the row y - dy; the whole row is only kept for dy = 0.
+    sent = sent.select("image_id", "x", (F.col("y") - F.col("_dy")).alias("_row"), "_dy", "_p",
+                       F.when(F.col("_dy") == 0, F.col("_c")).alias("_c"))
+    columns = sent.repartition("image_id", "_row").groupBy("image_id", "_row", "x").agg(
+        F.first("_c", ignorenulls=True).alias("_here"), *[
+            F.first(F.when(F.col("_dy") == dy, F.col("_p")), ignorenulls=True).alias(f"_v{i}")
+            for i, dy in enumerate(rows)])
     along = Window.partitionBy("image_id", "_row").orderBy("x")
     by_row = {dy: i for i, dy in enumerate(rows)}
     packed = F.struct("x", *[f"_v{i}" for i in range(len(rows))])
-    wanted = sorted({dx for dx, _ in offsets} - {0})
-    shifted = columns
-    for dx in wanted:
-        step = F.lag if dx < 0 else F.lead
-        # Gaps make a position come earlier in the row, never later.
-        tries = [step(packed, k).over(along) for k in range(1, abs(dx) + 1)]
-        for k, t in enumerate(tries):
-            shifted = shifted.withColumn(f"_t{k}", t)
-        hits = [F.when(F.col(f"_t{k}.x") == F.col("x") + dx, F.col(f"_t{k}")) for k in range(len(tries))]
-        shifted = shifted.withColumn(f"_h_{'m' if dx < 0 else 'p'}{abs(dx)}", F.coalesce(*hits)).drop(
-            *[f"_t{k}" for k in range(len(tries))])
-    here = f"_v{by_row[0]}"
-    out = [F.col(f"{here}.{n}").alias(n) for n in px.columns]
+    reach = {-1: max([-dx for dx, _ in offsets if dx < 0], default=0), 1: max([dx for dx, _ in offsets if dx > 0], default=0)}
+    near = columns.select("*", *[
+        (F.lag if side < 0 else F.lead)(packed, k).over(along).alias(f"_t{'m' if side < 0 else 'p'}{k}")
+        for side, far in reach.items() for k in range(1, far + 1)])
+    # Gaps make a position come earlier in the row, never later.
+    shifted = near.select("_here", *[f"_v{i}" for i in range(len(rows))], *[
+        F.coalesce(*[F.when(F.col(f"_t{s}{k}.x") == F.col("x") + dx, F.col(f"_t{s}{k}")) for k in range(1, abs(dx) + 1)])
+        .alias(f"_h_{s}{abs(dx)}")
+        for dx in sorted({dx for dx, _ in offsets} - {0}) for s in ("m" if dx < 0 else "p",)])
+    out = [F.col(f"_here.{n}").alias(n) for n in px.columns]
     for dx, dy in offsets:
         base = f"_v{by_row[dy]}" if dx == 0 else f"_h_{'m' if dx < 0 else 'p'}{abs(dx)}._v{by_row[dy]}"
-        value = F.struct(*[F.col(f"{base}.{n}").alias(n) for n in cols])
-        out.append(F.when(F.col(base).isNotNull(), value).alias(cell(dx, dy)))
-    return shifted.filter(F.col(here).isNotNull()).select(*out)
+        out.append(F.col(base).alias(cell(dx, dy)))
+    return shifted.filter(F.col("_here").isNotNull()).select(*out)
 
 
 def neighbors(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
