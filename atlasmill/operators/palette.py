@@ -112,8 +112,8 @@ NEAREST_ENTRY = ("array_min(transform(entries, p -> named_struct('d', "
 
 def nearest_in_image(colors: DataFrame, palettes: DataFrame) -> DataFrame:
     """Nearest entry of the image's own palette for every colour row, as struct ``near``."""
-    spread = F.hash("rgb")
-    return attach_per_image(colors, _as_entries(palettes), salt=spread).withColumn(
+    # One image has at most 2^24 colours, so a few salts are enough and palettes are not copied often.
+    return attach_per_image(colors, _as_entries(palettes), salt=F.hash("rgb"), salts=8).withColumn(
         "near", F.expr(NEAREST_ENTRY)).drop("entries")
 
 

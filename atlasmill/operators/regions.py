@@ -102,6 +102,8 @@ def connected_components(px: DataFrame, key: str, connectivity: int = 4, tile: i
         features += ["lab_l", "lab_a", "lab_b"]
     placed = keyed.select("image_id", "x", "y", *features, F.floor(F.col("x") / tile).cast("int").alias("tx"),
                           F.floor(F.col("y") / tile).cast("int").alias("ty"))
+    if max_distance is not None:
+        placed = cut_lineage(placed)  # read by the tiles and by both sides of their borders
     schema = f"image_id {dict(px.dtypes)['image_id']}, x int, y int, root bigint"
     labels = cut_lineage(placed.groupBy("image_id", "tx", "ty").applyInPandas(_tile_labels(connectivity, max_distance), schema))
     edge_of = (f"pmod(x, {tile}) IN (0, {tile - 1}) OR pmod(y, {tile}) IN (0, {tile - 1})")

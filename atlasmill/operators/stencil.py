@@ -299,7 +299,8 @@ def contour_candidates(px: DataFrame, **options) -> DataFrame:
     if o["protect_details"]:
         details = protected_details(px)
     strong = contour_gradient(px).filter("a > 0").withColumn("len", F.expr("sqrt(gx * gx + gy * gy)"))
-    strong = strong.filter(F.col("len") > 1e-9)
+    # Written once: both sides of the window join need the same gradients.
+    strong = cut_lineage(strong.filter(F.col("len") > 1e-9))
     voters = strong.filter(F.col("len") >= o["min_neighbor"]).selectExpr(
         "image_id", "x", "y", "a", "lab_l", "lab_a", "lab_b", "gx / len AS ux", "gy / len AS uy")
     centers = strong.filter(F.col("len") >= o["min_pixel"]).select(

@@ -263,6 +263,10 @@ def validate_recipes(parsed: DataFrame, key: str) -> DataFrame:
             checks = checks.when(here & F.col(block).isNull(), f"{block} is required")
         for message, rule in op.rules.items():
             checks = checks.when(here & F.expr(f"NOT coalesce({rule}, false)"), message)
+    # All rules in one generated method would exceed the JVM's size limit and make the
+    # whole stage fall back; inside a lambda only the rule chain is interpreted.
+    checked = checks
+    checks = F.get(F.transform(F.array(F.lit(0)), lambda _: checked), F.lit(0))
     bad = steps.select(key, "step_index", "operation_id", checks.alias("error")).filter("error IS NOT NULL")
     return whole.unionByName(bad)
 
