@@ -8,6 +8,8 @@ the nodes left sit on, or lead into, a cycle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +39,25 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
         F.array("item").alias("path") if keep_path else F.lit(None).cast("array<int>").alias("path"),
         F.when(F.col("stop"), F.col("stop_status")).when(F.col("parent").isNotNull() & F.col("known").isNull(),
                                                         F.lit("missing_parent")).otherwise(F.lit("ok")).alias("status"))
+    # Finished nodes are written once; each round rewrites only the open ones.
     state = cut_lineage(state)
-    left = state.filter("ptr IS NOT NULL").count()
+    done, active = [state.filter("ptr IS NULL")], state.filter("ptr IS NOT NULL")
+    left = active.count()
     while left:
-        above = state.select(F.col("node").alias("ptr"), F.struct(
+        above = reduce(DataFrame.unionByName, [*done, active]).select(F.col("node").alias("ptr"), F.struct(
             "ptr", "top", "end_parent", "depth", "path", "status").alias("up"))
         # A pointer that skipped n ancestors adds n to whatever lies above it.
-        moving = attach_unique_counted(state.filter("ptr IS NOT NULL"), above, ["ptr"], ["node"])
-        moved = moving.select("node", F.col("up.ptr").alias("ptr"), F.col("up.top").alias("top"),
-                              F.col("up.end_parent").alias("end_parent"),
-                              (F.col("up.depth") + F.col("depth")).alias("depth"),
-                              F.concat("up.path", "path").alias("path") if keep_path else "path",
-                              F.col("up.status").alias("status"))
-        state = cut_lineage(state.filter("ptr IS NULL").unionByName(moved))
-        now = state.filter("ptr IS NOT NULL").count()
+        moving = attach_unique_counted(active, above, ["ptr"], ["node"])
+        moved = cut_lineage(moving.select(
+            "node", F.col("up.ptr").alias("ptr"), F.col("up.top").alias("top"), F.col("up.end_parent").alias("end_parent"),
+            (F.col("up.depth") + F.col("depth")).alias("depth"),
+            F.concat("up.path", "path").alias("path") if keep_path else "path", F.col("up.status").alias("status")))
+        done, active = [*done, moved.filter("ptr IS NULL")], moved.filter("ptr IS NOT NULL")
+        now = active.count()
         if now == left:
             break
         left = now
+    state = reduce(DataFrame.unionByName, [*done, active])
     looped = F.col("ptr").isNotNull()
     return state.select(
         "node", F.when(~looped, F.col("top")).alias("top"), F.when(~looped, F.col("end_parent")).alias("end_parent"),

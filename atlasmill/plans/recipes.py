@@ -249,7 +249,7 @@ def validate_recipes(parsed: DataFrame, key: str) -> DataFrame:
         "WHEN recipe.steps IS NULL OR size(recipe.steps) = 0 THEN 'no steps' END").alias("error")).filter("error IS NOT NULL")
     steps = parsed.filter("recipe.version = 1").select(key, F.posexplode("recipe.steps").alias("i", "step")).select(
         key, (F.col("i") + 1).alias("step_index"), F.col("step.operationId").alias("operation_id"), "step.*")
-    steps = with_alignment(steps, [key])
+    steps = with_alignment(cut_lineage(steps), [key])  # read twice; the JSON is parsed once for it
     checks = F.when(F.coalesce(F.trim("operation_id"), F.lit("")) == "", "operation is required")
     checks = checks.when(~F.col("operation_id").isin(*OPERATIONS), "unsupported operation")
     for name, op in OPERATIONS.items():
