@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atlasmill.llm import mixing, sharding, token_counts
+from atlasmill.llm import jaccard_join, mixing, sharding, token_counts, tree_weighting
 from atlasmill.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_mixing, op6_sharding)}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_weighting.score(table(spark, sf_dir, "documents"), held_out_fold=0, folds=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_mixing, op6_sharding, op8_ngram_jaccard, op9_lm_scoring)}
 
 SQL: dict[str, str] = {}
