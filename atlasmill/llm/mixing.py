@@ -6,6 +6,10 @@ pair shifts words from one to the other at random, with the expected copies kept
 the two is whole, and the other goes on. Pairs are played inside small blocks, each block leaves
 one open document, and these meet in the next level of a reduction tree, until a source has one
 open document, which is drawn. So a source misses its target by less than one document.
+
+Of a pair the larger document tends to stay open. So the few heavy documents of a source play
+first, from the heaviest on, each against all lighter ones together as one partner; what that
+partner wins or loses is spread over its members. The last open document is then a light one.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from atlasmill.runtime import bucketed_row_number
 
 #: Documents that meet in one block of the tree.
 BLOCK = 64
+#: A document is heavy that holds more than one part in so many of its source; no source has more of them.
+HEAVY = 256
 
 
 def source_targets(sizes: DataFrame, weights: list[int], percent: int, most: int) -> DataFrame:
@@ -56,8 +62,9 @@ def _unit(*cols: Column) -> Column:
 def _play(state: Column, item: Column) -> Column:
     """One pair: the open document of the block and the next one. ``x``: open words, in [0, size]."""
     a, b = state["open"], item
-    up = F.least(a["size"] - a["x"], b["x"])      # what b can give to a
-    down = F.least(a["x"], b["size"] - b["x"])    # what a can give to b
+    whole = (a["x"] == 0) | (a["x"] == a["size"]) | (b["x"] == 0) | (b["x"] == b["size"])
+    up = F.when(whole, F.lit(0.0)).otherwise(F.least(a["size"] - a["x"], b["x"]))      # what b can give to a
+    down = F.when(whole, F.lit(0.0)).otherwise(F.least(a["x"], b["size"] - b["x"]))    # what a can give to b
     to_a = b["u"] * (up + down) < down            # with probability down / (up + down)
     ax = F.when(to_a, F.when(up == a["size"] - a["x"], a["size"]).otherwise(a["x"] + up)).otherwise(
         F.when(down == a["x"], F.lit(0.0)).otherwise(a["x"] - down))
@@ -70,6 +77,46 @@ def _play(state: Column, item: Column) -> Column:
         F.struct(a2.alias("open"), F.concat(state["done"], F.array(b2)).alias("done")))
 
 
+def settle_heavy(items: DataFrame, seed: int, heavy: int = HEAVY) -> DataFrame:
+    """The same rows with the heavy documents' ``x`` whole, and that of the lighter ones shifted for it.
+
+    Rows that stand for one document each take part; they all have one probability. At most
+    ``heavy`` rows of a source meet in one list, because each holds over one part in ``heavy`` of it.
+    """
+    single = items.filter("times = 1")
+    pool = single.groupBy("source").agg(F.sum("size").alias("s"), F.sum("x").alias("x")).select(F.col("source").alias("src"), "s", "x")
+    same = F.col("source").eqNullSafe(F.col("src"))
+    big = single.join(pool.drop("x"), same).filter(F.col("size") * heavy > F.col("s"))
+    salt = F.lit(seed * 1000 + 999)
+    lists = big.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(
+        "size", F.xxhash64("doc_id", salt).alias("o"), "doc_id", _unit(F.col("doc_id"), F.col("size"), salt).alias("u"))), asc=False).alias("all"))
+
+    def step(state: Column, doc: Column) -> Column:
+        x = doc["size"] * state["x"] / state["s"]
+        rest_s, rest_x = state["s"] - doc["size"], state["x"] - x
+        up, down = F.greatest(F.lit(0.0), F.least(doc["size"] - x, rest_x)), F.greatest(F.lit(0.0), F.least(x, rest_s - rest_x))
+        gains = doc["u"] * (up + down) < down
+        new = F.when(gains, F.when(up == doc["size"] - x, doc["size"]).otherwise(x + up)).otherwise(
+            F.when(down == x, F.lit(0.0)).otherwise(x - down))
+        left = F.when(gains, rest_x - up).otherwise(rest_x + down)
+        return F.struct(rest_s.alias("s"), F.greatest(F.lit(0.0), F.least(rest_s, left)).alias("x"),
+                        F.concat(state["done"], F.array(F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), new.alias("x")))).alias("done"))
+
+    kind = f"array<struct<doc_id:{items.schema['doc_id'].dataType.simpleString()},size:double,x:double>>"
+    start = F.struct(F.col("s").cast("double").alias("s"), F.col("x").cast("double").alias("x"), F.array().cast(kind).alias("done"))
+    played = stage(lists.join(pool, same).select("source", F.aggregate("all", start, step).alias("r")), "mix-heavy")
+    done = played.select(F.col("source").alias("h_source"), F.explode("r.done").alias("d")).select(
+        "h_source", F.col("d.doc_id").alias("h_doc"), F.col("d.size").alias("h_size"), F.col("d.x").alias("h_x"))
+    rest = played.select(F.col("source").alias("r_source"), F.col("r.s").alias("r_s"), F.col("r.x").alias("r_x"))
+    joined = items.join(done, F.col("source").eqNullSafe(F.col("h_source")) & F.col("doc_id").eqNullSafe(F.col("h_doc"))
+                        & (F.col("size") == F.col("h_size")) & (F.col("times") == 1), "left").join(
+        rest, F.col("source").eqNullSafe(F.col("r_source")), "left")
+    light = F.when(F.col("r_x") <= F.col("r_s") * 1e-12, F.lit(0.0)).when(
+        F.col("r_x") >= F.col("r_s") * (1 - 1e-12), F.col("size")).otherwise(F.col("size") * F.col("r_x") / F.col("r_s"))
+    x = F.when((F.col("times") > 1) | F.col("r_s").isNull(), F.col("x")).when(F.col("h_x").isNotNull(), F.col("h_x")).otherwise(light)
+    return joined.withColumn("x", x).select(*items.columns)
+
+
 def draw(items: DataFrame, levels: int, block: int, seed: int) -> DataFrame:
     """Round ``x`` of every row ``(source, n, doc_id, size, x, ...)`` to 0 or to ``size``.
 
@@ -135,7 +182,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int =
     items = known.filter("part > 0").select(
         "source", F.col("rows").alias("n"), "doc_id", F.col("size").cast("double").alias("size"),
         (F.col("part") * F.col("size")).alias("x"), F.col("n").alias("times"), "fixed", "source_size", "target")
-    drawn = draw(items, levels, block, seed).select(
+    drawn = draw(settle_heavy(items, seed), levels, block, seed).select(
         "source", "doc_id", F.col("size").cast("long").alias("size"), F.col("times").alias("n"),
         (F.col("fixed") + F.when(F.col("x") > 0, 1).otherwise(0)).alias("total"), "source_size", "target")
     return drawn.unionByName(known.filter("part = 0").select("source", "doc_id", "size", "n", F.col("fixed").alias("total"), "source_size", "target"))
