@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atlasmill.llm import decontamination, jaccard_join, mixing, sharding, token_counts, tree_weighting
+from atlasmill.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, token_counts, tree_weighting
 from atlasmill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -34,6 +38,6 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_weighting.score(table(spark, sf_dir, "documents"), held_out_fold=0, folds=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op5_mixing, op6_sharding, op8_ngram_jaccard, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring)}
 
 SQL: dict[str, str] = {}
