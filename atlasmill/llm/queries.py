@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atlasmill.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, token_counts, tree_weighting
+from atlasmill.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity, tree_weighting
 from atlasmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_
         return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read(), limit=4096)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -38,6 +42,6 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_weighting.score(table(spark, sf_dir, "documents"), held_out_fold=0, folds=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring)}
 
 SQL: dict[str, str] = {}
