@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atlasmill.llm import decontamination, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity, tree_weighting
+from atlasmill.llm import (co_training, decontamination, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, token_counts,
+                            toxicity, tree_weighting)
 from atlasmill.llm.common import table
 
 
@@ -18,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -42,6 +47,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_weighting.score(table(spark, sf_dir, "documents"), held_out_fold=0, folds=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_quality_classifier, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring,
+                                 op10_suffix_dedup)}
 
 SQL: dict[str, str] = {}
