@@ -297,6 +297,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their group, and those in no group, with their own columns."""
-    kept = jaccard_components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """The documents with the smallest id of their group, and those in no group, with their own columns.
+
+    Rows that share an id stay or go together; of rows that share id and text one stays.
+    """
+    found = jaccard_components(docs, **options)
+    kept = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
+    kept = stage(kept, "kept")
+    single = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(kept.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several).unionByName(docs.filter("doc_id IS NULL"))
