@@ -40,13 +40,14 @@ def prove(model: bytes) -> dict[str, int]:
     for s in strings:
         if MARK in s.lstrip(MARK) or ("\n" in s and s != "\n"):
             raise ValueError(f"merges of this model cross pre-tokens: {s!r}")
-    # one space mark in front and none doubled: the text is not normalised otherwise
-    if [pieces.id_to_piece(i) for i in pieces.encode("\n")] != [MARK, "<0x0A>"] or len(pieces.encode("  ")) == len(pieces.encode(" ")) == 0:
+    # one space mark is put in front, and white space stays as it is
+    if [pieces.id_to_piece(i) for i in pieces.encode("\n")] != [MARK, "<0x0A>"] or not pieces.encode(" "):
         raise ValueError("the model normalises white space")
     spaced = [s.replace(MARK, " ") for s in strings if s.startswith(MARK) and s.strip(MARK)]
     bare = ["\n" + s for s in strings if not s.startswith(MARK) and "\n" not in s]
     proved = {k: 1 for k, ids in zip(spaced, pieces.encode([_key_text(k) for k in spaced], num_threads=1)) if len(ids) == 1}
     # a space mark and the byte of the line feed come before the bare string
+    proved[" "] = 1  # a space before a line feed or the end, as shown above
     proved |= {k: 2 for k, ids in zip(bare, pieces.encode(bare, num_threads=1)) if len(ids) == 3}
     return proved
 
