@@ -84,7 +84,9 @@ def settle_heavy(items: DataFrame, seed: int, heavy: int = HEAVY) -> DataFrame:
     ``heavy`` rows of a source meet in one list, because each holds over one part in ``heavy`` of it.
     """
     single = items.filter("times = 1")
-    pool = single.groupBy("source").agg(F.sum("size").alias("s"), F.sum("x").alias("x")).select(F.col("source").alias("src"), "s", "x")
+    # a maximum and a sum of whole numbers do not depend on the order of rows
+    pool = single.groupBy("source").agg(F.sum("size").alias("s"), F.max(F.col("x") / F.col("size")).alias("p"))
+    pool = pool.select(F.col("source").alias("src"), "s", (F.col("p") * F.col("s")).alias("x"))
     same = F.col("source").eqNullSafe(F.col("src"))
     big = single.join(pool.drop("x"), same).filter(F.col("size") * heavy > F.col("s"))
     salt = F.lit(seed * 1000 + 999)
