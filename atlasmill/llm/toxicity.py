@@ -31,6 +31,8 @@ LISTS = (4, 2, 2, 2)
 PRECISE = (30.0, 0.005)
 
 LABEL_RIGHT = 0.97
+#: Information in nats that makes a tie between two voters; weaker ones count as none.
+TIE = 0.002
 
 
 def features(text: str | None) -> set[str]:
@@ -79,10 +81,11 @@ class LabelModel:
         any_vote = np.where(patterns > 0, 0.5, 0.05)
         post = np.where(labels >= 0, labels, any_vote)
         self.parent = np.full(VOTERS, -1)
-        for _ in range(rounds):
+        for step in range(rounds):
             weight = np.stack([counts * (1 - post), counts * post])
             self.prior = (weight[1].sum() + 1) / (counts.sum() + 2)
-            self.parent = self._tree(v, weight)
+            if step >= rounds // 2:  # classes settle first, else their ties look like ties of voters
+                self.parent = self._tree(v, weight)
             up = np.where(self.parent >= 0, v[:, np.maximum(self.parent, 0)], 0.0)
             self.fire = np.zeros((2, VOTERS, 2))
             for y in range(2):
@@ -106,7 +109,7 @@ class LabelModel:
         parent, joined = np.full(VOTERS, -1), {0}
         while len(joined) < VOTERS:
             i, j = max(((i, j) for i in joined for j in range(VOTERS) if j not in joined), key=lambda x: (info[x], -x[1]))
-            if info[i, j] > 1e-4:  # weaker ties count as none
+            if info[i, j] > TIE:
                 parent[j] = i
             joined.add(j)
         return parent
