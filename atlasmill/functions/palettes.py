@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-
-from atlasmill.functions import color as c
 from atlasmill.runtime import require
 
 MAX_PALETTE = 4096
@@ -43,22 +40,3 @@ def custom_palette(colors: Sequence[int]) -> list[int]:
     require(all(isinstance(v, int) and 0 <= v <= 0xFFFFFF for v in colors),
             "palette colours must be packed RGB between 0 and 0xFFFFFF")
     return list(colors)
-
-
-def palette_table(spark: SparkSession, colors: Sequence[int]) -> DataFrame:
-    """``(idx, rgb, r, g, b)``; its size is bounded by ``MAX_PALETTE``."""
-    rows = [(i, v, v >> 16, v >> 8 & 255, v & 255) for i, v in enumerate(custom_palette(colors))]
-    return spark.createDataFrame(rows, "idx INT, rgb INT, r INT, g INT, b INT")
-
-
-def palette_entries_sql(colors: Sequence[int]) -> str:
-    """An array literal of ``(idx, rgb, l, a, b)`` structs for in-row searches.
-
-    The Lab values are computed by Spark from the literal channels, so palette
-    and pixels go through exactly the same arithmetic.
-    """
-    values = ", ".join(f"named_struct('idx', {i}, 'r', {v >> 16}, 'g', {v >> 8 & 255}, 'b', {v & 255})"
-                       for i, v in enumerate(colors))
-    lab = c.rgb_to_lab("p.r", "p.g", "p.b")
-    return (f"transform(array({values}), p -> named_struct('idx', p.idx, "
-            f"'rgb', {c.pack_rgb('p.r', 'p.g', 'p.b')}, 'l', {lab[0]}, 'a', {lab[1]}, 'b', {lab[2]}))")

@@ -12,7 +12,7 @@ from atlasmill.functions import color as c
 from atlasmill.operators.palette import apply_colors, nearest_palette, quantize
 from atlasmill.operators.pixels import PIXEL, dominant_color, image_sizes, integer_crop, scan_order, with_sizes
 from atlasmill.operators.stencil import edge_map, sprite_edges
-from atlasmill.runtime import require
+from atlasmill.runtime import attach_per_image, require
 
 
 def _argb_pixel(frame: DataFrame, *keys: str) -> DataFrame:
@@ -22,6 +22,13 @@ def _argb_pixel(frame: DataFrame, *keys: str) -> DataFrame:
                                  for v, i in (("r", 2), ("g", 1), ("b", 0), ("a", 3))])
 
 
+def _nearest_targets(axis: str, size: str, target: int | str) -> str:
+    first = f"CAST(CEIL(CAST({axis} AS DOUBLE) * {target} / {size}) AS INT)"
+    last = f"CAST(CEIL(CAST({axis} + 1 AS DOUBLE) * {target} / {size}) AS INT) - 1"
+    return f"filter(sequence(GREATEST({first} - 1, 0), LEAST({last} + 1, {target} - 1)), " \
+           f"t -> CAST(FLOOR(CAST(t AS BIGINT) * {size} / CAST({target} AS DOUBLE)) AS INT) = {axis})"
+
+
 def resample_nearest(px: DataFrame, width: int, height: int, sizes: DataFrame | None = None) -> DataFrame:
     """Nearest resize by truncating integer coordinates.
 
@@ -31,13 +38,8 @@ def resample_nearest(px: DataFrame, width: int, height: int, sizes: DataFrame |
     require(width >= 1 and height >= 1, "target size must be positive")
     placed = with_sizes(px, sizes)
 
-    def covered(axis, size, target):
-        first = f"CAST(CEIL(CAST({axis} AS DOUBLE) * {target} / {size}) AS INT)"
-        last = f"CAST(CEIL(CAST({axis} + 1 AS DOUBLE) * {target} / {size}) AS INT) - 1"
-        return f"filter(sequence(GREATEST({first} - 1, 0), LEAST({last} + 1, {target} - 1)), " \
-               f"t -> CAST(FLOOR(CAST(t AS BIGINT) * {size} / CAST({target} AS DOUBLE)) AS INT) = {axis})"
-    rows = placed.withColumn("tx", F.explode(F.expr(covered("x", "width", width))))
-    rows = rows.withColumn("ty", F.explode(F.expr(covered("y", "height", height))))
+    rows = placed.withColumn("tx", F.explode(F.expr(_nearest_targets("x", "width", width))))
+    rows = rows.withColumn("ty", F.explode(F.expr(_nearest_targets("y", "height", height))))
     return rows.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), "r", "g", "b", "a")
 
 
@@ -55,7 +57,10 @@ def overlap_blocks(px: DataFrame, width: int, height: int, sizes: DataFrame | No
     overlap join is a computed range, not a comparison of pixels with blocks.
     """
     require(width >= 1 and height >= 1, "target size must be positive")
-    placed = with_sizes(px, sizes)
+    return _overlaps(with_sizes(px, sizes), width, height)
+
+
+def _overlaps(placed: DataFrame, width: int | str, height: int | str) -> DataFrame:
     for axis, size, target in (("x", "width", width), ("y", "height", height)):
         first = f"CAST(FLOOR(CAST({axis} AS DOUBLE) * {target} / {size}) AS INT)"
         last = f"CAST(CEIL(CAST({axis} + 1 AS DOUBLE) * {target} / {size}) AS INT) - 1"
@@ -120,6 +125,35 @@ def block_representative(px: DataFrame, bw: int, bh: int, manual: tuple[dict, di
     return _argb_pixel(out, "image_id", F.col("bx").alias("x"), F.col("by").alias("y"))
 
 
+def resize(px: DataFrame, targets: DataFrame, sprite: bool = False, alpha_threshold: int = 50,
+           manual: tuple[dict, dict] | None = None, horizontal: str = "center", vertical: str = "center") -> DataFrame:
+    """Resize every image to its own size in ``targets(image_id, width, height, target_width, target_height)``.
+
+    An image that has its target size stays, one that grows in any direction takes nearest pixels,
+    and any other gets one of its own colours per block, as in ``scale_down``.
+    """
+    require(1 <= alpha_threshold <= 100, "alpha threshold must be 1..100")
+    grows = "(target_width > width OR target_height > height)"
+    same = "(target_width = width AND target_height = height)"
+    placed = attach_per_image(px, targets)
+    kept = placed.filter(same).select("image_id", "x", "y", "r", "g", "b", "a")
+    near = placed.filter(f"{grows} AND NOT {same}")
+    for axis, size in (("x", "width"), ("y", "height")):
+        near = near.withColumn(f"t{axis}", F.explode(F.expr(_nearest_targets(axis, size, f"target_{size}"))))
+    near = near.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), "r", "g", "b", "a")
+    small = placed.filter(f"NOT {grows} AND NOT {same}")
+    if not sprite:
+        for axis, size, where in (("x", "width", horizontal), ("y", "height", vertical)):
+            slack = f"({size} % target_{size})"
+            shift = {"left": "0", "top": "0", "center": f"CAST(FLOOR({slack} / 2) AS INT)"}.get(where, slack)
+            small = small.withColumn("_shift", F.expr(shift)).withColumn("_size", F.expr(f"{size} - {slack}"))
+            small = small.filter(f"{axis} >= _shift AND {axis} < _shift + _size").withColumn(axis, F.expr(f"{axis} - _shift")).withColumn(size, F.col("_size"))
+        small = small.drop("_shift", "_size")
+    blocks = _pick_blocks(_overlaps(small.withColumn("edge", F.lit(0.0)), "target_width", "target_height").drop("target_width", "target_height"),
+                          alpha_threshold / 100 if sprite else 0.5, manual)
+    return kept.unionByName(near).unionByName(blocks)
+
+
 def scale_down(px: DataFrame, width: int, height: int, sprite: bool = True, alpha_threshold: int = 50,
                manual: tuple[dict, dict] | None = None, horizontal: str = "center", vertical: str = "center",
                edges: DataFrame | None = None) -> DataFrame:
@@ -136,9 +170,12 @@ def scale_down(px: DataFrame, width: int, height: int, sprite: bool = True, alph
         sizes = image_sizes(source)
     else:
         edged, sizes = edges, image_sizes(px)
+    return _pick_blocks(overlap_blocks(edged, width, height, sizes), alpha_threshold / 100 if sprite else 0.5, manual)
+
+
+def _pick_blocks(cells: DataFrame, threshold: float, manual: tuple[dict, dict] | None) -> DataFrame:
     keys = ["image_id", "bx", "by"]
-    cells = overlap_blocks(edged, width, height, sizes).withColumn("argb", F.expr(c.pack_argb()))
-    threshold = alpha_threshold / 100 if sprite else 0.5
+    cells = cells.withColumn("argb", F.expr(c.pack_argb()))
     blocks = cells.groupBy(*keys).agg(
         F.sum(F.when(F.col("a") > 0, F.col("area")).otherwise(0.0)).alias("covered"),
         F.first("block_area").alias("block_area"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
-from atlasmill.operators.pixels import MAX_TILES, PIXEL, image_sizes, with_sizes
+from atlasmill.operators.pixels import PIXEL, image_sizes, with_sizes
 from atlasmill.operators.stencil import suppress_speckles, transition_edges
 from atlasmill.runtime import attach_per_image, require
 
@@ -139,20 +139,15 @@ def align_to_grid(px: DataFrame, pitch: int | None = None, max_pitch: int = 32)
 
 # --- tile grids --------------------------------------------------------------------------
 
-def cut_profiles(px: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Mean change across every vertical (axis x) and horizontal (axis y) cut line.
-
-    At most about 128 samples per line enter, as in a preview of a large sheet.
-    """
-    placed = with_sizes(px, sizes)
+def cut_profiles(px: DataFrame) -> DataFrame:
+    """Mean change across every vertical (axis x) and horizontal (axis y) cut line, over all its pixels."""
     pixel = F.struct("x", "y", "r", "g", "b", "a")
     here = ("r", "g", "b", "a")
     before = tuple(f"q.{v}" for v in here)
     out = None
-    for axis, other, span in (("x", "y", "height"), ("y", "x", "width")):
-        sampled = placed.filter(f"pmod({other}, GREATEST(1, CAST(FLOOR({span} / 128) AS INT))) = 0")
+    for axis, other in (("x", "y"), ("y", "x")):
         line = Window.partitionBy("image_id", other).orderBy(axis)
-        pairs = sampled.withColumn("q", F.lag(pixel).over(line)).filter(f"q.{axis} = {axis} - 1")
+        pairs = px.withColumn("q", F.lag(pixel).over(line)).filter(f"q.{axis} = {axis} - 1")
         part = pairs.groupBy("image_id", F.col(axis).alias("pos")).agg(
             F.avg(F.expr(c.cut_change(before, here))).alias("v")).withColumn("axis", F.lit(axis))
         out = part if out is None else out.unionByName(part)
@@ -167,7 +162,7 @@ OBLONG = (8, 16, 32, 64, 128)
 def suggest_tile_grids(px: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Scored tile sizes per image: a size prior, a tile-count term and boundary evidence."""
     images = sizes if sizes is not None else image_sizes(px)
-    cuts = cut_profiles(px, images)
+    cuts = cut_profiles(px)
     extents = images.select("image_id", F.inline(F.array(
         F.struct(F.lit("x").alias("axis"), F.col("width").alias("extent")),
         F.struct(F.lit("y").alias("axis"), F.col("height").alias("extent")))))
@@ -187,7 +182,7 @@ def suggest_tile_grids(px: DataFrame, sizes: DataFrame | None = None) -> DataFra
     grids = squares.unionByName(oblong).selectExpr(
         "image_id", "w AS tile_w", "h AS tile_h", "CAST(width DIV w AS INT) AS tile_cols",
         "CAST(height DIV h AS INT) AS tile_rows").filter(
-        f"tile_cols * tile_rows BETWEEN 2 AND {MAX_TILES}")
+        "CAST(tile_cols AS BIGINT) * tile_rows >= 2")
     for axis, size in (("x", "tile_w"), ("y", "tile_h")):
         side = evidence.filter(F.col("axis") == axis).select("image_id", F.col("size").alias(size), F.col("e").alias(f"e{axis}"))
         grids = grids.join(side, ["image_id", size], "left")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.runtime import attach_unique, attach_unique_counted, bucketed_running_sum, cut_lineage, require
+from atlasmill.runtime import attach_unique, bucketed_running_sum, cut_lineage, require
 
 
 def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None = None,
@@ -47,7 +47,8 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
         above = reduce(DataFrame.unionByName, [*done, active]).select(F.col("node").alias("ptr"), F.struct(
             "ptr", "top", "end_parent", "depth", "path", "status").alias("up"))
         # A pointer that skipped n ancestors adds n to whatever lies above it.
-        moving = attach_unique_counted(active, above, ["ptr"], ["node"])
+        # ``above`` is stored and unique on the pointer; a hot parent is split at run time.
+        moving = active.join(above, "ptr")
         moved = cut_lineage(moving.select(
             "node", F.col("up.ptr").alias("ptr"), F.col("up.top").alias("top"), F.col("up.end_parent").alias("end_parent"),
             (F.col("up.depth") + F.col("depth")).alias("depth"),
@@ -315,7 +316,7 @@ def undo_retention(actions: DataFrame, capacity: int) -> DataFrame:
 def unused_objects(snapshots: DataFrame, kept: DataFrame) -> DataFrame:
     """Content hashes no kept snapshot refers to."""
     hashed = snapshots.select("action_id", F.sha2("payload", 256).alias("hash"))
-    used = hashed.join(F.broadcast(kept.select("action_id").limit(64)), "action_id", "left_semi").select("hash")
+    used = hashed.join(kept.select("action_id").distinct(), "action_id", "left_semi").select("hash")
     return hashed.select("hash").distinct().join(used.distinct(), "hash", "left_anti")
 
 

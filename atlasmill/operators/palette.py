@@ -176,8 +176,8 @@ def kmeans_palette(px: DataFrame, k: int, space: str = "lab", weighted: bool = F
     require(space in ("lab", "linear"), "space must be lab or linear")
     colors = cut_lineage(color_table(px))
     head = Window.partitionBy("image_id").orderBy("seen")
-    centroids = (colors.select("image_id", "rgb", "seen").withColumn("idx", F.row_number().over(head) - 1)
-                 .filter(F.col("idx") < k).select("image_id", "idx", "rgb"))
+    centroids = (colors.select("image_id", "rgb", "seen").withColumn("n", F.row_number().over(head))
+                 .filter(F.col("n") <= k).select("image_id", (F.col("n") - 1).alias("idx"), "rgb"))
     keys = ["image_id", "idx"]
     for _ in range(rounds):
         assigned = nearest_in_image(colors, centroids).withColumn("idx", F.col("near.idx")).drop("near")

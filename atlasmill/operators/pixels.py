@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
-from atlasmill.runtime import attach_per_image, require
+from atlasmill.runtime import attach_per_image, attach_unique, require
 
 PALETTE_LIMIT = 1024
 PIXEL = ["image_id", "x", "y", "r", "g", "b", "a"]
@@ -204,15 +204,13 @@ def color_count(px: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def palette(px: DataFrame, limit: int = PALETTE_LIMIT) -> DataFrame:
-    """Distinct colours in first-appearance order; above the limit only the count is given."""
+    """One row per distinct colour, ranked by first appearance; ``over_limit`` only marks large palettes."""
     first = with_rgb(visible(px)).groupBy("image_id", "rgb").agg(F.min(scan_order()).alias("seen"))
     counts = first.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_colors"))
     head = Window.partitionBy("image_id").orderBy("seen")
-    listed = (first.withColumn("rank", F.row_number().over(head)).filter(F.col("rank") <= limit)
-              .groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "rgb"))).alias("found")))
-    return counts.join(listed, "image_id").select(
-        "image_id", "n_colors", (F.col("n_colors") > limit).alias("over_limit"),
-        F.when(F.col("n_colors") <= limit, F.expr("transform(found, v -> v.rgb)")).alias("colors"))
+    ranked = first.withColumn("rank", F.row_number().over(head))
+    return attach_unique(ranked, counts, ["image_id"], ["rgb"]).select(
+        "image_id", "rank", "rgb", "n_colors", (F.col("n_colors") > limit).alias("over_limit"))
 
 
 def palette_info(px: DataFrame, limit: int = PALETTE_LIMIT) -> DataFrame:
@@ -281,9 +279,6 @@ def invented_colors(before: DataFrame, after: DataFrame) -> DataFrame:
 
 # --- tiles ---------------------------------------------------------------------------
 
-MAX_TILES = 4096
-
-
 def tile_layout(images: DataFrame, tile_w: int, tile_h: int, margin: int = 0, spacing: int = 0) -> DataFrame:
     """Grid of every image with ``ok`` telling whether it covers the image exactly."""
     require(tile_w > 0 and tile_h > 0 and margin >= 0 and spacing >= 0,
@@ -296,7 +291,7 @@ def tile_layout(images: DataFrame, tile_w: int, tile_h: int, margin: int = 0, sp
         f"CAST(FLOOR(uw / {tile_w + spacing}) AS INT) AS tile_cols",
         f"CAST(FLOOR(uh / {tile_h + spacing}) AS INT) AS tile_rows",
         f"uw > {spacing} AND uh > {spacing} AND uw % {tile_w + spacing} = 0 AND uh % {tile_h + spacing} = 0 "
-        f"AND FLOOR(uw / {tile_w + spacing}) * FLOOR(uh / {tile_h + spacing}) BETWEEN 1 AND {MAX_TILES} AS ok")
+        f"AND FLOOR(uw / {tile_w + spacing}) * FLOOR(uh / {tile_h + spacing}) >= 1 AS ok")
 
 
 def slice_tiles(px: DataFrame, tile_w: int, tile_h: int, margin: int = 0, spacing: int = 0,

@@ -97,24 +97,13 @@ def _profile(px, s, state):
 
 
 def _resize(px, s, state):
+    o = s["downscale"] if "downscale" in s else s["resizeFactor"]
+    sizes = pixels.image_sizes(px)
     if "downscale" in s:
-        o = s["downscale"]
-        return blocks.resample_nearest(px, o["targetWidth"], o["targetHeight"]) if not o.get("spriteMode") else \
-            blocks.scale_down(px, o["targetWidth"], o["targetHeight"], True, o.get("alphaThreshold", 50))
-    return resize_by_factor(px, s["resizeFactor"]["factor"])
-
-
-def resize_by_factor(px: DataFrame, factor: float) -> DataFrame:
-    """Nearest resize where every image has its own target size."""
-    sizes = blocks.resolve_resize(pixels.image_sizes(px), factor)
-    out = attach_per_image(px, sizes)
-    for axis, size in (("x", "width"), ("y", "height")):
-        near = f"CAST(FLOOR(CAST({axis} AS DOUBLE) * target_{size} / {size}) AS INT)"
-        last = f"CAST(CEIL(CAST({axis} + 1 AS DOUBLE) * target_{size} / {size}) AS INT)"
-        out = out.withColumn(f"t{axis}", F.explode(F.expr(
-            f"filter(sequence(GREATEST(0, {near} - 1), LEAST(target_{size} - 1, {last} + 1)), "
-            f"t -> CAST(FLOOR(CAST(t AS BIGINT) * {size} / CAST(target_{size} AS DOUBLE)) AS INT) = {axis})")))
-    return out.selectExpr("image_id", "tx AS x", "ty AS y", "r", "g", "b", "a")
+        targets = sizes.selectExpr("*", f"{int(o['targetWidth'])} AS target_width", f"{int(o['targetHeight'])} AS target_height")
+    else:
+        targets = blocks.resolve_resize(sizes, o["factor"])
+    return blocks.resize(px, targets, bool(o.get("spriteMode")), o.get("alphaThreshold", 50))
 
 
 def _colors(px, s, state):

@@ -89,27 +89,6 @@ def attach_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: l
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-HOT_ROWS = 100_000
-HOT_KEYS = 1000
-
-
-def attach_unique_counted(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
-                          how: str = "inner", salts: int = 64) -> DataFrame:
-    """``attach_unique`` for a stored left side: only keys counted as hot are salted.
-
-    Counting reads the key columns once more and combines before its shuffle.
-    At most ``HOT_KEYS`` keys are broadcast; any other key is joined plainly, so
-    the result does not depend on what is counted as hot.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= HOT_ROWS)
-    hot = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.hash(*spread), F.lit(salts))).otherwise(F.lit(0))).drop("_hot")
-    right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(
-        F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column,
                         order: list[str | Column], name: str) -> DataFrame:
     """Exact one-based row number per ``keys`` without sorting a whole key in one task.

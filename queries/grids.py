@@ -82,14 +82,14 @@ def cut_sql(view):
         qa, pa = f"({q}.a/255.0::DOUBLE)", "(p.a/255.0::DOUBLE)"
         return f"(abs({qa} - {pa}) + (" + " + ".join(f"abs({q}.{c}*{qa} - p.{c}*{pa})" for c in "rgb") + ")/255)/4"
     return f"""sz AS ({SIZES.format(v=view)}),
-    ct AS MATERIALIZED (SELECT p.image_id, 'x' AS axis, p.x AS pos, avg({ch('q')}) AS v FROM {view} p JOIN {view} q ON q.image_id = p.image_id AND q.x = p.x-1 AND q.y = p.y JOIN sz ON sz.image_id = p.image_id WHERE p.y % greatest(1, height//128) = 0 GROUP BY 1, 2, 3
-      UNION ALL SELECT p.image_id, 'y', p.y, avg({ch('q')}) FROM {view} p JOIN {view} q ON q.image_id = p.image_id AND q.x = p.x AND q.y = p.y-1 JOIN sz ON sz.image_id = p.image_id WHERE p.x % greatest(1, width//128) = 0 GROUP BY 1, 2, 3)"""
+    ct AS MATERIALIZED (SELECT p.image_id, 'x' AS axis, p.x AS pos, avg({ch('q')}) AS v FROM {view} p JOIN {view} q ON q.image_id = p.image_id AND q.x = p.x-1 AND q.y = p.y GROUP BY 1, 2, 3
+      UNION ALL SELECT p.image_id, 'y', p.y, avg({ch('q')}) FROM {view} p JOIN {view} q ON q.image_id = p.image_id AND q.x = p.x AND q.y = p.y-1 GROUP BY 1, 2, 3)"""
 
 
 _PRIOR = " ".join(f"WHEN {s} THEN {v}" for s, v in g.SIZE_PRIOR.items())
 SUGGEST = f"""{cut_sql('px')}, mn AS (SELECT image_id, axis, avg(v) AS mean FROM ct GROUP BY 1, 2),
     cs AS (SELECT unnest(range(4, 513)) AS w, unnest(range(4, 513)) AS h UNION ALL SELECT * FROM (VALUES (8,16),(16,8),(16,32),(32,16),(32,64),(64,32),(64,128),(128,64),(128,256),(256,128))),
-    gr AS (SELECT image_id, w, h, width//w AS c, height//h AS r FROM sz, cs WHERE width%w = 0 AND height%h = 0 AND (w <> h OR w <= least(512, width, height)) AND (width//w)*(height//h) BETWEEN 2 AND 4096),
+    gr AS (SELECT image_id, w, h, width//w AS c, height//h AS r FROM sz, cs WHERE width%w = 0 AND height%h = 0 AND (w <> h OR w <= least(512, width, height)) AND (width//w)*(height//h) >= 2),
     ev AS (SELECT gr.image_id, w, h, ct.axis, sum(v)/(CASE WHEN ct.axis = 'x' THEN any_value(c) ELSE any_value(r) END - 1) AS bd, any_value(mean) AS mean
       FROM gr JOIN ct ON ct.image_id = gr.image_id AND pos % (CASE WHEN ct.axis = 'x' THEN w ELSE h END) = 0 JOIN mn ON mn.image_id = ct.image_id AND mn.axis = ct.axis GROUP BY 1, 2, 3, 4),
     es AS (SELECT image_id, w, h, sum(CASE WHEN mean < 1e-9 THEN 0 ELSE least(1, greatest(-1, (bd-mean)/(bd+mean+1e-9))) END) AS e FROM ev GROUP BY 1, 2, 3),

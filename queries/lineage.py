@@ -121,6 +121,11 @@ add("undo_retention", lambda v: g.undo_retention(v.snaps(), 20), "SELECT DISTINC
 add("unused_objects", lambda v: g.unused_objects(v.snaps(), g.undo_retention(v.snaps(), 40)), """
     WITH k AS (SELECT DISTINCT action_id FROM snaps ORDER BY action_id DESC LIMIT 40)
     SELECT DISTINCT sha256(payload) AS hash FROM snaps EXCEPT SELECT sha256(payload) FROM snaps WHERE action_id IN (SELECT action_id FROM k)""")
+# far more kept actions than an undo store holds: all but the ten newest
+add("unused_objects_many_kept", lambda v: g.unused_objects(v.snaps(), v.snaps().select("action_id").distinct().join(
+    g.undo_retention(v.snaps(), 10), "action_id", "left_anti")), """
+    WITH k AS (SELECT DISTINCT action_id FROM snaps ORDER BY action_id DESC LIMIT 10)
+    SELECT DISTINCT sha256(payload) AS hash FROM snaps EXCEPT SELECT sha256(payload) FROM snaps WHERE action_id NOT IN (SELECT action_id FROM k)""")
 add("resolve_linked_cels", lambda v: g.resolve_linked_cels(v.cels().withColumn(
     "linked_frame", F.expr("CASE WHEN doc_id % 50 = 7 AND frame = 0 THEN 99 ELSE linked_frame END"))), """
     WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, layer, frame, CASE WHEN doc_id % 50 = 7 AND frame = 0 THEN 99 ELSE linked_frame END AS linked_frame FROM cels),

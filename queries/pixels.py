@@ -18,6 +18,12 @@ def long(df, *names):
     return df.select(*[F.col(c).cast("bigint").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+
+def _one_image(px):
+    """Images on top of each other, 1,000 rows apart."""
+    return px.selectExpr("0 AS image_id", "x", "CAST(image_id * 1000 + y AS INT) AS y", "r", "g", "b", "a")
+
+
 add("color_histogram", lambda v: p.color_histogram(v.pxl()),
     f"SELECT image_id, {RGB} AS rgb, count(*) AS n FROM pxl WHERE a > 0 GROUP BY 1, 2")
 add("dominant_color", lambda v: p.dominant_color(v.px()), f"""
@@ -29,11 +35,15 @@ add("color_count", lambda v: p.color_count(v.px8()),
     f"SELECT image_id, count(DISTINCT CASE WHEN a > 0 THEN {RGB} END) AS n_colors FROM px8 GROUP BY image_id")
 add("palette_first_seen", lambda v: p.palette(v.px()), f"""
     WITH f AS (SELECT image_id, {RGB} AS rgb, min(y*100000 + x) AS q FROM px WHERE a > 0 GROUP BY 1, 2)
-    SELECT image_id, count(*) AS n_colors, count(*) > 1024 AS over_limit, list(rgb ORDER BY q) AS colors
-    FROM f GROUP BY image_id""")
-add("palette_over_limit", lambda v: p.palette(v.px8()).select("image_id", "n_colors", "over_limit"), f"""
-    SELECT image_id, count(DISTINCT {RGB}) AS n_colors, count(DISTINCT {RGB}) > 1024 AS over_limit
-    FROM px8 WHERE a > 0 GROUP BY image_id""")
+    SELECT image_id, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY q) AS INT) AS rank, rgb,
+      count(*) OVER (PARTITION BY image_id) AS n_colors, count(*) OVER (PARTITION BY image_id) > 1024 AS over_limit FROM f""")
+# all rows as one image: far more colours than the limit
+add("palette_over_limit", lambda v: p.palette(_one_image(v.px8())), f"""
+    WITH f AS (SELECT {RGB} AS rgb, min((image_id*1000 + y)*100000 + x) AS q FROM px8 WHERE a > 0 GROUP BY 1)
+    SELECT 0 AS image_id, CAST(ROW_NUMBER() OVER (ORDER BY q) AS INT) AS rank, rgb,
+      count(*) OVER () AS n_colors, count(*) OVER () > 1024 AS over_limit FROM f""")
+add("crop_rejects", lambda v: p.crop_rejects(v.px(), 12, 60), """
+    SELECT image_id, max(x)+1 AS width, max(y)+1 AS height FROM px GROUP BY image_id HAVING max(x)+1 < 12 OR max(y)+1 < 60""")
 add("palette_info", lambda v: p.palette_info(v.px8()), f"""
     SELECT image_id, max(x)+1 AS width, max(y)+1 AS height, count(*) AS pixel_count,
       count(*) FILTER (a = 0) AS transparent, count(*) FILTER (a > 0 AND a < 255) AS translucent,

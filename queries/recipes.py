@@ -8,9 +8,10 @@ from atlasmill.functions import palettes
 from atlasmill.plans import recipes as rc
 from queries import sqlmath as m
 from queries.base import Area
+from queries.blocks import AUTO, SIZES, covered, overlaps
 from queries.colors import nearest_sql, remap_sql
 from queries.grids import vote_sql
-from queries.pixels import RGB
+from queries.pixels import ARGB, RGB
 
 area = Area()
 add = area.add
@@ -79,6 +80,20 @@ MANY = [{"operationId": "background.remove", "background": {"mode": "edges", "to
         {"operationId": "filter.sharpen", "sharpen": {"strength": 40, "threshold": 4}},
         {"operationId": "image.finalist.reduce", "finalistMode": "mixed", "finalistFactor": 2},
         {"operationId": "image.resize", "resizeFactor": {"factor": 1.5}}]
+# target sizes differ by image: half of its own, rounded away from zero
+HALVES = f"""sz AS ({SIZES.format(v='px8')}),
+    gx AS (SELECT image_id, bx, bx*width::DOUBLE/tw AS x0, (bx+1)*width::DOUBLE/tw AS x1 FROM (SELECT *, unnest(range(tw)) AS bx FROM (SELECT *, CAST(greatest(1, round(width*0.5::DOUBLE)) AS INT) AS tw FROM sz))),
+    gy AS (SELECT image_id, byy, byy*height::DOUBLE/th AS y0, (byy+1)*height::DOUBLE/th AS y1 FROM (SELECT *, unnest(range(th)) AS byy FROM (SELECT *, CAST(greatest(1, round(height*0.5::DOUBLE)) AS INT) AS th FROM sz))),
+    cl AS MATERIALIZED (SELECT p.*, 0 AS edge, bx, byy, (least(x+1, x1) - greatest(x, x0))*(least(y+1, y1) - greatest(y, y0)) AS area, (x1-x0)*(y1-y0) AS ba, {ARGB} AS argb
+      FROM px8 p JOIN gx ON gx.image_id = p.image_id AND p.x < x1 AND p.x+1 > x0 JOIN gy ON gy.image_id = p.image_id AND p.y < y1 AND p.y+1 > y0)"""
+# smaller in every image: one of its own colours per block, after cropping to whole blocks
+add("apply_recipe_shrink", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "downscale": {"targetWidth": 12, "targetHeight": 10}}]), f"""
+    WITH s0 AS ({SIZES.format(v='px8')}), cr AS (SELECT p.image_id, CAST(x - (width%12)//2 AS INT) AS x, CAST(y - (height%10)//2 AS INT) AS y, r, g, b, a FROM px8 p JOIN s0 USING (image_id)
+      WHERE x >= (width%12)//2 AND x < (width%12)//2 + width - width%12 AND y >= (height%10)//2 AND y < (height%10)//2 + height - height%10),
+    {overlaps('cr', 12, 10)}, {AUTO}, {covered('CAST(0.5 AS DOUBLE)')} SELECT * FROM sm""")
+add("apply_recipe_factor_sprite", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "resizeFactor": {
+    "factor": 0.5, "spriteMode": True, "alphaThreshold": 60}}]), f"""
+    WITH {HALVES}, {AUTO}, {covered('CAST(0.6 AS DOUBLE)')} SELECT * FROM sm""")
 add("apply_recipe_mixed", lambda v: rc.apply_recipe(v.px8(), MANY))
 
 QUERIES, SQL = area.queries, area.sql
