@@ -9,6 +9,9 @@ huge region ever sits in one task.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -355,8 +358,7 @@ def color_coherence(px: DataFrame, tile: int = 16, connectivity_weight: float =
                     detail_weight: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """Per colour: area, coherence of its regions, densest tile and the cost of losing it.
 
-    The distance to the nearest other colour is searched in the image's own
-    colour list; images with more than 4,096 colours are left out.
+    An image with a single colour has no nearest other one, and NULL as cost.
     """
     require(tile == 0 or 4 <= tile <= 256, "tile must be 0 or 4..256")
     require(all(0 <= w <= 1 for w in (connectivity_weight, local_weight, detail_weight)), "weights must be 0..1")
@@ -370,14 +372,9 @@ def color_coherence(px: DataFrame, tile: int = 16, connectivity_weight: float =
         colors = colors.join(densest, ["image_id", "rgb"])
     else:
         colors = colors.withColumn("tile_max", F.lit(0).cast("bigint"))
-    counts = colors.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_colors")).filter(f"n_colors <= {MAX_COLORS}")
     ok = dict(zip(("k_l", "k_a", "k_b"), c.rgb_to_oklab(*c.unpack_rgb("rgb"))))
-    colors = colors.select("*", *[F.expr(e).alias(n) for n, e in ok.items()])
-    lists = attach_unique(colors, counts, ["image_id"], ["rgb"], "inner").groupBy("image_id").agg(
-        F.collect_list(F.struct("rgb", "k_l", "k_a", "k_b")).alias("all"))
-    both = attach_unique(colors, lists, ["image_id"], ["rgb"], "inner")
-    d2 = "pow(p.k_l - k_l, 2) + pow(p.k_a - k_a, 2) + pow(p.k_b - k_b, 2)"
-    both = both.withColumn("nearest_sq", F.expr(f"array_min(transform(filter(all, p -> p.rgb <> rgb), p -> {d2}))")).drop("all")
+    colors = cut_lineage(colors.select("*", *[F.expr(e).alias(n) for n, e in ok.items()]))
+    both = colors.join(nearest_other_color(colors), ["image_id", "rgb"], "left")
     area = f"pow(n, {c.num(1 - connectivity_weight)}) * pow(CAST(squares AS DOUBLE) / n, {c.num(connectivity_weight)})"
     local = f"(1E0 + 4E0 * {c.num(local_weight)} * tile_max / GREATEST(1E0, n))"
     return both.select("image_id", "rgb", "n", "squares", F.expr("CAST(squares AS DOUBLE) / n").alias("coherence"), "tile_max",
@@ -385,6 +382,33 @@ def color_coherence(px: DataFrame, tile: int = 16, connectivity_weight: float =
                        *ok)
 
 
+def nearest_other_color(colors: DataFrame) -> DataFrame:
+    """``(image_id, rgb, nearest_sq)``: squared OKLab distance to the nearest other colour of the image.
+
+    Colours lie in cells of a grid. A colour looks into its own and the 26 cells around it; what
+    lies elsewhere is farther than a cell is wide, so a find within that width is final. The rest
+    look again in a grid twice as coarse, until one cell holds the whole cube.
+    """
+    base = colors.select("image_id", "rgb", "k_l", "k_a", "k_b")
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dl", "da", "db"), step)])
+                       for step in itertools.product((-1, 0, 1), repeat=3)])
+    open_, done, width = base, [], 1 / 256
+    while True:
+        cells = [F.floor(F.col(f"k_{n}") / width).cast("int").alias(f"c{n}") for n in "lab"]
+        there = base.select("image_id", F.col("rgb").alias("o_rgb"), *[F.col(f"k_{n}").alias(f"o_{n}") for n in "lab"], *cells)
+        mine = open_.select("*", *cells, F.explode(around).alias("s")).select(
+            "image_id", "rgb", "k_l", "k_a", "k_b", *[(F.col(f"c{n}") + F.col(f"s.d{n}")).alias(f"c{n}") for n in "lab"])
+        found = mine.join(there, ["image_id", "cl", "ca", "cb"]).filter("rgb <> o_rgb").groupBy("image_id", "rgb").agg(
+            F.min(F.expr("pow(o_l - k_l, 2) + pow(o_a - k_a, 2) + pow(o_b - k_b, 2)")).alias("nearest_sq"))
+        found = cut_lineage(open_.join(found, ["image_id", "rgb"], "left"))
+        final = F.lit(width > 2) | F.coalesce(F.col("nearest_sq") <= width * width, F.lit(False))
+        done.append(found.filter(final).select("image_id", "rgb", "nearest_sq"))
+        open_ = found.filter(~final).drop("nearest_sq")
+        if width > 2 or open_.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        width *= 4
+
+
 def label_colors(px: DataFrame) -> DataFrame:
     """Visible pixels with their exact-colour region (8-connected) and packed colour."""
     return cut_lineage(connected_components(with_rgb(px.filter("a > 0")), "rgb", 8))

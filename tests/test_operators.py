@@ -271,3 +271,20 @@ def test_records_and_guarded_output(spark, tmp_path):
         files.write_pixels(px, target)
     files.write_pixels(px, target, overwrite=True)
     assert pixels(spark.read.parquet(target).drop("image_bucket")) == pixels(px)
+
+
+def test_coherence_of_many_colours(spark):
+    """More colours than any list limit: the nearest other colour against brute force."""
+    import numpy as np
+    from atlasmill.operators import regions
+    rng = np.random.default_rng(3)
+    rgb = np.unique(rng.integers(0, 256, (5000, 3)), axis=0)
+    px = spark.createDataFrame([(1, k % 100, k // 100, int(r), int(g), int(b), 255) for k, (r, g, b) in enumerate(rgb)],
+                               "image_id BIGINT, x INT, y INT, r INT, g INT, b INT, a INT")
+    rows = regions.color_coherence(px).select("rgb", "nearest_sq", "k_l", "k_a", "k_b").collect()
+    assert len(rows) == len(rgb)
+    place = np.array([[r.k_l, r.k_a, r.k_b] for r in rows])
+    for k in range(0, len(rows), 50):
+        d = ((place - place[k]) ** 2).sum(1)
+        d[k] = np.inf
+        assert abs(d.min() - rows[k].nearest_sq) < 1e-12
