@@ -73,7 +73,9 @@ _DOWNSCALE = {
     "unknown quantisation": "downscale.quantization IS NULL OR downscale.quantization IN ('kmeans_lab', 'kmeans_linear', 'median_cut')",
     "clean-up tolerance must be 0..40": _between("downscale.colorTolerance", 0, 40),
     "clean-up strength must be 0..1": _between("downscale.strength", 0, 1),
+    "unknown colour mode": "downscale.independentColorMode IS NULL OR lower(downscale.independentColorMode) IN ('combined', 'quantization', 'palette')",
 }
+_SIZE = {"target dimensions are required": "downscale IS NULL OR (downscale.targetWidth IS NOT NULL AND downscale.targetHeight IS NOT NULL)"}
 _CONNECTED = {"connected palette parameters are invalid":
               "connectedPalette IS NULL OR (connectedPalette.targetColors BETWEEN 1 AND 4096 AND (coalesce(connectedPalette.tileSize, 16) = 0 "
               "OR coalesce(connectedPalette.tileSize, 16) BETWEEN 4 AND 256) AND "
@@ -160,10 +162,11 @@ def _ascii(px, s, state):
 
 
 OPERATIONS: dict[str, Operation] = {
-    "image.profile": Operation(_profile, ("downscale",), ("downscale",), _DOWNSCALE),
+    "image.profile": Operation(_profile, ("downscale",), ("downscale",), {**_SIZE, **_DOWNSCALE}),
     "image.resize": Operation(_resize, ("downscale", "resizeFactor"), (), {
         "resize takes either dimensions or a factor": "(downscale IS NULL) <> (resizeFactor IS NULL)",
-        "resize factor must be positive": "resizeFactor IS NULL OR resizeFactor.factor > 0", **_DOWNSCALE}),
+        "resize factor must be positive": "resizeFactor IS NULL OR resizeFactor.factor > 0",
+        "resize alpha threshold must be 1..100": _between("resizeFactor.alphaThreshold", 1, 100), **_SIZE, **_DOWNSCALE}),
     "image.trim": Operation(lambda px, s, state: pixels.trim_transparent(px)),
     "image.colors": Operation(_colors, ("downscale", "connectedPalette"), ("downscale",), {**_DOWNSCALE, **_CONNECTED}),
     "image.cleanup": Operation(_cleanup, ("downscale",), ("downscale",), _DOWNSCALE),
@@ -179,10 +182,12 @@ OPERATIONS: dict[str, Operation] = {
                                                              "sharpen.strength BETWEEN 0 AND 200 AND sharpen.threshold BETWEEN 0 AND 64"}, one_pass=True),
     "filter.ascii": Operation(_ascii, ("ascii",), ("ascii",), {
         "characters must be one non-empty line": "length(ascii.characters) > 0 AND NOT ascii.characters RLIKE '[\\\\r\\\\n]'",
-        "columns must be 1..512": "ascii.columns BETWEEN 1 AND 512"}),
+        "columns must be 1..512": "ascii.columns BETWEEN 1 AND 512",
+        "rows must be positive": "ascii.rows >= 1"}),
     "color.replace": Operation(lambda px, s, state: pixels.replace_color(px, s["colorReplacement"]["source"], s["colorReplacement"]["target"]),
                                ("colorReplacement",), ("colorReplacement",), one_pass=True),
     "color.channel.adjust": Operation(_channel, ("channelAdjustment",), ("channelAdjustment",), {
+        "unknown adjustment mode": "lower(channelAdjustment.mode) IN ('value', 'percent')",
         "unknown channel": "upper(channelAdjustment.channel) IN ('R', 'G', 'B', 'A')",
         "amount out of range": "channelAdjustment.amount BETWEEN 0 AND CASE lower(channelAdjustment.mode) WHEN 'percent' THEN 100 ELSE 255 END"}, one_pass=True),
     "background.remove": Operation(_background, ("background",), ("background",), {

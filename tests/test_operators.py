@@ -288,3 +288,28 @@ def test_coherence_of_many_colours(spark):
         d = ((place - place[k]) ** 2).sum(1)
         d[k] = np.inf
         assert abs(d.min() - rows[k].nearest_sq) < 1e-12
+
+
+def test_incomplete_steps_are_rejected(spark):
+    import json
+    from atlasmill.plans import recipes
+    steps = [{"operationId": "filter.ascii", "ascii": {"columns": 4, "characters": "#."}},
+             {"operationId": "image.profile", "downscale": {"palette": "none"}},
+             {"operationId": "image.resize", "downscale": {"targetWidth": 4}},
+             {"operationId": "image.colors", "downscale": {"independentColorMode": "other"}},
+             {"operationId": "color.channel.adjust", "channelAdjustment": {"channel": "R", "mode": "times", "amount": 2}}]
+    rows = spark.createDataFrame([(k, json.dumps({"version": 1, "steps": [s]})) for k, s in enumerate(steps)], "id INT, json STRING")
+    errors = {r.id: r.error for r in recipes.validate_recipes(recipes.parse_recipes(rows), "id").collect()}
+    assert errors == {0: "rows must be positive", 1: "target dimensions are required", 2: "target dimensions are required",
+                      3: "unknown colour mode", 4: "unknown adjustment mode"}
+
+
+def test_resize_shrinks_by_blocks(spark):
+    from atlasmill.plans import recipes
+    rows = [(1, x, y, *((200, 20, 0) if x % 2 and not (x == 1 and y == 0) else (10, 10, 10)), 255) for y in range(4) for x in range(4)]
+    px = spark.createDataFrame(rows, "image_id BIGINT, x INT, y INT, r INT, g INT, b INT, a INT")
+    small = recipes.apply_recipe(px, [{"operationId": "image.resize", "downscale": {"targetWidth": 2, "targetHeight": 2}}]).collect()
+    assert {(p.x, p.y): p.r for p in small}[1, 1] == 200 and len(small) == 4
+    same = recipes.apply_recipe(px, [{"operationId": "image.resize", "resizeFactor": {"factor": 1.0}}]).collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, px.collect()))
+    assert recipes.apply_recipe(px, [{"operationId": "image.resize", "resizeFactor": {"factor": 2.0}}]).count() == 64
