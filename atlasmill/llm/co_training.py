@@ -74,10 +74,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 3, exchange:
     At most ``bound`` labelled rows, those with the smallest hashes of their ids, are used; those of
     fold 0 calibrate, the others train. A round hands over at most ``exchange`` documents a class and view, the surest of all
     documents above the chance ``sure``. Nulls count as values of their own; null texts are empty.
-    Without labels of both kinds every score is one half. Repeated rows get equal scores.
+    Without labels of both kinds every score is one half. Repeated rows get equal scores; of labels that repeat the smallest counts.
     """
     sc = docs.sparkSession.sparkContext
-    marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").alias("y")).dropDuplicates(["doc_id"])
+    marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"))
     chosen = linear.bounded_sample(marked, bound).withColumn("held_out", fold("doc_id", folds) == 0)
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     sample = rows.join(F.broadcast(chosen), "doc_id")

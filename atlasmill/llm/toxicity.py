@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, open_: Column, bound: int = 20_000
     are counted over all open rows. ``vocabulary`` bounds the lexicon.
     """
     sc = docs.sparkSession.sparkContext
-    marked = labels.filter("toxic IS NOT NULL").select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
+    marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = linear.bounded_sample(marked.filter(open_), bound)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
     names = linear.associated(sample, features, vocabulary, least=4, strength=16.0, ratio=8.0)
@@ -195,7 +195,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     """Learn from fold 0 and 2 of 3 and score every row.
 
     Without labels of both kinds nothing is learnt and every score is low. Repeated rows get equal
-    scores; a label that repeats counts once.
+    scores; of labels that repeat the largest counts.
     """
     held_out = fold("doc_id", 3) == 1
     return score(docs, learn(docs, labels, ~held_out), held_out, threshold)
