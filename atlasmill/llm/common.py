@@ -17,6 +17,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Settings the operators assume; none of them changes a result."""
     for key, value in {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
                        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+                       # a stored stage no longer needs the shuffle files that led to it
+                       "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
                        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -48,7 +50,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     What follows starts from files that outlive any executor and is computed once.
     """
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out._staged = folder
     return out
@@ -66,7 +68,8 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case and nothing else; pure ASCII takes the quick way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def fold(key: str | Column, n: int) -> Column:

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.llm.common import lower_ascii, stage
+from atlasmill.llm.common import lower_ascii, stage, unstage
 
-#: What is not a word: everything in ASCII but digits and lower-case letters.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a lower-cased text: anything but the ASCII that is no digit and no lower-case letter.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lists that are intersected before the exact check.
 RAREST = 3
 #: A table of terms with at most this many rows, each with a word, is sent to all executors.
@@ -24,8 +24,7 @@ SENT_ROWS = 100_000
 
 def words(text: Column) -> Column:
     """Words of a text, null or wordless texts giving an empty array."""
-    spaced = F.btrim(F.regexp_replace(lower_ascii(text), GAP, " "))
-    return F.when(spaced.isNull() | (spaced == ""), F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame | None = None, name: str = "index") -> DataFrame:
@@ -71,14 +70,15 @@ def rarest_terms(phrases: DataFrame, index: DataFrame, key: str, rarest: int = R
 def phrase_starts(phrases: DataFrame, index: DataFrame, key: str = "phrase", rarest: int = RAREST) -> DataFrame:
     """``(key, doc_id, text_hash, start)``: where the rarest terms of ``phrases(key, terms)`` stand as in the phrase.
 
-    Phrases that have the same rarest terms at the same distances are looked up once, as a probe.
+    Phrases that have the same rarest terms at the same distances are looked up once, as a probe, known by a hash.
+    Starts that equal hashes would mix are told apart by the exact check.
     """
     chosen = rarest_terms(phrases, index, key, rarest)
     shape = chosen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "term", "offset"))).alias("t"))
     base = F.col("t")[0]["offset"]
     shape = shape.select(key, base.alias("base"), F.transform("t", lambda x: F.struct(
         x["term"].alias("term"), (x["offset"] - F.col("t")[0]["offset"]).alias("offset"))).alias("probe_terms"))
-    shape = stage(shape.withColumn("probe", F.sha2(F.to_json("probe_terms"), 256)), "probes")
+    shape = stage(shape.withColumn("probe", F.xxhash64("probe_terms")), "probes")
     probes = shape.select("probe", "probe_terms").dropDuplicates(["probe"]).select(
         "probe", F.size("probe_terms").alias("n"), F.posexplode("probe_terms").alias("rank", "x"))
     probes = stage(probes.select("probe", "n", (F.col("rank") + 1).alias("rank"), "x.term", "x.offset"), "probe-terms")
@@ -133,7 +133,7 @@ def windows(benchmark: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0 AND item_id IS NOT NULL")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - width))
     cut = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, width))).alias("terms"))
-    cut = cut.withColumn("text", F.array_join("terms", " ")).withColumn("phrase", F.sha2("text", 256)).distinct()
+    cut = cut.withColumn("text", F.array_join("terms", " ")).withColumn("phrase", F.xxhash64("text")).distinct()
     cut = stage(cut, "windows")
     return cut.select("phrase", "terms", "text").dropDuplicates(["phrase"]), cut.select("phrase", "item_id")
 
@@ -153,14 +153,17 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> tuple
         F.sort_array(F.collect_set(F.struct("start", "n", "text", "phrase"))).alias("maybe"))
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(
         grouped, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    own = own.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "maybe")
+    # words come before the aggregation, so that they are made once a text and not once a start
+    own = own.select("doc_id", "text_hash", words(F.col("text")).alias("w"), "maybe").dropDuplicates(["doc_id", "text_hash"])
     hits = F.filter("maybe", lambda m: F.array_join(F.slice(F.col("w"), m["start"] + 1, m["n"]), " ") == m["text"])
     exact = own.select("doc_id", "text_hash", hits.alias("hits")).filter("size(hits) > 0")
     # hits are sorted by start: words past the furthest end so far are new
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(
         F.greatest(s["end"], x["start"] + x["n"]).alias("end"),
         (s["n"] + F.greatest(F.lit(0), x["start"] + x["n"] - F.greatest(s["end"], x["start"]))).cast("long").alias("n")))
-    return stage(exact.select("doc_id", "text_hash", covered["n"].alias("n_hit"), F.array_distinct(F.col("hits.phrase")).alias("phrases")), "hits"), owners
+    hits = stage(exact.select("doc_id", "text_hash", covered["n"].alias("n_hit"), F.array_distinct(F.col("hits.phrase")).alias("phrases")), "hits")
+    unstage(index, starts, vocabulary)
+    return hits, owners
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
