@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasmill.llm import shingles
-from atlasmill.llm.common import stage
+from atlasmill.llm.common import stage, unstage
 
 GRAM, SPAN = 8, 20
 _STEP = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8
@@ -106,11 +106,14 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     suffixes = stage(sparse_suffixes(leaders, least), "suffixes")
     each = suffixes.select("doc_id", "text_hash", F.explode(F.arrays_zip("prints", "places")).alias("s")).select("doc_id", "text_hash", "s.prints", "s.places")
     shared = each.groupBy("prints").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("prints")
+    # stored, so that the join below has nothing but exchanges under it and hot prints can be split
+    shared = stage(shared, "shared-prints")
     places = each.join(shared, "prints").groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("at"))  # bounded by the text
     places = stage(places, "places")
     texts = known.select("doc_id", "text_hash", "text").join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     found = stage(extend(texts, least), "stretches")
-    pairs = found.groupBy("print").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    unstage(suffixes, shared, places)
+    pairs = stage(found.groupBy("print").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b"), "pairs")
     hits = found.join(pairs, "print").select("doc_id", "text_hash", "start", F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
     line = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     fresh = (F.col("start") - F.lag("start").over(line) == 1) & (F.col("other") == F.lag("other").over(line))
