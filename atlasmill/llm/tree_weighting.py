@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasmill.llm.common import fold, stage
+from atlasmill.llm.common import fold, stage, unstage
 
 #: Context bytes; with the next byte a string fits into 64 bits.
 DEPTH = 5
 #: Ends a text and fills its first contexts; no byte of UTF-8 has this value.
 END = 255
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _SLICE = 1 << 20
 
 
@@ -155,12 +155,15 @@ def chunk_counts(dealt: DataFrame) -> DataFrame:
         from collections import Counter
         texts = [t.encode().lower() if t else b"" for t in rows.column("text").to_pylist()]
         train = ~np.array(rows.column("held_out").to_pylist(), bool)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0)
+        found, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part, owner in strings_of(texts):
-            u, inverse = np.unique(part, return_inverse=True)
-            merged, inverse2 = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            counts = np.bincount(inverse2, np.concatenate([counts, np.bincount(inverse, train[owner], len(u))]), len(merged))
-            keys = merged
+            learns = train[owner]
+            for own, weight in ((part[learns], 1), (part[~learns], 0)):
+                u, n = np.unique(own, return_counts=True)
+                found.append(u)
+                number.append(n * weight)
+        keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate(number), len(keys))
         words = Counter({b"": 0})
         for t, learns in zip(texts, train):
             if learns:
@@ -168,11 +171,12 @@ def chunk_counts(dealt: DataFrame) -> DataFrame:
                 words[b""] += 1  # the end
             else:
                 words.update(dict.fromkeys(_words(t), 0))
-        a, b = len(keys), len(words)
+        names = sorted(words)
+        a, b = len(keys), len(names)
         return pa.table({"chunk": pa.array(np.full(a + b, rows.column("chunk")[0].as_py(), np.int32)),
                          "key": pa.concat_arrays([pa.array(keys), pa.nulls(b, pa.int64())]),
-                         "word": pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(list(words), pa.binary())]),
-                         "n": pa.array(np.concatenate([counts.astype(np.int64), np.fromiter(words.values(), np.int64, b)]))})
+                         "word": pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(names, pa.binary())]),
+                         "n": pa.array(np.concatenate([counts.astype(np.int64), np.array([words[w] for w in names], np.int64)]))})
 
     return dealt.groupBy("chunk").applyInArrow(run, "chunk int, key long, word binary, n long")
 
@@ -214,35 +218,45 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
     chunks = max(1, math.ceil(size / chunk_bytes))
     dealt = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
     counted = stage(chunk_counts(dealt), "chunk-counts")
-    words = counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"))
-    words = stage(words, "words")
+    words = stage(counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("chunks")), "words")
     n_train, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     strings = stage(counted.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
                     .withColumn("pair", F.shiftright("key", 8).bitwiseAND(0xFFFF)), "strings")
     chance = stage(string_chances(strings), "chances")
+    # a word of one chunk only has its count there already
+    several = words.filter("chunks > 1").select("word", "c")
     back = (counted.filter("key IS NOT NULL").select("chunk", "key").join(chance, "key")
-            .select("chunk", "key", F.lit(None).cast("binary").alias("word"), "chance")
-            .unionByName(counted.filter("word IS NOT NULL").select("chunk", "word").join(words, "word")
-                         .select("chunk", F.lit(None).cast("long").alias("key"), "word", F.col("c").cast("double").alias("chance"))))
+            .select("chunk", "key", F.lit(None).cast("binary").alias("word"), F.col("chance").cast("float").cast("double").alias("value"))
+            .unionByName(counted.filter("word IS NOT NULL").select("chunk", "word").join(several, "word")
+                         .select("chunk", F.lit(None).cast("long").alias("key"), "word", F.col("c").cast("double").alias("value"))))
+    back = stage(back, "values")
+    unstage(counted, words, strings, chance)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("bits_per_byte", T.DoubleType())])
     floor, under = 0.1, n_train + 0.1 * (distinct + 1)
 
     def add_up(rows: pa.Table, values: pa.Table) -> pa.Table:
+        from collections import Counter
         texts = [t.encode().lower() if t else b"" for t in rows.column("text").to_pylist()]
         column = values.column("key").combine_chunks()
         strings = np.asarray(column.is_valid())
-        numbers = values.column("chance").to_numpy()
+        numbers = values.column("value").to_numpy()
         keys, chances = values.column("key").drop_null().to_numpy(), numbers[strings]
         order = np.argsort(keys)
         keys, chances = keys[order], chances[order]
-        counts = dict(zip(values.column("word").drop_null().to_pylist(), numbers[~strings].tolist()))
+        counts = Counter()
+        for t, learns in zip(texts, (~np.array(rows.column("held_out").to_pylist(), bool)).tolist()):
+            if learns:
+                counts.update(_words(t))
+                counts[b""] += 1
+        counts = dict(counts)
+        counts.update(zip(values.column("word").drop_null().to_pylist(), numbers[~strings].tolist()))
         scores = np.zeros(len(texts))
         for part, owner in strings_of(texts):
             scores += np.bincount(owner, chances[np.searchsorted(keys, part)], len(texts))
         tokens, hits, base = [], [], []
         for t in texts:
-            found = [counts[w] for w in _words(t)] + [counts[b""]]
+            found = [counts.get(w, 0) for w in _words(t)] + [counts.get(b"", 0)]
             tokens.append(len(found))
             hits.append(sum(c > 0 for c in found))
             base.append(float(np.log10((np.array(found) + floor) / under).sum()))
