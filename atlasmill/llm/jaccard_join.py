@@ -34,8 +34,12 @@ from atlasmill.llm.common import components, parallelism, stage, unstage
 
 #: Sets in one block of a search.
 BLOCK = 256
+#: Sets whose sizes differ by less than this factor share a shelf of blocks.
+SIZE_STEP = 1.02
 #: Lists of a block with at least this many sets count as long.
 LONG = 32
+#: Cost of one step of a binary probe against one of merging, and probes made at a time.
+PROBE_COST, PROBES = 0.1, 1 << 20
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -101,6 +105,52 @@ class InvertedBlock:
         self.keys, self.start = np.unique(values, return_index=True)
         self.length = np.diff(np.append(self.start, len(values)))
         self.is_long = self.length >= long
+        # one number an entry, in order: what binary probes look for
+        self.codes = np.repeat(np.arange(len(self.keys)), self.length) * len(sets) + self.owner
+
+    def aside(self, needed: np.ndarray, longest: np.ndarray, long_lists: np.ndarray) -> np.ndarray:
+        """Number of lists to put aside: fewer the dearer a probe is, and one less than the overlap at most."""
+        wanted = (needed / (PROBE_COST * np.log2(longest + 1) + 1)).astype(np.int64)
+        return np.maximum(0, np.minimum(np.minimum(wanted, needed - 1), long_lists))
+
+    def search_all(self, queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(query, set)`` numbers of all links between queries and sets of the block.
+
+        The same as ``search`` for each query, in arrays: the entries of all short lists are merged by
+        counting them, and the pairs that reach the lower threshold probe the long lists.
+        """
+        width, n = len(self.sets), np.array([len(q) for q in queries], np.int64)
+        asked = np.repeat(np.arange(len(queries)), n)
+        values = np.concatenate(queries)
+        lists = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
+        known = self.keys[lists] == values
+        asked, lists = asked[known], lists[known]
+        order = np.lexsort((lists, self.length[lists], asked))
+        asked, lists = asked[order], lists[order]
+        held = np.bincount(asked, minlength=len(queries))
+        first = np.cumsum(held) - held
+        longest = np.ones(len(queries), np.int64)
+        longest[held > 0] = self.length[lists[(first + held - 1)[held > 0]]]
+        least = -(-percent * (n + -(-percent * n // 100)) // (100 + percent))
+        put = np.minimum(self.aside(least, longest, np.bincount(asked, self.is_long[lists], len(queries)).astype(np.int64)), held)
+        short = np.arange(len(lists)) - first[asked] < held[asked] - put[asked]
+        lengths = self.length[lists[short]]
+        spots = np.repeat(self.start[lists[short]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        seen = np.bincount(np.repeat(asked[short], lengths) * width + self.owner[spots], minlength=len(queries) * width).reshape(-1, width)
+        need = -(-percent * (n[:, None] + self.sizes[None]) // (100 + percent))
+        q, d = np.nonzero((seen > 0) & (seen >= need - put[:, None]))
+        total, need = seen[q, d], need[q, d]
+        step = max(1, PROBES // max(1, int(put.max(initial=1))))
+        for at in range(0, len(q), step):
+            some = slice(at, at + step)
+            probes = put[q[some]]
+            pair = np.repeat(np.arange(len(probes)), probes)
+            rank = np.arange(int(probes.sum())) - np.repeat(np.cumsum(probes) - probes, probes)
+            one = lists[(first + held - put)[q[some]][pair] + rank]
+            code = one * width + d[some][pair]
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            total[some] += np.bincount(pair, self.codes[place] == code, len(probes)).astype(np.int64)
+        return q[total >= need], d[total >= need]
 
     def search(self, query: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """``(set, overlap)`` of every set of the block that links with the query."""
@@ -112,14 +162,14 @@ class InvertedBlock:
         if len(lists) < least:
             return []
         # at most T - 1 lists may be put aside, so that a result shows up in the short ones
-        aside = min(int(self.is_long[lists].sum()), least - 1)
+        aside = int(self.aside(np.int64(least), self.length[lists].max(), self.is_long[lists].sum()))
         short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
         found = []
         for d, seen in self._merge(short, least - aside):
             need = overlap_needed(n, int(self.sizes[d]), percent)
             left = len(long)
             for k in long[::-1]:
-                if seen >= need or seen + left < need:
+                if seen + left < need:
                     break
                 own = self.owner[self.start[k]:self.start[k] + self.length[k]]
                 i = np.searchsorted(own, d)
@@ -129,16 +179,8 @@ class InvertedBlock:
         return found
 
     def _merge(self, lists: np.ndarray, least: int):
-        """Sets in at least ``least`` of the lists, by merging them in the order of sets.
-
-        Few lists go through a heap; with many, one sort of all entries gives the same counts.
-        """
+        """Sets in at least ``least`` of the lists, by merging them with a heap."""
         parts = [self.owner[self.start[k]:self.start[k] + self.length[k]] for k in lists]
-        if len(parts) > 64:
-            ids, counts = np.unique(np.concatenate(parts), return_counts=True)
-            keep = counts >= least
-            yield from zip(ids[keep].tolist(), counts[keep].tolist())
-            return
         heap = [(int(p[0]), k, 0) for k, p in enumerate(parts) if len(p)]
         heapq.heapify(heap)
         while heap:
@@ -177,22 +219,24 @@ def candidates(signed: DataFrame, percent: int) -> DataFrame:
     p = smallest - F.ceil(smallest * percent / 100) + 1
     low = signed.select(F.col("doc_id").alias("id"), (F.floor(p / 2) + 1).alias("l"), F.explode("low").alias("h"))
     twice = low.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    twice = stage(twice, "twice")  # so that the join has exchanges only below it and hot hashes can be split
     return low.join(twice, "h").groupBy("id", "l").agg(F.count(F.lit(1)).alias("c")).filter("c >= l").select("id")
 
 
 def families(sets: DataFrame, percent: int) -> DataFrame:
-    """``(id, family, own)`` of the sets that may link; ``own``: shingles no other set has."""
+    """``(id, family, own)`` of the sets that may link; ``own``: shingles that no other set has."""
     n = F.size("items")
     p = (n - F.ceil(n * percent / 100) + 1).alias("p")
     rows = sets.select("id", n.alias("n"), p, F.explode("items").alias("h"))
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counts = stage(counts, "counts")
     shared = stage(rows.join(counts, "h"), "shared")
     # of the p rarest shingles, those of its own come first
     own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
     prefix = stage(shared.withColumn("own", own).withColumn("r", rank).filter("own < p AND own + r <= p").select("id", "h", "own"), "prefix")
     unstage(shared)
-    first = prefix.groupBy("h").agg(F.min("id").alias("f"))
+    first = stage(prefix.groupBy("h").agg(F.min("id").alias("f")), "first")
     linked = components(prefix.join(first, "h").select(F.col("id").alias("a"), F.col("f").alias("b")))
     return stage(linked.withColumnRenamed("component", "family").join(prefix.select("id", "own").distinct(), "id"), "families")
 
@@ -223,19 +267,25 @@ def search_families(sets: DataFrame, family: DataFrame, percent: int, block: int
     pairs = known.join(hub, "family").select("id", "items", F.col("hub.id").alias("hub"), F.col("hub.items").alias("hub_items"))
     verdict = stage(pairs.mapInArrow(against_hub, T.StructType([T.StructField("id", kind), T.StructField("hub", kind), T.StructField("linked", T.BooleanType())])), "verdicts")
     links = verdict.filter("linked AND id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    # queries: sets not linked with the hub. Their blocks meet every block of the family.
-    todo = known.join(verdict, "id").join(hub.select("family", "f"), "family")
-    open_ = todo.filter("NOT linked").groupBy("family").agg(F.count(F.lit(1)).alias("q"))
-    todo = todo.join(open_, "family")
-    index_blocks = F.ceil(F.col("f") / block).cast("int")
-    query_blocks = F.ceil(F.col("q") / block).cast("int")
-    own_index = F.pmod(F.xxhash64("id"), index_blocks).cast("int")
-    own_query = F.pmod(F.xxhash64("id", F.lit(1)), query_blocks).cast("int")
-    as_index = todo.select("family", "id", "items", F.lit(False).alias("query"), own_index.alias("i"),
-                           F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("j"))
-    as_query = todo.filter("NOT linked").select("family", "id", "items", F.lit(True).alias("query"),
-                                                F.explode(F.sequence(F.lit(0), index_blocks - 1)).alias("i"), own_query.alias("j"))
-    rows = as_index.unionByName(as_query).select(F.xxhash64("family", "i", "j").alias("cell"), "query", "id", "items")
+    # Queries are sets not linked with the hub. A set shares all but its own shingles at most, which
+    # bounds the size of its partners from above; blocks hold sets of similar size, so a query meets
+    # few of them. A link of two queries is found from either side.
+    sized = known.join(verdict, "id").withColumn("n", F.size("items").cast("long"))
+    bucket = lambda m: F.floor(F.log(m) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
+    sized = sized.withColumn("bucket", bucket(F.col("n")))
+    open_ = sized.filter("NOT linked").select("family", "id", "n", "own")
+    highest = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n"))
+    open_ = open_.withColumn("low", F.ceil(F.col("n") * percent / 100)).withColumn("high", highest).filter("low <= high")
+    counted = open_.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_blocks"))
+    asked = open_.join(counted, "family").select(
+        "family", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.col("query_blocks")).cast("int").alias("j"), F.explode(F.sequence(bucket(F.col("low")) - 1, bucket(F.col("high")) + 1)).alias("bucket"))
+    shelves = sized.groupBy("family", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asked = stage(asked.join(shelves, ["family", "bucket"]).select("family", "bucket", "id", "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")), "asked")
+    cells = asked.select("family", "bucket", "i", "j").distinct()
+    placed = sized.join(shelves, ["family", "bucket"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    as_index = placed.join(cells, ["family", "bucket", "i"]).select("family", "bucket", "i", "j", F.lit(False).alias("query"), "id", "items")
+    as_query = asked.join(sets, "id").select("family", "bucket", "i", "j", F.lit(True).alias("query"), "id", "items")
+    rows = as_index.unionByName(as_query).select(F.xxhash64("family", "bucket", "i", "j").alias("cell"), "query", "id", "items")
 
     def search(batches):
         pending, cell = [], None
@@ -246,10 +296,8 @@ def search_families(sets: DataFrame, family: DataFrame, percent: int, block: int
             if not queries or len(index) < 1:
                 return []
             lists, union = InvertedBlock([s for _, s in index], long), _Union()
-            found = []
-            for i, s in queries:
-                found += _spanning([(i, index[d][0]) for d, _ in lists.search(s, percent) if index[d][0] != i], union)
-            return found
+            q, d = lists.search_all([s for _, s in queries], percent)
+            return _spanning([(queries[a][0], index[b][0]) for a, b in zip(q.tolist(), d.tolist()) if queries[a][0] != index[b][0]], union)
 
         def rows_of(found):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], batch.column(2).type), pa.array([b for _, b in found], batch.column(2).type)], names=["a", "b"])
@@ -282,7 +330,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(real.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     leaders = real.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi")
-    maybe = stage(candidates(leaders, percent), "maybe").select(F.col("id").alias("doc_id")).distinct()
+    passed = stage(candidates(leaders, percent), "maybe")
+    maybe = passed.select(F.col("id").alias("doc_id")).distinct()
     # a class may have several rows with its smallest id, and an id several texts: sets count once
     sets = full_sets(docs.join(maybe, "doc_id", "left_semi"), k)
     sets = stage(sets.filter(F.size("items") > 0).dropDuplicates(["id"]), "sets")
@@ -291,6 +340,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
     rooted = classes.join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
     smallest = rooted.groupBy("root").agg(F.min("class").alias("component_id"))
     roots = stage(rooted.join(smallest, "root").select("digest", "component_id"), "roots")
+    unstage(classes, passed, sets, links)
     known = signed.drop("low").join(roots, "digest", "left")
     return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id"))
                         .otherwise(F.col("component_id")).alias("component_id"))

@@ -337,6 +337,8 @@ def test_divide_skip_equals_counting():
         for q in sets:
             want = [(d, len(np.intersect1d(q, s))) for d, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 85 * len(np.union1d(q, s))]
             assert sorted(block.search(q, 85)) == want
+        found = sorted(zip(*(x.tolist() for x in block.search_all(sets, 85))))
+        assert found == sorted((k, d) for k, q in enumerate(sets) for d, _ in block.search(q, 85))
 
 
 def test_keep_one(spark, docs, awkward):
