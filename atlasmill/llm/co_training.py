@@ -2,9 +2,9 @@
 
 Two views of a document have a classifier each: the content of the text, and the metadata of its
 page (source, language, length, and the layout of its lines). Both start from labelled rows. In
-each round a view labels the documents it is surest about for the other view; afterwards the
-views are calibrated on held-out labels, and their calibrated log-odds are added to score every
-document.
+each round a view labels every document it is sure of for the other view, as counts of features
+that are summed in Spark; afterwards the views are calibrated on held-out labels, and their
+calibrated log-odds are added to score every document.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasmill.llm import linear
-from atlasmill.llm.common import fold, stage
+from atlasmill.llm.common import fold, stage, unstage
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -49,8 +49,20 @@ def metadata(text: str | None, source: str | None, lang: str | None, n_chars: in
             f"mean:{log(sum(long) / len(long)) if long else 0}", f"chars:{log(n_chars or 0)} lines:{log(len(long))}"}
 
 
-def _log_odds(w: np.ndarray, found: list[int]) -> float:
-    return float(w[-1] + sum(w[k] for k in found))
+def _packed(found: list[int]) -> bytes:
+    """A feature list as bytes; sorted, so that equal texts have equal bytes."""
+    return np.array(sorted(found), "<i4").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<i4").astype(np.int64)
+
+
+def _log_odds(w: np.ndarray, lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of every list, and the features of all lists with the number of their list."""
+    flat = _unpacked(b"".join(lists))
+    owner = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
+    return np.bincount(owner, w[flat], len(lists)) + w[-1], flat, owner
 
 
 def _scored(rows: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -61,19 +73,54 @@ def _scored(rows: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def run(batches):
         for batch in batches:
-            z = [pa.array([_log_odds(w, f) for f in batch.column(names.index(c)).to_pylist()], pa.float64()) for w, c in zip(given.value, "ab")]
+            z = [pa.array(_log_odds(w, batch.column(names.index(c)).to_pylist())[0], pa.float64()) for w, c in zip(given.value, "ab")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *z], names=[*names, "za", "zb"])
 
     return rows.mapInArrow(run, schema)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 3, exchange: int = 500, sure: float = 0.95,
+def hand_over(pool: DataFrame, weights: tuple[np.ndarray, np.ndarray], sure: float) -> dict[str, np.ndarray]:
+    """What each view learns from the other: rows of ``pool(a, b)`` with each of its features, by label.
+
+    A row counts for a view when the other view is sure of its label. ``[0]`` has the rows labelled 0, ``[1]``
+    those labelled 1; the last column counts all. Tasks count before the shuffle, so only sums reach the driver.
+    """
+    given, edge = pool.sparkSession.sparkContext.broadcast(weights), math.log(sure / (1 - sure))
+    widths = [len(w) for w in weights]
+
+    def count(batches):
+        sums = [np.zeros((2, n), np.int64) for n in widths]
+        for batch in batches:
+            views = [_log_odds(w, batch.column(k).to_pylist()) for k, w in enumerate(given.value)]
+            for own, (z, _, _), (_, flat, owner) in zip(sums, reversed(views), views):
+                for y, chosen in enumerate((z <= -edge, z >= edge)):
+                    own[y] += np.append(np.bincount(flat[chosen[owner]], minlength=own.shape[1] - 1), chosen.sum())
+        for view, own in zip("ab", sums):
+            k = np.flatnonzero(own.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array([view] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(own[0][k]), pa.array(own[1][k])], names=["view", "k", "zeros", "ones"])
+
+    out = {v: np.zeros((2, n), np.int64) for v, n in zip("ab", widths)}
+    sums = pool.select("a", "b").mapInArrow(count, "view string, k int, zeros long, ones long").groupBy("view", "k")
+    for r in sums.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect():  # at most the features of both views
+        out[r.view][:, r.k] = r.zeros, r.ones
+    return out
+
+
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of each feature by counts as of ``hand_over``; the constant is left to the fit."""
+    share = np.log((counts[:, :-1] + 0.5) / (counts[:, -1:] + 1.0))
+    return np.append(share[1] - share[0], 0.0)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure: float = 0.95,
                   bound: int = 20_000, vocabulary: int = 4096, folds: int = 5) -> DataFrame:
     """``(doc_id, held_out, content_score, metadata_score, score, predicted)`` of every row; score: chance of good quality.
 
     At most ``bound`` labelled rows, those with the smallest hashes of their ids, are used; those of
-    fold 0 calibrate, the others train. A round hands over at most ``exchange`` documents a class and view, the surest of all
-    documents above the chance ``sure``. Nulls count as values of their own; null texts are empty.
+    fold 0 calibrate, the others train. A round hands over all documents without a used label that a view puts above the chance
+    ``sure`` for one of the labels, however many; each round counts them anew by the weights of the last, so none counts twice, and
+    documents with the same features in both views count as one. The labelled rows decide how much the counts are
+    trusted. Nulls count as values of their own; null texts are empty.
     Without labels of both kinds every score is one half. Repeated rows get equal scores; of labels that repeat the smallest counts.
     """
     sc = docs.sparkSession.sparkContext
@@ -90,37 +137,36 @@ def score_quality(docs: DataFrame, labels: DataFrame, rounds: int = 3, exchange:
         a, b = known.value
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            one = [[a[f] for f in content(t) if f in a] for t in cols[1]]
-            two = [[b[f] for f in metadata(*x) if f in b] for x in zip(*cols[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], names=["doc_id", "a", "b"])
+            one = [_packed([a[f] for f in content(t) if f in a]) for t in cols[1]]
+            two = [_packed([b[f] for f in metadata(*x) if f in b]) for x in zip(*cols[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["doc_id", "a", "b"])
 
-    listed = T.ArrayType(T.IntegerType())
-    seen = stage(rows.mapInArrow(views, T.StructType([docs.schema["doc_id"], T.StructField("a", listed), T.StructField("b", listed)])), "views")
+    seen = stage(rows.mapInArrow(views, T.StructType([docs.schema["doc_id"], T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])), "views")
     labelled = seen.join(F.broadcast(chosen), "doc_id").select("a", "b", "y", "held_out").collect()  # the bounded sample
     held = [r for r in labelled if r.held_out]
-    mine = {v: [(np.array(getattr(r, v), np.int64), float(r.y > 0)) for r in labelled if not r.held_out] for v in "ab"}
+    taught = [r for r in labelled if not r.held_out]
+    mine = {v: [_unpacked(getattr(r, v)) for r in taught] for v in "ab"}
+    truth = np.array([float(r.y > 0) for r in taught])
     width = {"a": len(names_a), "b": len(names_b)}
+    own = {v: np.array([np.append(np.bincount(np.concatenate([x for x, t in zip(mine[v], truth) if t == y] or [np.zeros(0, np.int64)]), minlength=width[v]), (truth == y).sum())
+                        for y in (0.0, 1.0)]) for v in "ab"}
 
-    def fitted():
-        return tuple(linear.fit([x for x, _ in mine[v]], np.array([y for _, y in mine[v]]), width[v], ridge=0.5) if mine[v] else np.zeros(width[v] + 1) for v in "ab")
+    def fitted(handed=None):
+        lead = {v: evidence(own[v] + handed[v]) if handed and handed[v][:, -1].any() else None for v in "ab"}
+        return tuple(linear.fit(mine[v], truth, width[v], ridge=0.5, lead=lead[v]) if taught else np.zeros(width[v] + 1) for v in "ab")
 
     weights = fitted()
-    unlabelled = seen.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-    for _ in range(rounds if names_a and names_b else 0):
-        handed = _scored(unlabelled, weights)
-        edge = math.log(sure / (1 - sure))
-        for view, other in (("a", "b"), ("b", "a")):
-            for y, order in ((1.0, F.desc(f"z{view}")), (0.0, F.asc(f"z{view}"))):
-                sure_ones = handed.filter(F.col(f"z{view}") >= edge if y else F.col(f"z{view}") <= -edge)
-                top = sure_ones.orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(exchange).select("doc_id", other).collect()
-                mine[other] += [(np.array(r[other], np.int64), y) for r in top]
-        weights = fitted()
+    if names_a and names_b and rounds:
+        pool = stage(seen.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("a", "b").distinct(), "pool")
+        for _ in range(rounds):
+            weights = fitted(hand_over(pool, weights, sure))
+        unstage(pool)
     y = np.array([float(r.y > 0) for r in held])
     base = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     prior = math.log(base / (1 - base))
     curves = []
     for v, w in zip("ab", weights):
-        z = np.array([_log_odds(w, getattr(r, v)) for r in held])
+        z = _log_odds(w, [bytes(getattr(r, v)) for r in held])[0]
         curves.append(linear.calibrate(z, y) if len(held) else (1.0, 0.0))
     (sa, ca), (sb, cb) = curves
     za, zb = F.col("za") * sa + ca, F.col("zb") * sb + cb

@@ -52,22 +52,37 @@ def associated(sample: DataFrame, features, bound: int, least: int = 3, strength
     return [(r.name, r.ratio, r.share) for r in kept.orderBy(F.desc("g"), "name").limit(bound).select("name", "ratio", "share").collect()]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, width: int, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
-    """Logistic regression with soft labels; the last weight is the constant. Nesterov steps on all rows."""
+def fit(rows: list[np.ndarray], y: np.ndarray, width: int, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 300,
+        lead: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression with soft labels; the last weight is the constant. Nesterov steps on all rows.
+
+    ``lead`` has weights found elsewhere: their score is one more input, whose own weight is fitted along and
+    multiplied into the result.
+    """
     lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows).astype(np.int64) if len(rows) and lengths.sum() else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     weight = np.ones(len(rows)) if weight is None else weight
-    w, last = np.zeros(width + 1), np.zeros(width + 1)
+    led, middle, spread = np.zeros(len(rows)), 0.0, 1.0
+    if lead is not None and len(rows):
+        led = np.bincount(owner, lead[flat], len(rows)) + lead[-1]
+        middle, spread = led.mean(), led.std() or 1.0
+        led = (led - middle) / spread
+    w, last = np.zeros(width + 2), np.zeros(width + 2)
     # a bound for the curvature: largest row norm times rows, eased by the features' own frequency
-    scale = np.append(np.bincount(flat, weight[owner], width), weight.sum()) * (1 + (lengths.mean() if len(rows) else 0)) / 4 + ridge
+    scale = np.append(np.bincount(flat, weight[owner], width), [weight.sum(), (weight * np.abs(led)).sum()])
+    scale = scale * (1 + (lengths.mean() + np.abs(led).mean() if len(rows) else 0)) / 4 + ridge
     for step in range(rounds):
         ahead = w + step / (step + 3) * (w - last)
-        z = np.bincount(owner, ahead[flat], len(rows)) + ahead[-1]
+        z = np.bincount(owner, ahead[flat], len(rows)) + ahead[-2] + ahead[-1] * led
         error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        slope = np.append(np.bincount(flat, error[owner], width) + ridge * ahead[:-1], error.sum())
+        slope = np.append(np.bincount(flat, error[owner], width) + ridge * ahead[:-2], [error.sum(), error @ led + ridge * ahead[-1]])
         last, w = w, ahead - slope / scale
-    return w
+    out, trust = w[:-1].copy(), w[-1] / spread
+    if lead is not None:
+        out += trust * lead
+        out[-1] -= trust * middle
+    return out
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -155,6 +155,43 @@ def test_co_training(spark):
     assert len(rows) == 400 and sum(r.predicted == (r.doc_id % 7 != 0) for r in rows) >= 380
 
 
+def test_co_training_hands_over_every_sure_document(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda kind: " ".join(rng.choice([f"{kind}{chr(97 + k)}" for k in range(20)]) for _ in range(12)) + rng.choice([" goodz", " badz"])
+    own = lambda i: "good" if i % 2 else "bad"
+    rows = [(i, word(own(i)) + (f" {own(i + 1)}{chr(97 + i // 2)}" if i < 40 else ""), "en", own(i)[0], 80) for i in range(400)]
+    marks = [(i, i % 2, None) for i in range(400)]
+    texts = {k: word(own(k)) for k in range(1400)}
+    rows += [(1000 + k, t, "en", own(k)[0], 80) for k, t in texts.items()]
+    rows += [(10_000 + k, "gooda " * 12, "en", "g", 80) for k in range(3000)]  # copies, the surest of all
+    seen, plain = [], co_training.hand_over
+    monkeypatch.setattr(co_training, "hand_over", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = co_training.score_quality(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, LABELS)).collect()
+    assert len(got) == len(rows) and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 10_000)
+    assert all(r.predicted for r in got if r.doc_id >= 10_000)
+    # documents differ by their words; all beyond the 500 places of before count, in no round twice, and the copies as one
+    known = len(set(map(frozenset, (t.split() for t in texts.values()))))
+    for handed in seen:
+        assert all(1200 < n <= 1401 for n in (handed[v][:, -1].sum() for v in "ab")) and min(handed[v][:, -1].min() for v in "ab") > 500
+    assert len(seen) == 3 and known > 1200
+
+
+def test_hand_over_counts(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    lists = [(sorted(rng.choice(6, 3, False).tolist()), sorted(rng.choice(4, 2, False).tolist())) for _ in range(700)]
+    w = rng.normal(0, 2, 7), rng.normal(0, 2, 5)
+    pool = spark.createDataFrame([tuple(bytearray(co_training._packed(x)) for x in r) for r in lists], "a BINARY, b BINARY").repartition(5)
+    got = co_training.hand_over(pool, w, 0.8)
+    for view, other in ((0, 1), (1, 0)):
+        want = np.zeros((2, len(w[view])), np.int64)
+        for r in lists:
+            z = w[other][r[other]].sum() + w[other][-1]
+            if abs(z) >= math.log(4):
+                want[int(z > 0), [*r[view], -1]] += 1
+        assert (got["ab"[view]] == want).all() and want.sum() > 700
+
+
 def test_fit_and_calibrate():
     import numpy as np
     y = np.array([1.0, 1, 1, 0, 0, 0] * 20)
