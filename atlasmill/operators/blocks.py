@@ -248,8 +248,9 @@ def finalist_reduce(px: DataFrame, mode: str, factor: int, sizes: DataFrame | No
         F.expr(c.finalist_alpha("a", "a2")).alias("a"))
 
 
-def _grid_cells(px: DataFrame, pitch: int) -> DataFrame:
-    require(pitch >= 2, "pitch must be at least 2")
+def _grid_cells(px: DataFrame, pitch: int | str) -> DataFrame:
+    """``pitch`` may name a column."""
+    require(isinstance(pitch, str) or pitch >= 2, "pitch must be at least 2")
     cells = px.selectExpr("*", f"CAST(FLOOR(x / {pitch}) AS INT) AS cx", f"CAST(FLOOR(y / {pitch}) AS INT) AS cy",
                           f"{c.canonical_argb()} AS canon")
     return cells.groupBy("image_id", "cx", "cy").agg(
@@ -264,8 +265,13 @@ def grid_is_aligned(px: DataFrame, pitch: int) -> DataFrame:
         F.count_if(F.col("low") != F.col("high")).alias("mixed_cells"))
 
 
-def grid_reduce(px: DataFrame, pitch: int) -> DataFrame:
-    """One pixel per cell of aligned images; images with a mixed cell are left out."""
+def grid_mixed(px: DataFrame, pitch: int | str) -> DataFrame:
+    """Ids of the images that ``grid_reduce`` leaves out."""
+    return _grid_cells(px, pitch).filter("low <> high").select("image_id").distinct()
+
+
+def grid_reduce(px: DataFrame, pitch: int | str) -> DataFrame:
+    """One pixel per cell of aligned images; images with a mixed cell are left out, see ``grid_mixed``."""
     cells = _grid_cells(px, pitch)
     mixed = cells.filter("low <> high").select("image_id").distinct()
     return cells.join(mixed, "image_id", "left_anti").select(

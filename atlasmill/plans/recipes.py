@@ -54,8 +54,12 @@ class Operation:
 
 @dataclass
 class State:
-    """What later steps may need: the aligned cell size per image."""
+    """What later steps may need: the aligned cell size per image; and ``(image_id, reason)`` of images the last step left out."""
     cells: DataFrame | None = None
+    lost: list[DataFrame] = field(default_factory=list)
+
+    def lose(self, images: DataFrame, reason: str) -> None:
+        self.lost.append(images.select("image_id", F.lit(reason).alias("reason")))
 
 
 def _between(name: str, low, high) -> str:
@@ -95,6 +99,7 @@ def _colors_of(o: dict) -> dict:
 
 def _profile(px, s, state):
     o = s["downscale"]
+    state.lose(pixels.crop_rejects(px, o["targetWidth"], o["targetHeight"]), "smaller than the target")
     return blocks.profile_downscale(px, o["targetWidth"], o["targetHeight"], **_palette_of(o), **_colors_of(o))[0]
 
 
@@ -132,17 +137,19 @@ def _cleanup(px, s, state):
 
 
 def _align(px, s, state):
-    out, state.cells = grid.align_to_grid(px, s.get("cellSize"))
+    out, cells = grid.align_to_grid(px, s.get("cellSize"))
+    state.cells = cut_lineage(cells)  # read by the reductions and their rejects
     return out
 
 
 def _reduce(px, s, state):
-    if not s.get("usePreviousAlignment"):
-        return blocks.grid_reduce(px, s["cellSize"])
-    require(state.cells is not None, "usePreviousAlignment needs an earlier alignment")
-    cells = attach_per_image(px, state.cells)
-    anchors = cells.filter("x % pitch = 0 AND y % pitch = 0")
-    return anchors.selectExpr("image_id", "CAST(x DIV pitch AS INT) AS x", "CAST(y DIV pitch AS INT) AS y", "r", "g", "b", "a")
+    pitch = s.get("cellSize")
+    if s.get("usePreviousAlignment"):
+        require(state.cells is not None, "usePreviousAlignment needs an earlier alignment")
+        state.lose(px.select("image_id").distinct().join(state.cells, "image_id", "left_anti"), "no grid was detected")
+        px, pitch = attach_per_image(px, state.cells), "pitch"
+    state.lose(blocks.grid_mixed(px, pitch), "mixed cells")
+    return blocks.grid_reduce(px, pitch)
 
 
 def _background(px, s, state):
@@ -317,7 +324,7 @@ def check_steps(spark: SparkSession, steps: list[dict]) -> None:
         require(step["operationId"] != "filter.ascii", "text output must be the last step")
 
 
-def replay(px: DataFrame, steps: list[dict], store_all: bool = False):
+def replay(px: DataFrame, steps: list[dict], store_all: bool = False, state: State | None = None):
     """Yield the frame and the aligned cells after every step.
 
     A step that reads its input more than once (sizes, then pixels) gets it as a
@@ -325,8 +332,9 @@ def replay(px: DataFrame, steps: list[dict], store_all: bool = False):
     double the work of all steps before it.  One-pass steps stay fused.
     """
     check_steps(px.sparkSession, steps)
-    state, stored = State(), True
+    state, stored = state or State(), True
     for step in steps:
+        state.lost.clear()
         op = OPERATIONS[step["operationId"]]
         simple = op.one_pass or (step["operationId"] == "image.colors" and "connectedPalette" not in step
                                  and (step["downscale"].get("independentColorMode") or "").lower() == "palette")
@@ -346,6 +354,30 @@ def apply_recipe(px: DataFrame, steps: list[dict]) -> DataFrame:
     return out
 
 
+def apply_recipe_with_rejects(px: DataFrame, steps: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """The result of ``apply_recipe``, and ``(image_id, step_index, operation_id, reason)`` of every image it does not have.
+
+    Images before and after each step are compared, so an image that a step drops without a
+    known reason has a row too.
+    """
+    state, rejects = State(), None
+    before = px
+    for index, (step, out, _) in enumerate(replay(px, steps, store_all=True, state=state), 1):
+        gone = before.select("image_id").distinct().join(out.select("image_id").distinct(), "image_id", "left_anti")
+        reasons = None
+        for part in state.lost:
+            reasons = part if reasons is None else reasons.unionByName(part)
+        if reasons is not None:
+            gone = gone.join(reasons.groupBy("image_id").agg(F.min("reason").alias("reason")), "image_id", "left")
+        else:
+            gone = gone.withColumn("reason", F.lit(None).cast("string"))
+        part = gone.select("image_id", F.lit(index).alias("step_index"), F.lit(step["operationId"]).alias("operation_id"),
+                           F.coalesce("reason", F.lit("left out by the step")).alias("reason"))
+        rejects = part if rejects is None else rejects.unionByName(part)
+        before = out
+    return before, rejects
+
+
 def step_report(px: DataFrame, steps: list[dict]) -> DataFrame:
     """Size, colour count and aligned cell of every image after every step."""
     report = None
@@ -360,9 +392,16 @@ def step_report(px: DataFrame, steps: list[dict]) -> DataFrame:
     return report
 
 
-def batch_status(items: DataFrame, key: str, text: str = "json") -> DataFrame:
-    """One status row per item; a bad item never stops the others."""
+def batch_status(items: DataFrame, key: str, text: str = "json", rejects: DataFrame | None = None) -> DataFrame:
+    """One status row per item; a bad item never stops the others.
+
+    ``rejects``, as of ``apply_recipe_with_rejects`` with the items' ids as image ids, has the images that a
+    replay left out: their items have failed at that step.
+    """
     parsed = parse_recipes(items, text)
-    first = validate_recipes(parsed, key).groupBy(key).agg(F.min(F.struct("step_index", "error")).alias("v"))
+    errors = validate_recipes(parsed, key).select(key, "step_index", "error")
+    if rejects is not None:
+        errors = errors.unionByName(rejects.select(F.col("image_id").alias(key), "step_index", F.col("reason").alias("error")))
+    first = errors.groupBy(key).agg(F.min(F.struct("step_index", "error")).alias("v"))
     return items.select(key).join(first, key, "left").select(
         key, F.when(F.col("v").isNull(), "done").otherwise("failed").alias("status"), "v.step_index", "v.error")

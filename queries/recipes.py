@@ -94,6 +94,48 @@ add("apply_recipe_shrink", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "
 add("apply_recipe_factor_sprite", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "resizeFactor": {
     "factor": 0.5, "spriteMode": True, "alphaThreshold": 60}}]), f"""
     WITH {HALVES}, {AUTO}, {covered('CAST(0.6 AS DOUBLE)')} SELECT * FROM sm""")
+# images that a replay leaves out: too small for a grid, more than one colour in a cell, smaller than the target
+FOUND = [{"operationId": "grid.align"}, {"operationId": "grid.reduce", "usePreviousAlignment": True}]
+CELLS = [{"operationId": "filter.monochrome"}, {"operationId": "grid.reduce", "cellSize": 2}]
+SMALL = [{"operationId": "image.profile", "downscale": {"targetWidth": 12, "targetHeight": 60}}]
+
+
+def tiny(v):
+    return v.px().filter("x < 5 AND y < 5")
+
+
+def mixed_source(v):
+    """One image in three shows its left upper pixel everywhere."""
+    return v.px().selectExpr("image_id", "x", "y", *[f"CASE WHEN image_id % 3 = 0 THEN {w} ELSE {u} END AS {u}" for u, w in (("r", "100"), ("g", "100"), ("b", "100"), ("a", "255"))])
+
+
+def rejected(v):
+    out = None
+    for name, px, steps in (("undetected", tiny(v), FOUND), ("mixed", mixed_source(v), CELLS), ("small", v.px(), SMALL)):
+        part = rc.apply_recipe_with_rejects(px, steps)[1].select(F.lit(name).alias("recipe"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+LEFT_OUT = f"""mx AS (SELECT image_id, x//2 AS cx, y//2 AS cy, count(DISTINCT CASE WHEN a = 0 THEN 0 ELSE 1 + a + 256*CAST(round_even({m.lum()}, 0) AS BIGINT) END) AS n
+      FROM px WHERE image_id % 3 <> 0 GROUP BY ALL HAVING n > 1),
+    rj AS (SELECT DISTINCT 'undetected' AS recipe, image_id, 2 AS step_index, 'grid.reduce' AS operation_id, 'no grid was detected' AS reason FROM px WHERE x < 5 AND y < 5
+    UNION ALL SELECT DISTINCT 'mixed', image_id, 2, 'grid.reduce', 'mixed cells' FROM mx
+    UNION ALL SELECT 'small', image_id, 1, 'image.profile', 'smaller than the target' FROM px GROUP BY image_id HAVING max(x)+1 < 12 OR max(y)+1 < 60)"""
+add("recipe_rejects", rejected, f"WITH {LEFT_OUT} SELECT * FROM rj")
+
+
+def judged(v):
+    """Every image with the recipe of the mixed ones as its item."""
+    import json
+    px = mixed_source(v)
+    items = px.select("image_id").distinct().withColumn("json", F.lit(json.dumps({"version": 1, "steps": CELLS})))
+    return rc.batch_status(items, "image_id", rejects=rc.apply_recipe_with_rejects(px, CELLS)[1])
+
+
+add("batch_status_rejects", judged, f"""
+    WITH {LEFT_OUT} SELECT i.image_id, CASE WHEN r.image_id IS NULL THEN 'done' ELSE 'failed' END AS status, r.step_index, r.reason AS error
+    FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN rj r ON r.image_id = i.image_id AND r.recipe = 'mixed'""")
 add("apply_recipe_mixed", lambda v: rc.apply_recipe(v.px8(), MANY))
 
 QUERIES, SQL = area.queries, area.sql

@@ -233,6 +233,29 @@ def test_registered_step_and_recipe_order(spark):
     assert {(r.step_index, r.width, r.height) for r in report} == {(1, 4, 4), (2, 4, 4)}
 
 
+def test_replay_reports_images_it_leaves_out(spark):
+    import json
+    cells = [(1, x, y, 60 * (x // 4 % 2), 90 * (y // 4 % 2), 9, 255) for y in range(24) for x in range(24)]  # a grid
+    tiny = [(2, x, y, 40 * x, 40 * y, 0, 255) for y in range(4) for x in range(4)]  # too small for one
+    px = spark.createDataFrame(cells + tiny, SCHEMA)
+    found = [{"operationId": "grid.align"}, {"operationId": "grid.reduce", "usePreviousAlignment": True}]
+    out, rejects = recipes.apply_recipe_with_rejects(px, found)
+    assert {p.image_id for p in out.collect()} == {1}
+    assert list(map(tuple, rejects.collect())) == [(2, 2, "grid.reduce", "no grid was detected")]
+    out, mixed = recipes.apply_recipe_with_rejects(px, [{"operationId": "grid.reduce", "cellSize": 4}])
+    assert out.count() == 36 and list(map(tuple, mixed.collect())) == [(2, 1, "grid.reduce", "mixed cells")]
+    # cells that a later step mixes again are not reduced to one of their colours
+    blur = [{"operationId": "grid.align", "cellSize": 4}, {"operationId": "image.resize", "downscale": {"targetWidth": 18, "targetHeight": 18}},
+            {"operationId": "grid.reduce", "usePreviousAlignment": True}]
+    assert {tuple(r)[:2] + (r.reason,) for r in recipes.apply_recipe_with_rejects(px.filter("image_id = 1"), blur)[1].collect()} == {(1, 3, "mixed cells")}
+    small = [{"operationId": "image.profile", "downscale": {"targetWidth": 6, "targetHeight": 6}}]
+    out, cropped = recipes.apply_recipe_with_rejects(px, small)
+    assert {p.image_id for p in out.collect()} == {1} and list(map(tuple, cropped.collect())) == [(2, 1, "image.profile", "smaller than the target")]
+    items = spark.createDataFrame([(i, json.dumps({"version": 1, "steps": found})) for i in (1, 2)] + [(3, "no json")], "image_id BIGINT, json STRING")
+    status = {r.image_id: tuple(r)[1:] for r in recipes.batch_status(items, "image_id", rejects=rejects).collect()}
+    assert status == {1: ("done", None, None), 2: ("failed", 2, "no grid was detected"), 3: ("failed", 0, "not a recipe")}
+
+
 # --- sources and sinks -------------------------------------------------------------------
 
 def write_png(path, width, height, rgba):
