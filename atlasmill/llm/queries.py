@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atlasmill.llm import (co_training, decontamination, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, token_counts,
-                            toxicity, tree_weighting)
+from atlasmill.llm import (co_training, conversation_repair, decontamination, jaccard_join, mixing, path_compaction, periodic_runs, quality_rules, sharding,
+                            suffix_dedup, token_counts, toxicity, tree_weighting)
 from atlasmill.llm.common import table
 
 
@@ -51,7 +52,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = path_compaction.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_quality_classifier, op4_decontamination, op5_mixing, op6_sharding, op7_quality_rules, op8_ngram_jaccard, op9_lm_scoring,
-                                 op10_suffix_dedup)}
+                                 op10_suffix_dedup, op11_periodic_runs, op12_conversation_repair, op13_substring_dedup)}
 
 SQL: dict[str, str] = {}

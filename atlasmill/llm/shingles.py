@@ -16,6 +16,7 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+AS_THEY_ARE = np.arange(256, dtype=np.uint8)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -24,8 +25,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, A-Z in lower case."""
+def word_hashes(text: bytes, letters_as: np.ndarray = _LOWER) -> np.ndarray:
+    """Hashes of the words of a text, A-Z in lower case unless ``letters_as`` says otherwise."""
     raw = np.frombuffer(text, np.uint8)
     inside = ~_SPACES[raw]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
@@ -39,7 +40,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     powers = np.full(int(lengths.max()), _BASE, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    values = _BYTE[_LOWER[letters]] * powers[place]
+    values = _BYTE[letters_as[letters]] * powers[place]
     return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
