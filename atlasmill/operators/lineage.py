@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlasmill.operators.forest import Forest
 from atlasmill.runtime import attach_unique, bucketed_running_sum, cut_lineage, require
 
 
@@ -87,11 +88,7 @@ def break_cycles(nodes: DataFrame, node: str, parent: str) -> DataFrame:
 
 def descendants(nodes: DataFrame, node: str, parent: str, seeds: DataFrame) -> DataFrame:
     """``seed, node, distance`` of every node at or below a seed (cycles have no ancestors)."""
-    lines = ancestry(nodes, node, parent).filter("path IS NOT NULL").select(
-        "node", "depth", F.posexplode(F.transform("path", lambda p: p["node"])).alias("at", "seed"))
-    wanted = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("hit", F.lit(True))
-    return attach_unique(lines, wanted, ["seed"], ["node"], "inner").select(
-        "seed", "node", (F.col("depth") - F.col("at")).alias("distance"))
+    return Forest(nodes, node, parent).below(seeds)
 
 
 # --- folders ---------------------------------------------------------------------
@@ -114,17 +111,19 @@ def folder_paths(folders: DataFrame, projects: DataFrame) -> DataFrame:
 
 def prune_folders(folders: DataFrame, live_links: DataFrame) -> DataFrame:
     """Folders with at least one live asset at or below them."""
-    used = live_links.select("folder_id").distinct()
-    lines = ancestry(folders, "folder_id", "parent_id").select(F.col("node").alias("folder_id"), "path")
-    keep = lines.join(used, "folder_id", "left_semi").select(F.explode("path").alias("p")).select(
-        F.col("p.node").alias("folder_id")).distinct()
-    return folders.join(keep, "folder_id", "left_semi")
+    used = live_links.select(F.col("folder_id").alias("node")).distinct()
+    forest = Forest(folders, "folder_id", "parent_id")
+    live = forest.nodes.join(used, "node", "left_semi").select("node", F.lit(1).cast("long").alias("n"))
+    return folders.join(forest.totals(live).select(F.col("node").alias("folder_id")), "folder_id", "left_semi")
 
 
 def move_folder_check(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """Verdict per ``(folder_id, new_parent_id)``: ok, own_subtree or name_taken."""
-    below = descendants(folders, "folder_id", "parent_id", moves.select("folder_id")).select(
-        F.col("seed").alias("folder_id"), F.col("node").alias("new_parent_id"), F.lit(True).alias("inside"))
+    numbers = Forest(folders, "folder_id", "parent_id").intervals()
+    own = numbers.select(F.col("node").alias("folder_id"), "enter", "leave")
+    target = numbers.select(F.col("node").alias("new_parent_id"), F.col("enter").alias("at"))
+    below = moves.join(own, "folder_id").join(target, "new_parent_id").filter("at BETWEEN enter AND leave").select(
+        "folder_id", "new_parent_id", F.lit(True).alias("inside")).distinct()
     moved = moves.join(folders.select("folder_id", "project_id", "name"), "folder_id")
     siblings = folders.select("project_id", F.col("parent_id").alias("new_parent_id"), F.lower("name").alias("low"),
                               F.col("folder_id").alias("other"))
@@ -231,22 +230,18 @@ def branch_rows(gens: DataFrame) -> DataFrame:
 
     The first child continues its parent's row, later children start below all
     rows of the earlier ones.  Rows are sums of leaf counts along the path, so
-    no tree is ever sorted in one task.
+    no tree is ever sorted in one task and no node meets all its ancestors.
     """
-    tree = gens.select("gen_id", "parent_id", "created_at")
-    lines = cut_lineage(ancestry(tree, "gen_id", "parent_id").select(
-        F.col("node").alias("gen_id"), F.col("top").alias("root_id"), "depth",
-        F.expr("transform(path, p -> p.node)").alias("path")))
-    inner = tree.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("gen_id")).distinct()
-    leaves = (lines.join(inner, "gen_id", "left_anti").select(F.explode("path").alias("gen_id"))
-              .groupBy("gen_id").agg(F.count(F.lit(1)).alias("leaves")))
-    placed = bucketed_running_sum(tree.join(leaves, "gen_id").filter("parent_id IS NOT NULL"), ["parent_id"],
-                                  F.trunc("created_at", "month"), ["created_at", "gen_id"], "leaves", "before")
-    shift = placed.select("gen_id", "before")
-    steps = lines.select("gen_id", F.explode("path").alias("at"))
-    rows = attach_unique(steps, shift.withColumnRenamed("gen_id", "at"), ["at"], ["gen_id"]).groupBy("gen_id").agg(
-        F.sum(F.coalesce("before", F.lit(0))).alias("row"))
-    return lines.select("gen_id", "root_id", "depth").join(rows, "gen_id")
+    forest = Forest(gens, "gen_id", "parent_id")
+    inner = forest.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
+    leaves = forest.totals(forest.nodes.join(inner, "node", "left_anti").select("node", F.lit(1).cast("long").alias("leaves")))
+    tree = forest.nodes.join(leaves, "node").join(gens.select(F.col("gen_id").alias("node"), "created_at"), "node")
+    placed = bucketed_running_sum(tree.filter("parent IS NOT NULL"), ["parent"], F.trunc("created_at", "month"), ["created_at", "node"], "leaves", "before")
+    steps = forest.nodes.join(placed.select("node", "before"), "node", "left").select(
+        "node", F.coalesce("before", F.lit(0)).cast("long").alias("row"), F.lit(1).cast("long").alias("depth"),
+        F.when(F.col("parent").isNull(), F.col("node")).alias("root_id"))
+    rows = forest.along_paths(steps, {"row": "sum", "depth": "sum", "root_id": "max"})
+    return rows.select(F.col("node").alias("gen_id"), "root_id", (F.col("depth") - 1).cast("int").alias("depth"), "row")
 
 
 def subtree(gens: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -257,7 +252,8 @@ def subtree(gens: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def delete_plan(gens: DataFrame, seeds: DataFrame) -> DataFrame:
     """Deletion order: a result is removed only after everything below it."""
-    return subtree(gens, seeds).groupBy("gen_id").agg(F.max("depth").alias("depth")).orderBy(F.desc("depth"), "gen_id")
+    below = Forest(gens, "gen_id", "parent_id").under_any(seeds)
+    return below.select(F.col("node").alias("gen_id"), F.col("distance").alias("depth")).orderBy(F.desc("depth"), "gen_id")
 
 
 def insertion_plan(gens: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -271,22 +267,28 @@ def insertion_plan(gens: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def merge_plan(gens: DataFrame, pairs: DataFrame, detached: DataFrame | None = None) -> DataFrame:
-    """Steps that replay the path of ``leaf_a`` after ``leaf_b``, or why that is refused."""
-    shown = cut_lineage(display_parents(gens, detached))
-    lines = ancestry(shown, "gen_id", "display_parent").select(
-        "node", "top", F.expr("transform(path, p -> p.node)").alias("path"))
-    inner = shown.filter("display_parent IS NOT NULL").select(F.col("display_parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    ends = lines.join(inner, "node", "left")
+    """Steps that replay the path of ``leaf_a`` after ``leaf_b``, or why that is refused.
+
+    Only the paths of the named leaves are followed.
+    """
+    forest = Forest(display_parents(gens, detached), "gen_id", "display_parent")
+    leaves = pairs.select(F.col("leaf_a").alias("leaf")).unionByName(pairs.select(F.col("leaf_b").alias("leaf"))).distinct()
+    paths = cut_lineage(forest.above(leaves))
+    ends = paths.groupBy("seed").agg(F.max("distance").alias("depth"), F.max_by("node", "distance").alias("top"))
+    inner = forest.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("seed")).distinct().withColumn("inner", F.lit(True))
+    ends = ends.join(inner, "seed", "left")
     both = pairs
     for side in "ab":
-        both = both.join(ends.select(F.col("node").alias(f"leaf_{side}"), F.col("top").alias(f"top_{side}"),
-                                     F.col("path").alias(f"path_{side}"), F.col("inner").alias(f"inner_{side}")), f"leaf_{side}")
+        both = both.join(ends.select(F.col("seed").alias(f"leaf_{side}"), F.col("top").alias(f"top_{side}"),
+                                     F.col("depth").alias(f"depth_{side}"), F.col("inner").alias(f"inner_{side}")), f"leaf_{side}")
     verdict = (F.when(F.col("top_a") == F.col("top_b"), "same_branch").when(F.col("inner_a"), "source_not_leaf")
                .when(F.col("inner_b"), "target_not_leaf").otherwise("ok"))
     both = both.withColumn("verdict", verdict)
-    steps = both.select("leaf_a", "leaf_b", "verdict", F.posexplode_outer(F.when(
-        F.col("verdict") == "ok", F.col("path_a"))).alias("step_index", "gen_id"))
-    return attach_unique(steps, gens.select("gen_id", "operation_id"), ["gen_id"], ["leaf_a"]).select(
+    refused = both.filter("verdict <> 'ok'").select("leaf_a", "leaf_b", "verdict", F.lit(None).cast("int").alias("step_index"),
+                                                    F.lit(None).cast(gens.schema["gen_id"].dataType).alias("gen_id"))
+    replayed = both.filter("verdict = 'ok'").join(paths.withColumnRenamed("seed", "leaf_a"), "leaf_a").select(
+        "leaf_a", "leaf_b", "verdict", (F.col("depth_a") - F.col("distance")).alias("step_index"), F.col("node").alias("gen_id"))
+    return attach_unique(replayed.unionByName(refused), gens.select("gen_id", "operation_id"), ["gen_id"], ["leaf_a"]).select(
         "leaf_a", "leaf_b", "verdict", "step_index", "gen_id", "operation_id")
 
 

@@ -60,7 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     folder = work_folder(df.sparkSession, "round")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._stored = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored rounds that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def attach_per_image(rows: DataFrame, per_image: DataFrame, how: str = "inner",

@@ -8,15 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from atlasmill.runtime import attach_unique, bucketed_running_sum, require, work_folder
 
 REQUEST_SCHEMA = ("job_id BIGINT, asset_id BIGINT, ts TIMESTAMP, operation STRING, revision BIGINT, path STRING, "
                   "destination STRING, sha256 STRING")
+RESPONSE_SCHEMA = "job_id BIGINT, status STRING, answered_at TIMESTAMP"
 # Answers a job can get.
 STATUSES = ("saved", "read", "moved", "deleted", "conflict", "occupied", "missing", "error")
 GUARDED = ("move", "delete", "save")
@@ -29,12 +29,49 @@ def read_mailbox_stream(spark: SparkSession, path: str, schema: str = REQUEST_SC
         "recursiveFileLookup", True).json(path)
 
 
+def known_status() -> Column:
+    """The status of an answer; what no job can get is an error."""
+    return F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("error")
+
+
 def mailbox_status(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests with their answer, or ``pending``; ``requests`` may be a stream."""
-    answers = responses.select("job_id", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("error").alias("status"))
+    answers = responses.select("job_id", known_status().alias("status"))
     return requests.join(answers, "job_id", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
+def settled_status(requests: DataFrame, responses: DataFrame, wait: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Both sides as streams: each request once, with its answer or as ``pending`` when none can come any more.
+
+    An answer counts if it comes within ``wait`` of its request (``answered_at`` against ``ts``); of several
+    the first received counts. A request with an answer comes out with it, one without as soon as both
+    watermarks, ``delay`` behind their newest rows, have passed the end of its wait. That bounds the state:
+    requests and answers older than ``wait`` and ``delay`` are dropped from it.
+    """
+    asked = requests.withWatermark("ts", delay)
+    answers = responses.select(F.col("job_id").alias("answered_job"), "answered_at", known_status().alias("status"))
+    answers = answers.withWatermark("answered_at", delay).dropDuplicatesWithinWatermark(["answered_job"])
+    in_time = (F.col("job_id") == F.col("answered_job")) & (F.col("answered_at") >= F.col("ts")) & (
+        F.col("answered_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    return asked.join(answers, in_time, "left").select(*requests.columns, F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def drain_mailbox(requests: DataFrame, responses: DataFrame, folder: str, wait: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Take in what both streams have and return every request seen so far with its present status.
+
+    Requests land in one table, settled ones in another; those that are only in the first are ``pending``.
+    Calling it again with the same folder goes on from there: an answer in a later batch turns ``pending``
+    into its status, and a repeated batch replaces its own files.
+    """
+    spark = requests.sparkSession
+    run_to_table(requests, "append", f"{folder}/requests")
+    run_to_table(settled_status(requests, responses, wait, delay), "append", f"{folder}/settled")
+    landed = stored_rows(spark, f"{folder}/requests", requests.columns)
+    settled = stored_rows(spark, f"{folder}/settled", [*requests.columns, "status"])
+    open_ = landed.join(settled.select("job_id"), "job_id", "left_anti").withColumn("status", F.lit("pending"))
+    return settled.unionByName(open_)
+
+
 def dedupe_transfers(transfers: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """Drop transfers already received within the watermark delay."""
     if transfers.isStreaming:
@@ -68,23 +105,72 @@ def revision_conflicts(jobs: DataFrame) -> DataFrame:
 
 
 CONFLICT_SCHEMA = "job_id BIGINT, asset_id BIGINT, operation STRING, revision BIGINT, current_revision BIGINT"
+_WAITING = ["job_id", "us", "operation", "revision"]
+
+
+class RevisionCheck(StatefulProcessor):
+    """Jobs of one asset wait until the watermark has passed them and are then judged in the order of time.
 
+    State is the list of waiting jobs, which the watermark bounds, and the revision of the last change.
+    """
 
-def revision_conflict_stream(jobs: DataFrame) -> DataFrame:
-    """The same check on a stream; only the last revision of each asset is state."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else None
-        found = []
-        for row in pd.concat(list(batches)).sort_values(["ts", "job_id"]).itertuples():
-            if row.operation in GUARDED and current is not None and row.revision != current:
-                found.append((row.job_id, key[0], row.operation, row.revision, current))
-            if row.operation != "read":
-                current = int(row.revision)
-        if current is not None:
-            state.update((current,))
-        yield pd.DataFrame(found, columns=["job_id", "asset_id", "operation", "revision", "current_revision"])
-    return jobs.groupBy("asset_id").applyInPandasWithState(
-        step, CONFLICT_SCHEMA, "revision BIGINT", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "job_id BIGINT, us BIGINT, operation STRING, revision BIGINT")
+        self.current = handle.getValueState("current", "revision BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in rows:
+            columns = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in _WAITING]
+            self.waiting.appendList([(job, us, op, None if rev is None else int(rev)) for job, us, op, rev in zip(*columns)])
+            newest = max(filter(None, (newest, int(frame["us"].max()))))
+        if newest is not None:
+            self.handle.registerTimer(-(-newest // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            return
+        rows = pd.DataFrame(list(self.waiting.get()), columns=_WAITING).astype({"revision": "Int64"})
+        ripe = rows["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        if ripe.all():
+            self.waiting.clear()
+        elif ripe.any():
+            self.waiting.put([(r.job_id, r.us, r.operation, None if pd.isna(r.revision) else int(r.revision)) for r in rows[~ripe].itertuples()])
+        if not ripe.any():
+            return
+        rows = rows[ripe].sort_values(["us", "job_id"], ignore_index=True)
+        change = rows["operation"] != "read"
+        last = pd.Series(rows.index, dtype="Int64").where(change).ffill()  # the newest change up to each row
+        before = last.shift()
+        current = rows["revision"].reindex(before.fillna(-1)).reset_index(drop=True)
+        if self.current.exists():
+            current = current.where(before.notna(), self.current.get()[0])
+        if change.any():
+            newest = rows["revision"][last.iloc[-1]]
+            self.current.update((None if pd.isna(newest) else int(newest),))
+        clash = (rows["operation"].isin(GUARDED) & (current != rows["revision"])).fillna(False)
+        found = rows[clash.astype(bool)]
+        yield pd.DataFrame({"job_id": found["job_id"], "asset_id": key[0], "operation": found["operation"],
+                            "revision": found["revision"], "current_revision": current[found.index]})
+
+    def close(self) -> None:
+        pass
+
+
+def revision_conflict_stream(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """``revision_conflicts`` on a stream, in event-time order however jobs are spread over batches.
+
+    A job is judged once the watermark, ``delay`` behind the newest job, has passed it. Jobs that come later
+    than that are dropped. Rows without an asset or a time are left out.
+    """
+    spark = jobs.sparkSession
+    # timers and list state need this store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = jobs.filter("asset_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select(
+        "asset_id", "ts", "job_id", F.unix_micros("ts").alias("us"), "operation", "revision")
+    return timed.groupBy("asset_id").transformWithStateInPandas(RevisionCheck(), CONFLICT_SCHEMA, "append", "eventTime")
 
 
 def online_sessions(beats: DataFrame, key: str, gap: str = "9 seconds", delay: str = "1 minute") -> DataFrame:
@@ -113,6 +199,11 @@ def run_to_table(stream: DataFrame, mode: str, folder: str) -> StreamingQuery:
     return query
 
 
+def stored_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """The rows that ``run_to_table`` has written so far."""
+    return spark.read.parquet(f"{folder}/out").select(*columns)
+
+
 def newest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """Latest version of every key after an update-mode run."""
     rows = spark.read.parquet(f"{folder}/out").drop("batch")

@@ -69,11 +69,12 @@ def test_mailbox_folder(spark, tmp_path):
         return mailbox.read_mailbox_stream(spark, str(inbox), files_per_trigger=1)
     latest = {r.asset_id: (r.revision, r.path, r.missing) for r in mailbox.stream_latest_revision(stream()).collect()}
     assert latest == {7: (9, "/Game/M2", True), 8: (2, None, False)}
-    clashes = {r.job_id for r in mailbox.stream_rows(mailbox.revision_conflict_stream(stream())).collect()}
+    write_jobs(inbox, "3.json", [job(6, -1, "read", 0, 59)])  # time moves on, so that all waits end
+    clashes = {r.job_id for r in mailbox.stream_rows(mailbox.revision_conflict_stream(stream(), "10 minutes")).collect()}
     assert clashes == {4} == {r.job_id for r in mailbox.revision_conflicts(spark.read.schema(mailbox.REQUEST_SCHEMA).json(str(inbox))).collect()}
     answers = spark.createDataFrame([(1, "saved"), (2, "strange")], "job_id BIGINT, status STRING")
     status = {r.job_id: r.status for r in mailbox.stream_rows(mailbox.mailbox_status(stream(), answers)).collect()}
-    assert status == {1: "saved", 2: "error", 3: "pending", 4: "pending", 5: "pending"}
+    assert status == {1: "saved", 2: "error", 3: "pending", 4: "pending", 5: "pending", 6: "pending"}
 
 
 def test_duplicate_transfers_across_batches(spark, tmp_path):
@@ -101,3 +102,53 @@ def test_frames_must_share_one_size(spark, tmp_path):
     assert frames.frame_stream_apply(frames.read_frame_stream(spark, str(good)), steps).count() == 24
     with pytest.raises(Exception, match="differ in size"):
         frames.frame_stream_apply(frames.read_frame_stream(spark, str(bad)), steps)
+
+
+def at(minute):
+    return f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"
+
+
+def test_answers_that_come_batches_later(spark, tmp_path):
+    jobs, replies, folder = tmp_path / "jobs", tmp_path / "replies", str(tmp_path / "table")
+
+    def status():
+        requests = mailbox.read_mailbox_stream(spark, str(jobs), files_per_trigger=1)
+        responses = mailbox.read_mailbox_stream(spark, str(replies), mailbox.RESPONSE_SCHEMA, files_per_trigger=1)
+        return {r.job_id: r.status for r in mailbox.drain_mailbox(requests, responses, folder, "30 minutes", "10 minutes").collect()}
+
+    def ask(name, *rows):
+        write_jobs(jobs, name, [{**job(i, 7, "save", 1, 0), "ts": at(minute)} for i, minute in rows])
+
+    def answer(name, *rows):
+        write_jobs(replies, name, [{"job_id": i, "status": s, "answered_at": at(minute)} for i, s, minute in rows])
+
+    ask("1.json", (1, 1), (2, 2), (3, 3))
+    answer("1.json", (1, "saved", 4))
+    assert status() == {1: "saved", 2: "pending", 3: "pending"}
+    answer("2.json", (2, "strange", 9), (2, "saved", 10))  # a later batch; of two answers the first counts
+    assert status() == {1: "saved", 2: "error", 3: "pending"}
+    settled = lambda: {r.job_id for r in mailbox.stored_rows(spark, f"{folder}/settled", ["job_id"]).collect()}
+    assert settled() == {1, 2}
+    ask("2.json", (4, 90), (5, 91))
+    answer("3.json", (4, "read", 95), (3, "saved", 96), (99, "read", 97))  # too late for 3, unknown 99
+    ask("3.json", (6, 92))
+    assert status() == {1: "saved", 2: "error", 3: "pending", 4: "read", 5: "pending", 6: "pending"}
+    assert settled() == {1, 2, 3, 4}  # the watermark has passed the wait of 3
+    answer("4.json", (5, "conflict", 100))
+    assert status()[5] == "conflict"
+
+
+def test_revisions_in_the_order_of_time_across_batches(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    rows = [{**job(i, rng.choice([7, 7, 7, 8, 9]), rng.choice(["save", "read", "move", "delete", "create"]), rng.choice([1, 2, None]), 0), "ts": at(i)}
+            for i in range(1, 200)]
+    inbox = tmp_path / "inbox"
+    late = sorted(rows, key=lambda r: r["job_id"] + rng.randint(0, 25))  # out of order by up to 25 minutes
+    for k in range(0, len(late), 40):
+        write_jobs(inbox, f"{k:03d}.json", late[k:k + 40])
+    write_jobs(inbox, "999.json", [{**job(1000, -1, "read", 0, 0), "ts": at(600)}])
+    stream = mailbox.read_mailbox_stream(spark, str(inbox), files_per_trigger=1)
+    got = sorted(tuple(r) for r in mailbox.stream_rows(mailbox.revision_conflict_stream(stream, "30 minutes")).collect())
+    batch = mailbox.revision_conflicts(spark.read.schema(mailbox.REQUEST_SCHEMA).json(str(inbox)))
+    assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 20
