@@ -20,16 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.runtime import bucketed_running_sum, cut_lineage, discard
+from atlasmill.runtime import bucketed_running_sum, cut_lineage, discard, stored
 
 BLOCK = 64
+#: Rounds that share one plan; each reads the one before twice, so the plan doubles with each.
+FUSED = 3
 
 
 class Forest:
     """``nodes`` with unique ``node`` ids and a ``parent`` column."""
 
     def __init__(self, nodes: DataFrame, node: str, parent: str):
-        pairs = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ptr"))
+        pairs = stored(nodes).select(F.col(node).alias("node"), F.col(parent).alias("ptr"))
         known = pairs.select(F.col("node").alias("ptr"))
         step = cut_lineage(pairs.filter("ptr IS NOT NULL").join(known, "ptr", "left_semi").select("node", "ptr"))
         jumps, left = [], step.count()
@@ -47,16 +49,29 @@ class Forest:
         parents = jumps[0].withColumnRenamed("ptr", "parent") if jumps else pairs.filter("false").select("node", F.col("ptr").alias("parent"))
         self.nodes = cut_lineage(pairs.select("node").join(parents, "node", "left"))
 
+    def _rounds(self, values: DataFrame, step) -> DataFrame:
+        """``step(now, jump)`` for every jump table, stored after every few of them."""
+        now = stored(values)
+        mine = now is not values
+        for k in range(0, len(self.jumps), FUSED):
+            following = now
+            for jump in self.jumps[k:k + FUSED]:
+                following = step(following, jump)
+            following = cut_lineage(following)
+            if mine:
+                discard(now)
+            now, mine = following, True
+        return now
+
     def totals(self, values: DataFrame) -> DataFrame:
         """Sums of the columns of ``values(node, ...)`` over every node's subtree, for nodes with any."""
         names = values.columns[1:]
-        now = cut_lineage(values)
-        for jump in self.jumps:
+
+        def step(now, jump):
             lifted = now.join(jump, "node").select(F.col("ptr").alias("node"), *names)
-            following = cut_lineage(now.unionByName(lifted).groupBy("node").agg(*[F.sum(c).alias(c) for c in names]))
-            discard(now)
-            now = following
-        return now
+            return now.unionByName(lifted).groupBy("node").agg(*[F.sum(c).alias(c) for c in names])
+
+        return self._rounds(values, step)
 
     def along_paths(self, values: DataFrame, combine: dict[str, str]) -> DataFrame:
         """``sum`` or ``max`` of columns of ``values(node, ...)`` over every node and all nodes above it.
@@ -64,14 +79,12 @@ class Forest:
         ``values`` needs a row for every node.
         """
         merge = [{"sum": F.sum, "max": F.max}[how](c).alias(c) for c, how in combine.items()]
-        now = cut_lineage(values.select("node", *combine))
-        for jump in self.jumps:
+
+        def step(now, jump):
             above = now.select(F.col("node").alias("ptr"), *combine)
-            lowered = jump.join(above, "ptr").select("node", *combine)
-            following = cut_lineage(now.unionByName(lowered).groupBy("node").agg(*merge))
-            discard(now)
-            now = following
-        return now
+            return now.unionByName(jump.join(above, "ptr").select("node", *combine)).groupBy("node").agg(*merge)
+
+        return self._rounds(values.select("node", *combine), step)
 
     def intervals(self) -> DataFrame:
         """``node, enter, leave, depth``: preorder numbers over the whole forest, ends included."""

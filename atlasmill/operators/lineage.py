@@ -232,14 +232,17 @@ def branch_rows(gens: DataFrame) -> DataFrame:
     rows of the earlier ones.  Rows are sums of leaf counts along the path, so
     no tree is ever sorted in one task and no node meets all its ancestors.
     """
+    gens = cut_lineage(gens.select("gen_id", "parent_id", "created_at"))
     forest = Forest(gens, "gen_id", "parent_id")
     inner = forest.nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
     leaves = forest.totals(forest.nodes.join(inner, "node", "left_anti").select("node", F.lit(1).cast("long").alias("leaves")))
-    tree = forest.nodes.join(leaves, "node").join(gens.select(F.col("gen_id").alias("node"), "created_at"), "node")
-    placed = bucketed_running_sum(tree.filter("parent IS NOT NULL"), ["parent"], F.trunc("created_at", "month"), ["created_at", "node"], "leaves", "before")
-    steps = forest.nodes.join(placed.select("node", "before"), "node", "left").select(
-        "node", F.coalesce("before", F.lit(0)).cast("long").alias("row"), F.lit(1).cast("long").alias("depth"),
-        F.when(F.col("parent").isNull(), F.col("node")).alias("root_id"))
+    # children of one parent are numbered by month, so that no parent is a hot spot
+    placed = bucketed_running_sum(gens.join(leaves.withColumnRenamed("node", "gen_id"), "gen_id"), ["parent_id"],
+                                  F.trunc("created_at", "month"), ["created_at", "gen_id"], "leaves", "before")
+    root = F.col("parent").isNull()
+    steps = forest.nodes.join(placed.select(F.col("gen_id").alias("node"), "before"), "node").select(
+        "node", F.when(root, 0).otherwise(F.coalesce("before", F.lit(0))).cast("long").alias("row"), F.lit(1).cast("long").alias("depth"),
+        F.when(root, F.col("node")).alias("root_id"))
     rows = forest.along_paths(steps, {"row": "sum", "depth": "sum", "root_id": "max"})
     return rows.select(F.col("node").alias("gen_id"), "root_id", (F.col("depth") - 1).cast("int").alias("depth"), "row")
 

@@ -65,6 +65,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a stored round, else a stored copy."""
+    return df if hasattr(df, "_stored") else cut_lineage(df)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stored rounds that nothing reads any more."""
     for df in frames:
