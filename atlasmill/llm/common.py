@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out._staged = folder
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the stages made inside at its end, but for those appended to the list it gives."""
+    kept: list[DataFrame] = []
+    _scratch.append([])
+    try:
+        yield kept
+    finally:
+        left = {df._staged for df in kept}
+        unstage(*[df for df in _scratch.pop() if df._staged not in left])
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete stored stages that nothing reads any more."""
     for df in frames:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.llm.common import lower_ascii, stage, unstage
+from atlasmill.llm.common import lower_ascii, scratch, stage, unstage
 
 #: A word of a lower-cased text: anything but the ASCII that is no digit and no lower-case letter.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,14 +128,15 @@ def proximity_matches(phrases: DataFrame, index: DataFrame, slop: int, key: str
 def windows(benchmark: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
     """``(phrase, terms, text)`` of distinct windows and ``(phrase, item_id)``.
 
-    A shorter item is one window; items without words or without an id have none.
+    A shorter item is one window; items without words have none. Windows of an item without an id are
+    searched like any other, and name no item.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0 AND item_id IS NOT NULL")
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - width))
     cut = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, width))).alias("terms"))
     cut = cut.withColumn("text", F.array_join("terms", " ")).withColumn("phrase", F.xxhash64("text")).distinct()
     cut = stage(cut, "windows")
-    return cut.select("phrase", "terms", "text").dropDuplicates(["phrase"]), cut.select("phrase", "item_id")
+    return cut.select("phrase", "terms", "text").dropDuplicates(["phrase"]), cut.filter("item_id IS NOT NULL").select("phrase", "item_id")
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -177,8 +178,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     pairs = hits.select("doc_id", "text_hash", F.explode("phrases").alias("phrase")).join(owners, "phrase")
     items = pairs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = hits.select("doc_id", "text_hash", "n_hit").join(items.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}),
-                                                             F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-    found = stage(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_hit", "items"), "found")
+                                                             F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    found = stage(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "found")
     n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words.cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -188,7 +189,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The clean rows with their own columns."""
-    hits, _ = window_hits(docs, benchmark, width)
-    marked = hits.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """The clean rows with their own columns, whatever their names.
+
+    Null and wordless texts are clean, as is everything against an empty benchmark; benchmark items
+    with a null id count. Equal rows stay or go together, with a null id too.
+    """
+    with scratch() as kept:
+        hits, _ = window_hits(docs, benchmark, width)
+        kept.append(hits)
+    marked = hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    clean = own.join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_anti")
+    return clean.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasmill.llm import shingles
-from atlasmill.llm.common import components, parallelism, stage, unstage
+from atlasmill.llm.common import components, parallelism, scratch, stage, unstage
 
 #: Sets in one block of a search.
 BLOCK = 256
@@ -349,12 +349,25 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest id of their group, and those in no group, with their own columns.
 
-    Rows that share an id stay or go together; of rows that share id and text one stays.
+    Rows that share an id stay or go together; of rows that share id and text one stays. A row with a
+    null id takes part under a key made from its columns, after all ids below 2^62 (where ids are whole
+    numbers; others with a null id all stay). Rows without words are in no group. Column names are
+    free, and an empty table stays empty.
     """
-    found = jaccard_components(docs, **options)
-    kept = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
-    kept = stage(kept, "kept")
-    single = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(kept.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several).unionByName(docs.filter("doc_id IS NULL"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = F.col("doc_id")
+    if docs.schema["doc_id"].dataType in (T.LongType(), T.IntegerType()):
+        own = F.coalesce(own.cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns]), F.lit(1 << 61)))
+    keyed = docs.select(row.alias("row"), own.alias("doc_id"), "text")
+    with scratch() as left:
+        found = jaccard_components(keyed.select("doc_id", "text"), **options)
+        kept = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
+        kept = stage(kept.select("doc_id", "rows"), "kept")
+        left.append(kept)
+    out = keyed.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi").select("row")
+    repeated = kept.filter("rows > 1").select("doc_id")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("row"))
+    out = out.unionByName(keyed.filter("doc_id IS NULL").select("row"))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasmill.llm.common import SPACE, stage
+from atlasmill.llm.common import SPACE, scratch, stage
 from atlasmill.runtime import bucketed_row_number
 
 #: Documents that meet in one block of the tree.
@@ -191,15 +191,30 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
-    chosen = copies(docs, **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "n", "total")
-    chosen = stage(chosen.filter("total > 0"), "mix-copies").withColumnsRenamed({"n": "_n", "total": "_t"})
-    sized = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long"))
-    both = sized.join(chosen, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_z")))
-    turn = F.row_number().over(Window.partitionBy("source", "doc_id", "_size").orderBy("text"))
-    each = F.floor(F.col("_t") / F.col("_n")) + F.when(turn <= F.col("_t") % F.col("_n"), 1).otherwise(0)
-    return (both.withColumn("_each", each.cast("int")).filter("_each > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns))
+    """The rows of ``docs``, each as often as the mix takes it, with their own columns.
+
+    Documents without words, null texts among them, are not taken. Rows that agree in source, id and
+    size share their copies as evenly as whole numbers allow, the smaller text first. Rows with a null
+    source or id take part like any other; an empty table stays empty. Column names are free: the
+    row travels as one column.
+    """
+    with scratch() as kept:
+        chosen = copies(docs, **options).filter("total > 0")
+        chosen = stage(chosen.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), "n", "total"), "mix-copies")
+        kept.append(chosen)
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    own = docs.select(row.alias("row"), "source", "doc_id", size.alias("size"))
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
+    taken = own.join(chosen.filter("n = 1"), same).select("row", F.col("total").alias("each"))
+    # only rows that share a key have to be put in order
+    shared = chosen.filter("n > 1")
+    if not shared.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy(f"row.c{docs.columns.index('text')}"))
+        each = F.floor(F.col("total") / F.col("n")) + F.when(turn <= F.col("total") % F.col("n"), 1).otherwise(0)
+        taken = taken.unionByName(own.join(shared, same).select("row", each.alias("each")).filter("each > 0"))
+    copied = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("each").cast("int"))).alias("copy"))
+    return copied.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:

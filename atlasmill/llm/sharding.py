@@ -106,11 +106,16 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Sl
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``(doc_id, size, text_crc32, virtual_slot)``. A null text has no bytes; 8 are added to every size.
 
-    The slot is a hash of id, size and checksum, so rows without an id still spread.
+    The slot is a hash of id, size and checksum, so rows without an id still spread. Equal rows are counted
+    first, and the hash of each takes in its number among them, so they spread over the slots too.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    counted = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("turn"))
+    first = F.xxhash64("doc_id", "size", "text_crc32")
+    hashed = F.when(F.col("turn") == 1, first).otherwise(F.xxhash64("doc_id", "size", "text_crc32", "turn"))
+    return each.select("doc_id", "size", "text_crc32", F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def shard(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS, current: SlotMap | None = None, folder: str | None = None) -> DataFrame:
@@ -120,7 +125,7 @@ def shard(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS, current: Slot
     the new version is stored in ``folder`` (a new shared folder if none is given). Shards differ
     by little more than one slot, or by one record where a record outweighs a shard. Places are
     numbered per slot, a slot being a bounded part of the data, and shifted by the rows of the
-    slots before it in its shard. Equal rows take neighbouring places. An empty table gives no row.
+    slots before it in its shard. Equal rows spread over slots. An empty table gives no row.
     """
     spark = docs.sparkSession
     rows = stage(records(docs, slots), "records")

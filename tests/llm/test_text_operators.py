@@ -210,16 +210,16 @@ def contaminated(rows, items, width=10):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
-        for s in range(max(1, len(w) - width + 1)) if w and i is not None else ():
+        for s in range(max(1, len(w) - width + 1)) if w else ():
             windows[tuple(w[s:s + width])].add(i)
     for i, t in rows:
         w, hit, found = words(t), set(), set()
         for s in range(len(w)):
             for n in range(1, width + 1):
                 own = windows.get(tuple(w[s:s + n])) if s + n <= len(w) else None
-                if own:
+                if own:  # windows of an item without an id are hit, but name no item
                     hit.update(range(s, s + n))
-                    found |= own
+                    found |= own - {None}
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         yield i, len(w), len(hit), len(found), sha, bool(hit)
 
@@ -236,6 +236,32 @@ def test_decontamination(spark, docs, awkward):
         assert clean.columns == df.columns and clean.count() == sum(n for r, n in want.items() if not r[-1])
 
 
+def test_windows_of_items_without_an_id(spark):
+    words = [f"w{k}" for k in range(12)]
+    bench = spark.createDataFrame([(None, " ".join(words)), (None, None)], "item_id BIGINT, text STRING")
+    rows = [(1, "x " + " ".join(words[1:11]) + " y"), (2, "x " + " ".join(words[:9])), (None, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {tuple(r) for r in decontamination.contamination(df, bench).collect()}
+    assert got == set(contaminated(rows, [(None, " ".join(words))])) and (1, 12, 10, 0) in {r[:4] for r in got}
+    assert [r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()] == [2]
+
+
+CLASHES = ["_size", "_each", "_copy", "_s", "_d", "_z", "_n", "_t", "_h", "row", "each", "size", "n", "total", "turn", "copy", "s", "d", "z", "h", "c0", "rows", "a.b"]
+
+
+def test_columns_named_as_the_operators_own(spark):
+    texts = corpus()
+    texts[4] = texts[2] + " more"
+    fields = ", ".join(f"`{c}` STRING" for c in CLASHES)
+    rows = [(i, t, "en", "ab"[i % 2], 0, *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:1], f"{SCHEMA}, {fields}")
+    bench = spark.createDataFrame([(1, " ".join(texts[5].split()[7:40]))], "item_id BIGINT, text STRING")
+    for out in (mixing.mix(df), decontamination.drop_contaminated(df, bench), jaccard_join.keep_one(df)):
+        got = out.collect()
+        assert out.columns == df.columns and len(got) > 30
+        assert {tuple(r) for r in got} <= {tuple(r) for r in rows}
+
+
 def test_proximity(spark):
     df = frame(spark, ["alpha x beta", "beta y z gamma alpha", "alpha only", "gamma alpha q q q q beta"])
     index = decontamination.build_index(df)
@@ -304,6 +330,16 @@ def test_sharding(spark, docs, awkward):
     assert max(load.values()) - min(load.values()) < 1000
 
 
+def test_equal_rows_spread_over_shards(spark):
+    rows = [(7, "the same text " * 15)] * 3000 + [(i, "t" * 20) for i in range(3000)] + [(None, None)] * 1000
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5), n_shards=6, slots=1024).collect()
+    load = collections.Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(got) == len(rows) and max(load.values()) - min(load.values()) < 5000
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(6))
+
+
 def test_slot_maps_change_little(spark, tmp_path):
     weight = [1 + (k * 37) % 101 for k in range(256)]
     first = sharding.rebalance(sharding.first_map(6, 256), weight)
@@ -384,6 +420,10 @@ def test_keep_one(spark, docs, awkward):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
     ids = [r.doc_id for r in jaccard_join.keep_one(awkward).collect()]
     assert ids.count(4) == 1 and ids.count(None) == 2 and ids.count(0) == 1
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long), (None, long), (None, long + " end"), (None, "other words here " * 9), (None, "other words here " * 9), (None, None)]
+    out = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter([rows[0], rows[3], rows[5]])
 
 
 def test_components_of_a_chain(spark):
