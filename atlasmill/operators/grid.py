@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
+from atlasmill.operators.bands import along
 from atlasmill.operators.pixels import PIXEL, image_sizes, with_sizes
 from atlasmill.operators.stencil import suppress_speckles, transition_edges
 from atlasmill.runtime import attach_per_image, require
@@ -145,9 +146,8 @@ def cut_profiles(px: DataFrame) -> DataFrame:
     here = ("r", "g", "b", "a")
     before = tuple(f"q.{v}" for v in here)
     out = None
-    for axis, other in (("x", "y"), ("y", "x")):
-        line = Window.partitionBy("image_id", other).orderBy(axis)
-        pairs = px.withColumn("q", F.lag(pixel).over(line)).filter(f"q.{axis} = {axis} - 1")
+    for axis in ("x", "y"):
+        pairs = along(px, axis, lambda rows, line: rows.withColumn("q", F.lag(pixel).over(line))).filter(f"q.{axis} = {axis} - 1")
         part = pairs.groupBy("image_id", F.col(axis).alias("pos")).agg(
             F.avg(F.expr(c.cut_change(before, here))).alias("v")).withColumn("axis", F.lit(axis))
         out = part if out is None else out.unionByName(part)

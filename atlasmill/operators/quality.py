@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
+from atlasmill.operators.bands import along
 from atlasmill.runtime import require
 
 KEY = ["image_id", "x", "y"]
@@ -63,11 +64,9 @@ def grid_quality(actual: DataFrame, reference: DataFrame, cell: int) -> DataFram
                          "got").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("image_id", "cx", "cy").agg(F.max("n").alias("n"))
             .groupBy("image_id").agg(F.sum("n").alias("pure")))
-    along = {"x": Window.partitionBy("image_id", "y").orderBy("x"),
-             "y": Window.partitionBy("image_id", "x").orderBy("y")}
     steps = both
-    for axis, window in along.items():
-        steps = steps.withColumn(f"next_{axis}", F.lead(F.struct(axis, "got", "expected")).over(window))
+    for axis in ("x", "y"):
+        steps = along(steps, axis, lambda rows, line: rows.withColumn(f"next_{axis}", F.lead(F.struct(axis, "got", "expected")).over(line)))
     changes = F.expr("filter(array("
                      "CASE WHEN next_x.x = x + 1 THEN struct(next_x.expected <> expected AS e, next_x.got <> got AS g) END, "
                      "CASE WHEN next_y.y = y + 1 THEN struct(next_y.expected <> expected AS e, next_y.got <> got AS g) END), "

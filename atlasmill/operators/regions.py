@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
 from atlasmill.functions.lab import add_lab
+from atlasmill.operators.bands import along
 from atlasmill.operators.palette import set_rgb
 from atlasmill.operators.pixels import PIXEL, background_delta, image_sizes, near_background, with_background, with_rgb, with_sizes
 from atlasmill.operators.stencil import RING, cell, gather
@@ -275,12 +276,14 @@ def alpha_clearance(px: DataFrame, radius: int = 5) -> DataFrame:
     One pass along rows (visible runs) and one along columns.
     """
     shown = px.filter("a > 0").select("image_id", "x", "y")
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    runs = shown.withColumn("island", F.col("x") - F.row_number().over(line))
-    island = Window.partitionBy("image_id", "y", "island")
-    runs = runs.withColumn("reach", F.least(F.col("x") - F.min("x").over(island) + 1, F.max("x").over(island) - F.col("x") + 1))
-    column = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-radius, radius)
-    near = runs.withColumn("col", F.collect_list(F.struct("y", "reach")).over(column))
+    def reach(rows, line):
+        rows = rows.withColumn("island", F.col("x") - F.row_number().over(line))
+        island = Window.partitionBy("image_id", "y", "_band", "island")
+        return rows.withColumn("reach", F.least(F.col("x") - F.min("x").over(island) + 1, F.max("x").over(island) - F.col("x") + 1))
+
+    runs = along(shown, "x", reach, radius)
+    near = along(runs, "y", lambda rows, column: rows.withColumn(
+        "col", F.collect_list(F.struct("y", "reach")).over(column.rangeBetween(-radius, radius))), radius)
     inside = f"aggregate(col, {radius + 1}, (t, v) -> LEAST(t, GREATEST(abs(v.y - y), v.reach)))"
     gap = (f"aggregate(filter(sequence(-{radius}, {radius}), d -> NOT exists(col, v -> v.y = y + d)), {radius + 1}, "
            "(t, d) -> LEAST(t, abs(d)))")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
 from atlasmill.functions.lab import add_lab
+from atlasmill.operators.bands import along, run_lengths
 from atlasmill.operators.pixels import PIXEL
 from atlasmill.runtime import cut_lineage, require
 
@@ -80,13 +81,13 @@ def neighbors(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 def with_cross(px: DataFrame, value: str = "v") -> DataFrame:
     """Add ``left, right, up, down`` of one column; NULL where there is no pixel."""
+    both = lambda axis: F.struct(F.col(axis).alias("p"), F.col(value).alias("v"))
     out = px
-    for axis, other, (back, ahead) in (("x", "y", ("left", "right")), ("y", "x", ("up", "down"))):
-        line = Window.partitionBy("image_id", other).orderBy(axis)
-        both = F.struct(F.col(axis).alias("p"), F.col(value).alias("v"))
-        out = (out.withColumn("_b", F.lag(both).over(line)).withColumn("_f", F.lead(both).over(line))
-               .withColumn(back, F.when(F.col("_b.p") == F.col(axis) - 1, F.col("_b.v")))
-               .withColumn(ahead, F.when(F.col("_f.p") == F.col(axis) + 1, F.col("_f.v"))).drop("_b", "_f"))
+    for axis, (back, ahead) in (("x", ("left", "right")), ("y", ("up", "down"))):
+        out = along(out, axis, lambda rows, line: rows.withColumns(
+            {"_b": F.lag(both(axis)).over(line), "_f": F.lead(both(axis)).over(line)}))
+        out = out.withColumns({back: F.when(F.col("_b.p") == F.col(axis) - 1, F.col("_b.v")),
+                               ahead: F.when(F.col("_f.p") == F.col(axis) + 1, F.col("_f.v"))}).drop("_b", "_f")
     return out
 
 
@@ -114,38 +115,30 @@ def transition_edges(px: DataFrame) -> DataFrame:
     """``ex`` and ``ey``: change against the left and the upper pixel, each smoothed
     by a median of three across the direction of change."""
     pixel = F.struct("x", "y", "r", "g", "b", "a")
-    down = Window.partitionBy("image_id", "x").orderBy("y")
-    along = Window.partitionBy("image_id", "y").orderBy("x")
     here = ("r", "g", "b", "a")
+    before = tuple(f"_q.{v}" for v in here)
 
     def difference(axis):
-        other = tuple(f"_q.{v}" for v in here)
-        return F.expr(f"CASE WHEN _q.{axis} = {axis} - 1 THEN {c.edge_difference(other, here)} ELSE 0E0 END")
+        return F.expr(f"CASE WHEN _q.{axis} = {axis} - 1 THEN {c.edge_difference(before, here)} ELSE 0E0 END")
 
     def median(frame, value, window, axis):
         both = F.struct(F.col(axis).alias("p"), F.col(value).alias("v"))
-        frame = frame.withColumn("_b", F.lag(both).over(window)).withColumn("_f", F.lead(both).over(window))
+        frame = frame.withColumns({"_b": F.lag(both).over(window), "_f": F.lead(both).over(window)})
         frame = frame.withColumn("_b", F.when(F.col("_b.p") == F.col(axis) - 1, F.col("_b.v")).otherwise(F.col(value)))
         frame = frame.withColumn("_f", F.when(F.col("_f.p") == F.col(axis) + 1, F.col("_f.v")).otherwise(F.col(value)))
         middle = F.expr(f"GREATEST(LEAST(_b, _f), LEAST({value}, GREATEST(_b, _f)))")
         return frame.withColumn(value, middle).drop("_b", "_f")
 
-    out = px.withColumn("_q", F.lag(pixel).over(down)).withColumn("ey", difference("y"))
-    out = out.withColumn("_q", F.lag(pixel).over(along)).withColumn("ex", difference("x")).drop("_q")
-    out = median(out, "ey", along, "x")
-    return median(out, "ex", down, "y")
+    out = along(px, "y", lambda rows, down: rows.withColumn("_q", F.lag(pixel).over(down))).withColumn("ey", difference("y")).drop("_q")
+    out = along(out, "x", lambda rows, line: median(rows.withColumn("_q", F.lag(pixel).over(line)).withColumn("ex", difference("x")).drop("_q"),
+                                                    "ey", line, "x"))
+    return along(out, "y", lambda rows, down: median(rows, "ex", down, "y"))
 
 
 def dark_runs(px: DataFrame, lightness: float = 5.0) -> DataFrame:
     """Length of the horizontal and vertical dark run through every dark pixel."""
     dark = px.filter("a > 0").filter(F.expr(c.rgb_to_lab()[0]) < lightness).select("image_id", "x", "y")
-    out = dark
-    for axis, other, name in (("x", "y", "h"), ("y", "x", "v")):
-        line = Window.partitionBy("image_id", other).orderBy(axis)
-        out = out.withColumn("_island", F.col(axis) - F.row_number().over(line))
-        out = out.withColumn(f"run_{name}", F.count(F.lit(1)).over(
-            Window.partitionBy("image_id", other, "_island"))).drop("_island")
-    return out
+    return run_lengths(run_lengths(dark, "x", "run_h"), "y", "run_v")
 
 
 # --- filters -----------------------------------------------------------------------

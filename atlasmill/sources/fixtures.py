@@ -73,6 +73,16 @@ class Views:
             "CAST(ROUND(l_tax * 100) * 28 AS INT) AS b",
             "CAST(CASE WHEN l_quantity <= 3 THEN 0 WHEN l_quantity <= 6 THEN 128 ELSE 255 END AS INT) AS a")
 
+    def tall(self) -> DataFrame:
+        """One image of all rows of ``lineitem``, 24 wide."""
+        ranked = bucketed_row_number(
+            self.table("lineitem").withColumn("image_id", F.lit(0).cast("long")), ["image_id"], F.floor(F.col("l_orderkey") / 4096),
+            ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"], "rn")
+        return ranked.selectExpr(
+            "image_id", "CAST((rn - 1) % 24 AS INT) AS x", "CAST(FLOOR((rn - 1) / 24) AS INT) AS y", "CAST(l_quantity * 5 AS INT) AS r",
+            "CAST(ROUND(l_discount * 100) * 25 AS INT) AS g", "CAST(ROUND(l_tax * 100) * 28 AS INT) AS b",
+            "CAST(CASE WHEN l_quantity <= 3 THEN 0 WHEN l_quantity <= 6 THEN 128 ELSE 255 END AS INT) AS a")
+
     def tiles(self) -> DataFrame:
         return self.px().selectExpr(
             "image_id * 64 + CAST(FLOOR(y / 8) AS BIGINT) * 8 + CAST(FLOOR(x / 8) AS BIGINT) AS tile_id",

@@ -35,6 +35,8 @@ def scores(view, lo, hi):
 
 add("projection_profiles", lambda v: rounded(g.projection_profiles(v.px())),
     f"WITH {PROFILES.format(v='px')} SELECT image_id, axis, pos, {m.r6('v', 'v')} FROM pf")
+add("projection_profiles_tall", lambda v: rounded(g.projection_profiles(v.tall())),
+    f"WITH {PROFILES.format(v='tall')} SELECT image_id, axis, pos, {m.r6('v', 'v')} FROM pf")
 add("phase", lambda v: rounded(g.phase(g.projection_profiles(v.px()), 8), 5), f"""
     WITH {scores('px', 8, 8)} SELECT image_id, axis, {m.r6('CASE WHEN raw < -4 + 1e-8 THEN raw + 8 ELSE raw END', 'phase', 5)}, {m.r6('confidence', 'confidence', 5)} FROM sc""")
 DETECT = """bo AS (SELECT image_id, pitch, min(n) AS n, min(edges) AS edges, min(confidence) AS confidence, sum(periodicity) AS periodicity FROM sc GROUP BY 1, 2 HAVING count(*) = 2),
@@ -95,6 +97,7 @@ SUGGEST = f"""{cut_sql('px')}, mn AS (SELECT image_id, axis, avg(v) AS mean FROM
     es AS (SELECT image_id, w, h, sum(CASE WHEN mean < 1e-9 THEN 0 ELSE least(1, greatest(-1, (bd-mean)/(bd+mean+1e-9))) END) AS e FROM ev GROUP BY 1, 2, 3),
     sg AS (SELECT gr.image_id, CAST(w AS INT) AS tile_w, CAST(h AS INT) AS tile_h, CAST(c AS INT) AS tile_cols, CAST(r AS INT) AS tile_rows,
       round(CASE WHEN w <> h THEN 20 ELSE CASE w {_PRIOR} ELSE 15 END END - 8*abs(ln(c*r/18.0::DOUBLE)) + coalesce(e, 0)*12, 6) AS score FROM gr LEFT JOIN es USING (image_id, w, h))"""
+add("cut_profiles_tall", lambda v: rounded(g.cut_profiles(v.tall()), 9), f"WITH {cut_sql('tall')} SELECT image_id, axis, pos, {m.r6('v', 'v', 9)} FROM ct")
 add("cut_profiles", lambda v: rounded(g.cut_profiles(v.px()), 9), f"WITH {cut_sql('px')} SELECT image_id, axis, pos, {m.r6('v', 'v', 9)} FROM ct")
 add("suggest_tile_grids", lambda v: g.suggest_tile_grids(v.px()), f"WITH {SUGGEST} SELECT * FROM sg")
 add("best_suggestions", lambda v: g.best_suggestions(v.px(), 3), f"""

@@ -39,6 +39,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       FROM (SELECT l_suppkey AS image_id, l_quantity, l_discount, l_tax,
         ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity,l_discount,l_tax) - 1 AS rn
         FROM lineitem) t"""),
+    "tall": ((), """
+      SELECT CAST(0 AS BIGINT) AS image_id, CAST(rn % 24 AS INT) AS x, CAST(FLOOR(rn/24) AS INT) AS y,
+        CAST(l_quantity*5 AS INT) AS r, CAST(ROUND(l_discount*100)*25 AS INT) AS g, CAST(ROUND(l_tax*100)*28 AS INT) AS b,
+        CAST(CASE WHEN l_quantity<=3 THEN 0 WHEN l_quantity<=6 THEN 128 ELSE 255 END AS INT) AS a
+      FROM (SELECT l_quantity, l_discount, l_tax,
+        ROW_NUMBER() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity,l_discount,l_tax) - 1 AS rn
+        FROM lineitem) t"""),
     "tiles": (("px",), """
       SELECT image_id*64 + CAST(FLOOR(y/8) AS BIGINT)*8 + CAST(FLOOR(x/8) AS BIGINT) AS tile_id,
         x % 8 AS tx, y % 8 AS ty, r, g, b, a FROM px"""),

@@ -46,10 +46,16 @@ SPRITE = """e AS (SELECT *, CASE WHEN a > 0 THEN {lum} END AS v FROM {view}),
     ge AS (SELECT p.*, CASE WHEN p.a = 0 THEN 0 ELSE greatest(coalesce(abs(p.v - rt.v)/255, 1), coalesce(abs(p.v - lf.v)/255, 1), coalesce(abs(p.v - dn.v)/255, 1), coalesce(abs(p.v - up.v)/255, 1)) END AS edge
       FROM e p LEFT JOIN e rt ON rt.image_id = p.image_id AND rt.x = p.x+1 AND rt.y = p.y LEFT JOIN e lf ON lf.image_id = p.image_id AND lf.x = p.x-1 AND lf.y = p.y
       LEFT JOIN e dn ON dn.image_id = p.image_id AND dn.x = p.x AND dn.y = p.y+1 LEFT JOIN e up ON up.image_id = p.image_id AND up.x = p.x AND up.y = p.y-1)"""
+add("edge_map_tall", lambda v: rounded(s.edge_map(v.tall())), f"""
+    WITH {EDGE.format(lum=m.lum(), view='tall')} SELECT image_id, x, y, r, g, b, a, {m.r6('edge', 'edge')} FROM ge""")
 add("sprite_edges", lambda v: rounded(s.sprite_edges(v.px8())), f"""
     WITH {SPRITE.format(lum=m.lum(), view='px8')} SELECT image_id, x, y, r, g, b, a, {m.r6('edge', 'edge')} FROM ge""")
 
 
+add("sprite_edges_tall", lambda v: rounded(s.sprite_edges(v.tall())), f"""
+    WITH {SPRITE.format(lum=m.lum(), view='tall')} SELECT image_id, x, y, r, g, b, a, {m.r6('edge', 'edge')} FROM ge""")
+
+
 def _ediff(p, q):
     d = [f"abs(CAST({p}.a AS DOUBLE) - {q}.a)"] + [f"abs({p}.{ch}*CAST({p}.a AS DOUBLE)/255 - {q}.{ch}*CAST({q}.a AS DOUBLE)/255)" for ch in "rgb"]
     return f"coalesce(greatest({', '.join(d)})/255, 0)"
@@ -67,10 +73,15 @@ def transitions(view):
 
 add("transition_edges", lambda v: rounded(s.transition_edges(v.px())),
     f"WITH {transitions('px')} SELECT image_id, x, y, r, g, b, a, {m.r6('ex', 'ex')}, {m.r6('ey', 'ey')} FROM te")
-add("dark_runs", lambda v: s.dark_runs(v.pxd(), 30.0), f"""
-    WITH d AS (SELECT image_id, x, y FROM pxd WHERE a > 0 AND {m.lab()[0]} < 30),
+add("transition_edges_tall", lambda v: rounded(s.transition_edges(v.tall())),
+    f"WITH {transitions('tall')} SELECT image_id, x, y, r, g, b, a, {m.r6('ex', 'ex')}, {m.r6('ey', 'ey')} FROM te")
+DARK_RUNS = """
+    WITH d AS (SELECT image_id, x, y FROM {view} WHERE a > 0 AND {lightness} < {limit}),
     h AS (SELECT *, x - ROW_NUMBER() OVER (PARTITION BY image_id, y ORDER BY x) AS ih, y - ROW_NUMBER() OVER (PARTITION BY image_id, x ORDER BY y) AS iv FROM d)
-    SELECT image_id, x, y, count(*) OVER (PARTITION BY image_id, y, ih) AS run_h, count(*) OVER (PARTITION BY image_id, x, iv) AS run_v FROM h""")
+    SELECT image_id, x, y, count(*) OVER (PARTITION BY image_id, y, ih) AS run_h, count(*) OVER (PARTITION BY image_id, x, iv) AS run_v FROM h"""
+add("dark_runs", lambda v: s.dark_runs(v.pxd(), 30.0), DARK_RUNS.format(view="pxd", lightness=m.lab()[0], limit=30))
+# light enough that most pixels of the tall image are dark and its runs cross many bands
+add("dark_runs_tall", lambda v: s.dark_runs(v.tall(), 95.0), DARK_RUNS.format(view="tall", lightness=m.lab()[0], limit=95))
 _BOX = {"px8": "(SELECT image_id, max(x) AS mx, max(y) AS my FROM px8 GROUP BY image_id)"}
 add("sharpen", lambda v: s.sharpen(v.px8(), 80, 6), f"""
     WITH o AS (SELECT dx, dy, (2-abs(dx))*(2-abs(dy)) AS k, (dy+1)*3 + dx+1 AS i FROM (SELECT unnest([-1,0,1]) AS dx), (SELECT unnest([-1,0,1]) AS dy)),
