@@ -11,7 +11,10 @@ from atlasmill.functions import color as c
 from atlasmill.operators.bands import along
 from atlasmill.operators.pixels import PIXEL, image_sizes, with_sizes
 from atlasmill.operators.stencil import suppress_speckles, transition_edges
-from atlasmill.runtime import attach_per_image, require
+from atlasmill.runtime import attach_per_image, bucketed_row_number, require
+
+#: Positions of a profile in one block.
+BLOCK = 2048
 
 
 def projection_profiles(px: DataFrame, despeckle: bool = False) -> DataFrame:
@@ -23,37 +26,46 @@ def projection_profiles(px: DataFrame, despeckle: bool = False) -> DataFrame:
     return both.select("image_id", "axis", "pos", F.when(F.col("pos") > 0, F.col("v")).otherwise(0.0).alias("v"))
 
 
-def _pitch_scores(profiles: DataFrame, max_pitch: int) -> DataFrame:
+def _pitch_scores(profiles: DataFrame, pitches: list[int]) -> DataFrame:
     """Phase sums, confidence and periodicity per image, axis and candidate pitch.
 
-    A profile is one number per image column, so an axis fits one row.
+    Profiles are cut into blocks that overlap by the largest pitch. Each block gives its part of every sum,
+    so an axis of any length costs bounded rows.
     """
-    lines = profiles.groupBy("image_id", "axis").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    lines = lines.select("image_id", "axis", F.expr("transform(p, q -> q.v)").alias("v"))
-    lines = lines.withColumn("n", F.size("v")).withColumn("peak", F.array_max("v")).withColumn(
-        "mean", F.expr("aggregate(v, 0E0, (t, q) -> t + q) / n"))
-    lines = lines.withColumn("edges", F.expr("size(filter(v, q -> q > peak * 3E-2))"))
-    lines = lines.withColumn("pitch", F.explode(F.expr(f"sequence(2, {max_pitch})")))
+    keys, most = ["image_id", "axis"], max(pitches)
+    placed = bucketed_row_number(profiles, keys, F.floor(F.col("pos") / BLOCK), ["pos"], "i").withColumn("i", F.col("i") - 1)
+    stats = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.max("v").alias("peak")).filter("n > 1")
+    own = F.floor(F.col("i") / BLOCK)
+    home = F.array(own, F.when(F.pmod("i", F.lit(BLOCK)) >= BLOCK - most, own + 1))
+    blocks = placed.select(*keys, "i", "v", F.explode(F.array_compact(home)).alias("block")).groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p"))
+    blocks = attach_per_image(blocks, stats, salt=F.hash("block"), salts=4, keys=("image_id", "axis")).select(
+        *keys, "mean", F.expr("transform(p, q -> q.v)").alias("v"), F.expr("p[0].i").alias("start"),
+        F.expr(f"CAST(block * {BLOCK} - p[0].i AS INT)").alias("first"),
+        F.expr("size(filter(slice(p, CAST(block * {0} - p[0].i AS INT) + 1, {0}), q -> q.v > peak * 3E-2))".format(BLOCK)).alias("edges"),
+        F.explode(F.array(*map(F.lit, pitches))).alias("pitch"))
+    blocks = blocks.filter("first < size(v)")  # a block of copies only has nothing of its own
     turn = c.num(2 * math.pi)
-    sums = ("aggregate(sequence(1, n - 1), named_struct('re', 0E0, 'im', 0E0, 's', 0E0), (t, i) -> named_struct("
-            f"'re', t.re + v[i] * cos(i * {turn} / pitch), 'im', t.im + v[i] * sin(i * {turn} / pitch), 's', t.s + v[i]))")
-    lag = ("CASE WHEN n > pitch THEN aggregate(sequence(pitch, n - 1), named_struct('c', 0E0, 'w', 0E0), (t, i) -> named_struct("
-           "'c', t.c + (v[i] - mean) * (v[i - pitch] - mean), "
-           "'w', t.w + (pow(v[i] - mean, 2) + pow(v[i - pitch] - mean, 2)) * 5E-1)) "
-           "ELSE named_struct('c', 0E0, 'w', 0E0) END")
-    lines = lines.filter("n > 1").withColumn("k", F.expr(sums)).withColumn("l", F.expr(lag))
-    return lines.selectExpr(
+    sums = ("aggregate(sequence(first, size(v) - 1), named_struct('re', 0E0, 'im', 0E0, 's', 0E0), (t, j) -> "
+            "CASE WHEN start + j = 0 THEN t ELSE named_struct("
+            f"'re', t.re + v[j] * cos((start + j) * {turn} / pitch), 'im', t.im + v[j] * sin((start + j) * {turn} / pitch), 's', t.s + v[j]) END)")
+    lag = ("aggregate(sequence(first, size(v) - 1), named_struct('c', 0E0, 'w', 0E0), (t, j) -> "
+           "CASE WHEN start + j < pitch THEN t ELSE named_struct("
+           "'c', t.c + (v[j] - mean) * (v[j - pitch] - mean), "
+           "'w', t.w + (pow(v[j] - mean, 2) + pow(v[j - pitch] - mean, 2)) * 5E-1) END)")
+    parts = blocks.withColumn("k", F.expr(sums)).withColumn("l", F.expr(lag)).groupBy(*keys, "pitch").agg(
+        F.sum("edges").alias("edges"), *[F.sum(f"{x}").alias(x.replace(".", "_")) for x in ("k.re", "k.im", "k.s", "l.c", "l.w")])
+    return parts.join(stats, keys).selectExpr(
         "image_id", "axis", "pitch", "n", "edges",
-        "CASE WHEN k.s < 1E-10 THEN 0E0 ELSE sqrt(k.re * k.re + k.im * k.im) / k.s END AS confidence",
-        "CASE WHEN l.w < 1E-10 THEN 0E0 ELSE l.c / l.w END AS periodicity",
-        f"atan2(k.im, k.re) * pitch / {turn} AS raw_phase")
+        "CASE WHEN k_s < 1E-10 THEN 0E0 ELSE sqrt(k_re * k_re + k_im * k_im) / k_s END AS confidence",
+        "CASE WHEN l_w < 1E-10 THEN 0E0 ELSE l_c / l_w END AS periodicity",
+        f"atan2(k_im, k_re) * pitch / {turn} AS raw_phase")
 
 
 def phase(profiles: DataFrame, pitch: int) -> DataFrame:
     """Circular phase and its confidence per image and axis for a known pitch."""
     require(pitch >= 2, "pitch must be at least 2")
-    found = _pitch_scores(profiles, pitch).filter(F.col("pitch") == pitch)
+    found = _pitch_scores(profiles, [pitch])
     return found.selectExpr("image_id", "axis",
                             "CASE WHEN raw_phase < -pitch * 5E-1 + 1E-8 THEN raw_phase + pitch ELSE raw_phase END AS phase",
                             "confidence")
@@ -66,7 +78,7 @@ def detect_pitch(profiles: DataFrame, max_pitch: int = 32) -> DataFrame:
     otherwise the most periodic one (smaller on ties, at least 0.05).
     """
     require(2 <= max_pitch <= 256, "largest pitch must be 2..256")
-    scores = _pitch_scores(profiles, max_pitch)
+    scores = _pitch_scores(profiles, list(range(2, max_pitch + 1)))
     both = scores.groupBy("image_id", "pitch").agg(
         F.min("n").alias("n"), F.min("edges").alias("edges"), F.count(F.lit(1)).alias("axes"),
         F.min("confidence").alias("confidence"), F.sum("periodicity").alias("periodicity"))

@@ -49,6 +49,13 @@ add("detect_pitch", lambda v: rounded(g.detect_pitch(g.projection_profiles(v.px(
     f"WITH {scores('px', 2, 32)}, {DETECT} {PITCH}")
 
 
+# profiles of the tall image span several blocks
+add("phase_tall", lambda v: rounded(g.phase(g.projection_profiles(v.tall()), 8), 5), f"""
+    WITH {scores('tall', 8, 8)} SELECT image_id, axis, {m.r6('CASE WHEN raw < -4 + 1e-8 THEN raw + 8 ELSE raw END', 'phase', 5)}, {m.r6('confidence', 'confidence', 5)} FROM sc""")
+add("detect_pitch_tall", lambda v: rounded(g.detect_pitch(g.projection_profiles(v.tall())), 5),
+    f"WITH {scores('tall', 2, 32)}, {DETECT} {PITCH}")
+
+
 def upscaled(v):
     from atlasmill.operators.blocks import resample_nearest
     return resample_nearest(v.pxl(), 72, 84)
