@@ -1,69 +1,43 @@
 """Palette search, clustering and colour replacement.
 
 Everything works on distinct colours per image.  A palette is at most 4,096
-entries, so it travels with the row as an array and is searched in place: no
-colour x palette pairs are ever produced as rows.
+entries and is searched as a k-d tree built once per task: no colour x palette
+pairs are ever produced as rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasmill.functions import color as c
 from atlasmill.functions.lab import add_lab
+from atlasmill.functions.nearest import ColorTree, lab_of, search_sorted_palettes
 from atlasmill.functions.palettes import MAX_PALETTE, custom_palette
 from atlasmill.operators.pixels import PIXEL, color_histogram, round_colors, scan_order, visible, with_rgb
-from atlasmill.runtime import attach_per_image, attach_unique, bucketed_row_number, cut_lineage, require
+from atlasmill.runtime import attach_per_image, attach_unique, bucketed_row_number, cut_lineage, discard, require
 
-IN_ROW_LIMIT = 8  # measured: beyond a few entries one Arrow batch search is several times faster
 KMEANS_ROUNDS = 5
 
 
-def _lab_of(rgb: np.ndarray) -> np.ndarray:
-    channels = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=-1) / 255.0
-    linear = np.where(channels <= 0.04045, channels / 12.92, ((channels + 0.055) / 1.055) ** 2.4)
-    rows = np.array(c.XYZ_ROWS)
-    t = linear @ rows[:, :3].T / rows[:, 3]
-    f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116.0)
-    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
-
-
 def nearest_color(rgb: Column, colors: Sequence[int]) -> Column:
     """Palette colour nearest in Lab; the earliest entry wins ties.
 
-    Small palettes are searched by a JVM expression, large ones by an Arrow
-    batch function that looks each distinct colour of the batch up once.
+    An Arrow batch function looks each distinct colour of a batch up once, in a tree built once a palette.
     """
-    colors = custom_palette(colors)
-    if len(colors) <= IN_ROW_LIMIT:
-        lab = _lab_of(np.array(colors))
-        entries = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(v).alias("rgb"),
-                                     *[F.lit(float(t)).alias(n) for n, t in zip("lab", lab[i])])
-                            for i, v in enumerate(colors)])
-        here = F.struct(*[F.expr(e).alias(n) for n, e in zip("lab", c.rgb_to_lab(*c.unpack_rgb("rgb")))])
-        # A one-element outer transform keeps the pixel's own Lab value out of the inner loop.
-        found = F.transform(F.array(here), lambda h: F.array_min(F.transform(entries, lambda p: F.struct(
-            F.floor(((p["l"] - h["l"]) * (p["l"] - h["l"]) + (p["a"] - h["a"]) * (p["a"] - h["a"])
-                     + (p["b"] - h["b"]) * (p["b"] - h["b"])) * 1e9 + 0.5).alias("d"),
-            p["idx"].alias("idx"), p["rgb"].alias("rgb")))))
-        return F.get(found, F.lit(0))["rgb"]
-    entries = np.array(colors)
-    palette_lab = _lab_of(entries)
+    entries = np.array(custom_palette(colors))
+    tree = ColorTree(lab_of(entries))
 
     @F.pandas_udf("int")
     def search(values: pd.Series) -> pd.Series:
         distinct, back = np.unique(values.to_numpy(), return_inverse=True)
-        best = np.empty(len(distinct), dtype=np.int32)
-        for start in range(0, len(distinct), 1024):
-            lab = _lab_of(distinct[start:start + 1024])
-            d = ((lab[:, None, :] - palette_lab[None, :, :]) ** 2).sum(axis=2)
-            best[start:start + 1024] = entries[np.round(d, 9).argmin(axis=1)]
-        return pd.Series(best[back])
+        return pd.Series(entries[tree.nearest(lab_of(distinct))[0]].astype(np.int32)[back])
 
     return search(rgb)
 
@@ -99,22 +73,33 @@ def color_table(px: DataFrame) -> DataFrame:
     return with_lab(colors)
 
 
-def _as_entries(palettes: DataFrame) -> DataFrame:
-    """``(image_id, idx, rgb)`` rows to one array per image (at most 4,096 entries)."""
-    return with_lab(palettes).groupBy("image_id").agg(F.sort_array(F.collect_list(
-        F.struct("idx", "rgb", "lab_l", "lab_a", "lab_b"))).alias("entries"))
-
-
 _LAB = ("lab_l", "lab_a", "lab_b")
-NEAREST_ENTRY = ("array_min(transform(entries, p -> named_struct('d', "
-                 + c.tie(c.distance_sq([f"p.{v}" for v in _LAB], _LAB)) + ", 'idx', p.idx, 'rgb', p.rgb)))")
+#: An image has at most 2^24 colours; its palette goes to so many places.
+SPREAD = 8
 
 
 def nearest_in_image(colors: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Nearest entry of the image's own palette for every colour row, as struct ``near``."""
-    # One image has at most 2^24 colours, so a few salts are enough and palettes are not copied often.
-    return attach_per_image(colors, _as_entries(palettes), salt=F.hash("rgb"), salts=8).withColumn(
-        "near", F.expr(NEAREST_ENTRY)).drop("entries")
+    """Nearest entry of the image's own palette for every colour row, as struct ``near``; images without a palette are left out.
+
+    Palettes and colours are sorted together, so that a task builds the tree of a palette once and streams
+    the image's colours through it. Colours of one image spread over several tasks.
+    """
+    row = F.struct(*colors.columns)
+    asked = colors.select("image_id", F.pmod(F.hash("rgb"), F.lit(SPREAD)).alias("salt"), F.lit(True).alias("is_color"),
+                          F.lit(None).cast("long").alias("idx"), F.col("rgb").cast("int").alias("rgb"), *_LAB, row.alias("row"))
+    entries = with_lab(palettes).select(
+        "image_id", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), F.lit(False).alias("is_color"),
+        F.col("idx").cast("long").alias("idx"), F.col("rgb").cast("int").alias("rgb"), *_LAB, F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    both = asked.unionByName(entries).repartition("image_id", "salt").sortWithinPartitions("image_id", "salt", "is_color", "idx")
+    near = T.StructType([T.StructField("d", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("rgb", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", asked.schema["row"].dataType), T.StructField("near", near)])
+    found = both.mapInArrow(lambda batches: search_sorted_palettes(batches, ["row", "near"]), schema).filter("near IS NOT NULL")
+    idx = kinds_of(palettes)["idx"]
+    return found.select("row.*", F.struct("near.d", F.col("near.idx").cast(idx).alias("idx"), "near.rgb").alias("near"))
+
+
+def kinds_of(df: DataFrame) -> dict:
+    return {f.name: f.dataType for f in df.schema.fields}
 
 
 def _weight(weighted: bool) -> Column:
@@ -215,33 +200,92 @@ def weighted_split(colors: DataFrame, keys: list[str], channel: str, weighted: b
         "split", F.coalesce("split", F.lit(1)))
 
 
+def cut_order(boxes: pd.DataFrame, k: int) -> tuple[dict[int, int], list[int]]:
+    """``(number of every final box, boxes without halves that a cut asks for)`` in the tree of one image.
+
+    Cuts take the box with the widest channel, the lower number of equals; the halves of cut ``s`` get the
+    numbers ``2 s`` and ``2 s + 1``.
+    """
+    rows = {r.node: r for r in boxes.itertuples(index=False)}
+    width = lambda r: max(r.r, r.g, r.b)
+    heap, final, asked, cuts = [(-width(rows[0]), 0, 0)], {}, [], 0
+    while heap:
+        _, number, node = heapq.heappop(heap)
+        row = rows[node]
+        if row.size < 2 or cuts >= k - 1:
+            final[node] = number
+            continue
+        cuts += 1
+        if row.low < 0:
+            asked.append(node)
+            continue
+        for half, name in ((row.low, 2 * cuts), (row.high, 2 * cuts + 1)):
+            heapq.heappush(heap, (-width(rows[half]), name, half))
+    return final, asked
+
+
+def median_cut_boxes(px: DataFrame, k: int, weighted: bool = False) -> DataFrame:
+    """Colour table with the ``box`` of every colour, at most ``k`` boxes an image.
+
+    Where a box is cut depends on its own colours only, so all boxes that some order of cuts may ask for
+    are cut together, level by level; the order is then played on a heap over at most ``4 k`` boxes an image.
+    The number of rounds follows the depth of the tree of boxes, not ``k``.
+    """
+    parts = dict(zip("rgb", c.unpack_rgb("rgb")))
+    colors = cut_lineage(color_table(px).select("*", *[F.expr(e).alias(v) for v, e in parts.items()]).withColumn("node", F.lit(0).cast("long")))
+
+    def measured(rows):
+        return rows.groupBy("image_id", "node").agg(F.count(F.lit(1)).alias("size"), *[(F.max(v) - F.min(v)).cast("int").alias(v) for v in "rgb"])
+
+    def ask(key, boxes):
+        asked = cut_order(boxes, k)[1]
+        fresh = int(boxes["node"].max()) + 1
+        return pd.DataFrame({"image_id": boxes["image_id"].iloc[0], "node": asked, "low": [fresh + 2 * i for i in range(len(asked))]}, columns=["image_id", "node", "low"])
+
+    absent = F.lit(-1).cast("long")
+    tree = cut_lineage(measured(colors).select("image_id", "node", absent.alias("low"), absent.alias("high"), "size", *"rgb"))
+    while True:
+        asked = cut_lineage(tree.groupBy("image_id").applyInPandas(ask, "image_id BIGINT, node BIGINT, low BIGINT"))
+        if asked.isEmpty():
+            break
+        cut = asked.withColumnRenamed("low", "first")
+        spans = tree.join(cut, ["image_id", "node"]).select(
+            "image_id", "node", "first", F.when((F.col("r") >= F.col("g")) & (F.col("r") >= F.col("b")), 0).when(F.col("g") >= F.col("b"), 1).otherwise(2).alias("pick"))
+        tagged = attach_unique(colors, spans, ["image_id", "node"], ["rgb"], "left")
+        open_ = tagged.filter("first IS NOT NULL").withColumn("along", F.expr("CASE pick WHEN 0 THEN r WHEN 1 THEN g ELSE b END"))
+        halves = weighted_split(open_, ["image_id", "node"], "along", weighted)
+        moved = halves.withColumn("node", F.col("first") + F.when(F.col("rank") <= F.col("split"), 0).otherwise(1))
+        following = cut_lineage(tagged.filter("first IS NULL").select(*colors.columns).unionByName(moved.select(*colors.columns)))
+        grown = measured(following.join(cut.select("image_id", F.explode(F.array("first", F.col("first") + 1)).alias("node")), ["image_id", "node"], "left_semi"))
+        grown = grown.select("image_id", "node", absent.alias("low"), absent.alias("high"), "size", *"rgb")
+        older = tree.join(cut, ["image_id", "node"], "left").select(
+            "image_id", "node", F.coalesce("first", "low").alias("low"), F.coalesce(F.col("first") + 1, "high").alias("high"), "size", *"rgb")
+        tree, before = cut_lineage(older.unionByName(grown)), (tree, colors, asked)
+        discard(*before)
+        colors = following
+
+    def settle(key, boxes):
+        final = cut_order(boxes, k)[0]
+        parent = {half: r.node for r in boxes.itertuples() for half in (r.low, r.high)}
+        leaves = [r.node for r in boxes.itertuples() if r.low < 0]
+        box = []
+        for node in leaves:  # boxes cut in vain are put together again
+            while node not in final:
+                node = parent[node]
+            box.append(final[node])
+        return pd.DataFrame({"image_id": boxes["image_id"].iloc[0], "node": leaves, "box": box})
+
+    boxes = tree.groupBy("image_id").applyInPandas(settle, "image_id BIGINT, node BIGINT, box INT")
+    return attach_unique(colors, cut_lineage(boxes), ["image_id", "node"], ["rgb"], "inner").drop("node")
+
+
 def median_cut_palette(px: DataFrame, k: int, weighted: bool = False) -> DataFrame:
     """Median-cut palettes of all images: ``(image_id, idx, rgb)``.
 
-    k - 1 dependent rounds: each splits, in every image, the box with the widest
-    channel (older box first, then R, G, B).  Meant for small k.
+    k - 1 times the box with the widest channel is cut (older box first, then R, G, B).
     """
     require(1 <= k <= MAX_PALETTE, f"colour count must be 1..{MAX_PALETTE}")
-    parts = dict(zip("rgb", c.unpack_rgb("rgb")))
-    colors = cut_lineage(color_table(px).select("*", *[F.expr(e).alias(v) for v, e in parts.items()])
-                         .withColumn("box", F.lit(0)))
-    for step in range(1, k):
-        spans = colors.groupBy("image_id", "box").agg(
-            F.count(F.lit(1)).alias("size"), *[(F.max(v) - F.min(v)).alias(v) for v in "rgb"])
-        widest = F.expr("inline(array(struct(r AS span, 0 AS pick), struct(g AS span, 1 AS pick), "
-                        "struct(b AS span, 2 AS pick)))")
-        chosen = (spans.filter("size > 1").select("image_id", "box", widest).groupBy("image_id").agg(
-            F.max_by(F.struct("box", "pick"), F.struct("span", (-F.col("box")).alias("o"),
-                                                       (-F.col("pick")).alias("c"))).alias("w"))
-            .select("image_id", F.col("w.box").alias("cut_box"), F.col("w.pick").alias("pick")))
-        tagged = attach_per_image(colors, chosen, "left", salt=F.hash("rgb"))
-        splitting = tagged.filter("cut_box = box").withColumn(
-            "along", F.expr("CASE pick WHEN 0 THEN r WHEN 1 THEN g ELSE b END"))
-        halves = weighted_split(splitting, ["image_id"], "along", weighted)
-        moved = halves.withColumn("box", F.when(F.col("rank") <= F.col("split"), F.lit(2 * step))
-                                  .otherwise(F.lit(2 * step + 1)))
-        kept = tagged.filter("cut_box IS NULL OR cut_box <> box")
-        colors = cut_lineage(kept.select(*colors.columns).unionByName(moved.select(*colors.columns)))
+    colors = cut_lineage(median_cut_boxes(px, k, weighted))
     keys = ["image_id", "box"]
     snapped = _snap(colors, _cluster_means(colors, keys, "linear", weighted), keys)
     return snapped.groupBy("image_id", F.col("snapped").alias("rgb")).agg(

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from atlasmill.functions.nearest import ColorTree, _ticks
 from atlasmill.functions import color as c
 from atlasmill.functions import palettes, registry
 from atlasmill.operators import palette as pal
@@ -94,23 +96,63 @@ def test_palette_checks():
         palettes.fixed_palette("rainbow")
 
 
-def test_nearest_small_and_large_search_agree(spark):
+def test_nearest_matches_exhaustive_search(spark):
     grid = [(r, g, b) for r in range(0, 256, 51) for g in range(0, 256, 51) for b in range(0, 256, 85)]
     px = spark.createDataFrame([(1, i, 0, *v, 255) for i, v in enumerate(grid)], "image_id BIGINT, x INT, y INT, r INT, g INT, b INT, a INT")
-    colors = palettes.DB16
-    expected = {}
-    for i, v in enumerate(grid):
-        d = [(round(math.dist(lab(*v), lab(p >> 16, p >> 8 & 255, p & 255)) ** 2, 9), k) for k, p in enumerate(colors)]
-        expected[i] = colors[min(d)[1]]
-    for limit in (0, 64):
-        old, pal.IN_ROW_LIMIT = pal.IN_ROW_LIMIT, limit
-        try:
-            got = pixels(pal.nearest_palette(px, colors))
-        finally:
-            pal.IN_ROW_LIMIT = old
+    for colors in (palettes.DB16, palettes.DB16[:3], [g << 16 | r << 8 | b for r, g, b in grid] + list(palettes.DB16)):
+        expected = {}
+        for i, v in enumerate(grid):
+            d = [(math.floor(math.dist(lab(*v), lab(p >> 16, p >> 8 & 255, p & 255)) ** 2 * 1e9 + 0.5), k) for k, p in enumerate(colors)]
+            expected[i] = colors[min(d)[1]]
+        got = pixels(pal.nearest_palette(px, colors))
         assert {x: r << 16 | g << 8 | b for (_, x, _), (r, g, b, _) in got.items()} == expected
 
 
+@pytest.mark.parametrize("k", [1, 16, 17, 300, 4096])
+def test_color_tree_matches_exhaustive_search(k):
+    rng = np.random.default_rng(k)
+    # a coarse grid, so that many entries are equal or equally far
+    entries, queries = rng.integers(0, 9, (k, 3)) * 4.0, rng.integers(0, 17, (1500, 3)) * 2.0
+    entry, ticks = ColorTree(entries).nearest(queries)
+    for at in range(0, len(queries), 100):
+        d = _ticks(((queries[at:at + 100, None] - entries[None]) ** 2).sum(-1))
+        assert (entry[at:at + 100] == d.argmin(1)).all() and (ticks[at:at + 100] == d.min(1)).all()
+
+
+def median_cut_colors(counts, k):
+    """Palette members by cutting the box with the widest channel k - 1 times."""
+    boxes, order = {0: list(counts)}, 1
+    while order < k:
+        best = None
+        for box, members in boxes.items():
+            for c in range(3):
+                span = max(m[c] for m in members) - min(m[c] for m in members)
+                if len(members) > 1 and (best is None or (span, -box, -c) > best[0]):
+                    best = (span, -box, -c), box, c
+        if best is None:
+            break
+        members = sorted(boxes.pop(best[1]), key=lambda m: (m[best[2]], m))
+        half = max(1, len(members) // 2)
+        boxes[2 * order], boxes[2 * order + 1] = members[:half], members[half:]
+        order += 1
+    return sorted(map(len, boxes.values())), {m: box for box, members in boxes.items() for m in members}
+
+
+@pytest.mark.parametrize("k", [2, 7, 40, 256])
+def test_median_cut_boxes_match_brute_force(spark, k):
+    import random
+    rng = random.Random(k)
+    colors = {i: [(rng.choice([0, 10, 20, 200]), rng.randrange(256), rng.randrange(0, 256, 9)) for _ in range(350)] for i in range(3)}
+    colors[3] = [(1, 2, 3)]
+    rows = [(i, n, 0, *v, 255) for i, own in colors.items() for n, v in enumerate(own)]
+    px = spark.createDataFrame(rows, "image_id BIGINT, x INT, y INT, r INT, g INT, b INT, a INT")
+    got = {}
+    for r in pal.median_cut_boxes(px, k).select("image_id", "rgb", "box").collect():
+        got.setdefault(r.image_id, {})[(r.rgb >> 16, r.rgb >> 8 & 255, r.rgb & 255)] = r.box
+    for i, own in colors.items():
+        assert got[i] == median_cut_colors(dict.fromkeys(own), k)[1]
+
+
 def test_duplicate_palette_entry_takes_the_first(spark):
     px = spark.createDataFrame([(1, 0, 0, 5, 5, 5, 255)], "image_id BIGINT, x INT, y INT, r INT, g INT, b INT, a INT")
     found = pal.nearest_palette(px, [0x060606, 0x060606])
