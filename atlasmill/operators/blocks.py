@@ -308,13 +308,22 @@ def fit_frames(px: DataFrame, sizes: Sequence[int], fit: str = "contain",
     return placed.selectExpr("image_id", "size", "o_x + p_x AS x", "o_y + p_y AS y", "r", "g", "b", "a")
 
 
-def ascii_text(px: DataFrame, columns: int, rows: int, ramp: str = "@%#*+=-:. ", invert: bool = False,
-               dither: bool = False, sizes: DataFrame | None = None) -> DataFrame:
-    """Text picture per image: mean brightness of a cell picks a ramp character."""
-    require(1 <= columns <= 512 and rows >= 1, "columns must be 1..512 and rows positive")
+def ascii_text(px: DataFrame, columns: int | None, rows: int | None, ramp: str = "@%#*+=-:. ", invert: bool = False,
+               dither: bool = False, sizes: DataFrame | None = None, cell: tuple[int, int] = (1, 2)) -> DataFrame:
+    """Text picture per image: mean brightness of a cell picks a ramp character.
+
+    ``cell`` is the width and height of a character. Without ``columns`` an image gets one per character
+    width, at most 512; without ``rows`` as many as keep its proportions, half-even rounded and at least one.
+    """
+    require((columns is None or 1 <= columns <= 512) and (rows is None or rows >= 1), "columns must be 1..512 and rows positive")
+    require(min(cell) >= 1, "a character has a positive size")
     require(bool(ramp) and "\n" not in ramp and "\r" not in ramp, "the ramp must be one non-empty line")
     placed = with_sizes(px, sizes)
-    for axis, size, count in (("x", "width", columns), ("y", "height", rows)):
+    own = f"LEAST(512, width, GREATEST(1, CAST(bround(width / CAST({cell[0]} AS DOUBLE), 0) AS INT)))"
+    placed = placed.withColumn("_columns", F.expr(own) if columns is None else F.lit(columns))
+    shape = f"GREATEST(1, CAST(bround(height / CAST(width AS DOUBLE) * _columns * {cell[0]} / {cell[1]}, 0) AS INT))"
+    placed = placed.withColumn("_rows", F.expr(shape) if rows is None else F.lit(rows))
+    for axis, size, count in (("x", "width", "_columns"), ("y", "height", "_rows")):
         start = f"CAST(FLOOR(CAST(t AS BIGINT) * {size} / CAST({count} AS DOUBLE)) AS INT)"
         end = f"GREATEST({start} + 1, CAST(FLOOR(CAST(t + 1 AS BIGINT) * {size} / CAST({count} AS DOUBLE)) AS INT))"
         low = f"GREATEST(0, CAST(FLOOR(CAST({axis} AS DOUBLE) * {count} / {size}) AS INT) - 1)"

@@ -20,8 +20,12 @@ from atlasmill.runtime import attach_per_image, bucketed_running_sum, cut_lineag
 STEP_SCHEMA = """operationId STRING, cellSize INT, usePreviousAlignment BOOLEAN,
  downscale STRUCT<targetWidth: INT, targetHeight: INT, spriteMode: BOOLEAN, alphaThreshold: INT, palette: STRING, paletteStep: INT,
    quantizationColors: INT, quantization: STRING, useColorWeights: BOOLEAN, independentColorMode: STRING, localColorPasses: INT,
-   colorTolerance: DOUBLE, strength: DOUBLE>,
- resizeFactor STRUCT<factor: DOUBLE, spriteMode: BOOLEAN, alphaThreshold: INT>,
+   colorTolerance: DOUBLE, strength: DOUBLE, cropHorizontal: STRING, cropVertical: STRING, blockMode: STRING, manualCriteria: STRUCT<
+   targetBrightness: DOUBLE, targetContrast: DOUBLE, targetSaturation: DOUBLE, targetEdge: DOUBLE,
+   brightnessImportance: DOUBLE, contrastImportance: DOUBLE, saturationImportance: DOUBLE, edgeImportance: DOUBLE>>,
+ resizeFactor STRUCT<factor: DOUBLE, spriteMode: BOOLEAN, alphaThreshold: INT, cropHorizontal: STRING, cropVertical: STRING, blockMode: STRING, manualCriteria: STRUCT<
+   targetBrightness: DOUBLE, targetContrast: DOUBLE, targetSaturation: DOUBLE, targetEdge: DOUBLE,
+   brightnessImportance: DOUBLE, contrastImportance: DOUBLE, saturationImportance: DOUBLE, edgeImportance: DOUBLE>>,
  ascii STRUCT<characters: STRING, columns: INT, rows: INT, invert: BOOLEAN, dither: BOOLEAN>,
  sharpen STRUCT<strength: INT, threshold: INT>, colorReplacement STRUCT<source: INT, target: INT>,
  channelAdjustment STRUCT<channel: STRING, mode: STRING, amount: DOUBLE, subtract: BOOLEAN>,
@@ -66,6 +70,31 @@ def _between(name: str, low, high) -> str:
     return f"{name} IS NULL OR {name} BETWEEN {low} AND {high}"
 
 
+def _block_rules(block: str) -> dict[str, str]:
+    """Rules for where whole blocks are cropped and how a block's colour is chosen."""
+    criteria = [f"coalesce({block}.manualCriteria.{n}, 0.5) BETWEEN 0 AND 1" for group in _MANUAL.values() for n in group]
+    return {f"unknown crop alignment in {block}": f"coalesce(lower({block}.cropHorizontal), 'center') IN ('center', 'left', 'right') "
+                                                  f"AND coalesce(lower({block}.cropVertical), 'center') IN ('center', 'top', 'bottom')",
+            f"unknown block mode in {block}": f"coalesce(lower({block}.blockMode), 'automatic') IN ('automatic', 'manual')",
+            f"manual criteria in {block} must be 0..1": " AND ".join(criteria)}
+
+
+# Option names and defaults of manual block criteria.
+_MANUAL = {"targets": ("targetBrightness", "targetContrast", "targetSaturation", "targetEdge"),
+           "importance": ("brightnessImportance", "contrastImportance", "saturationImportance", "edgeImportance")}
+_MANUAL_DEFAULTS = {"targets": 0.5, "importance": 1.0}
+
+
+def _block_options(o: dict) -> dict:
+    """Crop alignment and, in manual mode, the wanted features and how much each counts."""
+    wanted = None
+    if (o.get("blockMode") or "automatic").lower() == "manual":
+        given = o.get("manualCriteria") or {}
+        wanted = tuple({c: given[n] if given.get(n) is not None else _MANUAL_DEFAULTS[group] for c, n in zip(blocks.CRITERIA, _MANUAL[group])}
+                       for group in ("targets", "importance"))
+    return {"horizontal": (o.get("cropHorizontal") or "center").lower(), "vertical": (o.get("cropVertical") or "center").lower(), "manual": wanted}
+
+
 _PALETTES = ", ".join(f"'{n}'" for n in (*FIXED, "none", "step"))
 _DOWNSCALE = {
     "target dimensions must be positive": "downscale IS NULL OR (coalesce(downscale.targetWidth, 1) >= 1 AND coalesce(downscale.targetHeight, 1) >= 1)",
@@ -100,7 +129,7 @@ def _colors_of(o: dict) -> dict:
 def _profile(px, s, state):
     o = s["downscale"]
     state.lose(pixels.crop_rejects(px, o["targetWidth"], o["targetHeight"]), "smaller than the target")
-    return blocks.profile_downscale(px, o["targetWidth"], o["targetHeight"], **_palette_of(o), **_colors_of(o))[0]
+    return blocks.profile_downscale(px, o["targetWidth"], o["targetHeight"], **_palette_of(o), **_colors_of(o), **_block_options(o))[0]
 
 
 def _resize(px, s, state):
@@ -110,7 +139,7 @@ def _resize(px, s, state):
         targets = sizes.selectExpr("*", f"{int(o['targetWidth'])} AS target_width", f"{int(o['targetHeight'])} AS target_height")
     else:
         targets = blocks.resolve_resize(sizes, o["factor"])
-    return blocks.resize(px, targets, bool(o.get("spriteMode")), o.get("alphaThreshold", 50))
+    return blocks.resize(px, targets, bool(o.get("spriteMode")), o.get("alphaThreshold") or 50, **_block_options(o))
 
 
 def _colors(px, s, state):
@@ -165,15 +194,16 @@ def _channel(px, s, state):
 
 def _ascii(px, s, state):
     o = s["ascii"]
-    return blocks.ascii_text(px, o["columns"], o["rows"], o["characters"], bool(o.get("invert")), bool(o.get("dither")))
+    return blocks.ascii_text(px, o.get("columns") or None, o.get("rows"), o["characters"], bool(o.get("invert")), bool(o.get("dither")))
 
 
 OPERATIONS: dict[str, Operation] = {
-    "image.profile": Operation(_profile, ("downscale",), ("downscale",), {**_SIZE, **_DOWNSCALE}),
+    "image.profile": Operation(_profile, ("downscale",), ("downscale",), {**_SIZE, **_DOWNSCALE, **_block_rules("downscale")}),
     "image.resize": Operation(_resize, ("downscale", "resizeFactor"), (), {
         "resize takes either dimensions or a factor": "(downscale IS NULL) <> (resizeFactor IS NULL)",
         "resize factor must be positive": "resizeFactor IS NULL OR resizeFactor.factor > 0",
-        "resize alpha threshold must be 1..100": _between("resizeFactor.alphaThreshold", 1, 100), **_SIZE, **_DOWNSCALE}),
+        "resize alpha threshold must be 1..100": _between("resizeFactor.alphaThreshold", 1, 100), **_SIZE, **_DOWNSCALE,
+        **_block_rules("downscale"), **_block_rules("resizeFactor")}),
     "image.trim": Operation(lambda px, s, state: pixels.trim_transparent(px)),
     "image.colors": Operation(_colors, ("downscale", "connectedPalette"), ("downscale",), {**_DOWNSCALE, **_CONNECTED}),
     "image.cleanup": Operation(_cleanup, ("downscale",), ("downscale",), _DOWNSCALE),
@@ -189,8 +219,8 @@ OPERATIONS: dict[str, Operation] = {
                                                              "sharpen.strength BETWEEN 0 AND 200 AND sharpen.threshold BETWEEN 0 AND 64"}, one_pass=True),
     "filter.ascii": Operation(_ascii, ("ascii",), ("ascii",), {
         "characters must be one non-empty line": "length(ascii.characters) > 0 AND NOT ascii.characters RLIKE '[\\\\r\\\\n]'",
-        "columns must be 1..512": "ascii.columns BETWEEN 1 AND 512",
-        "rows must be positive": "ascii.rows >= 1"}),
+        "columns must be 0..512": _between("ascii.columns", 0, 512),
+        "rows must be positive": "ascii.rows IS NULL OR ascii.rows >= 1"}),
     "color.replace": Operation(lambda px, s, state: pixels.replace_color(px, s["colorReplacement"]["source"], s["colorReplacement"]["target"]),
                                ("colorReplacement",), ("colorReplacement",), one_pass=True),
     "color.channel.adjust": Operation(_channel, ("channelAdjustment",), ("channelAdjustment",), {

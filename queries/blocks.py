@@ -48,10 +48,10 @@ _T = {"brightness": 0.4, "contrast": 0.9, "saturation": 0.6, "edge": 0.2}
 _I = {"brightness": 0.8, "contrast": 0.3, "saturation": 0.7, "edge": 0.5}
 _F = {"brightness": m.lum(*ARG_RGB) + "/255", "contrast": m.contrast(*ARG_RGB), "saturation": m.sat(*ARG_RGB), "edge": "edge"}
 _COST = "round(" + " + ".join(f"{m.n(_I[k])}*abs({_F[k]} - {m.n(_T[k])})" for k in _F) + ", 9)"
+MANUAL = f"""f AS (SELECT image_id, bx, byy, argb, {_COST} AS d, count(*) OVER (PARTITION BY image_id, bx, byy, argb) AS n, y, x FROM cl WHERE a > 0),
+    pk AS (SELECT image_id, bx, byy, arg_min(argb, (d, -n, y, x)) AS argb FROM f GROUP BY 1, 2, 3)"""
 add("block_representative_manual", lambda v: b.block_representative(v.px(), 4, 4, (_T, _I)), f"""
-    WITH {EDGE.format(lum=m.lum(), view='px')}, cl AS (SELECT *, x//4 AS bx, y//4 AS byy, {ARGB} AS argb FROM ge),
-    f AS (SELECT image_id, bx, byy, argb, {_COST} AS d, count(*) OVER (PARTITION BY image_id, bx, byy, argb) AS n, y, x FROM cl WHERE a > 0),
-    pk AS (SELECT image_id, bx, byy, arg_min(argb, (d, -n, y, x)) AS argb FROM f GROUP BY 1, 2, 3),
+    WITH {EDGE.format(lum=m.lum(), view='px')}, cl AS (SELECT *, x//4 AS bx, y//4 AS byy, {ARGB} AS argb FROM ge), {MANUAL},
     bl AS (SELECT image_id, bx, byy, count(*) FILTER (a > 0) AS shown FROM cl GROUP BY 1, 2, 3),
     o AS (SELECT bl.image_id, bl.bx, bl.byy, CASE WHEN shown*2 >= 16 THEN argb END AS argb FROM bl LEFT JOIN pk USING (image_id, bx, byy))
     SELECT image_id, CAST(bx AS INT) AS x, CAST(byy AS INT) AS y, {UN} FROM o""")
@@ -140,13 +140,21 @@ def fit_sql(fit):
 add("fit_frames_contain", lambda v: b.fit_frames(v.pxl(), [16, 48], "contain"), fit_sql("contain"))
 add("fit_frames_cover", lambda v: b.fit_frames(v.pxl(), [16, 48], "cover"), fit_sql("cover"))
 RAMP = "@%#*+=-:. "
-add("ascii_text", lambda v: b.ascii_text(v.px(), 20, 10, RAMP, False, True), f"""
-    WITH s AS ({SIZES.format(v='px')}), cx AS (SELECT image_id, cx, (cx*width)//20 AS x0, greatest((cx*width)//20 + 1, ((cx+1)*width)//20) AS x1 FROM s, (SELECT unnest(range(20)) AS cx)),
-    cy AS (SELECT image_id, cy, (cy*height)//10 AS y0, greatest((cy*height)//10 + 1, ((cy+1)*height)//10) AS y1 FROM s, (SELECT unnest(range(10)) AS cy)),
+# as many columns as an image is wide, and rows for characters twice as high as wide
+def ascii_sql(columns, rows):
+    return f"""
+    WITH s AS (SELECT *, {columns} AS cols, {rows} AS lines FROM ({SIZES.format(v='px')})),
+    cx AS (SELECT image_id, cx, (cx*width)//cols AS x0, greatest((cx*width)//cols + 1, ((cx+1)*width)//cols) AS x1 FROM (SELECT *, unnest(range(cols)) AS cx FROM s)),
+    cy AS (SELECT image_id, cy, (cy*height)//lines AS y0, greatest((cy*height)//lines + 1, ((cy+1)*height)//lines) AS y1 FROM (SELECT *, unnest(range(lines)) AS cy FROM s)),
     c AS (SELECT p.image_id, cx, cy, sum({m.lum()}/255*a/255) AS lit, sum(a/255.0::DOUBLE) AS cover FROM px p JOIN cx ON cx.image_id = p.image_id AND x >= x0 AND x < x1 JOIN cy ON cy.image_id = p.image_id AND y >= y0 AND y < y1 GROUP BY 1, 2, 3),
     t AS (SELECT *, lit/cover AS t, ([0,8,2,10,12,4,14,6,3,11,1,9,15,7,13,5][(cy%4)*4 + cx%4 + 1] + 0.5::DOUBLE)/16 - 0.5::DOUBLE AS o FROM c),
     i AS (SELECT *, CASE WHEN cover > 0 THEN CAST(least(9, greatest(0, round_even(round((CASE WHEN t <= 0 OR t >= 1 THEN t ELSE least(1, greatest(0, t + o*(1.0::DOUBLE/9))) END)*9, 9), 0))) AS INT) END AS i FROM t),
     l AS (SELECT image_id, cy, string_agg(CASE WHEN i IS NULL THEN ' ' ELSE substring('{RAMP}', i+1, 1) END, '' ORDER BY cx) AS line FROM i GROUP BY 1, 2)
-    SELECT image_id, string_agg(line, chr(10) ORDER BY cy) AS text FROM l GROUP BY image_id""")
+    SELECT image_id, string_agg(line, chr(10) ORDER BY cy) AS text FROM l GROUP BY image_id"""
+
+
+add("ascii_text", lambda v: b.ascii_text(v.px(), 20, 10, RAMP, False, True), ascii_sql(20, 10))
+add("ascii_text_derived", lambda v: b.ascii_text(v.px(), None, None, RAMP, False, True), ascii_sql(
+    "CAST(least(512, width) AS INT)", "CAST(greatest(1, round_even(height/width::DOUBLE*least(512, width)/2, 0)) AS INT)"))
 
 QUERIES, SQL = area.queries, area.sql

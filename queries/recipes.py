@@ -8,7 +8,7 @@ from atlasmill.functions import palettes
 from atlasmill.plans import recipes as rc
 from queries import sqlmath as m
 from queries.base import Area
-from queries.blocks import AUTO, SIZES, covered, overlaps
+from queries.blocks import AUTO, MANUAL, PROFILE, SIZES, covered, overlaps
 from queries.colors import nearest_sql, remap_sql
 from queries.grids import vote_sql
 from queries.pixels import ARGB, RGB
@@ -94,6 +94,25 @@ add("apply_recipe_shrink", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "
 add("apply_recipe_factor_sprite", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "resizeFactor": {
     "factor": 0.5, "spriteMode": True, "alphaThreshold": 60}}]), f"""
     WITH {HALVES}, {AUTO}, {covered('CAST(0.6 AS DOUBLE)')} SELECT * FROM sm""")
+CRITERIA = {"targetBrightness": 0.4, "targetContrast": 0.9, "targetSaturation": 0.6, "targetEdge": 0.2,
+            "brightnessImportance": 0.8, "contrastImportance": 0.3, "saturationImportance": 0.7, "edgeImportance": 0.5}
+CORNER = {"targetWidth": 12, "targetHeight": 10, "cropHorizontal": "Left", "cropVertical": "Bottom"}
+
+
+def left_bottom(sql):
+    """The same query with whole blocks cropped at the left and the lower side."""
+    return sql.replace("(width%12)//2", "0").replace("(height%10)//2", "(height%10)")
+
+
+SHRINK = f"""WITH s0 AS ({SIZES.format(v='px8')}), cr AS (SELECT p.image_id, CAST(x - (width%12)//2 AS INT) AS x, CAST(y - (height%10)//2 AS INT) AS y, r, g, b, a FROM px8 p JOIN s0 USING (image_id)
+      WHERE x >= (width%12)//2 AND x < (width%12)//2 + width - width%12 AND y >= (height%10)//2 AND y < (height%10)//2 + height - height%10),
+    {overlaps('cr', 12, 10)}, {AUTO}, {covered('CAST(0.5 AS DOUBLE)')} SELECT * FROM sm"""
+add("apply_recipe_crop", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "downscale": CORNER}]), left_bottom(SHRINK))
+add("apply_recipe_resize_manual", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.resize", "resizeFactor": {
+    "factor": 0.5, "spriteMode": True, "alphaThreshold": 60, "blockMode": "Manual", "manualCriteria": CRITERIA}}]), f"""
+    WITH {HALVES}, {MANUAL}, {covered('CAST(0.6 AS DOUBLE)')} SELECT * FROM sm""")
+add("apply_recipe_profile_manual", lambda v: rc.apply_recipe(v.px8(), [{"operationId": "image.profile", "downscale": {
+    **CORNER, "blockMode": "Manual", "manualCriteria": CRITERIA}}]), left_bottom(f"WITH {PROFILE.replace(AUTO, MANUAL)} SELECT * FROM sm"))
 # images that a replay leaves out: too small for a grid, more than one colour in a cell, smaller than the target
 FOUND = [{"operationId": "grid.align"}, {"operationId": "grid.reduce", "usePreviousAlignment": True}]
 CELLS = [{"operationId": "filter.monochrome"}, {"operationId": "grid.reduce", "cellSize": 2}]
