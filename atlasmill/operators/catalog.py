@@ -55,6 +55,11 @@ def recent_assets(assets: DataFrame, n: int) -> DataFrame:
     return assets.filter("opened_at IS NOT NULL").orderBy(F.desc("opened_at"), "asset_id").limit(n)
 
 
+def modified_assets(assets: DataFrame, n: int) -> DataFrame:
+    """Most recently modified; assets without a time come last."""
+    return assets.orderBy(F.desc_nulls_last("modified_at"), "asset_id").limit(n)
+
+
 def macros_by_name(macros: DataFrame, name: str) -> DataFrame:
     return macros.orderBy(F.lower(name), name)
 

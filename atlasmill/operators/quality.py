@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
 from atlasmill.operators.bands import along
+from atlasmill.operators.pixels import with_sizes
 from atlasmill.runtime import require
 
 KEY = ["image_id", "x", "y"]
@@ -14,14 +15,14 @@ KEY = ["image_id", "x", "y"]
 
 def distort_corpus(px: DataFrame, kind: str, seed: int, pitch: int = 8) -> DataFrame:
     """Deterministic test damage: ``contamination`` blackens one pixel in ``seed``,
-    ``phase`` moves every pixel right and down by part of a cell (rows that leave
-    the canvas wrap to the other side)."""
+    ``phase`` moves every pixel right and down by part of a cell; what leaves its
+    image comes in on the other side."""
     if kind == "contamination":
         hit = f"(x * 7 + y * 13 + image_id * 5) % {seed} = 0"
         return px.select(*KEY, *[F.expr(f"CASE WHEN {hit} THEN 0 ELSE {v} END").alias(v) for v in "rgb"], "a")
     require(kind == "phase", "kind must be contamination or phase")
-    return px.selectExpr("image_id", f"x + {seed % pitch} AS x", f"y + {seed // pitch % pitch} AS y",
-                         "r", "g", "b", "a")
+    return with_sizes(px).selectExpr("image_id", f"pmod(x + {seed % pitch}, width) AS x", f"pmod(y + {seed // pitch % pitch}, height) AS y",
+                                     "r", "g", "b", "a")
 
 
 def compare_pixels(actual: DataFrame, reference: DataFrame) -> DataFrame:

@@ -77,6 +77,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def attach_per_image(rows: DataFrame, per_image: DataFrame, how: str = "inner",
                      salt: str | Column = "y", salts: int = SALTS,
                      keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

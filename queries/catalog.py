@@ -65,6 +65,9 @@ add("assets_in_scope", lambda v: c.assets_in_scope(v.assets(), v.links(), v.fold
     SELECT asset_id, name FROM assets WHERE asset_id IN (SELECT asset_id FROM links WHERE project_id = 2 AND folder_id IN (SELECT folder_id FROM d))""")
 add("recent_assets", lambda v: c.recent_assets(v.assets(), 50).select("asset_id", "opened_at"),
     "SELECT asset_id, opened_at FROM assets WHERE opened_at IS NOT NULL ORDER BY opened_at DESC, asset_id LIMIT 50")
+_CHANGED = "CASE WHEN asset_id % 9 = 0 THEN NULL ELSE width * 1000 + asset_id % 7 END AS modified_at"
+add("modified_assets", lambda v: c.modified_assets(v.assets().selectExpr("asset_id", _CHANGED), 60),
+    f"SELECT asset_id, {_CHANGED} FROM assets ORDER BY modified_at DESC NULLS LAST, asset_id LIMIT 60")
 add("macros_by_name", lambda v: c.macros_by_name(v.assets().select("asset_id", "name"), "name"),
     "SELECT asset_id, name FROM assets ORDER BY lower(name), name")
 add("common_tags", lambda v: c.common_tags(v.assets(), ["width"]).unionByName(

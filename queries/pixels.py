@@ -33,6 +33,20 @@ add("dominant_color", lambda v: p.dominant_color(v.px()), f"""
     SELECT image_id, argb, n FROM s WHERE k = 1""")
 add("color_count", lambda v: p.color_count(v.px8()),
     f"SELECT image_id, count(DISTINCT CASE WHEN a > 0 THEN {RGB} END) AS n_colors FROM px8 GROUP BY image_id")
+
+
+def sketched_colors(v):
+    """Counts from sketches beside the exact ones: per image, and over all images from the same sketches."""
+    px, sketches = v.px8(), p.color_sketches(v.px8())
+    whole = px.agg(F.countDistinct(F.when(F.col("a") > 0, F.expr("r * 65536 + g * 256 + b"))).alias("n_colors")).select(F.lit(-1).cast("long").alias("image_id"), "n_colors")
+    near = p.sketched_count(sketches, "image_id").unionByName(p.sketched_count(sketches).select(F.lit(-1).cast("long").alias("image_id"), "n_colors"))
+    both = p.color_count(px).unionByName(whole).join(near.withColumnRenamed("n_colors", "about"), "image_id")
+    return both.select("image_id", "n_colors", (F.abs(F.col("about") - F.col("n_colors")) <= F.col("n_colors") * 0.03).alias("within_3_percent"))
+
+
+add("color_count_sketched", sketched_colors, f"""
+    SELECT image_id, count(DISTINCT CASE WHEN a > 0 THEN {RGB} END) AS n_colors, true AS within_3_percent FROM px8 GROUP BY image_id
+    UNION ALL SELECT -1, count(DISTINCT CASE WHEN a > 0 THEN {RGB} END), true FROM px8""")
 add("palette_first_seen", lambda v: p.palette(v.px()), f"""
     WITH f AS (SELECT image_id, {RGB} AS rgb, min(y*100000 + x) AS q FROM px WHERE a > 0 GROUP BY 1, 2)
     SELECT image_id, CAST(ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY q) AS INT) AS rank, rgb,

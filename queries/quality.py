@@ -15,9 +15,11 @@ area = Area()
 add = area.add
 CANON = f"CASE WHEN a = 0 THEN 0 ELSE {ARGB} END"
 add("distort_corpus", lambda v: v.pxd(), "SELECT * FROM pxd")
-add("distort_phase", lambda v: q.distort_corpus(v.px(), "phase", 19), "SELECT image_id, x + 3 AS x, y + 2 AS y, r, g, b, a FROM px")
+add("distort_phase", lambda v: q.distort_corpus(v.px(), "phase", 19), """
+    WITH w AS (SELECT *, max(x) OVER (PARTITION BY image_id) + 1 AS width, max(y) OVER (PARTITION BY image_id) + 1 AS height FROM px)
+    SELECT image_id, CAST((x + 3) % width AS INT) AS x, CAST((y + 2) % height AS INT) AS y, r, g, b, a FROM w""")
 add("compare_pixels", lambda v: q.compare_pixels(q.distort_corpus(v.px(), "phase", 1), v.px()), f"""
-    WITH a1 AS (SELECT image_id, x + 1 AS x, y, {CANON} AS got FROM px), e1 AS (SELECT image_id, x, y, {CANON} AS expected FROM px)
+    WITH a1 AS (SELECT image_id, CAST((x + 1) % (max(x) OVER (PARTITION BY image_id) + 1) AS INT) AS x, y, {CANON} AS got FROM px), e1 AS (SELECT image_id, x, y, {CANON} AS expected FROM px)
     SELECT coalesce(a1.image_id, e1.image_id) AS image_id, coalesce(a1.x, e1.x) AS x, coalesce(a1.y, e1.y) AS y, got, expected FROM a1 FULL JOIN e1 ON a1.image_id = e1.image_id AND a1.x = e1.x AND a1.y = e1.y""")
 DELTA = m.dist(m.lab("p.r", "p.g", "p.b"), m.lab("d.r", "d.g", "d.b"))
 add("image_diff_counts", lambda v: q.image_diff_counts(v.px(), v.pxd()), f"""

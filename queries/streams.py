@@ -116,11 +116,22 @@ def frame_stream(v):
     return fr.frame_stream_apply(fr.read_frame_stream(v.spark, folder), COLOR[:1] + COLOR[2:])
 
 
+def cut_frame_stream(v):
+    """Frames cut over files by image row, two files a batch."""
+    folder = work_folder(v.spark, "frame-input")
+    tiles = v.tiles().selectExpr("tile_id AS image_id", "tx AS x", "ty AS y", "r", "g", "b", "a")
+    total = tiles.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
+    tiles.join(total, "image_id").repartition(4, "y").write.parquet(folder)
+    return fr.frame_stream_apply(fr.read_frame_stream(v.spark, folder, 2, cut=True), COLOR[:1] + COLOR[2:])
+
+
 _G = "CAST(CASE WHEN a > 0 THEN round_even({l}, 0) ELSE {c} END AS INT) AS {c}"
 
 
-add("frame_stream_apply", frame_stream, f"""
+FRAMES = f"""
     WITH br AS (SELECT tile_id AS image_id, tx AS x, ty AS y, CAST(least(255, r + 20) AS INT) AS r, g, b, a FROM tiles)
-    SELECT image_id, x, y, {', '.join(_G.format(l=m.lum(), c=ch) for ch in 'rgb')}, a FROM br""")
+    SELECT image_id, x, y, {', '.join(_G.format(l=m.lum(), c=ch) for ch in 'rgb')}, a FROM br"""
+add("frame_stream_apply", frame_stream, FRAMES)
+add("frame_stream_cut", cut_frame_stream, FRAMES)
 
 QUERIES, SQL = area.queries, area.sql

@@ -152,3 +152,27 @@ def test_revisions_in_the_order_of_time_across_batches(spark, tmp_path):
     got = sorted(tuple(r) for r in mailbox.stream_rows(mailbox.revision_conflict_stream(stream, "30 minutes")).collect())
     batch = mailbox.revision_conflicts(spark.read.schema(mailbox.REQUEST_SCHEMA).json(str(inbox)))
     assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 20
+
+
+def test_frame_size_and_cut_frames_survive_a_restart(spark, tmp_path):
+    def rows(i, w, h):
+        return [(i, x, y, 10 * x, 10 * y, 0, 255, w * h) for x in range(w) for y in range(h)]
+
+    def add(part):
+        spark.createDataFrame(part, frames.CUT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = frames.read_frame_stream(spark, str(tmp_path / "in"), 1, cut=True)
+        out = frames.frame_stream_apply(stream, [{"operationId": "filter.monochrome"}], str(tmp_path / "table"))
+        return sorted((r.image_id, r["count"]) for r in out.groupBy("image_id").count().collect())
+
+    first, second = rows(1, 4, 3), rows(2, 4, 3)
+    add(first + second[:5])
+    assert run() == [(1, 12)]
+    add(second[5:9])
+    assert run() == [(1, 12)]
+    add(second[9:])
+    assert run() == [(1, 12), (2, 12)]
+    add(rows(3, 3, 3))
+    with pytest.raises(Exception, match="differ in size"):
+        run()
