@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from atlasmill.llm.common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers  # where it is absent, only this query is
     with open(public_tokenizers.path(vocabulary), "rb") as file:
         return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read(), limit=4096)
 

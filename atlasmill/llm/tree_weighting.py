@@ -10,7 +10,9 @@ byte) string once, with its count in training texts; the counts meet in one tabl
 never broadcast. Subtrees that share the last two context bytes are worked out together, first
 upwards, then down to the chance of every string that occurs anywhere. Depths 0 and 1 have at
 most 257 * 255 nodes, which is the bound for their broadcast. The chances return to the chunks by
-a join, and a chunk adds them up for its texts.
+a join; a task holds those of one chunk, sixteen bytes a string, and streams the chunk's texts past them.
+
+Contexts are cut at ``DEPTH`` bytes, so that a string with its next byte is one 64-bit key.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasmill.llm.common import fold, stage, unstage
+from atlasmill.llm.common import fold, parallelism, stage, unstage
 
 #: Context bytes; with the next byte a string fits into 64 bits.
 DEPTH = 5
@@ -31,6 +33,8 @@ DEPTH = 5
 END = 255
 CHUNK_BYTES = 8 << 20
 _SLICE = 1 << 20
+#: Characters of texts that a task scores together.
+TEXTS_AT_ONCE = 1 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -223,11 +227,9 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
     strings = stage(counted.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
                     .withColumn("pair", F.shiftright("key", 8).bitwiseAND(0xFFFF)), "strings")
     chance = stage(string_chances(strings), "chances")
-    # a word of one chunk only has its count there already
-    several = words.filter("chunks > 1").select("word", "c")
     back = (counted.filter("key IS NOT NULL").select("chunk", "key").join(chance, "key")
-            .select("chunk", "key", F.lit(None).cast("binary").alias("word"), F.col("chance").cast("float").cast("double").alias("value"))
-            .unionByName(counted.filter("word IS NOT NULL").select("chunk", "word").join(several, "word")
+            .select("chunk", "key", F.lit(None).cast("binary").alias("word"), F.col("chance").alias("value"))
+            .unionByName(counted.filter("word IS NOT NULL").select("chunk", "word").join(words, "word")
                          .select("chunk", F.lit(None).cast("long").alias("key"), "word", F.col("c").cast("double").alias("value"))))
     back = stage(back, "values")
     unstage(counted, words, strings, chance)
@@ -235,34 +237,63 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("bits_per_byte", T.DoubleType())])
     floor, under = 0.1, n_train + 0.1 * (distinct + 1)
 
-    def add_up(rows: pa.Table, values: pa.Table) -> pa.Table:
-        from collections import Counter
-        texts = [t.encode().lower() if t else b"" for t in rows.column("text").to_pylist()]
-        column = values.column("key").combine_chunks()
-        strings = np.asarray(column.is_valid())
-        numbers = values.column("value").to_numpy()
-        keys, chances = values.column("key").drop_null().to_numpy(), numbers[strings]
-        order = np.argsort(keys)
-        keys, chances = keys[order], chances[order]
-        counts = Counter()
-        for t, learns in zip(texts, (~np.array(rows.column("held_out").to_pylist(), bool)).tolist()):
-            if learns:
-                counts.update(_words(t))
-                counts[b""] += 1
-        counts = dict(counts)
-        counts.update(zip(values.column("word").drop_null().to_pylist(), numbers[~strings].tolist()))
-        scores = np.zeros(len(texts))
-        for part, owner in strings_of(texts):
-            scores += np.bincount(owner, chances[np.searchsorted(keys, part)], len(texts))
+    def add_up(texts: list[tuple], keys: np.ndarray, chances: np.ndarray, counts: dict) -> pa.RecordBatch:
+        raw = [t.encode().lower() if t else b"" for _, _, t in texts]
+        scores = np.zeros(len(raw))
+        for part, owner in strings_of(raw):
+            order = np.argsort(part)  # look-ups in order stay in the cache
+            scores += np.bincount(owner[order], chances[np.searchsorted(keys, part[order])], len(raw))
         tokens, hits, base = [], [], []
-        for t in texts:
+        for t in raw:
             found = [counts.get(w, 0) for w in _words(t)] + [counts.get(b"", 0)]
             tokens.append(len(found))
             hits.append(sum(c > 0 for c in found))
             base.append(float(np.log10((np.array(found) + floor) / under).sum()))
-        sizes = np.array([len(t) for t in texts])
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()),
-                         "train_tokens": pa.array([n_train] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores),
-                         "n_bytes": pa.array(sizes), "bits_per_byte": pa.array(-scores / math.log10(2) / (sizes + 1))})
-
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(add_up, schema)
+        sizes = np.array([len(t) for t in raw])
+        return pa.RecordBatch.from_arrays([
+            pa.array([t[0] for t in texts], id_type), pa.array([t[1] for t in texts]), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()),
+            pa.array([n_train] * len(raw), pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(sizes),
+            pa.array(-scores / math.log10(2) / (sizes + 1))], names=schema.names)
+
+    id_type = pa.int64() if docs.schema["doc_id"].dataType == T.LongType() else None
+
+    def run(batches):
+        """A chunk's values, then its texts, some at a time."""
+        chunk, keys, chances, counts, texts, held = None, [], [], {}, [], 0
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(numbers)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(numbers)]):
+                if numbers[start] != chunk:
+                    if texts:
+                        yield add_up(texts, keys, chances, counts)
+                    chunk, keys, chances, counts, texts, held = numbers[start], [], [], {}, [], 0
+                part = batch.slice(start, end - start)
+                is_text = part.column(1).to_numpy(zero_copy_only=False)
+                values = part.slice(0, int((~is_text).sum()))  # values come first
+                if values.num_rows:
+                    strings = np.asarray(values.column(2).is_valid())
+                    number = values.column(4).to_numpy()
+                    keys.append(values.column(2).drop_null().to_numpy())
+                    chances.append(number[strings])
+                    counts.update(zip(values.column(3).drop_null().to_pylist(), number[~strings].tolist()))
+                if values.num_rows == part.num_rows:
+                    continue
+                if isinstance(keys, list):
+                    keys, chances = np.concatenate(keys), np.concatenate(chances)
+                    order = np.argsort(keys)
+                    keys, chances = keys[order], chances[order]
+                for k in range(values.num_rows, part.num_rows):
+                    texts.append(tuple(part.column(c)[k].as_py() for c in (5, 6, 7)))
+                    held += len(texts[-1][2] or "")
+                    if held > TEXTS_AT_ONCE:
+                        yield add_up(texts, keys, chances, counts)
+                        texts, held = [], 0
+        if texts:
+            yield add_up(texts, keys, chances, counts)
+
+    own = dealt.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("word"),
+                       F.lit(None).cast("double").alias("value"), "doc_id", "held_out", "text")
+    given = back.select("chunk", F.lit(False).alias("is_text"), "key", "word", "value", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+                        F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    return given.unionByName(own).repartition(parallelism(spark), "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)
