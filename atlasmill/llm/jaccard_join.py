@@ -225,16 +225,15 @@ def candidates(signed: DataFrame, percent: int) -> DataFrame:
 
 def families(sets: DataFrame, percent: int) -> DataFrame:
     """``(id, family, own)`` of the sets that may link; ``own``: shingles that no other set has."""
-    n = F.size("items")
-    p = (n - F.ceil(n * percent / 100) + 1).alias("p")
-    rows = sets.select("id", n.alias("n"), p, F.explode("items").alias("h"))
+    rows = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("h"))
+    p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     counts = stage(counts, "counts")
     shared = stage(rows.join(counts, "h"), "shared")
     # of the p rarest shingles, those of its own come first
     own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
-    prefix = stage(shared.withColumn("own", own).withColumn("r", rank).filter("own < p AND own + r <= p").select("id", "h", "own"), "prefix")
+    prefix = stage(shared.withColumn("own", own).withColumn("r", rank).withColumn("p", p).filter("own < p AND own + r <= p").select("id", "h", "own"), "prefix")
     unstage(shared)
     first = stage(prefix.groupBy("h").agg(F.min("id").alias("f")), "first")
     linked = components(prefix.join(first, "h").select(F.col("id").alias("a"), F.col("f").alias("b")))
@@ -331,6 +330,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
     classes = stage(real.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     leaders = real.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi")
     passed = stage(candidates(leaders, percent), "maybe")
+    # the hashes have done their work: what is needed of every row from here on is small
+    light = stage(signed.select("doc_id", "digest", "n_shingles"), "set-sizes")
+    unstage(signed)
     maybe = passed.select(F.col("id").alias("doc_id")).distinct()
     # a class may have several rows with its smallest id, and an id several texts: sets count once
     sets = full_sets(docs.join(maybe, "doc_id", "left_semi"), k)
@@ -341,7 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
     smallest = rooted.groupBy("root").agg(F.min("class").alias("component_id"))
     roots = stage(rooted.join(smallest, "root").select("digest", "component_id"), "roots")
     unstage(classes, passed, sets, links)
-    known = signed.drop("low").join(roots, "digest", "left")
+    known = light.join(roots, "digest", "left")
     return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id"))
                         .otherwise(F.col("component_id")).alias("component_id"))
 
