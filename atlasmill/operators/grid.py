@@ -11,7 +11,7 @@ from atlasmill.functions import color as c
 from atlasmill.operators.bands import along
 from atlasmill.operators.pixels import PIXEL, image_sizes, with_sizes
 from atlasmill.operators.stencil import suppress_speckles, transition_edges
-from atlasmill.runtime import attach_per_image, bucketed_row_number, require
+from atlasmill.runtime import attach_per_image, bucketed_row_number, cut_lineage, require
 
 #: Positions of a profile in one block.
 BLOCK = 2048
@@ -33,7 +33,7 @@ def _pitch_scores(profiles: DataFrame, pitches: list[int]) -> DataFrame:
     so an axis of any length costs bounded rows.
     """
     keys, most = ["image_id", "axis"], max(pitches)
-    placed = bucketed_row_number(profiles, keys, F.floor(F.col("pos") / BLOCK), ["pos"], "i").withColumn("i", F.col("i") - 1)
+    placed = bucketed_row_number(cut_lineage(profiles), keys, F.floor(F.col("pos") / BLOCK), ["pos"], "i").withColumn("i", F.col("i") - 1)
     stats = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.max("v").alias("peak")).filter("n > 1")
     own = F.floor(F.col("i") / BLOCK)
     home = F.array(own, F.when(F.pmod("i", F.lit(BLOCK)) >= BLOCK - most, own + 1))

@@ -165,10 +165,12 @@ def kmeans_palette(px: DataFrame, k: int, space: str = "lab", weighted: bool = F
                  .filter(F.col("n") <= k).select("image_id", (F.col("n") - 1).alias("idx"), "rgb"))
     keys = ["image_id", "idx"]
     for _ in range(rounds):
-        assigned = nearest_in_image(colors, centroids).withColumn("idx", F.col("near.idx")).drop("near")
+        # read twice, for the means and for the members nearest to them
+        assigned = cut_lineage(nearest_in_image(colors, centroids).withColumn("idx", F.col("near.idx")).drop("near"))
         moved = _snap(assigned, _cluster_means(assigned, keys, space, weighted), keys)
         centroids = cut_lineage(centroids.join(moved, keys, "left").select(
             *keys, F.coalesce("snapped", "rgb").alias("rgb")))
+        discard(assigned)
     return centroids.groupBy("image_id", "rgb").agg(F.min("idx").alias("idx")).select("image_id", "idx", "rgb")
 
 
