@@ -316,15 +316,20 @@ def test_coherence_of_many_colours(spark):
 def test_incomplete_steps_are_rejected(spark):
     import json
     from atlasmill.plans import recipes
-    steps = [{"operationId": "filter.ascii", "ascii": {"columns": 4, "characters": "#."}},
+    steps = [{"operationId": "filter.ascii", "ascii": {"columns": 4, "rows": 0, "characters": "#."}},
              {"operationId": "image.profile", "downscale": {"palette": "none"}},
              {"operationId": "image.resize", "downscale": {"targetWidth": 4}},
              {"operationId": "image.colors", "downscale": {"independentColorMode": "other"}},
-             {"operationId": "color.channel.adjust", "channelAdjustment": {"channel": "R", "mode": "times", "amount": 2}}]
+             {"operationId": "color.channel.adjust", "channelAdjustment": {"channel": "R", "mode": "times", "amount": 2}},
+             {"operationId": "image.resize", "resizeFactor": {"factor": 0.5, "cropHorizontal": "middle"}},
+             {"operationId": "image.profile", "downscale": {"targetWidth": 4, "targetHeight": 4, "manualCriteria": {"edgeImportance": 2}}},
+             # rows and columns of a text picture follow from the image where they are not given
+             {"operationId": "filter.ascii", "ascii": {"columns": 0, "characters": "#."}}]
     rows = spark.createDataFrame([(k, json.dumps({"version": 1, "steps": [s]})) for k, s in enumerate(steps)], "id INT, json STRING")
     errors = {r.id: r.error for r in recipes.validate_recipes(recipes.parse_recipes(rows), "id").collect()}
     assert errors == {0: "rows must be positive", 1: "target dimensions are required", 2: "target dimensions are required",
-                      3: "unknown colour mode", 4: "unknown adjustment mode"}
+                      3: "unknown colour mode", 4: "unknown adjustment mode",
+                      5: "unknown crop alignment in resizeFactor", 6: "manual criteria in downscale must be 0..1"}
 
 
 def test_resize_shrinks_by_blocks(spark):
