@@ -152,37 +152,68 @@ def _words(text: bytes) -> list[bytes]:
     return text.split()  # bytes: ASCII white space only
 
 
+def _merged(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    k, n = np.concatenate(keys), np.concatenate(numbers)
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[heads], np.add.reduceat(n, heads) if len(k) else n
+
+
 def chunk_counts(dealt: DataFrame) -> DataFrame:
-    """``(chunk, key, word, n)``: distinct strings and words of a chunk, with their number in training texts."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        from collections import Counter
-        texts = [t.encode().lower() if t else b"" for t in rows.column("text").to_pylist()]
-        train = ~np.array(rows.column("held_out").to_pylist(), bool)
-        found, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part, owner in strings_of(texts):
+    """``(chunk, key, word, n)``: distinct strings and words of a chunk, with their number in training texts.
+
+    Texts stream through; a task holds a chunk's distinct strings and a bounded number not yet merged.
+    """
+
+    def count(texts, keys, numbers, words):
+        raw = [t.encode().lower() if t else b"" for t, _ in texts]
+        train = ~np.array([h for _, h in texts], bool)
+        for part, owner in strings_of(raw):
             learns = train[owner]
             for own, weight in ((part[learns], 1), (part[~learns], 0)):
                 u, n = np.unique(own, return_counts=True)
-                found.append(u)
-                number.append(n * weight)
-        keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(number), len(keys))
-        words = Counter({b"": 0})
-        for t, learns in zip(texts, train):
-            if learns:
-                words.update(_words(t))
-                words[b""] += 1  # the end
-            else:
-                words.update(dict.fromkeys(_words(t), 0))
+                keys.append(u)
+                numbers.append(n * weight)
+        for t, learns in zip(raw, train):
+            for w in _words(t):
+                words[w] = words.get(w, 0) + int(learns)
+            words[b""] += int(learns)  # the end
+        if sum(map(len, keys[1:])) > _SLICE:
+            merged = _merged(keys, numbers)
+            keys[:], numbers[:] = [merged[0]], [merged[1]]
+
+    def rows_of(chunk, keys, numbers, words):
+        keys, counts = _merged(keys, numbers)
+        for at in range(0, len(keys), 1 << 16):
+            k, n = keys[at:at + (1 << 16)], counts[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int32)), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n.astype(np.int64))],
+                                             names=["chunk", "key", "word", "n"])
         names = sorted(words)
-        a, b = len(keys), len(names)
-        return pa.table({"chunk": pa.array(np.full(a + b, rows.column("chunk")[0].as_py(), np.int32)),
-                         "key": pa.concat_arrays([pa.array(keys), pa.nulls(b, pa.int64())]),
-                         "word": pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(names, pa.binary())]),
-                         "n": pa.array(np.concatenate([counts.astype(np.int64), np.array([words[w] for w in names], np.int64)]))})
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), chunk, np.int32)), pa.nulls(len(names), pa.int64()), pa.array(names, pa.binary()),
+                                          pa.array([words[w] for w in names], pa.int64())], names=["chunk", "key", "word", "n"])
 
-    return dealt.groupBy("chunk").applyInArrow(run, "chunk int, key long, word binary, n long")
+    def run(batches):
+        chunk, texts, held, state = None, [], 0, None
+        for batch in batches:
+            for number, text, held_out in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if number != chunk:
+                    if state:
+                        count(texts, *state)
+                        yield from rows_of(chunk, *state)
+                    chunk, texts, held, state = number, [], 0, ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {b"": 0})
+                texts.append((text, held_out))
+                held += len(text or "")
+                if held > TEXTS_AT_ONCE:
+                    count(texts, *state)
+                    texts, held = [], 0
+        if state:
+            count(texts, *state)
+            yield from rows_of(chunk, *state)
+
+    spread = dealt.select("chunk", "text", "held_out").repartition(parallelism(dealt.sparkSession), "chunk").sortWithinPartitions("chunk")
+    return spread.mapInArrow(run, "chunk int, key long, word binary, n long")
 
 
 def string_chances(strings: DataFrame) -> DataFrame:
