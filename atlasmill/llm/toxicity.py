@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,16 @@ from atlasmill.llm.common import fold
 WORD = re.compile(r"[^\W\d_]+")
 SHOUTED = re.compile("[A-Z]+")
 STEMS = (4, 5, 6, 7)
-#: Lexicon voters: precise words, other words, precise stems, other stems. With the patterns at most 2 ** 14 vote patterns exist.
-LISTS = (4, 2, 2, 2)
+#: Lexicons are mined from this many disjoint parts of the labelled sample, so they err independently.
+PARTS = 2
+#: Voters of each part: precise words, other words, precise stems, other stems. With the patterns at most 2 ** 12 vote patterns exist.
+KINDS = 4
 #: A precise entry is so many times as frequent in toxic rows, and stands in such a share of them.
 PRECISE = (30.0, 0.005)
 
-LABEL_RIGHT = 0.97
+#: Entries stand in so many rows, with such a log-likelihood ratio, so many times as often in toxic rows.
+LEAST, STRENGTH, RATIO = 4, 16.0, 8.0
+
 #: Information in nats that makes a tie between two voters; weaker ones count as none.
 TIE = 0.002
 
@@ -48,24 +52,23 @@ def patterns(text: str | None, hits: int) -> list[bool]:
     return [upper * 2 > len(text), text.count("!!") * 100 > len(text) > 0, hits >= 3, hits * 400 >= len(text) > 0 and hits > 0]
 
 
-def list_of(name: str, ratio: float, share: float) -> int:
-    """Voter of a lexicon entry; the lists of one kind share its entries by hash."""
-    kind = 2 * (name[0] == "^") + (ratio < PRECISE[0] or share < PRECISE[1])
-    return sum(LISTS[:kind]) + zlib.crc32(name.encode()) % LISTS[kind]
+def voter_of(part: int, name: str, ratio: float, share: float) -> int:
+    """Voter of an entry of a part's lexicon, by what it is and how precise."""
+    return part * KINDS + 2 * (name[0] == "^") + (ratio < PRECISE[0] or share < PRECISE[1])
 
 
 def votes(text: str | None, lexicon: dict[str, tuple[int, int]]) -> tuple[int, list[int]]:
     """Bits of the voters that fire, and the numbers of the lexicon's entries in the text."""
     found = [lexicon[f] for f in features(text) if f in lexicon]
     bits = 0
-    for _, voter in found:
-        bits |= 1 << voter
+    for _, voters in found:
+        bits |= voters
     for k, fires in enumerate(patterns(text, len(found))):
-        bits |= fires << (sum(LISTS) + k)
+        bits |= fires << (PARTS * KINDS + k)
     return bits, [k for k, _ in found]
 
 
-VOTERS = sum(LISTS) + len(patterns("", 0))
+VOTERS = PARTS * KINDS + len(patterns("", 0))
 
 
 class LabelModel:
@@ -76,10 +79,11 @@ class LabelModel:
     most information about each other within a class.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 30):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 60, known: np.ndarray | bool = False):
+        """``start``: first guess of the posterior of each pattern, -1 where there is none; it stays where it is ``known``."""
         v = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
         any_vote = np.where(patterns > 0, 0.5, 0.05)
-        post = np.where(labels >= 0, labels, any_vote)
+        post = np.where(start >= 0, start, any_vote)
         self.parent = np.full(VOTERS, -1)
         for step in range(rounds):
             weight = np.stack([counts * (1 - post), counts * post])
@@ -92,7 +96,7 @@ class LabelModel:
                 for u in range(2):
                     w = weight[y][:, None] * (up == u)
                     self.fire[y, :, u] = ((w * v).sum(0) + 0.5) / (w.sum(0) + 1)
-            post = np.where(labels >= 0, labels, self.posterior(patterns))
+            post = np.where(known, start, self.posterior(patterns))
 
     def _tree(self, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
         info = np.zeros((VOTERS, VOTERS))
@@ -125,65 +129,81 @@ class LabelModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, open_: Column, bound: int = 20_000, vocabulary: int = 4096) -> dict:
-    """Lexicon, label model and classifier from the rows for which ``open_`` holds.
+    """Lexicons, label model and classifier from the rows for which ``open_`` holds.
 
-    Labels pick the lexicon and anchor the label model on at most ``bound`` labelled rows, the ones
-    with the smallest hashes of their ids; the classifier is fitted on the same rows. Vote patterns
-    are counted over all open rows. ``vocabulary`` bounds the lexicon.
+    Labels, of at most ``bound`` rows, pick the lexicons, give the label model its first guess and
+    set the scale of the scores. Accuracies and ties of voters come from the vote patterns of all
+    open rows. The classifier is fitted on the label model's posteriors of at most ``bound`` open
+    rows, labelled or not. Both samples are the rows with the smallest hashes of their ids.
+    ``vocabulary`` bounds the lexicons together.
     """
     sc = docs.sparkSession.sparkContext
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = linear.bounded_sample(marked.filter(open_), bound)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    names = linear.associated(sample, features, vocabulary, least=4, strength=16.0, ratio=8.0)
-    lexicon = sc.broadcast({f: (k, list_of(f, ratio, share)) for k, (f, ratio, share) in enumerate(names)})
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    voters: dict[str, int] = {}
+    for part in range(PARTS):
+        own = sample.filter(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)) == part).select("y", "text")
+        for name, ratio, share in linear.associated(own, features, vocabulary // PARTS, least=LEAST, strength=STRENGTH, ratio=RATIO):
+            voters[name] = voters.get(name, 0) | 1 << voter_of(part, name, ratio, share)
+    lexicon = sc.broadcast({name: (k, voters[name]) for k, name in enumerate(sorted(voters))})
 
     def rows(batches):
         for batch in batches:
             seen = [votes(t, lexicon.value) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in seen], pa.int64()),
-                                              pa.array([f for _, f in seen], pa.list_(pa.int32()))], names=["y", "bits", "found"])
+                                              pa.array([sorted(f) for _, f in seen], pa.list_(pa.int32()))], names=["y", "bits", "found"])
+
+    def seen_in(frame: DataFrame) -> list:
+        """``(y, bits, found, n)`` of a bounded sample; rows that look alike come once."""
+        kind = frame.schema["y"].dataType
+        return (frame.select("y", "text").mapInArrow(rows, T.StructType([T.StructField("y", kind), T.StructField("bits", T.LongType()), T.StructField("found", T.ArrayType(T.IntegerType()))]))
+                .groupBy("y", "bits", "found").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "bits", "found").collect())
 
-    labelled = sample.mapInArrow(rows, T.StructType([T.StructField("y", sample.schema["y"].dataType), T.StructField("bits", T.LongType()),
-                                                     T.StructField("found", T.ArrayType(T.IntegerType()))])).collect()
+    labelled = seen_in(sample)
+    picked = linear.bounded_sample(docs.filter(open_).filter("doc_id IS NOT NULL").select("doc_id").distinct(), bound)
+    unlabelled = seen_in(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("y", F.lit(0)))
 
     def counted(batches):
-        from collections import Counter
         seen = Counter()
         for batch in batches:
             seen.update(votes(t, lexicon.value)[0] for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["bits", "n"])
 
     # at most 2 ** VOTERS rows
-    free = docs.filter(open_).select("text").mapInArrow(counted, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
-    pattern = np.array([r.bits for r in free] + [r.bits for r in labelled], np.int64)
-    count = np.array([float(r.n) for r in free] + [1.0] * len(labelled))
-    anchor = np.array([-1.0] * len(free) + [float(r.y > 0) for r in labelled])
-    if not len(pattern):
+    free = docs.filter(open_).select("text").mapInArrow(counted, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).orderBy("bits").collect()
+    if not labelled or not unlabelled:
         return {"lexicon": {}, "weights": np.array([-4.0])}
-    model = LabelModel(pattern, count, anchor)
-    # on labelled rows the label is one more voter, right in LABEL_RIGHT of the cases
-    agree = np.where(np.array([r.y > 0 for r in labelled], bool), 1.0, -1.0) * math.log(LABEL_RIGHT / (1 - LABEL_RIGHT))
-    soft = np.clip(model.posterior(np.array([r.bits for r in labelled], np.int64)), 1e-9, 1 - 1e-9)
-    soft = 1 / (1 + (1 - soft) / soft * np.exp(-agree))
-    found = [np.array(r.found, np.int64) for r in labelled]
-    weights = linear.fit(found, soft, len(names), ridge=0.05, rounds=800) if labelled else np.array([-4.0])
-    if labelled:  # the sample's labels set the scale of the scores, not their order
-        slope, constant = linear.calibrate(np.array([weights[-1] + weights[f].sum() for f in found]), np.array([float(r.y > 0) for r in labelled]))
-        weights = weights * slope
-        weights[-1] += constant
+    ones, all_ = Counter(), Counter()
+    for r in labelled:
+        ones[r.bits] += r.n * (r.y > 0)
+        all_[r.bits] += r.n
+    start = np.array([(ones[r.bits] + (0.5 if r.bits else 0.05)) / (all_[r.bits] + 1) for r in free])
+    seen = free + labelled
+    model = LabelModel(np.array([r.bits for r in seen], np.int64), np.array([float(r.n) for r in seen]),
+                       np.append(start, [float(r.y > 0) for r in labelled]), known=np.arange(len(seen)) >= len(free))
+    soft = model.posterior(np.array([r.bits for r in unlabelled], np.int64))
+    weights = linear.fit([np.array(r.found, np.int64) for r in unlabelled], soft, len(voters), np.array([float(r.n) for r in unlabelled]), ridge=0.05, rounds=800)
+    # labels set the scale of the scores, not their order
+    z = np.array([weights[-1] + weights[np.array(r.found, np.int64)].sum() for r in labelled])
+    slope, constant = linear.calibrate(np.repeat(z, [r.n for r in labelled]), np.repeat([float(r.y > 0) for r in labelled], [r.n for r in labelled]))
+    weights = weights * slope
+    weights[-1] += constant
     return {"lexicon": lexicon.value, "weights": weights, "model": model}
 
 
+def scores_of(texts: list[str | None], lexicon: dict[str, tuple[int, int]], weights: np.ndarray) -> np.ndarray:
+    z = np.array([weights[-1] + sum(weights[lexicon[f][0]] for f in features(t) if f in lexicon) for t in texts], float)
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, learnt: dict, held_out: Column, threshold: float = 0.7) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row; null and empty texts get the score of no find."""
     given = docs.sparkSession.sparkContext.broadcast((learnt["lexicon"], learnt["weights"]))
 
     def run(batches):
-        lexicon, w = given.value
         for batch in batches:
-            z = np.array([w[-1] + sum(w[lexicon[f][0]] for f in features(t) if f in lexicon) for t in batch.column(2).to_pylist()], float)
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            s = scores_of(batch.column(2).to_pylist(), *given.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
@@ -195,22 +215,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     """Learn from fold 0 and 2 of 3 and score every row.
 
     Without labels of both kinds nothing is learnt and every score is low. Repeated rows get equal
-    scores; of labels that repeat the largest counts.
+    scores; of labels that repeat the largest counts. Rows with a null id are scored and counted in
+    the vote patterns, but are in no sample.
     """
     held_out = fold("doc_id", 3) == 1
     return score(docs, learn(docs, labels, ~held_out), held_out, threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows with a score below the threshold, with their own columns."""
+    """The rows with a score below the threshold, with their own columns; null and empty texts are scored as having no find."""
     learnt = learn(docs, labels, fold("doc_id", 3) != 1)
     given = docs.sparkSession.sparkContext.broadcast((learnt["lexicon"], learnt["weights"]))
     place = docs.columns.index("text")
 
     def run(batches):
-        lexicon, w = given.value
         for batch in batches:
-            z = np.array([w[-1] + sum(w[lexicon[f][0]] for f in features(t) if f in lexicon) for t in batch.column(place).to_pylist()], float)
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold))
+            yield batch.filter(pa.array(scores_of(batch.column(place).to_pylist(), *given.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
