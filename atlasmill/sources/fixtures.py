@@ -106,11 +106,12 @@ class Views:
             "CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey - 5 END AS parent_id", "n_name AS name")
 
     def links(self) -> DataFrame:
-        line = self.table("lineitem").filter("l_returnflag = 'R' AND l_quantity > 45 AND l_partkey % 5 <> 0")
+        """Parts placed where their suppliers are; every fifth part's places belong to the part before, so it has none."""
+        line = self.table("lineitem").withColumn("asset_id", F.expr("CASE WHEN l_partkey % 5 = 0 THEN l_partkey - 1 ELSE l_partkey END"))
         places = self.table("supplier").join(
             self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return (line.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-                .groupBy(F.col("n_regionkey").alias("project_id"), F.col("l_partkey").alias("asset_id"))
+                .groupBy(F.col("n_regionkey").alias("project_id"), "asset_id")
                 .agg(F.min("n_nationkey").alias("folder_id")))
 
     def paths(self) -> DataFrame:
@@ -138,8 +139,9 @@ class Views:
             self._OBJECT.format("") + " AS path", self._OBJECT.format(", '_moved'") + " AS target")
 
     def transfers(self) -> DataFrame:
-        return self.table("documents").join(self.table("labels"), "doc_id").selectExpr(
-            "doc_id", "text AS payload", "quality AS announced", "toxic AS received")
+        """All documents; those without labels were announced and not received."""
+        return self.table("documents").join(self.table("labels"), "doc_id", "left").selectExpr(
+            "doc_id", "text AS payload", "COALESCE(quality, 1) AS announced", "COALESCE(toxic, 0) AS received")
 
     def snaps(self) -> DataFrame:
         return self.table("conversations").selectExpr(

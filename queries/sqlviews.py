@@ -59,9 +59,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT n_nationkey AS folder_id, n_regionkey AS project_id,
         CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey - 5 END AS parent_id, n_name AS name FROM nation"""),
     "links": ((), """
-      SELECT n_regionkey AS project_id, l_partkey AS asset_id, MIN(n_nationkey) AS folder_id
-      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-      WHERE l_returnflag = 'R' AND l_partkey % 5 <> 0 AND l_quantity > 45 GROUP BY n_regionkey, l_partkey"""),
+      SELECT n_regionkey AS project_id, CASE WHEN l_partkey % 5 = 0 THEN l_partkey - 1 ELSE l_partkey END AS asset_id, MIN(n_nationkey) AS folder_id
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"""),
     "paths": ((), """
       SELECT page_id, CONCAT('/Game/', REPLACE(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '.', '_'), '.',
         regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1)) AS path FROM pages"""),
@@ -77,8 +76,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         CONCAT('/Game/P', project_id, '/F', folder_id, '/T', asset_id, '_moved') AS target
       FROM links WHERE asset_id % 4 = 1"""),
     "transfers": ((), """
-      SELECT d.doc_id, d.text AS payload, l.quality AS announced, l.toxic AS received
-      FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
+      SELECT d.doc_id, d.text AS payload, COALESCE(l.quality, 1) AS announced, COALESCE(l.toxic, 0) AS received
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
     "snaps": ((), "SELECT conv_id AS action_id, turn AS file_no, text AS payload FROM conversations"),
     "board": ((), """
       SELECT p_partkey + 1 AS layer_index, p_name AS name, CAST(p_size AS DOUBLE) AS width,
