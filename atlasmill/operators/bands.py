@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BAND = 2048
@@ -27,6 +27,32 @@ def along(px: DataFrame, axis: str, build: Callable[[DataFrame, WindowSpec], Dat
     return build(rows, window).filter(~F.col("_copy")).drop("_band", "_copy")
 
 
+#: Side of the tiles that windows in both directions share.
+TILE = 256
+
+
+def _tile(x: Column, y: Column) -> Column:
+    return (y.cast("long") * F.lit(1 << 32) + x.cast("long")).alias("_tile")
+
+
+def within_tiles(px: DataFrame, build: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame]) -> DataFrame:
+    """``build(rows, line, column)`` with windows along x and along y, right for what looks at pixels around each.
+
+    Pixels are sent once to their tile, those at its border also to the tiles beside it. Both windows stay
+    inside a tile, so the steps of ``build`` need no further shuffle and no task sorts more than whole tiles.
+    """
+    def homes(axis: str) -> Column:
+        at, own = F.pmod(F.col(axis), F.lit(TILE)), F.floor(F.col(axis) / TILE)
+        return F.array_compact(F.array(own, F.when(at == 0, own - 1), F.when(at == TILE - 1, own + 1)))
+
+    rows = px.withColumn("_tx", F.explode(homes("x"))).withColumn("_ty", F.explode(homes("y")))
+    rows = rows.select(*px.columns, _tile(F.col("_tx"), F.col("_ty"))).repartition("image_id", "_tile")
+    line = Window.partitionBy("image_id", "_tile", "y").orderBy("x")
+    column = Window.partitionBy("image_id", "_tile", "x").orderBy("y")
+    own = _tile(F.floor(F.col("x") / TILE), F.floor(F.col("y") / TILE))
+    return build(rows, line, column).filter(F.col("_tile") == own).drop("_tile")
+
+
 def run_lengths(px: DataFrame, axis: str, name: str) -> DataFrame:
     """``px`` with the length of the run of touching pixels along ``axis`` that holds each.
 

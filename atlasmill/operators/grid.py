@@ -20,9 +20,8 @@ BLOCK = 2048
 def projection_profiles(px: DataFrame, despeckle: bool = False) -> DataFrame:
     """Mean edge strength per column (axis x) and per row (axis y); position 0 is 0."""
     edges = transition_edges(suppress_speckles(px) if despeckle else px)
-    x = edges.groupBy("image_id", F.col("x").alias("pos")).agg(F.avg("ex").alias("v")).withColumn("axis", F.lit("x"))
-    y = edges.groupBy("image_id", F.col("y").alias("pos")).agg(F.avg("ey").alias("v")).withColumn("axis", F.lit("y"))
-    both = x.unionByName(y)
+    sides = F.array(*[F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("pos"), F.col(f"e{axis}").alias("v")) for axis in "xy"])
+    both = edges.select("image_id", F.inline(sides)).groupBy("image_id", "axis", "pos").agg(F.avg("v").alias("v"))
     return both.select("image_id", "axis", "pos", F.when(F.col("pos") > 0, F.col("v")).otherwise(0.0).alias("v"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
 from atlasmill.functions.lab import add_lab
-from atlasmill.operators.bands import along, run_lengths
+from atlasmill.operators.bands import along, run_lengths, within_tiles
 from atlasmill.operators.pixels import PIXEL
 from atlasmill.runtime import cut_lineage, require
 
@@ -129,10 +129,12 @@ def transition_edges(px: DataFrame) -> DataFrame:
         middle = F.expr(f"GREATEST(LEAST(_b, _f), LEAST({value}, GREATEST(_b, _f)))")
         return frame.withColumn(value, middle).drop("_b", "_f")
 
-    out = along(px, "y", lambda rows, down: rows.withColumn("_q", F.lag(pixel).over(down))).withColumn("ey", difference("y")).drop("_q")
-    out = along(out, "x", lambda rows, line: median(rows.withColumn("_q", F.lag(pixel).over(line)).withColumn("ex", difference("x")).drop("_q"),
-                                                    "ey", line, "x"))
-    return along(out, "y", lambda rows, down: median(rows, "ex", down, "y"))
+    def build(rows, line, down):
+        out = rows.withColumn("_q", F.lag(pixel).over(down)).withColumn("ey", difference("y"))
+        out = out.withColumn("_q", F.lag(pixel).over(line)).withColumn("ex", difference("x")).drop("_q")
+        return median(median(out, "ey", line, "x"), "ex", down, "y")
+
+    return within_tiles(px, build).select(*px.columns, "ey", "ex")
 
 
 def dark_runs(px: DataFrame, lightness: float = 5.0) -> DataFrame:
