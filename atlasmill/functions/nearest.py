@@ -1,9 +1,9 @@
-"""Nearest palette entries by a k-d tree over Lab, with exact ties."""
+"""Nearest palette entries by a k-d tree over Lab, with exact ties, and clusters and boxes of packed colours."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 
 from atlasmill.functions import color as c
 
@@ -77,37 +77,128 @@ class ColorTree:
         self._visit(left, lab, rows[~goes_left & open_], best, entry)
 
 
-def search_sorted_palettes(batches, names: list[str]):
-    """Rows of colours with their nearest entry, from rows sorted so that a palette stands before its colours.
+# --- rows of packed colours ------------------------------------------------------------
+#
+# A row holds the colours of one chunk of an image as arrays, with arrays that all chunks of the image
+# share: its palette (``idx, p_rgb``) or its tree of boxes (``low, high, pick, limit``).
 
-    Input columns: key, salt, is_color, idx, rgb, lab_l, lab_a, lab_b, row. A key without a palette has null entries.
-    """
-    key, idx, rgb, lab, tree = object(), [], [], [], None
+def lab_or_nan(rgb: np.ndarray) -> np.ndarray:
+    lab = np.full((len(rgb), 3), np.nan)
+    known = ~np.isnan(rgb)
+    lab[known] = lab_of(rgb[known].astype(np.int64))
+    return lab
+
+
+def over_chunks(batches, names: list[str], emit, prepare):
+    """One frame per batch from ``emit(row, shared)``, a tuple of equally long arrays per row; ``prepare(row)`` runs once an image."""
+    image, shared = None, None
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        start = 0
-        for end in range(1, len(keys) + 1):
-            if end < len(keys) and keys[end] == keys[start]:
-                continue
-            part, here = batch.slice(start, end - start), keys[start]
-            start = end
-            if here[:2] != key:
-                key, idx, rgb, lab, tree = here[:2], [], [], [], None
-            at = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7)], axis=-1)
-            if not here[2]:
-                idx.append(part.column(3).to_numpy(zero_copy_only=False))
-                rgb.append(part.column(4).to_numpy(zero_copy_only=False))
-                lab.append(at)
-                tree = None
-                continue
-            if not lab:
-                near = pa.nulls(part.num_rows, pa.struct([("d", pa.int64()), ("idx", pa.int64()), ("rgb", pa.int32())]))
-            else:
-                if tree is None:
-                    order = np.argsort(np.concatenate(idx), kind="stable")
-                    numbers, values = np.concatenate(idx)[order], np.concatenate(rgb)[order]
-                    tree = ColorTree(np.concatenate(lab)[order])
-                entry, d = tree.nearest(at)
-                near = pa.StructArray.from_arrays([pa.array(d), pa.array(numbers[entry].astype(np.int64)), pa.array(values[entry].astype(np.int32))],
-                                                  names=["d", "idx", "rgb"])
-            yield pa.RecordBatch.from_arrays([part.column(8), near], names=names)
+        ids, parts = [], []
+        for row in batch.itertuples(index=False):
+            if shared is None or row.image_id != image:
+                image, shared = row.image_id, prepare(row)
+            parts.append(emit(row, shared))
+            ids.append(row.image_id)
+        if parts:
+            found = {name: np.concatenate([part[k] for part in parts]) for k, name in enumerate(names)}
+            yield pd.DataFrame({"image_id": np.repeat(ids, [len(part[0]) for part in parts])} | found)
+
+
+def floats(values) -> np.ndarray:
+    return np.asarray(values, dtype=float)
+
+
+def palette_of(row):
+    return np.asarray(row.idx), floats(row.p_rgb), ColorTree(lab_or_nan(floats(row.p_rgb)))
+
+
+def nearest_entries(row, palette):
+    """``rgb, n, d, idx, near_rgb`` of every colour."""
+    idx, p_rgb, tree = palette
+    rgb = floats(row.rgb)
+    entry, d = tree.nearest(lab_or_nan(rgb))
+    return rgb, np.asarray(row.n), d, idx[entry], p_rgb[entry]
+
+
+def _linear(rgb: np.ndarray) -> np.ndarray:
+    known = np.where(np.isnan(rgb), 0, rgb).astype(np.int64)
+    v = np.stack([known >> 16, known >> 8 & 255, known & 255], axis=-1) / 255.0
+    return np.where(np.isnan(rgb)[:, None], np.nan, np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4))
+
+
+def cluster_sums(row, entry, idx, space: str, weighted: bool):
+    """``idx, w, s0, s1, s2`` of the clusters met in a chunk; the sums leave out unknown colours."""
+    rgb = floats(row.rgb)
+    w = floats(row.n) if weighted else np.ones(len(rgb))
+    values = np.nan_to_num(lab_or_nan(rgb) if space == "lab" else _linear(rgb))
+    met = np.bincount(entry, minlength=len(idx)) > 0
+    sums = [np.bincount(entry, weights=w * v, minlength=len(idx))[met] for v in (1.0, *values.T)]
+    return idx[met], *sums
+
+
+def nearest_members(row, entry, idx):
+    """``idx, d, y, x, rgb``: of every cluster met in a chunk the colour nearest to its mean ``t_l, t_a, t_b``."""
+    rgb = floats(row.rgb)
+    mean = np.stack([floats(row.t_l), floats(row.t_a), floats(row.t_b)], axis=-1)
+    gap = lab_or_nan(rgb) - mean[entry]
+    d = _ticks(gap[:, 0] ** 2 + gap[:, 1] ** 2 + gap[:, 2] ** 2)
+    y, x = np.asarray(row.y), np.asarray(row.x)
+    order = np.lexsort((x, y, d, entry))
+    met, first = np.unique(entry[order], return_index=True)
+    best = order[first]
+    return idx[met], d[best], y[best], x[best], rgb[best]
+
+
+def boxes_of(row):
+    return [np.asarray(v) for v in (row.low, row.high, row.pick, row.limit)]
+
+
+def _box_of(rgb: np.ndarray, boxes) -> tuple[np.ndarray, np.ndarray]:
+    """``(node, channels)`` of every colour: down the tree, to the low side up to the limit of a box."""
+    low, high, pick, limit = boxes
+    channels = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=-1)
+    at, row = np.zeros(len(rgb), dtype=np.int64), np.arange(len(rgb))
+    while (inner := low[at] >= 0).any():
+        side = np.where((channels[row, pick[at]] << 24 | rgb) <= limit[at], low[at], high[at])
+        at = np.where(inner, side, at)
+    return at, channels
+
+
+def known_colors(row) -> tuple[np.ndarray, np.ndarray]:
+    rgb = floats(row.rgb)
+    known = ~np.isnan(rgb)
+    return rgb[known].astype(np.int64), known
+
+
+def box_histograms(row, boxes):
+    """``node, channel, value, size, pixels`` of the colours in open boxes."""
+    rgb, known = known_colors(row)
+    node, channels = _box_of(rgb, boxes)
+    n, open_ = np.asarray(row.n)[known], np.asarray(row.open)[node]
+    out = []
+    for k in range(3):
+        keys, back = np.unique(node[open_] << 8 | channels[open_, k], return_inverse=True)
+        out.append((keys >> 8, np.full(len(keys), k), keys & 255, np.bincount(back, minlength=len(keys)),
+                    np.bincount(back, weights=n[open_], minlength=len(keys)).astype(np.int64)))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def colors_at_cut(row, boxes):
+    """``node, rgb, n`` of the colours in open boxes whose picked channel has the value where the box is cut."""
+    rgb, known = known_colors(row)
+    node, channels = _box_of(rgb, boxes)
+    here = np.asarray(row.open)[node] & (channels[np.arange(len(rgb)), boxes[2][node]] == np.asarray(row.value)[node])
+    return node[here], rgb[here], np.asarray(row.n)[known][here]
+
+
+def boxed(row, boxes):
+    """``rgb, n, y, x, box`` of every known colour."""
+    rgb, known = known_colors(row)
+    box = np.asarray(row.box)[_box_of(rgb, boxes)[0]]
+    return rgb, np.asarray(row.n)[known], np.asarray(row.y)[known], np.asarray(row.x)[known], box
+
+
+def box_labels(row, boxes):
+    """Position of every colour's box among the box numbers ``idx``, and these numbers."""
+    idx = np.asarray(row.idx)
+    return np.searchsorted(idx, np.asarray(row.box)[_box_of(floats(row.rgb).astype(np.int64), boxes)[0]]), idx

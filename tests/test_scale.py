@@ -25,3 +25,33 @@ def test_edges_shuffle_once_and_match_across_tiles(spark, monkeypatch):
     edges = stencil.transition_edges(px)
     assert plan(edges).count("Exchange") == 1
     assert {(p.x, p.y): (p.ex, p.ey) for p in edges.collect()} == whole and len(whole) == 99
+
+
+def test_clusters_do_not_shuffle_colors_again(spark, monkeypatch):
+    """Means, members and boxes of chunked colours are those of whole images."""
+    from atlasmill.operators import palette as pal
+    px = random_pixels(spark, 14, 10, images=3, colors=90)
+    k = 5
+    for build in (lambda: pal.kmeans_palette(px, k, "linear", True), lambda: pal.median_cut_palette(px, k, True), lambda: pal.median_cut_palette(px, 20)):
+        whole = sorted(map(tuple, build().collect()))
+        monkeypatch.setattr(pal, "CHUNK", 4)
+        assert pal.color_chunks(px).count() == 36
+        assert sorted(map(tuple, build().collect())) == whole
+        monkeypatch.setattr(pal, "CHUNK", 32)
+
+
+def test_weighted_box_is_cut_where_population_is_nearest_half(spark):
+    from atlasmill.operators import palette as pal
+    counts = {(10, 0, 0): 2, (10, 5, 0): 3, (40, 0, 0): 4, (40, 1, 0): 1, (90, 0, 0): 3}
+    rows = [(0, i, 0, *v, 255) for i, v in enumerate(v for v, n in counts.items() for _ in range(n))]
+    boxes = pal.median_cut_boxes(spark.createDataFrame(rows, SCHEMA), 2, True).collect()
+    total, order = sum(counts.values()), sorted(counts)
+    split = min(range(1, len(order)), key=lambda r: (abs(total - 2 * sum(counts[v] for v in order[:r])), r))
+    assert {(b.rgb >> 16, b.rgb >> 8 & 255, b.rgb & 255): b.box for b in boxes} == {v: 2 + (i >= split) for i, v in enumerate(order)}
+
+
+def test_color_map_is_not_copied(spark):
+    from atlasmill.operators import palette as pal
+    px = random_pixels(spark, 3, 3)
+    mapped = pal.apply_color_map(px, pal.color_chunks(px).select("image_id", F.explode("rgb").alias("rgb")).withColumn("new_rgb", F.lit(7)))
+    assert "sequence(0" not in plan(mapped) and {(p.r, p.g, p.b) for p in mapped.collect()} == {(0, 0, 7)}
