@@ -10,12 +10,19 @@ from atlasmill.functions import color as c
 LEAF = 16
 
 
+_BYTES = np.arange(256) / 255.0
+_LINEAR = np.where(_BYTES <= 0.04045, _BYTES / 12.92, ((_BYTES + 0.055) / 1.055) ** 2.4)
+
+
+def linear_of(rgb: np.ndarray) -> np.ndarray:
+    """Linear light of the channels of packed colours."""
+    return _LINEAR[np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=-1)]
+
+
 def lab_of(rgb: np.ndarray) -> np.ndarray:
     """CIE Lab of packed colours."""
-    channels = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=-1) / 255.0
-    linear = np.where(channels <= 0.04045, channels / 12.92, ((channels + 0.055) / 1.055) ** 2.4)
     rows = np.array(c.XYZ_ROWS)
-    t = linear @ rows[:, :3].T / rows[:, 3]
+    t = linear_of(rgb) @ rows[:, :3].T / rows[:, 3]
     f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116.0)
     return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
 
@@ -122,8 +129,7 @@ def nearest_entries(row, palette):
 
 def _linear(rgb: np.ndarray) -> np.ndarray:
     known = np.where(np.isnan(rgb), 0, rgb).astype(np.int64)
-    v = np.stack([known >> 16, known >> 8 & 255, known & 255], axis=-1) / 255.0
-    return np.where(np.isnan(rgb)[:, None], np.nan, np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4))
+    return np.where(np.isnan(rgb)[:, None], np.nan, linear_of(known))
 
 
 def cluster_sums(row, entry, idx, space: str, weighted: bool):

@@ -99,14 +99,13 @@ def attach_per_image(rows: DataFrame, per_image: DataFrame, how: str = "inner",
 
 
 def attach_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
-                  how: str = "left", salts: int = 8) -> DataFrame:
+                  how: str = "left") -> DataFrame:
     """Equi join to a table unique on ``keys`` when ``keys`` may be hot on the left.
 
-    ``spread`` names left columns whose hash decides the salt.
+    ``lookup`` may be as long as ``rows``, so it is not copied per salt: at run time Spark splits a hot key's rows
+    (``configure``) and reads the lookup beside each part. ``spread`` names the columns that tell rows of one key apart.
     """
-    left = rows.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts)))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(lookup, keys, how)
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column,
