@@ -124,7 +124,8 @@ def nearest_entries(row, palette):
     idx, p_rgb, tree = palette
     rgb = floats(row.rgb)
     entry, d = tree.nearest(lab_or_nan(rgb))
-    return rgb, np.asarray(row.n), d, idx[entry], p_rgb[entry]
+    # an unknown entry is the smallest number, which has black channels
+    return rgb, np.asarray(row.n), d, idx[entry], np.where(np.isnan(p_rgb), np.iinfo(np.int32).min, p_rgb)[entry]
 
 
 def _linear(rgb: np.ndarray) -> np.ndarray:
@@ -177,7 +178,7 @@ def known_colors(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def box_histograms(row, boxes):
-    """``node, channel, value, size, pixels`` of the colours in open boxes."""
+    """``node, channel, value, size, pixels`` of the colours in open boxes; unknown colours of the first box have value -1."""
     rgb, known = known_colors(row)
     node, channels = _box_of(rgb, boxes)
     n, open_ = np.asarray(row.n)[known], np.asarray(row.open)[node]
@@ -186,6 +187,9 @@ def box_histograms(row, boxes):
         keys, back = np.unique(node[open_] << 8 | channels[open_, k], return_inverse=True)
         out.append((keys >> 8, np.full(len(keys), k), keys & 255, np.bincount(back, minlength=len(keys)),
                     np.bincount(back, weights=n[open_], minlength=len(keys)).astype(np.int64)))
+    if len(boxes[0]) == 1 and not known.all():
+        pixels = np.full(3, np.asarray(row.n)[~known].sum())
+        out.append((np.zeros(3, dtype=np.int64), np.arange(3), np.full(3, -1), np.full(3, (~known).sum()), pixels))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
