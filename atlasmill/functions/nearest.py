@@ -145,8 +145,11 @@ def cluster_sums(row, entry, idx, space: str, weighted: bool):
 
 def nearest_members(row, entry, idx):
     """``idx, d, y, x, rgb``: of every cluster met in a chunk the colour nearest to its mean ``t_l, t_a, t_b``."""
+    return _nearest_to(row, entry, idx, np.stack([floats(row.t_l), floats(row.t_a), floats(row.t_b)], axis=-1))
+
+
+def _nearest_to(row, entry, idx, mean):
     rgb = floats(row.rgb)
-    mean = np.stack([floats(row.t_l), floats(row.t_a), floats(row.t_b)], axis=-1)
     gap = lab_or_nan(rgb) - mean[entry]
     d = _ticks(gap[:, 0] ** 2 + gap[:, 1] ** 2 + gap[:, 2] ** 2)
     y, x = np.asarray(row.y), np.asarray(row.x)
@@ -156,6 +159,31 @@ def nearest_members(row, entry, idx):
     return idx[met], d[best], y[best], x[best], rgb[best]
 
 
+def packed_of_linear(light: np.ndarray) -> np.ndarray:
+    """Packed sRGB of linear light, half-even rounded."""
+    srgb = np.where(light <= 0.0031308, light * 12.92, 1.055 * np.power(np.maximum(light, 0), 1 / 2.4) - 0.055)
+    r, g, b = np.clip(np.rint(srgb * 255), 0, 255).astype(np.int64).T
+    return r << 16 | g << 8 | b
+
+
+def whole_clusters(row, k: int, space: str, weighted: bool, rounds: int):
+    """``idx, rgb``: the k-means palette of an image whose colours are all in this row, by the steps that chunks take."""
+    rgb = floats(row.rgb)
+    lab = lab_or_nan(rgb)
+    palette = rgb[:k].copy()
+    idx = np.arange(len(palette))
+    for _ in range(rounds):
+        entry = ColorTree(lab_or_nan(palette)).nearest(lab)[0]
+        met, w, *sums = cluster_sums(row, entry, idx, space, weighted)
+        means = np.stack(sums, axis=-1) / w[:, None]
+        aim = np.full((len(idx), 3), np.nan)
+        aim[met] = means if space == "lab" else lab_of(packed_of_linear(means))
+        met, _, _, _, best = _nearest_to(row, entry, idx, aim)
+        known = ~np.isnan(best)  # a cluster of unknown colours stays
+        palette[met[known]] = best[known]
+    return idx, palette
+
+
 def boxes_of(row):
     return [np.asarray(v) for v in (row.low, row.high, row.pick, row.limit)]
 

@@ -54,3 +54,14 @@ def test_color_map_is_not_copied(spark):
     px = random_pixels(spark, 3, 3)
     mapped = pal.apply_color_map(px, pal.color_chunks(px).select("image_id", F.explode("rgb").alias("rgb")).withColumn("new_rgb", F.lit(7)))
     assert "sequence(0" not in plan(mapped) and {(p.r, p.g, p.b) for p in mapped.collect()} == {(0, 0, 7)}
+
+
+def test_small_images_are_clustered_where_they_are(spark, monkeypatch):
+    """Colours of an image of one chunk are not joined to clusters round by round, and the palettes are the same."""
+    from atlasmill.operators import palette as pal
+    px = random_pixels(spark, 14, 10, images=3, colors=90)
+    monkeypatch.setattr(pal, "CHUNK", 4)
+    chunked = {space: sorted(map(tuple, pal.kmeans_palette(px, 5, space, True).collect())) for space in ("lab", "linear")}
+    monkeypatch.setattr(pal, "CHUNK", 32)
+    monkeypatch.setattr(pal, "_moved", lambda *args: 1 / 0)
+    assert {space: sorted(map(tuple, pal.kmeans_palette(px, 5, space, True).collect())) for space in chunked} == chunked
