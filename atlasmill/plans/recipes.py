@@ -7,10 +7,11 @@ composes one lazy DataFrame plan, so Catalyst fuses neighbouring steps.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.functions.palettes import FIXED
@@ -273,33 +274,59 @@ def alignment_errors(steps: DataFrame) -> DataFrame:
         "source_id", "step_index", F.lit("needs an earlier alignment").alias("error"))
 
 
-def validate_recipes(parsed: DataFrame, key: str) -> DataFrame:
-    """First problem of every bad recipe or step: ``key, step_index, operation_id, error``."""
-    whole = parsed.select(key, F.lit(0).alias("step_index"), F.lit(None).cast("string").alias("operation_id"), F.expr(
-        "CASE WHEN recipe IS NULL THEN 'not a recipe' WHEN recipe.version IS DISTINCT FROM 1 THEN 'unsupported version' "
-        "WHEN recipe.steps IS NULL OR size(recipe.steps) = 0 THEN 'no steps' END").alias("error")).filter("error IS NOT NULL")
-    steps = parsed.filter("recipe.version = 1").select(key, F.posexplode("recipe.steps").alias("i", "step")).select(
-        key, (F.col("i") + 1).alias("step_index"), F.col("step.operationId").alias("operation_id"), "step.*")
-    steps = with_alignment(cut_lineage(steps), [key])  # read twice; the JSON is parsed once for it
+#: Steps that begin or undo an alignment.
+_ALIGNING = ("grid.align", "grid.align.local.snapped", "grid.align.local")
+
+
+def _problem(aligned: bool) -> Column:
+    """First problem of a step, with or without an earlier alignment."""
     checks = F.when(F.coalesce(F.trim("operation_id"), F.lit("")) == "", "operation is required")
     checks = checks.when(~F.col("operation_id").isin(*OPERATIONS), "unsupported operation")
     for name, op in OPERATIONS.items():
-        here = F.col("operation_id") == name
         if op.run is None:
-            checks = checks.when(here, "operation cannot be replayed")
-            continue
-        extra = [f"({b} IS NOT NULL{' AND ' + b if b == 'usePreviousAlignment' else ''})" for b in BLOCKS if b not in (*op.allowed, *op.required)]
-        checks = checks.when(here & F.expr(" OR ".join(extra)), "unsupported parameters")
-        for block in op.required:
-            checks = checks.when(here & F.col(block).isNull(), f"{block} is required")
-        for message, rule in op.rules.items():
-            checks = checks.when(here & F.expr(f"NOT coalesce({rule}, false)"), message)
+            own = F.lit("operation cannot be replayed")
+        else:
+            extra = [f"({b} IS NOT NULL{' AND ' + b if b == 'usePreviousAlignment' else ''})" for b in BLOCKS if b not in (*op.allowed, *op.required)]
+            own = F.when(F.expr(" OR ".join(extra)), "unsupported parameters")
+            for block in op.required:
+                own = own.when(F.col(block).isNull(), f"{block} is required")
+            for message, rule in op.rules.items():
+                own = own.when(F.expr(f"NOT coalesce({re.sub('has_alignment', str(aligned), rule)}, false)"), message)
+        checks = checks.when(F.col("operation_id") == name, own)  # only the rules of its own operation are looked at
     # All rules in one generated method would exceed the JVM's size limit and make the
     # whole stage fall back; inside a lambda only the rule chain is interpreted.
-    checked = checks
-    checks = F.get(F.transform(F.array(F.lit(0)), lambda _: checked), F.lit(0))
-    bad = steps.select(key, "step_index", "operation_id", checks.alias("error")).filter("error IS NOT NULL")
-    return whole.unionByName(bad)
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: checks), F.lit(0))
+
+
+def _judged(parsed: DataFrame, key: str) -> DataFrame:
+    """``key, step_index, operation_id, error, alone`` of every step, and one row of step 0 for what is no list of steps.
+
+    ``alone`` is the error if no alignment comes before. One pass without a shuffle reads the parsed recipes,
+    whose options stay behind; only these narrow rows are stored.
+    """
+    whole = F.expr("CASE WHEN recipe IS NULL THEN 'not a recipe' WHEN recipe.version IS DISTINCT FROM 1 THEN 'unsupported version' "
+                   "WHEN recipe.steps IS NULL OR size(recipe.steps) = 0 THEN 'no steps' END")
+    steps = parsed.select(key, whole.alias("_whole"), F.expr("CASE WHEN recipe.version = 1 THEN recipe.steps END").alias("_steps"))
+    steps = steps.select(key, "_whole", F.posexplode_outer("_steps").alias("_i", "_step"))
+    steps = steps.select(key, "_whole", "_i", F.col("_step.operationId").alias("operation_id"), "_step.*")
+    hangs = [name for name, op in OPERATIONS.items() if any("has_alignment" in rule for rule in op.rules.values())]
+    judged = steps.select(key, "_i", "_whole", "operation_id", F.when(F.col("_i").isNotNull(), _problem(True)).alias("error"), F.when(
+        F.col("_i").isNotNull() & F.col("operation_id").isin(*hangs), _problem(False)).alias("alone"))
+    return cut_lineage(judged.select(
+        key, (F.coalesce("_i", F.lit(-1)) + 1).alias("step_index"), "operation_id", F.coalesce("_whole", "error").alias("error"),
+        F.when(F.col("operation_id").isin(*hangs), F.col("alone")).otherwise(F.coalesce("_whole", "error")).alias("alone")))
+
+
+def _errors(judged: DataFrame, key: str) -> DataFrame:
+    hangs = F.coalesce(F.col("operation_id").isin(*_ALIGNING), F.lit(False)) | ~F.col("error").eqNullSafe(F.col("alone"))
+    placed = with_alignment(judged.filter(hangs), [key]).withColumn("error", F.when(F.col("has_alignment"), F.col("error")).otherwise(F.col("alone")))
+    names = [key, "step_index", "operation_id", "error"]
+    return judged.filter(~hangs).select(*names).unionByName(placed.select(*names)).filter("error IS NOT NULL")
+
+
+def validate_recipes(parsed: DataFrame, key: str) -> DataFrame:
+    """First problem of every bad recipe or step: ``key, step_index, operation_id, error``."""
+    return _errors(_judged(parsed, key), key)
 
 
 def macro_duplicates(macros: DataFrame) -> DataFrame:
@@ -428,10 +455,11 @@ def batch_status(items: DataFrame, key: str, text: str = "json", rejects: DataFr
     ``rejects``, as of ``apply_recipe_with_rejects`` with the items' ids as image ids, has the images that a
     replay left out: their items have failed at that step.
     """
-    parsed = parse_recipes(items, text)
-    errors = validate_recipes(parsed, key).select(key, "step_index", "error")
+    judged = _judged(parse_recipes(items, text), key)
+    errors = _errors(judged, key).select(key, "step_index", "error")
     if rejects is not None:
         errors = errors.unionByName(rejects.select(F.col("image_id").alias(key), "step_index", F.col("reason").alias("error")))
     first = errors.groupBy(key).agg(F.min(F.struct("step_index", "error")).alias("v"))
-    return items.select(key).join(first, key, "left").select(
+    # every item has one row of step 0 or 1
+    return judged.filter("step_index <= 1").select(key).join(first, key, "left").select(
         key, F.when(F.col("v").isNull(), "done").otherwise("failed").alias("status"), "v.step_index", "v.error")

@@ -65,3 +65,19 @@ def test_small_images_are_clustered_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(pal, "CHUNK", 32)
     monkeypatch.setattr(pal, "_moved", lambda *args: 1 / 0)
     assert {space: sorted(map(tuple, pal.kmeans_palette(px, 5, space, True).collect())) for space in chunked} == chunked
+
+
+def test_recipe_options_are_not_shuffled(spark):
+    """Steps are judged where the recipe is parsed; only keys, names and errors reach a shuffle."""
+    from atlasmill.plans import recipes as rc
+    texts = ['{"version": 1, "steps": [{"operationId": "grid.align", "cellSize": 4}, {"operationId": "grid.reduce", "usePreviousAlignment": true}]}',
+             '{"version": 1, "steps": [{"operationId": "grid.reduce", "usePreviousAlignment": true}, {"operationId": "image.trim", "cellSize": 3}]}',
+             '{"version": 1, "steps": []}', "text"]
+    items = spark.createDataFrame(list(enumerate(texts)), "id INT, json STRING")
+    errors = rc.validate_recipes(rc.parse_recipes(items), "id")
+    assert "cellSize" not in plan(errors) and "from_json" not in plan(errors)
+    assert sorted((e.id, e.step_index, e.error) for e in errors.collect()) == [
+        (1, 1, "needs an earlier alignment"), (1, 2, "unsupported parameters"), (2, 0, "no steps"), (3, 0, "not a recipe")]
+    status = rc.batch_status(items, "id")
+    assert "from_json" not in plan(status)
+    assert sorted((s.id, s.status, s.step_index) for s in status.collect()) == [(0, "done", None), (1, "failed", 1), (2, "failed", 0), (3, "failed", 0)]
