@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from atlasmill.functions import color as c
 from atlasmill.operators.palette import apply_colors, nearest_palette, quantize
 from atlasmill.operators.pixels import PIXEL, dominant_color, image_sizes, integer_crop, scan_order, with_sizes
 from atlasmill.operators.stencil import edge_map, sprite_edges
-from atlasmill.runtime import attach_per_image, require
+from atlasmill.runtime import attach_per_image, cut_lineage, require, stored
 
 
 def _argb_pixel(frame: DataFrame, *keys: str) -> DataFrame:
@@ -278,15 +280,35 @@ def grid_reduce(px: DataFrame, pitch: int | str) -> DataFrame:
         "image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "anchor.r", "anchor.g", "anchor.b", "anchor.a")
 
 
+@F.pandas_udf("first INT, last INT")
+def _sampled(at: pd.Series, full: pd.Series, target: pd.Series, start: pd.Series, extent: pd.Series) -> pd.DataFrame:
+    """First and last target pixel that samples the source position; their samples never go back."""
+    at, full, target, start, extent = (v.to_numpy(dtype=float) for v in (at, full, target, start, extent))
+
+    def begin(value):  # the first target at or beyond a source position, looked up beside the computed place
+        guess = np.ceil((value - start) * target / extent - 0.5)
+        found = guess + 1
+        for t in (guess, guess - 1):
+            found = np.where(np.floor(start + (t + 0.5) * extent / target) >= value, t, found)
+        return found
+
+    last = np.where(at == full - 1, target - 1, np.minimum(target - 1, begin(at + 1) - 1))
+    return pd.DataFrame({"first": np.maximum(0, begin(at)).astype(np.int32), "last": last.astype(np.int32)})
+
+
 def fit_frames(px: DataFrame, sizes: Sequence[int], fit: str = "contain",
                images: DataFrame | None = None) -> DataFrame:
     """Square icon frames by nearest sampling: contain, cover or stretch.
 
-    Each source pixel finds the frame pixels whose centre falls into it.
+    Each source pixel finds the frame pixels whose centre falls into it: they follow one another, so
+    only the first and the last are looked up.
     """
     require(fit in ("contain", "cover", "stretch"), "fit must be contain, cover or stretch")
     require(all(1 <= n <= 1024 for n in sizes), "icon sizes must be 1..1024")
-    placed = with_sizes(px, images).withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    if images is None:
+        px = stored(px)  # read for the sizes and for the pixels
+        images = cut_lineage(image_sizes(px))
+    frames = images.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sizes])))
     scaled = {n: f"CAST(LEAST(size, GREATEST(1, ROUND({n} * (size / CAST(GREATEST(width, height) AS DOUBLE)), 0))) AS INT)"
               for n in ("width", "height")}
     for axis, full in (("x", "width"), ("y", "height")):
@@ -297,14 +319,13 @@ def fit_frames(px: DataFrame, sizes: Sequence[int], fit: str = "contain",
             target, offset, start, extent = "size", "0", f"({full} - {side}) / 2E0", side
         else:
             target, offset, start, extent = "size", "0", "0E0", full
-        placed = placed.selectExpr("*", f"{target} AS t_{axis}", f"{offset} AS o_{axis}",
+        frames = frames.selectExpr("*", f"{target} AS t_{axis}", f"{offset} AS o_{axis}",
                                    f"CAST({start} AS DOUBLE) AS s_{axis}", f"CAST({extent} AS DOUBLE) AS e_{axis}")
-        near = f"({axis} - s_{axis}) * t_{axis} / e_{axis}"
-        low = f"GREATEST(0, CAST(FLOOR({near}) AS INT) - 1)"
-        high = f"LEAST(t_{axis} - 1, CAST(CEIL(({axis} + 1 - s_{axis}) * t_{axis} / e_{axis}) AS INT) + 1)"
-        sample = f"LEAST({full} - 1, CAST(FLOOR(s_{axis} + (t + 5E-1) * e_{axis} / t_{axis}) AS INT)) = {axis}"
-        options = f"CASE WHEN {high} >= {low} THEN filter(sequence({low}, {high}), t -> {sample}) ELSE array() END"
-        placed = placed.withColumn(f"p_{axis}", F.explode(F.expr(options)))
+    spans = {axis: _sampled(axis, full, f"t_{axis}", f"s_{axis}", f"e_{axis}") for axis, full in (("x", "width"), ("y", "height"))}
+    placed = attach_per_image(px, frames).withColumns({f"_{axis}": span for axis, span in spans.items()})
+    placed = placed.filter("_x.first <= _x.last AND _y.first <= _y.last")
+    for axis in "xy":
+        placed = placed.withColumn(f"p_{axis}", F.explode(F.expr(f"sequence(_{axis}.first, _{axis}.last)")))
     return placed.selectExpr("image_id", "size", "o_x + p_x AS x", "o_y + p_y AS y", "r", "g", "b", "a")
 
 

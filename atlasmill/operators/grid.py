@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasmill.functions import color as c
 from atlasmill.operators.bands import along
-from atlasmill.operators.pixels import PIXEL, image_sizes, with_sizes
+from atlasmill.operators.pixels import PIXEL, image_sizes
 from atlasmill.operators.stencil import suppress_speckles, transition_edges
-from atlasmill.runtime import attach_per_image, bucketed_row_number, cut_lineage, require
+from atlasmill.runtime import attach_per_image, bucketed_row_number, cut_lineage, require, stored
 
 #: Positions of a profile in one block.
 BLOCK = 2048
@@ -38,7 +40,7 @@ def _pitch_scores(profiles: DataFrame, pitches: list[int]) -> DataFrame:
     home = F.array(own, F.when(F.pmod("i", F.lit(BLOCK)) >= BLOCK - most, own + 1))
     blocks = placed.select(*keys, "i", "v", F.explode(F.array_compact(home)).alias("block")).groupBy(*keys, "block").agg(
         F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p"))
-    blocks = attach_per_image(blocks, stats, salt=F.hash("block"), salts=4, keys=("image_id", "axis")).select(
+    blocks = attach_per_image(blocks, stats, keys=("image_id", "axis")).select(
         *keys, "mean", F.expr("transform(p, q -> q.v)").alias("v"), F.expr("p[0].i").alias("start"),
         F.expr(f"CAST(block * {BLOCK} - p[0].i AS INT)").alias("first"),
         F.expr("size(filter(slice(p, CAST(block * {0} - p[0].i AS INT) + 1, {0}), q -> q.v > peak * 3E-2))".format(BLOCK)).alias("edges"),
@@ -93,31 +95,50 @@ def detect_pitch(profiles: DataFrame, max_pitch: int = 32) -> DataFrame:
     return best.select("image_id", found.alias("pitch"), sure.alias("confidence"))
 
 
+@F.pandas_udf("first INT, last INT")
+def _touched(at: pd.Series, size: pd.Series, n: pd.Series, gap: pd.Series, pitch: pd.Series, phase: pd.Series) -> pd.DataFrame:
+    """First and last of the cells a pixel touches; bounds grow with the cell, so those between are touched too."""
+    at, size, n, gap, pitch, phase = (v.to_numpy(dtype=float) for v in (at, size, n, gap, pitch, phase))
+    near = np.floor(at / pitch)
+
+    def bound(i):
+        inner = np.minimum(size - (n - i) * gap, np.maximum(i * gap, i * pitch + phase))
+        return np.where(i == 0, 0.0, np.where(i == n, size, inner))
+
+    first, last = np.zeros(len(at)), np.full(len(at), -1.0)
+    for d in range(2, -3, -1):
+        i = near + d
+        met = (i >= 0) & (i <= n - 1) & (bound(i) < at + 1) & (bound(i + 1) > at)
+        last = np.where(met & (last < 0), i, last)
+        first = np.where(met, i, first)
+    return pd.DataFrame({"first": first.astype(np.int32), "last": last.astype(np.int32)})
+
+
 def grid_vote(px: DataFrame, grid: DataFrame | None = None, pitch: int | None = None,
-              phase_x: float = 0.0, phase_y: float = 0.0) -> DataFrame:
+              phase_x: float = 0.0, phase_y: float = 0.0, sizes: DataFrame | None = None) -> DataFrame:
     """Winning colour of every grid cell; pixels near the cell centre weigh more.
 
     Inner cell boundaries are ``i * pitch + phase``, the outer ones the image
     border.  ``grid`` gives ``image_id, pitch, phase_x, phase_y`` per image.
     """
-    placed = with_sizes(px)
+    images = sizes if sizes is not None else image_sizes(px)
     if grid is not None:
-        placed = attach_per_image(placed, grid.select("image_id", "pitch", "phase_x", "phase_y"))
+        images = cut_lineage(images.join(grid.select("image_id", "pitch", "phase_x", "phase_y"), "image_id"))  # known to be small
     else:
         require(pitch is not None and pitch >= 2, "pitch must be at least 2")
-        placed = placed.selectExpr("*", f"{pitch} AS pitch", f"{c.num(phase_x)} AS phase_x", f"{c.num(phase_y)} AS phase_y")
+        images = images.selectExpr("*", f"{pitch} AS pitch", f"{c.num(phase_x)} AS phase_x", f"{c.num(phase_y)} AS phase_y")
     for axis, size in (("x", "width"), ("y", "height")):
         count = f"CAST(CEIL({size} / CAST(pitch AS DOUBLE)) AS INT)"
         gap = f"LEAST(pitch * 2.5E-1, {size} / (2E0 * ({count} + 1)))"
-        placed = placed.selectExpr("*", f"{count} AS n_{axis}", f"{gap} AS g_{axis}")
-
+        images = images.selectExpr("*", f"{count} AS n_{axis}", f"CAST({gap} AS DOUBLE) AS g_{axis}")
+    cells = {axis: _touched(axis, size, f"n_{axis}", f"g_{axis}", "pitch", f"phase_{axis}") for axis, size in (("x", "width"), ("y", "height"))}
+    placed = attach_per_image(px, images).withColumns({f"_t{axis}": span for axis, span in cells.items()})
+    placed = placed.filter("_tx.first <= _tx.last AND _ty.first <= _ty.last")
+    for axis, size in (("x", "width"), ("y", "height")):
         def bound(i):
             return (f"(CASE WHEN {i} = 0 THEN 0E0 WHEN {i} = n_{axis} THEN CAST({size} AS DOUBLE) ELSE "
                     f"LEAST({size} - (n_{axis} - {i}) * g_{axis}, GREATEST({i} * g_{axis}, {i} * pitch + phase_{axis})) END)")
-        near = f"CAST(FLOOR({axis} / CAST(pitch AS DOUBLE)) AS INT)"
-        placed = placed.withColumn(f"c{axis}", F.explode(F.expr(
-            f"filter(sequence(GREATEST(0, {near} - 2), LEAST(n_{axis} - 1, {near} + 2)), "
-            f"i -> {bound('i')} < {axis} + 1 AND {bound('(i + 1)')} > {axis})")))
+        placed = placed.withColumn(f"c{axis}", F.explode(F.expr(f"sequence(_t{axis}.first, _t{axis}.last)")))
         placed = placed.selectExpr("*", f"{bound(f'c{axis}')} AS lo_{axis}", f"{bound(f'(c{axis} + 1)')} AS hi_{axis}")
     near = " + ".join(f"pow(({v} + 5E-1 - (lo_{v} + hi_{v}) * 5E-1) / (hi_{v} - lo_{v}), 2)" for v in "xy")
     area = " * ".join(f"(LEAST({v} + 1, hi_{v}) - GREATEST({v}, lo_{v}))" for v in "xy")
@@ -134,12 +155,14 @@ def align_to_grid(px: DataFrame, pitch: int | None = None, max_pitch: int = 32)
     Cells keep their regular boundaries (no boundary fitting).  Images without a
     detected grid stay as they are.
     """
+    px = stored(px)  # read for sizes, votes and pixels
+    sizes = cut_lineage(image_sizes(px))
     if pitch is None:
-        cells = detect_pitch(projection_profiles(px, True), max_pitch).filter("pitch IS NOT NULL").select("image_id", "pitch")
+        cells = cut_lineage(detect_pitch(projection_profiles(px, True), max_pitch).filter("pitch IS NOT NULL").select("image_id", "pitch"))
     else:
-        cells = px.select("image_id").distinct().withColumn("pitch", F.lit(pitch))
+        cells = sizes.select("image_id", F.lit(pitch).alias("pitch"))
     grid = cells.withColumn("phase_x", F.lit(0.0)).withColumn("phase_y", F.lit(0.0))
-    votes = grid_vote(px, grid)
+    votes = grid_vote(px, grid, sizes=sizes)
     placed = attach_per_image(px, cells, "left").selectExpr(
         "*", "CAST(FLOOR(x / pitch) AS INT) AS cx", "CAST(FLOOR(y / pitch) AS INT) AS cy")
     joined = placed.join(votes, ["image_id", "cx", "cy"], "left")

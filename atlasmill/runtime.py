@@ -12,8 +12,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
-
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -84,18 +82,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def attach_per_image(rows: DataFrame, per_image: DataFrame, how: str = "inner",
-                     salt: str | Column = "y", salts: int = SALTS,
                      keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Join a one-row-per-key table onto many rows with a salted key.
+    """Join a one-row-per-key table onto many rows.
 
-    The small side is repeated once per salt, the large side picks its salt
-    from a column it already has, so an image with a third of all pixels is
-    spread over ``salts`` partitions (and AQE may split those further).
+    The small side is not copied: Spark broadcasts it where it is small, and splits the rows of a hot image
+    at run time (``configure``) where it is not.
     """
-    chosen = F.col(salt) if isinstance(salt, str) else salt
-    left = rows.withColumn("_salt", F.pmod(chosen, F.lit(salts)).cast("int"))
-    right = per_image.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(per_image, list(keys), how)
 
 
 def attach_unique(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],

@@ -81,3 +81,27 @@ def test_recipe_options_are_not_shuffled(spark):
     status = rc.batch_status(items, "id")
     assert "from_json" not in plan(status)
     assert sorted((s.id, s.status, s.step_index) for s in status.collect()) == [(0, "done", None), (1, "failed", 1), (2, "failed", 0), (3, "failed", 0)]
+
+
+def test_frames_and_votes_look_up_ranges(spark):
+    """Target pixels and cells come from ranges worked out in batches, and tables of images are not copied."""
+    import math
+    from atlasmill.operators import blocks, grid
+    px = random_pixels(spark, 11, 7, images=2)
+    for fit in ("contain", "cover", "stretch"):
+        frames = blocks.fit_frames(px, [5, 16], fit)
+        assert "lambda" not in plan(frames) and "sequence(0" not in plan(frames)
+        got = {(f.image_id, f.size, f.x, f.y): (f.r, f.g, f.b) for f in frames.collect()}
+        rgb = {(p.image_id, p.x, p.y): (p.r, p.g, p.b) for p in px.collect()}
+        want = {}
+        for size in (5, 16):
+            t = {n: min(size, max(1, math.floor(n * (size / 11) + 0.5))) if fit == "contain" else size for n in (11, 7)}
+            o = {n: (size - t[n]) // 2 if fit == "contain" else 0 for n in (11, 7)}
+            e = {n: 7 if fit == "cover" else n for n in (11, 7)}
+            at = {n: [min(n - 1, math.floor((n - e[n]) / 2 + (k + 0.5) * e[n] / t[n])) for k in range(t[n])] for n in (11, 7)}
+            want |= {(i, size, o[11] + a, o[7] + b): rgb[i, x, y] for i in (0, 1) for a, x in enumerate(at[11]) for b, y in enumerate(at[7])}
+        assert got == want
+    votes = grid.grid_vote(px, pitch=3, phase_x=1.4, phase_y=-0.7)
+    assert "lambda" not in plan(votes) and "sequence(0" not in plan(votes)
+    cells = {(v.image_id, v.cx, v.cy) for v in votes.collect()}
+    assert cells == {(i, cx, cy) for i in (0, 1) for cx in range(4) for cy in range(3)}
