@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -354,6 +356,26 @@ def contour_heatmap(px: DataFrame, **options) -> DataFrame:
                        F.expr(other).alias("g"), F.expr(other).alias("b"), "a")
 
 
+#: What votes need of a pixel and its neighbours.
+_CELL = ("rgb", "a", "lab_l", "lab_a", "lab_b")
+
+
+def _packed_cells(offsets: list[tuple[int, int]]) -> Column:
+    """One struct of ``_CELL`` values of all cells, for an Arrow batch function."""
+    return F.struct(*[(F.col(n) if (dx, dy) == (0, 0) else F.col(cell(dx, dy))[n]).cast("double").alias(f"{n}{k}")
+                      for k, (dx, dy) in enumerate(offsets) for n in _CELL])
+
+
+def _cells_of(cells: pd.DataFrame, count: int):
+    """``rgb, a, lab`` as lists by cell; what does not exist is NaN."""
+    values = [[cells[f"{n}{k}"].to_numpy(dtype=float) for n in _CELL] for k in range(count)]
+    return [v[0] for v in values], [v[1] for v in values], [np.stack(v[2:]) for v in values]
+
+
+def _square(p, q):
+    return (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+
+
 def local_delta(px: DataFrame, delta: float = 8.0, radius: int = 1, protect_details: bool = False,
                 passes: int = 1) -> DataFrame:
     """Replace a pixel by the weighted majority colour around it, within ``delta`` of the original.
@@ -382,32 +404,34 @@ def _local_vote(px: DataFrame, original: DataFrame, keep: DataFrame | None, delt
     span = range(-radius, radius + 1)
     base = _lab_columns(px).withColumn("rgb", F.expr(c.pack_rgb())).join(original, ["image_id", "x", "y"])
     wide = gather(base, ["rgb", "a", "lab_l", "lab_a", "lab_b"], radius)
-    cells = []
-    for dy in span:
-        for dx in span:
-            weight = math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))
-            me = (dx, dy) == (0, 0)
-            src = {n: F.col(n) if me else F.col(cell(dx, dy))[n] for n in ("rgb", "a", "lab_l", "lab_a", "lab_b")}
-            item = F.struct(src["rgb"].alias("rgb"), F.lit(weight).alias("w"), *[src[f"lab_{v}"].alias(v) for v in "lab"])
-            near = sum((F.pow(F.col(f"o_{v}") - src[f"lab_{v}"], 2) for v in "lab"), F.lit(0.0)) <= delta * delta + 1e-10
-            cells.append(F.when((src["a"] == F.col("a")) & near, item))
-    wide = wide.withColumn("s", F.filter(F.array(*cells), lambda v: v.isNotNull()))
-    wide = wide.select(*PIXEL, "rgb", "lab_l", "lab_a", "lab_b", "s",
-                       F.expr("aggregate(s, 0E0, (t, v) -> t + v.w)").alias("total"),
-                       F.expr("array_distinct(transform(s, v -> v.rgb))").alias("colors"))
-    wide = wide.withColumn("weights", F.expr(
-        "transform(colors, (k, i) -> named_struct('w', "
-        + c.tie("aggregate(s, 0E0, (t, v) -> t + CASE WHEN v.rgb = k THEN v.w ELSE 0E0 END)")
-        + ", 'own', CASE WHEN k = rgb THEN 1 ELSE 0 END, 'o', -i, 'rgb', k))"))
-    wide = wide.withColumn("top", F.expr("array_max(weights)"))
-    mean = ", ".join(f"'{v}', aggregate(s, 0E0, (t, q) -> t + q.{v} * q.w) / total" for v in "lab")
-    wide = wide.withColumn("mean", F.expr(f"named_struct({mean})"))
-    cost = " + ".join(f"pow(v.{n} - mean.{n}, 2)" for n in "lab")
-    wide = wide.withColumn("closest", F.expr(
-        f"array_min(transform(s, (v, i) -> named_struct('d', {c.tie(cost)}, "
-        "'own', CASE WHEN v.rgb = rgb THEN 0 ELSE 1 END, 'o', i, 'rgb', v.rgb)))"))
-    chosen = F.expr("CASE WHEN a = 0 OR size(colors) < 2 THEN NULL "
-                    f"WHEN top.w >= {c.tie('total * 5E-1')} THEN top.rgb ELSE closest.rgb END")
+    around = [(dx, dy) for dy in span for dx in span]
+    middle, share = around.index((0, 0)), [math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dx, dy in around]
+
+    @F.pandas_udf("double")
+    def vote(cells: pd.DataFrame, l: pd.Series, a_: pd.Series, b: pd.Series) -> pd.Series:
+        rgb, a, lab = _cells_of(cells, len(around))
+        first = np.stack([v.to_numpy(dtype=float) for v in (l, a_, b)])
+        own, size = rgb[middle], len(l)
+        w = [np.where((a[k] == a[middle]) & (_square(first, lab[k]) <= delta * delta + 1e-10), share[k], 0.0) for k in range(len(around))]
+        total = sum(w)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.stack([sum(np.where(w[k] > 0, lab[k][v] * w[k], 0.0) for k in range(len(around))) / total for v in range(3)])
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        top, top_own, top_rgb = np.full(size, -1.0), np.zeros(size, dtype=bool), np.full(size, np.nan)
+        near, near_own, near_rgb = np.full(size, np.inf), np.zeros(size, dtype=bool), np.full(size, np.nan)
+        for k in range(len(around)):  # of equals the first in scan order stays
+            member, mine = w[k] > 0, rgb[k] == own
+            low, high = np.where(member, np.minimum(low, rgb[k]), low), np.where(member, np.maximum(high, rgb[k]), high)
+            weight = np.floor(sum(np.where(rgb[j] == rgb[k], w[j], 0.0) for j in range(len(around))) * 1e9 + 0.5)
+            better = member & ((weight > top) | ((weight == top) & mine & ~top_own))
+            top, top_own, top_rgb = np.where(better, weight, top), np.where(better, mine, top_own), np.where(better, rgb[k], top_rgb)
+            d = np.floor(_square(lab[k], mean) * 1e9 + 0.5)
+            better = member & ((d < near) | ((d == near) & mine & ~near_own))
+            near, near_own, near_rgb = np.where(better, d, near), np.where(better, mine, near_own), np.where(better, rgb[k], near_rgb)
+        chosen = np.where(top >= np.floor(total * 0.5 * 1e9 + 0.5), top_rgb, near_rgb)
+        return pd.Series(np.where((a[middle] != 0) & (low < high), chosen, np.nan))
+    wide = wide.select(*PIXEL, vote(_packed_cells(around), "o_l", "o_a", "o_b").cast(base.schema["rgb"].dataType).alias("_vote"))
+    chosen = F.col("_vote")
     if keep is not None:
         wide = wide.join(keep, ["image_id", "x", "y"], "left")
         chosen = F.when(F.col("keep").isNull(), chosen)
@@ -573,27 +597,34 @@ def local_consensus(px: DataFrame, tolerance: float = 12.0, strength: float = 0.
     require(0 <= tolerance <= 40, "tolerance must be 0..40")
     require(0 <= strength <= 1, "strength must be 0..1")
     cap, anchor = tolerance * tolerance, 1 + (1 - strength) * 8
-    wide = gather(_lab_columns(px).withColumn("rgb", F.expr(c.pack_rgb())), ["rgb", "a", "lab_l", "lab_a", "lab_b"])
-    wide = wide.filter("a > 0").withColumn("ring", _ring_array(["rgb", "a", "lab_l", "lab_a", "lab_b"]))
-    wide = wide.select("image_id", "x", "y", "a", "rgb", "lab_l", "lab_a", "lab_b", F.expr(
-        "transform(filter(ring, v -> v.a > 0), v -> named_struct('rgb', v.rgb, 'l', v.lab_l, 'la', v.lab_a, 'lb', v.lab_b, "
-        "'w', v.a / 255E0 * CASE WHEN v.dx <> 0 AND v.dy <> 0 THEN 7E-1 ELSE 1E0 END))").alias("ring"))
-    wide = wide.filter("size(ring) >= 2").withColumn("total", F.expr("aggregate(ring, 0E0, (t, v) -> t + v.w)"))
-    wide = wide.withColumn("anchor", F.expr(f"({c.num(anchor)} + a / 255E0) * total / 6.8E0"))
-
-    def cost(lab):
-        own = "pow({0} - lab_l, 2) + pow({1} - lab_a, 2) + pow({2} - lab_b, 2)".format(*lab)
-        pair = "pow({0} - v.l, 2) + pow({1} - v.la, 2) + pow({2} - v.lb, 2)".format(*lab)
-        return f"(anchor * ({own}) + aggregate(ring, 0E0, (t, v) -> t + v.w * LEAST({pair}, {c.num(cap)})))"
-    wide = wide.withColumn("base", F.expr(cost(("lab_l", "lab_a", "lab_b"))))
-    reach = f"pow(k.l - lab_l, 2) + pow(k.la - lab_a, 2) + pow(k.lb - lab_b, 2) <= {c.num(cap)}"
-    wide = wide.withColumn("best", F.expr(
-        f"array_min(transform(filter(ring, k -> k.rgb <> rgb AND {reach}), k -> "
-        f"named_struct('cost', round({cost(('k.l', 'k.la', 'k.lb'))}, 9), 'rgb', k.rgb)))"))
     margin = max(0.0001, cap * 0.002 * (1 - strength))
-    return wide.filter(F.expr(f"best.cost < base - {c.num(margin)}")).select(
-        "image_id", "x", "y", "rgb", F.col("best.rgb").alias("new_rgb"),
-        F.expr("base - best.cost").alias("gain"))
+    wide = gather(_lab_columns(px).withColumn("rgb", F.expr(c.pack_rgb())), list(_CELL)).filter("a > 0")
+
+    @F.pandas_udf("rgb DOUBLE, gain DOUBLE")
+    def propose(cells: pd.DataFrame) -> pd.DataFrame:
+        rgb, a, lab = _cells_of(cells, len(RING) + 1)
+        ring = [(k, a[k] / 255 * (0.7 if dx and dy else 1.0)) for k, (dx, dy) in enumerate(RING, 1)]
+        ring = [(k, np.where(a[k] > 0, w, 0.0)) for k, w in ring]
+        total = sum(w for _, w in ring)
+        hold = (anchor + a[0] / 255) * total / 6.8
+
+        def cost(at):
+            pull = np.zeros(len(total))
+            for k, w in ring:
+                pull += w * np.fmin(_square(at, lab[k]), cap)
+            return hold * _square(at, lab[0]) + pull
+        best, color = np.full(len(total), np.inf), np.full(len(total), np.nan)
+        for k, _ in ring:
+            price = np.floor(cost(lab[k]) * 1e9 + 0.5) / 1e9
+            open_ = (a[k] > 0) & (rgb[k] != rgb[0]) & (_square(lab[k], lab[0]) <= cap)
+            better = open_ & ((price < best) | ((price == best) & (rgb[k] < color)))
+            best, color = np.where(better, price, best), np.where(better, rgb[k], color)
+        base = cost(lab[0])
+        moves = (sum((a[k] > 0).astype(int) for k, _ in ring) >= 2) & (best < base - margin)
+        return pd.DataFrame({"rgb": np.where(moves, color, np.nan), "gain": np.where(moves, base - np.where(moves, best, 0), np.nan)})
+    found = wide.select("image_id", "x", "y", "rgb", propose(_packed_cells([(0, 0), *RING])).alias("_m"))
+    return found.filter("_m.rgb IS NOT NULL").select(
+        "image_id", "x", "y", "rgb", F.col("_m.rgb").cast(found.schema["rgb"].dataType).alias("new_rgb"), F.col("_m.gain").alias("gain"))
 
 
 def apply_consensus(px: DataFrame, tolerance: float = 12.0, strength: float = 0.5) -> DataFrame:

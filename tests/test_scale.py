@@ -105,3 +105,10 @@ def test_frames_and_votes_look_up_ranges(spark):
     assert "lambda" not in plan(votes) and "sequence(0" not in plan(votes)
     cells = {(v.image_id, v.cx, v.cy) for v in votes.collect()}
     assert cells == {(i, cx, cy) for i in (0, 1) for cx in range(4) for cy in range(3)}
+
+
+def test_votes_of_neighbours_are_taken_in_batches(spark):
+    px = random_pixels(spark, 6, 5, colors=12)
+    for found in (stencil.local_consensus(px, 40.0, 0.8), stencil.local_delta(px, 20.0, 2)):
+        assert "lambda" not in plan(found)
+        assert found.count() > 0
