@@ -35,12 +35,14 @@ class Forest:
         known = pairs.select(F.col("node").alias("ptr"))
         step = cut_lineage(pairs.filter("ptr IS NOT NULL").join(known, "ptr", "left_semi").select("node", "ptr"))
         jumps, left = [], step.count()
+        #: Nodes on or above a cycle, which belong to no tree, or ``None``.
+        self.looped = None
         while left:
             jumps.append(step)
             step = cut_lineage(step.join(step.select(F.col("node").alias("ptr"), F.col("ptr").alias("up")), "ptr").select("node", F.col("up").alias("ptr")))
             now = step.count()
             if now == left:  # none of the nodes left gets nearer to a root
-                looped = step.select("node")
+                looped = self.looped = step.select("node")
                 jumps = [cut_lineage(jump.join(looped, "node", "left_anti")) for jump in jumps]
                 pairs = pairs.join(looped, "node", "left_anti")
                 break
@@ -49,6 +51,13 @@ class Forest:
         parents = jumps[0].withColumnRenamed("ptr", "parent") if jumps else pairs.filter("false").select("node", F.col("ptr").alias("parent"))
         self.nodes = cut_lineage(pairs.select("node").join(parents, "node", "left"))
 
+    def add(self, other: Forest) -> None:
+        """Take in the trees of a forest that shares no node with this one."""
+        both = list(zip(self.jumps, other.jumps))
+        longer = self.jumps if len(self.jumps) > len(other.jumps) else other.jumps
+        self.jumps = [a.unionByName(b) for a, b in both] + longer[len(both):]
+        self.nodes, self.looped = self.nodes.unionByName(other.nodes), other.looped
+
     def _rounds(self, values: DataFrame, step) -> DataFrame:
         """``step(now, jump)`` for every jump table, stored after every few of them."""
         now = stored(values)

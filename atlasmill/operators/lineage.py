@@ -67,13 +67,14 @@ def ancestry(nodes: DataFrame, node: str, parent: str, carry: list[str] | None =
         F.when(looped, F.lit("cycle")).otherwise(F.col("status")).alias("status"))
 
 
-def break_cycles(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+def break_cycles(nodes: DataFrame, node: str, parent: str, stuck: DataFrame | None = None) -> DataFrame:
     """The smallest node of every cycle: ``(node)`` rows whose parent link must go.
 
     Only nodes left over by ``ancestry`` are followed, long enough to be surely
-    on the cycle.
+    on the cycle; ``stuck`` has them if that is known already.
     """
-    stuck = ancestry(nodes, node, parent, keep_path=False).filter("status = 'cycle'").select("node")
+    if stuck is None:
+        stuck = ancestry(nodes, node, parent, keep_path=False).filter("status = 'cycle'").select("node")
     ring = cut_lineage(nodes.select(F.col(node).alias("node"), F.col(parent).alias("ptr"))
                        .join(stuck, "node", "left_semi").withColumn("low", F.col("node")))
     hops, total = 1, ring.count()
@@ -203,25 +204,45 @@ def local_recipes(gens: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("gen_id", F.when(fits, F.expr("slice(mine, n + 1, size(mine))")).alias("local_steps"))
 
 
-def display_parents(gens: DataFrame, detached: DataFrame | None = None) -> DataFrame:
-    """Parent used for drawing: none for detached results, missing parents and one node per cycle."""
-    out = gens.select("gen_id", "parent_id")
+def _known_parents(gens: DataFrame, detached: DataFrame | None) -> DataFrame:
+    """Stored ``gen_id, parent_id`` without the parents of detached results and parents that are missing."""
+    gens = cut_lineage(gens.select("gen_id", "parent_id"))  # read for the results and for their parents
+    out = gens
     if detached is not None:
         cut = detached.select("gen_id").withColumn("cut", F.lit(True))
         out = out.join(cut, "gen_id", "left").select("gen_id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("parent_id"))
     known = gens.select(F.col("gen_id").alias("parent_id")).withColumn("known", F.lit(True))
-    out = attach_unique(out, known, ["parent_id"], ["gen_id"]).select(
-        "gen_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"))
-    loops = break_cycles(out, "gen_id", "parent_id").select(F.col("node").alias("gen_id")).withColumn("cut", F.lit(True))
-    return out.join(loops, "gen_id", "left").select(
+    return cut_lineage(attach_unique(out, known, ["parent_id"], ["gen_id"]).select(
+        "gen_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id")))
+
+
+def _without_loops(linked: DataFrame, loops: DataFrame) -> DataFrame:
+    loops = loops.select(F.col("node").alias("gen_id")).withColumn("cut", F.lit(True))
+    return linked.join(loops, "gen_id", "left").select(
         "gen_id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("display_parent"))
 
 
+def display_parents(gens: DataFrame, detached: DataFrame | None = None) -> DataFrame:
+    """Parent used for drawing: none for detached results, missing parents and one node per cycle."""
+    linked = _known_parents(gens, detached)
+    return _without_loops(linked, break_cycles(linked, "gen_id", "parent_id"))
+
+
 def branch_forest(gens: DataFrame, detached: DataFrame | None = None) -> DataFrame:
-    """Display parent, root and depth of every result."""
-    shown = cut_lineage(display_parents(gens, detached))
-    lines = ancestry(shown, "gen_id", "display_parent", keep_path=False).select(
-        F.col("node").alias("gen_id"), F.col("top").alias("root_id"), "depth")
+    """Display parent, root and depth of every result.
+
+    All results are followed once; only those on or below a cycle are followed again, when it is cut.
+    """
+    linked = _known_parents(gens, detached)
+    lines = ancestry(linked, "gen_id", "parent_id", keep_path=False)
+    stuck = cut_lineage(lines.filter("status = 'cycle'").select("node").distinct())
+    if stuck.isEmpty():
+        shown = linked.withColumnRenamed("parent_id", "display_parent")
+    else:
+        shown = cut_lineage(_without_loops(linked, break_cycles(linked, "gen_id", "parent_id", stuck)))
+        again = shown.join(stuck.withColumnRenamed("node", "gen_id"), "gen_id", "left_semi")
+        lines = lines.filter("status <> 'cycle'").unionByName(ancestry(again, "gen_id", "display_parent", keep_path=False))
+    lines = lines.select(F.col("node").alias("gen_id"), F.col("top").alias("root_id"), "depth")
     return shown.join(lines, "gen_id")
 
 
@@ -274,7 +295,13 @@ def merge_plan(gens: DataFrame, pairs: DataFrame, detached: DataFrame | None = N
 
     Only the paths of the named leaves are followed.
     """
-    forest = Forest(display_parents(gens, detached), "gen_id", "display_parent")
+    gens = cut_lineage(gens.select("gen_id", "parent_id", "operation_id"))
+    linked = _known_parents(gens, detached)
+    forest = Forest(linked, "gen_id", "parent_id")
+    if forest.looped is not None:  # the forest has no place for these until their cycles are cut
+        rest = linked.join(forest.looped.withColumnRenamed("node", "gen_id"), "gen_id", "left_semi")
+        forest.add(Forest(_without_loops(rest, break_cycles(rest, "gen_id", "parent_id", forest.looped)), "gen_id", "display_parent"))
+    pairs = cut_lineage(pairs)  # read for the leaves and for the verdicts
     leaves = pairs.select(F.col("leaf_a").alias("leaf")).unionByName(pairs.select(F.col("leaf_b").alias("leaf"))).distinct()
     paths = cut_lineage(forest.above(leaves))
     ends = paths.groupBy("seed").agg(F.max("distance").alias("depth"), F.max_by("node", "distance").alias("top"))

@@ -105,3 +105,28 @@ def test_delete_plan_counts_from_the_topmost_seed(spark):
     gens = spark.createDataFrame(rows, "gen_id BIGINT, parent_id BIGINT")
     seeds = spark.createDataFrame([(2,), (3,), (6,)], "gen_id BIGINT")
     assert [tuple(r) for r in lineage.delete_plan(gens, seeds).collect()] == [(4, 2), (3, 1), (2, 0), (6, 0)]
+
+
+def test_only_results_on_cycles_are_followed_again(spark, monkeypatch):
+    """Display parents, roots and replayed paths with cycles cut; results on trees are followed once."""
+    from atlasmill.operators import lineage
+    rows = [(i, i // 2 if i > 1 else None) for i in range(1, 40)] + [(100, 102), (101, 100), (102, 101), (103, 102), (104, 103)]
+    gens = spark.createDataFrame([(7, g, p, 0, f"op{g}") for g, p in rows], "source_id INT, gen_id INT, parent_id INT, created_at INT, operation_id STRING")
+    asked = []
+    first = lineage.ancestry
+    monkeypatch.setattr(lineage, "ancestry", lambda nodes, *args, **kw: asked.append(nodes.count()) or first(nodes, *args, **kw))
+    found = {r.gen_id: (r.display_parent, r.root_id, r.depth) for r in lineage.branch_forest(gens).collect()}
+    assert asked == [44, 5]
+    up = dict(rows) | {100: None}
+    for g in up:
+        path = [g]
+        while up[path[-1]] is not None:
+            path.append(up[path[-1]])
+        assert found[g] == (up[g], path[-1], len(path) - 1)
+    asked.clear()
+    pairs = spark.createDataFrame([(104, 39), (101, 104), (39, 38)], "leaf_a INT, leaf_b INT")
+    plan = lineage.merge_plan(gens, pairs).collect()
+    assert asked == []
+    assert sorted((r.step_index, r.gen_id, r.operation_id) for r in plan if r.leaf_a == 104) == [
+        (k, g, f"op{g}") for k, g in enumerate([100, 101, 102, 103, 104])]
+    assert {(r.leaf_a, r.verdict) for r in plan if r.leaf_a != 104} == {(101, "same_branch"), (39, "same_branch")}
