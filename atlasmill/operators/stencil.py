@@ -173,33 +173,34 @@ def sharpen(px: DataFrame, strength: int, threshold: int) -> DataFrame:
         if dx and dy:
             chain += [F.col(cell(dx, 0)), F.col(cell(0, dy))]
         return F.coalesce(*chain, me)
-    samples = F.array(*[F.struct(F.lit(kernel[o]).alias("k"), *[clamped(*o)[v].alias(v) for v in "rgba"])
-                        for o in offsets])
-    base = wide.withColumn("s", samples).select(*PIXEL, "s")
-    sums = "aggregate(s, named_struct('r', 0L, 'g', 0L, 'b', 0L, 'w', 0L), (t, v) -> named_struct(" + ", ".join(
-        f"'{ch}', t.{ch} + v.{ch} * v.k * v.a" for ch in "rgb") + ", 'w', t.w + v.k * v.a))"
-    base = base.withColumn("t", F.expr(sums))
-    base = base.select("*", *[F.expr(
-        f"CASE WHEN a > 0 THEN {ch} - CAST(t.{ch} AS DOUBLE) / t.w ELSE 0E0 END").alias(f"d_{ch}") for ch in "rgb"])
-    amount = c.num(strength / 100)
-    wanted = {ch: f"(d_{ch} * {amount})" for ch in "rgb"}
-    base = base.select("*", *[F.expr(e).alias(f"w_{ch}") for ch, e in wanted.items()])
-    base = base.withColumn("w2", F.expr("w_r * w_r + w_g * w_g + w_b * w_b"))
-    moves = ("transform(filter(s, v -> v.a * 2 >= a AND (v.r <> r OR v.g <> g OR v.b <> b)), v -> named_struct("
-             "'r', v.r - r, 'g', v.g - g, 'b', v.b - b, "
-             "'len', CAST((v.r - r) * (v.r - r) + (v.g - g) * (v.g - g) + (v.b - b) * (v.b - b) AS DOUBLE), "
-             "'dot', w_r * (v.r - r) + w_g * (v.g - g) + w_b * (v.b - b)))")
-    base = base.withColumn("m", F.expr(moves))
-    base = base.withColumn("m", F.expr(
-        "transform(filter(m, v -> v.dot > 0 AND v.dot * v.dot >= 6.4E-1 * w2 * v.len), "
-        "v -> named_struct('part', LEAST(1E0, v.dot / v.len), 'r', v.r, 'g', v.g, 'b', v.b))"))
-    rest = c.tie("pow(w_r - v.part * v.r, 2) + pow(w_g - v.part * v.g, 2) + pow(w_b - v.part * v.b, 2)")
-    best = f"array_min(transform(m, (v, i) -> named_struct('d', {rest}, 'i', i, 'v', v)))"
-    base = base.withColumn("best", F.expr(best)).withColumn("moving", F.expr(
-        f"a > 0 AND GREATEST(abs(d_r), abs(d_g), abs(d_b)) > {threshold} AND best IS NOT NULL"))
-    return base.select("image_id", "x", "y", *[F.expr(
-        f"CASE WHEN moving THEN CAST(bround({ch} + best.v.part * best.v.{ch}, 0) AS INT) ELSE {ch} END").alias(ch)
-        for ch in "rgb"], "a")
+    samples = F.struct(*[clamped(*o)[v].cast("double").alias(f"{v}{i}") for i, o in enumerate(offsets) for v in "rgba"])
+    amount, middle, weight = strength / 100, offsets.index((0, 0)), [kernel[o] for o in offsets]
+
+    @F.pandas_udf("r INT, g INT, b INT")
+    def move(cells: pd.DataFrame) -> pd.DataFrame:
+        near = [[cells[f"{v}{i}"].to_numpy(dtype=float) for v in "rgb"] for i in range(len(offsets))]
+        alpha = [cells[f"a{i}"].to_numpy(dtype=float) for i in range(len(offsets))]
+        own, a = near[middle], alpha[middle]
+        shown = a > 0
+        w = np.where(shown, sum(k * v for k, v in zip(weight, alpha)), 1.0)
+        d = [np.where(shown, own[c] - sum(p[c] * k * v for p, k, v in zip(near, weight, alpha)) / w, 0.0) for c in range(3)]
+        wanted = [v * amount for v in d]
+        square = wanted[0] * wanted[0] + wanted[1] * wanted[1] + wanted[2] * wanted[2]
+        best, to = np.full(len(a), np.inf), [v.copy() for v in own]
+        for p, v in zip(near, alpha):  # of equals the first in scan order stays
+            step = [p[c] - own[c] for c in range(3)]
+            length = step[0] * step[0] + step[1] * step[1] + step[2] * step[2]
+            dot = wanted[0] * step[0] + wanted[1] * step[1] + wanted[2] * step[2]
+            toward = (v * 2 >= a) & (length > 0) & (dot > 0) & (dot * dot >= 0.64 * square * length)
+            part = np.minimum(1.0, dot / np.where(length > 0, length, 1.0))
+            rest = np.floor(((wanted[0] - part * step[0]) ** 2 + (wanted[1] - part * step[1]) ** 2 + (wanted[2] - part * step[2]) ** 2) * 1e9 + 0.5)
+            better = toward & (rest < best)
+            best = np.where(better, rest, best)
+            to = [np.where(better, np.rint(own[c] + part * step[c]), to[c]) for c in range(3)]
+        moving = shown & (np.fmax(np.fmax(abs(d[0]), abs(d[1])), abs(d[2])) > threshold) & (best < np.inf)
+        return pd.DataFrame({v: pd.Series(np.where(moving, to[c], np.nan)).astype("Int32") for c, v in enumerate("rgb")})
+    moved = wide.select(*PIXEL, move(samples).alias("_to"))
+    return moved.select("image_id", "x", "y", *[F.coalesce(f"_to.{v}", v).alias(v) for v in "rgb"], "a")
 
 
 def suppress_speckles(px: DataFrame) -> DataFrame:

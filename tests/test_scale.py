@@ -109,6 +109,6 @@ def test_frames_and_votes_look_up_ranges(spark):
 
 def test_votes_of_neighbours_are_taken_in_batches(spark):
     px = random_pixels(spark, 6, 5, colors=12)
-    for found in (stencil.local_consensus(px, 40.0, 0.8), stencil.local_delta(px, 20.0, 2)):
+    for found in (stencil.local_consensus(px, 40.0, 0.8), stencil.local_delta(px, 20.0, 2), stencil.sharpen(px, 80, 2)):
         assert "lambda" not in plan(found)
         assert found.count() > 0
