@@ -280,7 +280,6 @@ def grid_reduce(px: DataFrame, pitch: int | str) -> DataFrame:
         "image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "anchor.r", "anchor.g", "anchor.b", "anchor.a")
 
 
-@F.pandas_udf("first INT, last INT")
 def _sampled(at: pd.Series, full: pd.Series, target: pd.Series, start: pd.Series, extent: pd.Series) -> pd.DataFrame:
     """First and last target pixel that samples the source position; their samples never go back."""
     at, full, target, start, extent = (v.to_numpy(dtype=float) for v in (at, full, target, start, extent))
@@ -321,7 +320,8 @@ def fit_frames(px: DataFrame, sizes: Sequence[int], fit: str = "contain",
             target, offset, start, extent = "size", "0", "0E0", full
         frames = frames.selectExpr("*", f"{target} AS t_{axis}", f"{offset} AS o_{axis}",
                                    f"CAST({start} AS DOUBLE) AS s_{axis}", f"CAST({extent} AS DOUBLE) AS e_{axis}")
-    spans = {axis: _sampled(axis, full, f"t_{axis}", f"s_{axis}", f"e_{axis}") for axis, full in (("x", "width"), ("y", "height"))}
+    sampled = F.pandas_udf(_sampled, "first INT, last INT")
+    spans = {axis: sampled(axis, full, f"t_{axis}", f"s_{axis}", f"e_{axis}") for axis, full in (("x", "width"), ("y", "height"))}
     placed = attach_per_image(px, frames).withColumns({f"_{axis}": span for axis, span in spans.items()})
     placed = placed.filter("_x.first <= _x.last AND _y.first <= _y.last")
     for axis in "xy":

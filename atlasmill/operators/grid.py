@@ -95,7 +95,6 @@ def detect_pitch(profiles: DataFrame, max_pitch: int = 32) -> DataFrame:
     return best.select("image_id", found.alias("pitch"), sure.alias("confidence"))
 
 
-@F.pandas_udf("first INT, last INT")
 def _touched(at: pd.Series, size: pd.Series, n: pd.Series, gap: pd.Series, pitch: pd.Series, phase: pd.Series) -> pd.DataFrame:
     """First and last of the cells a pixel touches; bounds grow with the cell, so those between are touched too."""
     at, size, n, gap, pitch, phase = (v.to_numpy(dtype=float) for v in (at, size, n, gap, pitch, phase))
@@ -131,7 +130,8 @@ def grid_vote(px: DataFrame, grid: DataFrame | None = None, pitch: int | None =
         count = f"CAST(CEIL({size} / CAST(pitch AS DOUBLE)) AS INT)"
         gap = f"LEAST(pitch * 2.5E-1, {size} / (2E0 * ({count} + 1)))"
         images = images.selectExpr("*", f"{count} AS n_{axis}", f"CAST({gap} AS DOUBLE) AS g_{axis}")
-    cells = {axis: _touched(axis, size, f"n_{axis}", f"g_{axis}", "pitch", f"phase_{axis}") for axis, size in (("x", "width"), ("y", "height"))}
+    touched = F.pandas_udf(_touched, "first INT, last INT")
+    cells = {axis: touched(axis, size, f"n_{axis}", f"g_{axis}", "pitch", f"phase_{axis}") for axis, size in (("x", "width"), ("y", "height"))}
     placed = attach_per_image(px, images).withColumns({f"_t{axis}": span for axis, span in cells.items()})
     placed = placed.filter("_tx.first <= _tx.last AND _ty.first <= _ty.last")
     for axis, size in (("x", "width"), ("y", "height")):
