@@ -14,8 +14,19 @@ from pyspark.sql import functions as F
 
 from atlasmill.llm.common import lower_ascii, scratch, stage, unstage
 
+
+def one_of_no(*ranges: tuple[int, int]) -> str:
+    """Pattern of the longest runs without the ASCII characters of ``ranges``.
+
+    Each is named alone: Java looks single Latin-1 characters up in one table, but tries ranges one by one.
+    """
+    return "[^" + "".join(f"\\x{c:02X}" for low, high in ranges for c in range(low, high + 1)) + "]+"
+
+
 #: A word of a lower-cased text: anything but the ASCII that is no digit and no lower-case letter.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = one_of_no((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+#: The same in a text as it is.
+ANY_CASE_WORD = one_of_no((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Lists that are intersected before the exact check.
 RAREST = 3
 #: A table of terms with at most this many rows, each with a word, is sent to all executors.
@@ -180,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     found = hits.select("doc_id", "text_hash", "n_hit").join(items.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}),
                                                              F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     found = stage(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "found")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words.cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select(

@@ -236,6 +236,13 @@ def test_decontamination(spark, docs, awkward):
         assert clean.columns == df.columns and clean.count() == sum(n for r, n in want.items() if not r[-1])
 
 
+def test_word_patterns_name_every_character_alone():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)]))
+    for own, contract in ((decontamination.WORD, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"),
+                          (decontamination.ANY_CASE_WORD, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")):
+        assert "-" not in own and re.findall(own, every) == re.findall(contract, every)
+
+
 def test_windows_of_items_without_an_id(spark):
     words = [f"w{k}" for k in range(12)]
     bench = spark.createDataFrame([(None, " ".join(words)), (None, None)], "item_id BIGINT, text STRING")
