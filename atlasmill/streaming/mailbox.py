@@ -105,72 +105,88 @@ def revision_conflicts(jobs: DataFrame) -> DataFrame:
 
 
 CONFLICT_SCHEMA = "job_id BIGINT, asset_id BIGINT, operation STRING, revision BIGINT, current_revision BIGINT"
-_WAITING = ["job_id", "us", "operation", "revision"]
+_WAITING = ["asset_id", "job_id", "us", "operation", "revision"]
+#: Groups of assets that share a state; state calls are paid per group and batch, not per asset.
+GROUPS = 512
+
+
+def _whole(values) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
 
 
 class RevisionCheck(StatefulProcessor):
-    """Jobs of one asset wait until the watermark has passed them and are then judged in the order of time.
+    """Jobs of a group of assets wait until the watermark has passed them and are then judged in the order of time.
 
-    State is the list of waiting jobs, which the watermark bounds, and the revision of the last change.
+    State is the list of waiting jobs, which the watermark bounds, the revision of each asset's last change, and
+    the watermark of the last judgement, as several timers may end with one batch.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "job_id BIGINT, us BIGINT, operation STRING, revision BIGINT")
-        self.current = handle.getValueState("current", "revision BIGINT")
+        self.waiting = handle.getListState("waiting", "asset_id BIGINT, job_id BIGINT, us BIGINT, operation STRING, revision BIGINT")
+        self.current = handle.getListState("current", "asset_id BIGINT, revision BIGINT")
+        self.judged = handle.getValueState("judged", "us BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest = None
         for frame in rows:
             columns = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in _WAITING]
-            self.waiting.appendList([(job, us, op, None if rev is None else int(rev)) for job, us, op, rev in zip(*columns)])
+            self.waiting.appendList([(asset, job, us, op, None if rev is None else int(rev)) for asset, job, us, op, rev in zip(*columns)])
             newest = max(filter(None, (newest, int(frame["us"].max()))))
         if newest is not None:
             self.handle.registerTimer(-(-newest // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.judged.exists() and self.judged.get()[0] >= passed:
+            return
+        self.judged.update((passed,))
         if not self.waiting.exists():
             return
-        rows = pd.DataFrame(list(self.waiting.get()), columns=_WAITING).astype({"revision": "Int64"})
-        ripe = rows["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
-        if ripe.all():
+        waiting = list(self.waiting.get())
+        ripe = [r for r in waiting if r[2] <= passed]
+        if len(ripe) == len(waiting):
             self.waiting.clear()
-        elif ripe.any():
-            self.waiting.put([(r.job_id, r.us, r.operation, None if pd.isna(r.revision) else int(r.revision)) for r in rows[~ripe].itertuples()])
-        if not ripe.any():
+        elif ripe:
+            self.waiting.put([tuple(r) for r in waiting if r[2] > passed])
+        if not ripe:
             return
-        rows = rows[ripe].sort_values(["us", "job_id"], ignore_index=True)
-        change = rows["operation"] != "read"
-        last = pd.Series(rows.index, dtype="Int64").where(change).ffill()  # the newest change up to each row
-        before = last.shift()
+        rows = pd.DataFrame({c: pd.Series(v, dtype=object) if c == "operation" else _whole(v) for c, v in zip(_WAITING, zip(*ripe))})
+        rows = rows.sort_values(["asset_id", "us", "job_id"], ignore_index=True)
+        asset, change = rows["asset_id"], rows["operation"] != "read"
+        last = pd.Series(rows.index, dtype="Int64").where(change).groupby(asset).ffill()  # the newest change up to each row
+        before = last.groupby(asset).shift()
+        held = {a: rev for a, rev in self.current.get()} if self.current.exists() else {}
         current = rows["revision"].reindex(before.fillna(-1)).reset_index(drop=True)
-        if self.current.exists():
-            current = current.where(before.notna(), self.current.get()[0])
+        current = current.where(before.notna(), _whole(held.get(a) for a in asset))
         if change.any():
-            newest = rows["revision"][last.iloc[-1]]
-            self.current.update((None if pd.isna(newest) else int(newest),))
+            newest = rows[change].drop_duplicates("asset_id", keep="last")
+            held.update((int(a), None if pd.isna(rev) else int(rev)) for a, rev in zip(newest["asset_id"], newest["revision"]))
+            self.current.put(list(held.items()))
         clash = (rows["operation"].isin(GUARDED) & (current != rows["revision"])).fillna(False)
         found = rows[clash.astype(bool)]
-        yield pd.DataFrame({"job_id": found["job_id"], "asset_id": key[0], "operation": found["operation"],
+        yield pd.DataFrame({"job_id": found["job_id"], "asset_id": found["asset_id"], "operation": found["operation"],
                             "revision": found["revision"], "current_revision": current[found.index]})
 
     def close(self) -> None:
         pass
 
 
-def revision_conflict_stream(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
+def revision_conflict_stream(jobs: DataFrame, delay: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """``revision_conflicts`` on a stream, in event-time order however jobs are spread over batches.
 
     A job is judged once the watermark, ``delay`` behind the newest job, has passed it. Jobs that come later
-    than that are dropped. Rows without an asset or a time are left out.
+    than that are dropped. Rows without an asset or a time are left out. Assets are dealt into ``groups``
+    by hash, whose number must stay the same over restarts.
     """
+    require(groups >= 1, "there must be a group")
     spark = jobs.sparkSession
     # timers and list state need this store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = jobs.filter("asset_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select(
-        "asset_id", "ts", "job_id", F.unix_micros("ts").alias("us"), "operation", "revision")
-    return timed.groupBy("asset_id").transformWithStateInPandas(RevisionCheck(), CONFLICT_SCHEMA, "append", "eventTime")
+        F.pmod(F.xxhash64("asset_id"), F.lit(groups)).cast("int").alias("asset_group"), "asset_id", "ts", "job_id", F.unix_micros("ts").alias("us"), "operation", "revision")
+    return timed.groupBy("asset_group").transformWithStateInPandas(RevisionCheck(), CONFLICT_SCHEMA, "append", "eventTime")
 
 
 def online_sessions(beats: DataFrame, key: str, gap: str = "9 seconds", delay: str = "1 minute") -> DataFrame:

@@ -1,6 +1,7 @@
 """Hierarchies with awkward shapes, and mailbox streams from folders."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,21 @@ def test_revisions_in_the_order_of_time_across_batches(spark, tmp_path):
     assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 20
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_assets_of_one_group_are_judged_apart(spark, tmp_path, groups):
+    rows = [job(i, i % 5, ["save", "read", "move", "create"][i % 4], (i // 15) % 3 if i % 7 else None, i) for i in range(1, 60)]
+    inbox = tmp_path / "inbox"
+    for k in range(0, 59, 10):
+        write_jobs(inbox, f"{k:02d}.json", rows[k:k + 10])
+    write_jobs(inbox, "99.json", [{**job(1000, -1, "read", 0, 0), "ts": at(600)}])
+    for k, path in enumerate(sorted(inbox.glob("*.json"))):
+        os.utime(path, (10**9 + k,) * 2)  # files of one millisecond come in any order, and then jobs come too late
+    stream = mailbox.read_mailbox_stream(spark, str(inbox), files_per_trigger=1)
+    got = sorted(tuple(r) for r in mailbox.stream_rows(mailbox.revision_conflict_stream(stream, "5 minutes", groups)).collect())
+    batch = mailbox.revision_conflicts(spark.read.schema(mailbox.REQUEST_SCHEMA).json(str(inbox)))
+    assert got == sorted(tuple(r) for r in batch.collect()) and len(got) == 10
+
+
 def test_frame_size_and_cut_frames_survive_a_restart(spark, tmp_path):
     def rows(i, w, h):
         return [(i, x, y, 10 * x, 10 * y, 0, 255, w * h) for x in range(w) for y in range(h)]
