@@ -214,13 +214,15 @@ class _Union:
 
 
 def candidates(signed: DataFrame, percent: int) -> DataFrame:
-    """``doc_id`` of the sets that step 2 lets through; ``signed`` has one row a class."""
+    """Stored ``id`` (a ``doc_id``) of the sets that step 2 lets through; ``signed`` has one row a class."""
     smallest = F.ceil(F.col("n_shingles") * percent / 100)  # set that can link with this one
     p = smallest - F.ceil(smallest * percent / 100) + 1
     low = signed.select(F.col("doc_id").alias("id"), (F.floor(p / 2) + 1).alias("l"), F.explode("low").alias("h"))
     twice = low.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     twice = stage(twice, "twice")  # so that the join has exchanges only below it and hot hashes can be split
-    return low.join(twice, "h").groupBy("id", "l").agg(F.count(F.lit(1)).alias("c")).filter("c >= l").select("id")
+    passed = stage(low.join(twice, "h").groupBy("id", "l").agg(F.count(F.lit(1)).alias("c")).filter("c >= l").select("id"), "maybe")
+    unstage(twice)
+    return passed
 
 
 def families(sets: DataFrame, percent: int) -> DataFrame:
@@ -230,6 +232,7 @@ def families(sets: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     counts = stage(counts, "counts")
     shared = stage(rows.join(counts, "h"), "shared")
+    unstage(counts)
     # of the p rarest shingles, those of its own come first
     own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("c", "h"))
@@ -237,7 +240,9 @@ def families(sets: DataFrame, percent: int) -> DataFrame:
     unstage(shared)
     first = stage(prefix.groupBy("h").agg(F.min("id").alias("f")), "first")
     linked = components(prefix.join(first, "h").select(F.col("id").alias("a"), F.col("f").alias("b")))
-    return stage(linked.withColumnRenamed("component", "family").join(prefix.select("id", "own").distinct(), "id"), "families")
+    found = stage(linked.withColumnRenamed("component", "family").join(prefix.select("id", "own").distinct(), "id"), "families")
+    unstage(prefix, first)
+    return found
 
 
 def _spanning(found, union):
@@ -329,20 +334,23 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, block: in
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(real.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     leaders = real.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi")
-    passed = stage(candidates(leaders, percent), "maybe")
+    passed = candidates(leaders, percent)
     # the hashes have done their work: what is needed of every row from here on is small
     light = stage(signed.select("doc_id", "digest", "n_shingles"), "set-sizes")
     unstage(signed)
     maybe = passed.select(F.col("id").alias("doc_id")).distinct()
     # a class may have several rows with its smallest id, and an id several texts: sets count once
-    sets = full_sets(docs.join(maybe, "doc_id", "left_semi"), k)
-    sets = stage(sets.filter(F.size("items") > 0).dropDuplicates(["id"]), "sets")
+    sets = full_sets(docs.join(maybe, "doc_id", "left_semi"), k).withColumnRenamed("id", "digest")
+    sets = sets.filter(F.size("items") > 0).dropDuplicates(["digest"])
+    # a stored number stands for the digest: every shingle of a set is shuffled with it
+    numbered = stage(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "items"), "sets")
+    sets = numbered.select("id", "items")
     links = stage(search_families(sets, families(sets, percent), percent, block, long), "links")
-    joined = components(links).withColumnRenamed("id", "digest")
-    rooted = classes.join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
-    smallest = rooted.groupBy("root").agg(F.min("class").alias("component_id"))
-    roots = stage(rooted.join(smallest, "root").select("digest", "component_id"), "roots")
-    unstage(classes, passed, sets, links)
+    joined = components(links).join(numbered.select("id", "digest"), "id").select("digest", "component")
+    rooted = classes.join(joined, "digest", "left")
+    smallest = rooted.filter("component IS NOT NULL").groupBy("component").agg(F.min("class").alias("smallest"))
+    roots = stage(rooted.join(smallest, "component", "left").select("digest", F.coalesce("smallest", "class").alias("component_id")), "roots")
+    unstage(classes, passed, numbered, links)
     known = light.join(roots, "digest", "left")
     return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id"))
                         .otherwise(F.col("component_id")).alias("component_id"))

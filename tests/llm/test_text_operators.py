@@ -407,6 +407,22 @@ def test_jaccard_families_of_many_near_copies(spark):
     assert got == want
 
 
+def test_shingles_are_shuffled_with_numbers(spark, docs, monkeypatch):
+    kinds, left = [], []
+
+    def families(sets, percent, own=jaccard_join.families):
+        kinds.append(sets.schema["id"].dataType.simpleString())
+        return own(sets, percent)
+
+    def drop(*frames, own=jaccard_join.unstage):
+        left.extend(f._staged.rsplit("/", 1)[-1].split("-")[0] for f in frames)
+        own(*frames)
+    monkeypatch.setattr(jaccard_join, "families", families)
+    monkeypatch.setattr(jaccard_join, "unstage", drop)
+    jaccard_join.jaccard_components(docs, 4, 85).count()
+    assert kinds == ["bigint"] and {"twice", "counts", "prefix", "first"} <= set(left)
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
     rng = np.random.default_rng(4)
