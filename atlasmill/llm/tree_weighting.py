@@ -6,18 +6,22 @@ its children with weight one half, for all depths at once. With the counts of th
 fixed, the chance of a byte is the product of the eight mixed chances, so it sums to one.
 
 On Spark: texts are dealt into chunks of bounded size. A chunk sends every distinct (context,
-byte) string once, with its count in training texts; the counts meet in one table without bound,
-never broadcast. Subtrees that share the last two context bytes are worked out together, first
+byte) string and every distinct word once, with its count in training texts; they go by hashed slots, up to
+``A_ROW`` of one chunk and slot in a row. A slot's rows meet in one task, which sums them; the sums are
+tables without bound, never broadcast. Subtrees that share the last two context bytes are worked out together, first
 upwards, then down to the chance of every string that occurs anywhere. Depths 0 and 1 have at
-most 257 * 255 nodes, which is the bound for their broadcast. The chances return to the chunks by
-a join; a task holds those of one chunk, sixteen bytes a string, and streams the chunk's texts past them.
+most 257 * 255 nodes, which is the bound for their broadcast. A slot's chances and word counts meet the
+slot's rows again and return with them to the chunks; a task holds those of one chunk, sixteen bytes a
+string, and streams the chunk's texts past them.
 
 Contexts are cut at ``DEPTH`` bytes, so that a string with its next byte is one 64-bit key.
 """
 
 from __future__ import annotations
 
+import collections
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,10 @@ DEPTH = 5
 END = 255
 CHUNK_BYTES = 8 << 20
 _SLICE = 1 << 20
+#: Positions sorted at once when strings are looked up; a position takes ``_LOOK_BITS`` bits beside its 48-bit key.
+_LOOK_BITS = 15
+#: Strings or words of a chunk and slot in one row, and the most slots.
+A_ROW, MOST_SLOTS = 1024, 4096
 #: Characters of texts that a task scores together.
 TEXTS_AT_ONCE = 1 << 20
 
@@ -50,19 +58,47 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def strings_of(texts: list[bytes]):
+def strings_of(texts: list[bytes], at_once: int = _SLICE):
     """Slices of bounded size: ``(keys, owner)`` of all positions, a key being context and next byte."""
     pad = bytes([END]) * DEPTH
     raw = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     where = np.arange(int(lengths.sum())) + DEPTH * (owner + 1)
-    for at in range(0, len(where), _SLICE):
-        spots = where[at:at + _SLICE]
-        keys = np.zeros(len(spots), np.int64)
+    for at in range(0, len(where), at_once):
+        spots = where[at:at + at_once]
+        first, end = int(spots[0]), int(spots[-1]) + 1
+        keys = np.zeros(end - first, np.int64)
         for j in range(DEPTH + 1):
-            keys = (keys << 8) | raw[spots - DEPTH + j]
-        yield keys, owner[at:at + _SLICE]
+            keys = (keys << 8) | raw[first - DEPTH + j:end - DEPTH + j]
+        yield keys[spots - first], owner[at:at + at_once]
+
+
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Strings with the same first four bytes share a slot."""
+    mixed = (keys >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % np.uint64(slots)).astype(np.int32)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte plane by byte plane, so that equal high bytes lie together."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def joined(words: list[bytes]) -> bytes:
+    """Words, none of which has a space, as one value."""
+    line = b" ".join(words)
+    return len(line).to_bytes(8, "little") + pa.compress(line, codec="zstd", asbytes=True)
+
+
+def parted(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
 
 
 class Subtree:
@@ -161,38 +197,64 @@ def _merged(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarr
     return k[heads], np.add.reduceat(n, heads) if len(k) else n
 
 
-def chunk_counts(dealt: DataFrame) -> DataFrame:
-    """``(chunk, key, word, n)``: distinct strings and words of a chunk, with their number in training texts.
+COUNTED = "chunk int, slot int, is_word boolean, n long, items binary, counts binary"
+
 
-    Texts stream through; a task holds a chunk's distinct strings and a bounded number not yet merged.
+def chunk_counts(dealt: DataFrame, slots: int) -> DataFrame:
+    """Distinct strings and words of each chunk with their number in training texts.
+
+    A row has ``n`` strings or words of a slot in order, strings packed as differences, and their packed
+    counts. Texts stream through; a task holds a chunk's distinct strings and words and a bounded number
+    not yet merged.
     """
 
-    def count(texts, keys, numbers, words):
+    def count(texts, keys, numbers, pending, words):
         raw = [t.encode().lower() if t else b"" for t, _ in texts]
         train = ~np.array([h for _, h in texts], bool)
         for part, owner in strings_of(raw):
-            learns = train[owner]
-            for own, weight in ((part[learns], 1), (part[~learns], 0)):
-                u, n = np.unique(own, return_counts=True)
-                keys.append(u)
-                numbers.append(n * weight)
-        for t, learns in zip(raw, train):
-            for w in _words(t):
-                words[w] = words.get(w, 0) + int(learns)
-            words[b""] += int(learns)  # the end
-        if sum(map(len, keys[1:])) > _SLICE:
+            pending.append((part << 1) | train[owner])
+            if sum(map(len, pending)) >= 2 * _SLICE:
+                fold_in(keys, numbers, pending)
+        for t, learns in zip(raw, train.tolist()):
+            if learns:
+                words.update(_words(t))
+                words[b""] += 1  # the end
+            else:
+                for w in _words(t):
+                    words.setdefault(w, 0)
+        if sum(map(len, keys[1:])) > max(_SLICE, len(keys[0])):
             merged = _merged(keys, numbers)
             keys[:], numbers[:] = [merged[0]], [merged[1]]
 
-    def rows_of(chunk, keys, numbers, words):
+    def fold_in(keys, numbers, pending):
+        if pending:
+            marked = np.sort(np.concatenate(pending))
+            pending.clear()
+            own = marked >> 1
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            keys.append(own[heads])
+            numbers.append(np.add.reduceat(marked & 1, heads))
+
+    def rows_of(chunk, keys, numbers, pending, words):
+        fold_in(keys, numbers, pending)
         keys, counts = _merged(keys, numbers)
-        for at in range(0, len(keys), 1 << 16):
-            k, n = keys[at:at + (1 << 16)], counts[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int32)), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n.astype(np.int64))],
-                                             names=["chunk", "key", "word", "n"])
+        pack = lambda some: packed(np.diff(some, prepend=0))
+        yield from dealt_rows(chunk, False, slot_of(keys, slots), keys, counts, pack)
         names = sorted(words)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), chunk, np.int32)), pa.nulls(len(names), pa.int64()), pa.array(names, pa.binary()),
-                                          pa.array([words[w] for w in names], pa.int64())], names=["chunk", "key", "word", "n"])
+        yield from dealt_rows(chunk, True, np.array([zlib.crc32(w) % slots for w in names], np.int32), np.array(names, object),
+                              np.array([words[w] for w in names], np.int64), lambda some: joined(some.tolist()))
+
+    def dealt_rows(chunk, is_word, slot, items, counts, pack):
+        order = np.argsort(slot, kind="stable")  # those of a slot stay in order
+        slot, items, counts = slot[order], items[order], counts[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])), len(slot)).tolist()
+        cuts = [(at, min(at + A_ROW, end)) for start, end in zip(edges, edges[1:]) for at in range(start, end, A_ROW)]
+        for at in range(0, len(cuts), 256):
+            some = cuts[at:at + 256]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(some), chunk, np.int32)), pa.array(slot[[i for i, _ in some]]), pa.array([is_word] * len(some)),
+                pa.array([j - i for i, j in some], pa.int64()), pa.array([pack(items[i:j]) for i, j in some], pa.binary()),
+                pa.array([packed(counts[i:j]) for i, j in some], pa.binary())], names=["chunk", "slot", "is_word", "n", "items", "counts"])
 
     def run(batches):
         chunk, texts, held, state = None, [], 0, None
@@ -202,7 +264,7 @@ def chunk_counts(dealt: DataFrame) -> DataFrame:
                     if state:
                         count(texts, *state)
                         yield from rows_of(chunk, *state)
-                    chunk, texts, held, state = number, [], 0, ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {b"": 0})
+                    chunk, texts, held, state = number, [], 0, ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], collections.Counter({b"": 0}))
                 texts.append((text, held_out))
                 held += len(text or "")
                 if held > TEXTS_AT_ONCE:
@@ -213,11 +275,113 @@ def chunk_counts(dealt: DataFrame) -> DataFrame:
             yield from rows_of(chunk, *state)
 
     spread = dealt.select("chunk", "text", "held_out").repartition(parallelism(dealt.sparkSession), "chunk").sortWithinPartitions("chunk")
-    return spread.mapInArrow(run, "chunk int, key long, word binary, n long")
+    return spread.mapInArrow(run, COUNTED)
+
+
+def string_counts(counted: DataFrame) -> DataFrame:
+    """``(pair, key, n)``: distinct strings of all chunks and their number in training texts.
+
+    A task holds one slot's distinct strings and a bounded number not yet merged.
+    """
+
+    def rows_of(keys, numbers):
+        keys, counts = _merged(keys, numbers)
+        for at in range(0, len(keys), 1 << 16):
+            k = keys[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(((k >> 8) & 0xFFFF).astype(np.int32)), pa.array(k), pa.array(counts[at:at + (1 << 16)])],
+                                             names=["pair", "key", "n"])
 
+    def run(batches):
+        slot, keys, numbers = None, [], []
+        for batch in batches:
+            for own, n, k, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if own != slot:
+                    if keys:
+                        yield from rows_of(keys, numbers)
+                    slot, keys, numbers = own, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                keys.append(np.cumsum(unpacked(k, n)))
+                numbers.append(unpacked(c, n))
+                if A_ROW * len(keys) > max(_SLICE, 2 * len(keys[0])):
+                    merged = _merged(keys, numbers)
+                    keys, numbers = [merged[0]], [merged[1]]
+        if keys:
+            yield from rows_of(keys, numbers)
+
+    rows = counted.filter("NOT is_word").select("slot", "n", "items", "counts")
+    return rows.repartition(parallelism(counted.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(run, "pair int, key long, n long")
+
+
+def word_counts(counted: DataFrame) -> DataFrame:
+    """``(slot, word, c)``: distinct words of all chunks and their number in training texts; a task holds one slot's."""
+
+    def rows_of(slot, words):
+        names = list(words)
+        for at in range(0, len(names), 1 << 16):
+            some = names[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), slot, np.int32)), pa.array(some, pa.binary()), pa.array([words[w] for w in some], pa.int64())],
+                                             names=["slot", "word", "c"])
+
+    def run(batches):
+        slot, words = None, {}
+        for batch in batches:
+            for own, n, items, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if own != slot:
+                    if words:
+                        yield from rows_of(slot, words)
+                    slot, words = own, {}
+                for w, c in zip(parted(items), unpacked(counts, n).tolist()):
+                    words[w] = words.get(w, 0) + c
+        if words:
+            yield from rows_of(slot, words)
+
+    rows = counted.filter("is_word").select("slot", "n", "items", "counts")
+    return rows.repartition(parallelism(counted.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(run, "slot int, word binary, c long")
 
-def string_chances(strings: DataFrame) -> DataFrame:
-    """``(key, chance)`` from ``(pair, key, n)``: log10 chance of each string's last byte."""
+
+def returned(counted: DataFrame, chance: DataFrame, words: DataFrame) -> DataFrame:
+    """``(chunk, is_word, n, items, found)``: every row of a chunk with its strings' chances or the packed counts of its words."""
+
+    def run(batches):
+        """A slot's chances and word counts, then its rows."""
+        slot, keys, chances, totals = None, [], [], {}
+        for batch in batches:
+            slots, out = batch.column(0).to_numpy(), []
+            edges = np.flatnonzero(np.diff(slots)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(slots)]):
+                if slots[start] != slot:
+                    slot, keys, chances, totals = slots[start], [np.zeros(0, np.int64)], [np.zeros(0)], {}
+                part = batch.slice(start, end - start)
+                known = part.slice(0, int((~part.column(1).to_numpy(zero_copy_only=False)).sum()))  # what is known comes first
+                if known.num_rows:
+                    of_words = np.asarray(known.column(3).is_valid())
+                    values = known.column(4).to_numpy()
+                    keys.append(known.column(2).drop_null().to_numpy())
+                    chances.append(values[~of_words])
+                    totals.update(zip(known.column(3).drop_null().to_pylist(), values[of_words].astype(np.int64).tolist()))
+                if known.num_rows == part.num_rows:
+                    continue
+                if isinstance(keys, list):
+                    keys, chances = np.concatenate(keys), np.concatenate(chances)
+                    order = np.argsort(keys)
+                    keys, chances = keys[order], chances[order]
+                for chunk, is_word, n, items in zip(*(part.column(i).slice(known.num_rows).to_pylist() for i in (5, 6, 7, 8))):
+                    found = packed(np.array([totals[w] for w in parted(items)], np.int64)) if is_word else chances[np.searchsorted(keys, np.cumsum(unpacked(items, n)))].tobytes()
+                    out.append((chunk, is_word, n, items, found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()))],
+                                             names=["chunk", "is_word", "n", "items", "found"])
+
+    def columns(rows, asks, **own):
+        kinds = {"key": "long", "word": "binary", "value": "double", "chunk": "int", "is_word": "boolean", "n": "long", "items": "binary"}
+        return rows.select("slot", F.lit(asks).alias("asks"), *[F.col(own[c]).cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    rows = columns(counted, True, chunk="chunk", is_word="is_word", n="n", items="items")
+    given = columns(chance, False, key="key", value="chance").unionByName(columns(words, False, word="word", value="c"))
+    met = given.unionByName(rows).repartition(parallelism(counted.sparkSession), "slot").sortWithinPartitions("slot", "asks")
+    return met.mapInArrow(run, "chunk int, is_word boolean, n long, items binary, found binary")
+
+
+def string_chances(strings: DataFrame, slots: int) -> DataFrame:
+    """``(slot, key, chance)`` from ``(pair, key, n)``: log10 chance of each string's last byte."""
     schema = T.StructType([T.StructField("last", T.IntegerType()), T.StructField("node", T.IntegerType()),
                            T.StructField("zero", T.DoubleType()), T.StructField("one", T.DoubleType()), T.StructField("weighted", T.DoubleType())])
 
@@ -233,9 +397,9 @@ def string_chances(strings: DataFrame) -> DataFrame:
 
     def down(rows: pa.Table) -> pa.Table:
         keys = rows.column("key").to_numpy()
-        return pa.table({"key": rows.column("key"), "chance": pa.array(Subtree(keys, rows.column("n").to_numpy()).chances(keys, low.value))})
+        return pa.table({"slot": pa.array(slot_of(keys, slots)), "key": rows.column("key"), "chance": pa.array(Subtree(keys, rows.column("n").to_numpy()).chances(keys, low.value))})
 
-    return strings.groupBy("pair").applyInArrow(down, "key long, chance double")
+    return strings.groupBy("pair").applyInArrow(down, "slot int, key long, chance double")
 
 
 def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -252,34 +416,29 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, math.ceil(size / chunk_bytes))
     dealt = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    counted = stage(chunk_counts(dealt), "chunk-counts")
-    words = stage(counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("chunks")), "words")
+    slots = min(MOST_SLOTS, 4 * parallelism(spark))
+    counted = stage(chunk_counts(dealt, slots), "chunk-counts")
+    words = stage(word_counts(counted), "words")
     n_train, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    strings = stage(counted.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-                    .withColumn("pair", F.shiftright("key", 8).bitwiseAND(0xFFFF)), "strings")
-    chance = stage(string_chances(strings), "chances")
-    back = (counted.filter("key IS NOT NULL").select("chunk", "key").join(chance, "key")
-            .select("chunk", "key", F.lit(None).cast("binary").alias("word"), F.col("chance").alias("value"))
-            .unionByName(counted.filter("word IS NOT NULL").select("chunk", "word").join(words, "word")
-                         .select("chunk", F.lit(None).cast("long").alias("key"), "word", F.col("c").cast("double").alias("value"))))
-    back = stage(back, "values")
-    unstage(counted, words, strings, chance)
+    strings = stage(string_counts(counted), "strings")
+    chance = stage(string_chances(strings, slots), "chances")
+    unstage(strings)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("bits_per_byte", T.DoubleType())])
     floor, under = 0.1, n_train + 0.1 * (distinct + 1)
 
     def add_up(texts: list[tuple], keys: np.ndarray, chances: np.ndarray, counts: dict) -> pa.RecordBatch:
         raw = [t.encode().lower() if t else b"" for _, _, t in texts]
-        scores = np.zeros(len(raw))
-        for part, owner in strings_of(raw):
-            order = np.argsort(part)  # look-ups in order stay in the cache
-            scores += np.bincount(owner[order], chances[np.searchsorted(keys, part[order])], len(raw))
+        scores, place = np.zeros(len(raw)), (1 << _LOOK_BITS) - 1
+        for part, owner in strings_of(raw, 1 << _LOOK_BITS):
+            marked = np.sort((part << _LOOK_BITS) | np.arange(len(part)))  # look-ups in order stay in the cache
+            scores += np.bincount(owner[marked & place], chances[np.searchsorted(keys, marked >> _LOOK_BITS)], len(raw))
         tokens, hits, base = [], [], []
         for t in raw:
-            found = [counts.get(w, 0) for w in _words(t)] + [counts.get(b"", 0)]
+            found = np.array([counts[w] for w in _words(t)] + [counts[b""]], float)
             tokens.append(len(found))
-            hits.append(sum(c > 0 for c in found))
-            base.append(float(np.log10((np.array(found) + floor) / under).sum()))
+            hits.append(np.count_nonzero(found))
+            base.append(float(np.log10((found + floor) / under).sum()))
         sizes = np.array([len(t) for t in raw])
         return pa.RecordBatch.from_arrays([
             pa.array([t[0] for t in texts], id_type), pa.array([t[1] for t in texts]), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()),
@@ -303,11 +462,12 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
                 is_text = part.column(1).to_numpy(zero_copy_only=False)
                 values = part.slice(0, int((~is_text).sum()))  # values come first
                 if values.num_rows:
-                    strings = np.asarray(values.column(2).is_valid())
-                    number = values.column(4).to_numpy()
-                    keys.append(values.column(2).drop_null().to_numpy())
-                    chances.append(number[strings])
-                    counts.update(zip(values.column(3).drop_null().to_pylist(), number[~strings].tolist()))
+                    for is_word, n, items, found in zip(*(values.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                        if is_word:
+                            counts.update(zip(parted(items), unpacked(found, n).tolist()))
+                        else:
+                            keys.append(np.cumsum(unpacked(items, n)))
+                            chances.append(np.frombuffer(found))
                 if values.num_rows == part.num_rows:
                     continue
                 if isinstance(keys, list):
@@ -315,7 +475,7 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
                     order = np.argsort(keys)
                     keys, chances = keys[order], chances[order]
                 for k in range(values.num_rows, part.num_rows):
-                    texts.append(tuple(part.column(c)[k].as_py() for c in (5, 6, 7)))
+                    texts.append(tuple(part.column(c)[k].as_py() for c in (6, 7, 8)))
                     held += len(texts[-1][2] or "")
                     if held > TEXTS_AT_ONCE:
                         yield add_up(texts, keys, chances, counts)
@@ -323,8 +483,9 @@ def score(docs: DataFrame, held_out_fold: int = 0, folds: int = 10, chunk_bytes:
         if texts:
             yield add_up(texts, keys, chances, counts)
 
-    own = dealt.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("word"),
-                       F.lit(None).cast("double").alias("value"), "doc_id", "held_out", "text")
-    given = back.select("chunk", F.lit(False).alias("is_text"), "key", "word", "value", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-                        F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    own = dealt.select("chunk", F.lit(True).alias("is_text"), F.lit(None).cast("boolean").alias("is_word"), F.lit(None).cast("long").alias("n"),
+                       *[F.lit(None).cast("binary").alias(c) for c in ("items", "found")], "doc_id", "held_out", "text")
+    given = returned(counted, chance, words).select(
+        "chunk", F.lit(False).alias("is_text"), "is_word", "n", "items", "found", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
     return given.unionByName(own).repartition(parallelism(spark), "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(run, schema)

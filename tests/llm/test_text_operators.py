@@ -491,6 +491,31 @@ def test_tree_weighting(spark, docs):
     assert all(np.isclose(r.score, want(r.doc_id), rtol=1e-6) for r in rows[:5])
 
 
+def test_strings_go_packed_and_meet_by_slot(spark, docs):
+    import numpy as np
+    numbers = np.array([0, 1, 255, 256, (1 << 48) - 1])
+    assert tree_weighting.unpacked(tree_weighting.packed(numbers), 5).tolist() == numbers.tolist()
+    rows = [(k % 2, r.text, r.doc_id % 3 == 0) for k, r in enumerate(docs.collect())]
+    dealt = spark.createDataFrame(rows, "chunk INT, text STRING, held_out BOOLEAN")
+    counted = tree_weighting.chunk_counts(dealt, 4).cache()
+    strings = counted.filter("NOT is_word").collect()
+    assert max(r.n for r in strings) <= tree_weighting.A_ROW and sum(r.n for r in strings) > 100 * len(strings)
+    want = collections.Counter()
+    for _, text, held_out in rows:
+        data = b"\xff" * 5 + (text or "").encode().lower() + b"\xff"
+        for i in range(5, len(data)):
+            want[int.from_bytes(data[i - 5:i + 1], "big")] += not held_out
+    words = [b"", b"a", b"\xc3\xa9"]
+    assert tree_weighting.parted(tree_weighting.joined(words)) == words and tree_weighting.parted(tree_weighting.joined([b""])) == [b""]
+    tokens = collections.Counter()
+    for _, text, held_out in rows:
+        tokens.update({w: 0 for w in (text or "").encode().lower().split()} if held_out else (text or "").encode().lower().split() + [b""])
+    found = tree_weighting.word_counts(counted).collect()
+    assert {bytes(r.word): r.c for r in found} == dict(tokens) and len(found) == len(tokens)
+    got = tree_weighting.string_counts(counted).collect()
+    assert {r.key: r.n for r in got} == dict(want) and len(got) == len(want) and all(r.pair == (r.key >> 8) & 0xFFFF for r in got)
+
+
 def slow_tree(texts):
     """Context-tree weighting node by node, in dictionaries."""
     depth, counts = tree_weighting.DEPTH, collections.defaultdict(lambda: [0, 0])
