@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
+#: Ids that a task contracts together.
+CONTRACTED = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,16 +100,53 @@ def fold(key: str | Column, n: int) -> Column:
     return F.pmod(F.coalesce(F.crc32(key.cast("string")), F.lit(0)), F.lit(n))
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` with the same components: those of a partition become stars around their smallest ids.
+
+    A task holds ``CONTRACTED`` ids at most; those that follow make stars of their own.
+    """
+
+    def run(batches):
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        def stars(kinds):
+            found = [(x, r) for x in up if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kinds[i]) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns]
+            for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= CONTRACTED:
+                yield stars(kinds)
+                up.clear()
+        if up:
+            yield stars(kinds)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable over ``edges(a, b)``: rows ``(id, component)`` of every id in an edge.
 
+    Each partition's edges are contracted to stars first, so that rounds only have to join partitions.
     Alternating star contraction: every id points to a smaller neighbour, and neighbours are
     handed to the smallest, so paths halve in each round. A round is two aggregations that
     combine before the shuffle and one join on the id; it is stored, and so is cut off from
     the ones before. Rounds end when the edge set, summed in an order-free way, stands still.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    current, mark = stage(pairs, "edges"), None
+    marked = lambda found: tuple(found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    current = stage(_contracted(pairs), "edges")
+    mark = marked(current)
     for _ in range(rounds):
         # large star: larger neighbours of a node move to its smallest neighbour or itself
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -117,13 +157,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = (large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(floor.select("a", F.col("m").alias("b"))).filter("a > b").distinct())
         following = stage(small, "edges")
-        seen = following.agg(F.count(F.lit(1)).alias("n"),
-                             F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        seen = marked(following)
         unstage(current)
         current = following
-        if mark == (seen.n, seen.h):
+        if mark == seen:
             break
-        mark = (seen.n, seen.h)
+        mark = seen
     else:
         raise RuntimeError("components did not settle")
     roots = current.select("b").distinct()

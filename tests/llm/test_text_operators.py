@@ -455,6 +455,16 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_one_partition_settle_in_one_round(spark, monkeypatch):
+    rows = [(i, i + 1) for i in range(3000)] + [(5000 + i, 5000) for i in range(1, 9)]
+    edges = spark.createDataFrame(rows, "a BIGINT, b BIGINT")
+    want = {i: 0 for i in range(3001)} | {5000 + i: 5000 for i in range(9)}
+    assert {r.id: r.component for r in components(edges, rounds=1).collect()} == want
+    monkeypatch.setattr("atlasmill.llm.common.CONTRACTED", 64)  # tasks that hold few ids still lose no link
+    texts = edges.selectExpr("format_string('n%05d', a) AS a", "format_string('n%05d', b) AS b")
+    assert {r.id: r.component for r in components(texts).collect()} == {f"n{i:05d}": f"n{c:05d}" for i, c in want.items()}
+
+
 def test_repeated_passages(spark, docs):
     rows = {r.doc_id: split(r.text) for r in docs.collect()}
     seen, want = collections.defaultdict(set), collections.defaultdict(set)
