@@ -13,7 +13,7 @@ import sentencepiece
 
 from atlasmill.llm import (co_training, decontamination, jaccard_join, linear, mixing, quality_rules, sharding, suffix_dedup,
                            token_counts, toxicity, tree_weighting)
-from atlasmill.llm.common import components, fold
+from atlasmill.llm.common import components, fold, stage
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 LABELS = "doc_id BIGINT, quality INT, toxic INT"
@@ -455,11 +455,15 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_components_of_one_partition_settle_in_one_round(spark, monkeypatch):
+def test_components_of_one_partition_need_no_round(spark, monkeypatch):
     rows = [(i, i + 1) for i in range(3000)] + [(5000 + i, 5000) for i in range(1, 9)]
     edges = spark.createDataFrame(rows, "a BIGINT, b BIGINT")
     want = {i: 0 for i in range(3001)} | {5000 + i: 5000 for i in range(9)}
-    assert {r.id: r.component for r in components(edges, rounds=1).collect()} == want
+    stored = []
+    with monkeypatch.context() as watched:
+        watched.setattr("atlasmill.llm.common.stage", lambda df, name: stored.append(name) or stage(df, name))
+        assert {r.id: r.component for r in components(edges).collect()} == want
+    assert stored == ["edges"]
     monkeypatch.setattr("atlasmill.llm.common.CONTRACTED", 64)  # tasks that hold few ids still lose no link
     texts = edges.selectExpr("format_string('n%05d', a) AS a", "format_string('n%05d', b) AS b")
     assert {r.id: r.component for r in components(texts).collect()} == {f"n{i:05d}": f"n{c:05d}" for i, c in want.items()}
